@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import token_orc, tree_bpe
 from .common import table
 from .mixing import mix_sources
 from .sql import ORACLES
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_orc.new_path(spark)
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_orc.token_digests(spark, path)
+
+
+def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
