@@ -10,9 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from . import token_orc, tree_bpe
 from .common import table
 from .mixing import mix_sources
+from .quality_mcd import quality
+from .secrets import secret_digests
 from .sql import ORACLES
 
 
+def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_orc.new_path(spark)
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
