@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import token_orc, tree_bpe
 from .common import table
 from .mixing import mix_sources
+from .parity_join import similar_components
 from .quality_mcd import quality
 from .secrets import secret_digests
 from .sql import ORACLES
@@ -33,6 +34,10 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 

@@ -31,4 +31,25 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES = {"op9_source_mixing": OP9}
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN []
+         WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS s
+  FROM w),
+sh AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.r AS ra, b.r AS rb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM sh a JOIN sh b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT ra, rb FROM common WHERE 100 * shared >= 85 * (na + nb - shared)),
+reach AS (
+  SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.rb FROM reach JOIN links ON reach.b = links.ra)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM sets JOIN reach ON sets.r = reach.a JOIN sets o ON o.r = reach.b GROUP BY sets.r, sets.doc_id, len(sets.s)
+"""
+
+ORACLES = {"op8_parity_join": OP8, "op9_source_mixing": OP9}
