@@ -14,61 +14,152 @@ the files' starts are a running sum over one row per file.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, slices
+from .common import raw, shared_dir, slices
 
 END_ID = 2
-#: Pieces whose ids a worker remembers; beyond it starts anew.
-REMEMBER = 600_000
+#: Chunks whose ids a worker remembers; beyond it starts anew.
+REMEMBER = 1_000_000
+_MARKS = ((", ", " \2 "), (". ", " \3 "), (",\n", " \2\n"), (".\n", " \3\n"), ("\n", " \0"))
+_POINTS = ("\2", "\3")
+_OTHER = np.zeros(256, bool)
+_OTHER[[*range(10), *range(11, 32), 127, *range(0xC9, 256)]] = True
+#: One-byte letters and digits: after them a comma or full stop begins a match of its own.
+_WORDLY = np.zeros(256, bool)
+_WORDLY[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 FORMAT = "doc_id long, part int, place long, first long, n_tokens long, ids array<int>"
 WRITE = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "compression": "zstd"}
 
 
-class Encoder:
-    """encode(texts, add_special_tokens=False) of the tokenizers library, remembering the pieces it has seen.
+class _Numbers(dict):
+    """Chunks numbered in order of appearance; `new` has those without ids yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = n = len(self)
+        return n
+
 
-    A byte-level vocabulary encodes each piece of its split pattern on its own,
-    so every distinct piece goes through the library once and its ids are used
-    wherever it occurs. Texts with characters that split patterns of two
-    libraries may class differently go through it whole.
+class Encoder:
+    """encode(texts, add_special_tokens=False) of the tokenizers library, remembering the chunks it has seen.
+
+    A byte-level vocabulary encodes each match of its split pattern on its own,
+    and no match goes over a place between a non-space character and a blank
+    or newline, or between a letter or digit and a point. So texts are cut
+    there, every distinct chunk goes through the library once, many to a call,
+    and its ids are used wherever it occurs. Texts with characters beyond Latin
+    letters, or other white space, go through it whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN)
-        self.other = regex.compile(r"[^\t-\r -~\u00A1-\u024F]")
-        self.seen: dict[str, bytes] = {}
-
-    def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        whole = {t for t in texts if self.other.search(t)}
-        pieces = [[] if t in whole else self.split.findall(t) for t in texts]
-        if len(self.seen) > REMEMBER:
-            self.seen.clear()
-        if new := list({*chain.from_iterable(pieces)} - self.seen.keys()):
-            self.seen.update(zip(new, map(self._bytes, self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [np.frombuffer(self._bytes(self.library.encode(t, add_special_tokens=False)) if t in whole else b"".join(map(self.seen.__getitem__, p)), np.int32) for t, p in zip(texts, pieces, strict=True)]
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(1 + max(vocabulary.values()), np.int64)
+        self.length[[*vocabulary.values()]] = [*map(len, vocabulary)]  # its strings have a character for each byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = _Numbers()
+        self.ids, self.ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]  # of all chunks by number
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (one entry more than texts)."""
+        data, at = raw(texts)
+        plain, even = self._classes(data, at)
+        texts = ["" if t is None else t for t in texts.to_pylist()]
+        if len(self.number) > REMEMBER:
+            self._forget()
+        cut = [self._cut(t, e) if p else [t] for t, p, e in zip(texts, plain, even, strict=True)]
+        heads = [e.ids for e in self.library.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)]
+        n = np.array([len(c) - 1 for c in cut])
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(c[1:] for c in cut)), np.int64, int(n.sum()))
+        if self.number.new:
+            self._learn()
+        ids, ends = self.ids[0], self.ends[0]
+        size = ends[numbers + 1] - ends[numbers]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        tail = ids[np.arange(upto[-1]) + np.repeat(ends[numbers] - upto[:-1], size)]
+        first = np.concatenate([[0], np.cumsum(n)])
+        place = upto[first]  # where each text's tail begins
+        head = np.array([*map(len, heads)])
+        out = np.insert(tail, np.repeat(place[:-1], head), np.fromiter(chain.from_iterable(heads), np.int32, int(head.sum())))
+        return out, place + np.concatenate([[0], np.cumsum(head)])
+
+    @staticmethod
+    def _classes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts have printable Latin characters, blanks and newlines alone, and which of them have no point after another before white space."""
+        odd = _OTHER[data]
+        odd[1:] |= (data[:-1] == 0xC2) & (data[1:] <= 0xA0)
+        before = np.concatenate([np.zeros(2, np.uint8), data])
+        point = np.flatnonzero((data == 44) | (data == 46))
+        last, lead = before[point + 1], before[point]
+        letter = (lead >= 0xC3) & (lead <= 0xC8) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        none = lambda x: np.diff(np.searchsorted(x, at)) == 0
+        return none(np.flatnonzero(odd)), none(point[~(_WORDLY[last] | letter)])
+
+    def _cut(self, text: str, even: bool) -> list[str]:
+        """The text before the first cut, then chunks without the blank they begin with.
+
+        Marks: NUL stands for a chunk's newline; \\2 and \\3 for a comma and a
+        full stop that end a word, which are chunks of their own.
+        """
+        for a, b in _MARKS:
+            text = text.replace(a, b)
+        chunks = text.split(" ")
+        if not even or "  " in text or "\0 " in text or not chunks[0]:  # no cut before a blank or newline that follows white space, nor before a point that follows another
+            joined = chunks[:1]
+            for c in chunks[1:]:
+                if not joined[-1] or joined[-1][-1] == "\0" or c in _POINTS and not joined[-1][-1].isalnum():
+                    joined[-1] += " " + c
+                else:
+                    joined.append(c)
+            chunks = joined
+        chunks[0] = self._plain(chunks[0])
+        return chunks
 
     @staticmethod
-    def _bytes(encoding) -> bytes:
-        return array("i", encoding.ids).tobytes()
+    def _plain(chunk: str) -> str:
+        return chunk.replace(" \2", ",").replace(" \3", ".").replace(" \0", "\n")
+
+    def _learn(self) -> None:
+        """Ids of the new chunks, many to a call of the library; their bytes tell whose they are."""
+        new, self.number.new = self.number.new, []
+        runs: list[list[str]] = [[]]
+        for c in new:
+            text = self._plain(" " + c)
+            if not c or c[-1] == "\0" or c in _POINTS:  # ends in white space, or begins in none: nothing may stand beside it
+                runs += [[text], []]
+            else:
+                runs[-1].append(text)
+                if len(runs[-1]) == 500:
+                    runs.append([])
+        runs = [r for r in runs if r]
+        for r, found in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int32)
+            sizes = [len(t.encode()) for t in r]
+            upto = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1
+            self.ends.append(upto + (self.ends[-1][-1]))
+            self.ids.append(ids)
+        self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
 
 
 @lru_cache(1)
@@ -83,11 +174,11 @@ def _encode(path: str, end: int | None):
         tail = np.array([] if end is None else [end], np.int32)
         for batch in batches:
             for rows in slices(batch, "text"):
-                ids = [np.concatenate([x, tail]) for x in encode(rows.column("text").to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
-                at = np.concatenate([[0], np.cumsum(n)])
+                ids, at = encode(rows.column("text"))
+                ids, at = np.insert(ids, np.repeat(at[1:], len(tail)), np.tile(tail, len(rows))), at + len(tail) * np.arange(len(rows) + 1)
+                n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(first + at[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))],
+                    [rows.column("doc_id").cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(first + at[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))],
                     names=["doc_id", "part", "place", "first", "n_tokens", "ids"],
                 )
                 place, first = place + len(n), first + int(at[-1])
