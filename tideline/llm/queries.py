@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_orc, tree_bpe
+from . import bitsliced, token_orc, tree_bpe
 from .common import table
 from .mixing import mix_sources
 from .parity_join import similar_components
@@ -24,6 +24,11 @@ def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bitsliced.usable(table(spark, sf_dir, "embeddings"))
+    return bitsliced.top_k(rows.where("vec_id % 50 = 0"), rows, 5)
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_orc.new_path(spark)
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
