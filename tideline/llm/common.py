@@ -82,20 +82,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in bytes, and the index of each text's first word (one entry more than texts)."""
-    gap = _SPACE[data]
-    first = np.zeros(len(data) + 1, bool)
+def members(member: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all longest runs of marked bytes within texts, and the index of each text's first run (one entry more than texts)."""
+    first = np.zeros(len(member) + 1, bool)
     first[at] = True
-    open_ = ~gap
-    begin = open_.copy()
-    begin[1:] &= gap[:-1] | first[1:-1]
-    end = open_.copy()
-    end[:-1] &= gap[1:] | first[1:-1]
+    begin, end = member.copy(), member.copy()
+    begin[1:] &= ~member[:-1] | first[1:-1]
+    end[:-1] &= ~member[1:] | first[1:-1]
     starts = np.flatnonzero(begin)
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, at)
 
 
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in bytes, and the index of each text's first word."""
+    return members(~_SPACE[data], at)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, from one running sum over all of them."""
     n = len(data)

@@ -11,15 +11,20 @@ from .common import save
 BITS = 1 << 22
 
 
-def maybe_in(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Rows of big whose key may occur in small: all that do, and few others.
+def maybe(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """big with `_maybe`: true for all rows whose key occurs in small, and for few others.
 
     A bitmap of hashed keys is broadcast; its rows are bounded by BITS. Use it
     before an exact join, so that few rows of a wide table are shuffled.
     """
     bit = f"pmod(xxhash64({key}), {BITS}L)"
     bits = small.select(F.expr(f"shiftright({bit}, 6)").alias("_word"), F.expr(f"shiftleft(1L, cast({bit} & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    return big.withColumn("_bit", F.expr(bit)).join(F.broadcast(bits), F.expr("shiftright(_bit, 6)") == F.col("_word"), "left_outer").where(F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1") == 1).drop("_word", "_bit", "_bits")
+    hit = F.coalesce(F.expr(f"(shiftright(_bits, cast({bit} & 63 as int)) & 1) = 1"), F.lit(False))
+    return big.join(F.broadcast(bits), F.expr(f"shiftright({bit}, 6)") == F.col("_word"), "left").withColumn("_maybe", hit).drop("_word", "_bits")
+
+
+def maybe_in(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    return maybe(big, small, key).where("_maybe").drop("_maybe")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from . import bitsliced, token_orc, tree_bpe
 from .common import table
 from .mixing import mix_sources
 from .parity_join import similar_components
+from .pii import private_digests
 from .quality_mcd import quality
 from .secrets import secret_digests
 from .sql import ORACLES
@@ -39,6 +40,10 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
