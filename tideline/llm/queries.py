@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, token_orc, tree_bpe
+from . import bitsliced, byte_cnn, token_orc, tree_bpe
 from .common import table
 from .mixing import mix_sources
 from .parity_join import similar_components
@@ -21,6 +21,11 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.score(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
