@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bitsliced, byte_cnn, token_orc, tree_bpe
 from .common import table
+from .licenses import license_blocks
 from .mixing import mix_sources
 from .parity_join import similar_components
 from .pii import private_digests
@@ -21,6 +23,10 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_blocks(table(spark, sf_dir, "documents")).withColumn("changes", F.array_join("changes", "; "))
+
+
 def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_cnn.score(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
