@@ -31,7 +31,7 @@ def as_text(x: Column) -> Column:
 
 
 def plain_double(d: Column) -> Column:
-    """A double in its shortest digits: exponents only below 1e-4 and from 1e21, no point for whole numbers."""
+    """A double in the digits of the JVM (the shortest but for rare cases): exponents only below 1e-4 and from 1e21, no point for whole numbers."""
     s = F.abs(d).cast("string")
     mantissa = F.regexp_extract(s, r"^([0-9.]+)", 1)
     exponent = F.coalesce(F.try_element_at(F.split(s, "E"), F.lit(2)).cast("int"), F.lit(0))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -73,7 +74,7 @@ class Pipeline:
     def process_batch(self, changes: DataFrame, batch_id: int) -> None:
         """Deliver and settle one micro-batch. Within it a document's events keep their order."""
         active, now = self.sinks.refresh(), self._now()
-        work = f"{self._path('work')}/{batch_id}-{self._version()}"
+        work = f"{self._path('work')}/{batch_id}-{uuid.uuid4().hex}"
         self._append("quarantine", quarantined(changes, self.collection))
         self._append("terminal", terminal(changes).select("operationType"))
         records = parse_changes(changes, self.collection, now, self.old_image).where("eventId <> ''")
@@ -105,7 +106,7 @@ class Pipeline:
         taken = self.spark.createDataFrame(rows, taken.schema)
         parsed = parse_record(F.col("eventData"))
         images = taken.where(F.col("retryCount") < F.col("maxRetries")).select("id", parsed.alias("r")).where("r is not null").select("id", "r.*").withColumn("eventId", F.col("id"))
-        work = f"{self._path('work')}/retry-{version}"
+        work = f"{self._path('work')}/retry-{uuid.uuid4().hex}"
         deliver(route(images, active), active).write.parquet(work)
         outcomes = settle(images, self.spark.read.schema(schema.OUTCOME).parquet(work)).select(F.col("eventId").alias("id"), F.col("settled").alias("ok"), "error")
         step = retry_step(taken, parsed.isNotNull(), outcomes)
