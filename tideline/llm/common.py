@@ -51,6 +51,11 @@ def native_size(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_print(text="text"):
+    """A 64-bit hash of a text as a Column: with doc_id it tells rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about `limit` bytes, one row at least: what a task holds stays bounded."""
     size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64))

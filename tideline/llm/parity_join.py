@@ -13,8 +13,10 @@ A second parity sketch has one bit to a shingle. Its Hamming distance is never
 more than the symmetric difference, so it rejects most candidates without their
 texts; the rest are verified on the sets. Equal sets are one node from the
 start. To find components without comparing all pairs of a key, each node is
-first verified with one leader; afterwards only pairs of nodes that share a key
-and are in different components are compared, in bounded chunks.
+first verified with one leader. Afterwards nodes that share a key and are in
+different components are compared, in bounded chunks: first a chunk's nearest
+pairs that would join its components are verified, then, with the components
+that these give, all pairs still open.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashes, lower, mix, raw, save, slices, windows, words
+from .common import hashes, lower, mix, raw, save, slices, text_print, windows, words
 from .graph import components, maybe_in
 
 #: Sets smaller than this have parts that rarely hold two shingles.
 SMALL, SMALL_BITS = 64, 12
-#: Nodes of a key that one comparison of two chunks takes from each.
-CHUNK = 256
+#: Nodes of a key that one comparison of two chunks takes from each, and 64-bit words that it holds at a time.
+CHUNK, WORDS = 2048, 1 << 21
 
 
 def band(size: int) -> int:
@@ -81,7 +83,7 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-_NODES = "doc_id long, n_shingles long, node long, keys array<long>, sketch binary"
+_NODES = "doc_id long, text_print long, n_shingles long, node long, keys array<long>, sketch binary"
 
 
 def _nodes(k: int, percent: int):
@@ -94,7 +96,7 @@ def _nodes(k: int, percent: int):
                 fresh = [d is not None and d not in seen and not seen.add(d) for d in node]
                 keys = [keys_of(s, percent) if new else None for s, new in zip(sets, fresh, strict=True)]
                 sketch = [sketch_of(s) if new else None for s, new in zip(sets, fresh, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "node", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_print"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "text_print", "n_shingles", "node", "keys", "sketch"])
 
     return run
 
@@ -190,8 +192,29 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _compare(percent: int):
-    """Pairs of two chunks of a key, in different components, that may be similar."""
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the edges, nearest first, that join components not joined by nearer ones."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    keep, left = [], len(np.unique(np.concatenate([a, b]))) - 1
+    order = np.argsort(apart, kind="stable")
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            keep.append(i)
+            if len(keep) == left:
+                break
+    return np.array(keep, np.int64)
+
+
+def _compare(percent: int, forest: bool):
+    """Pairs of two chunks of a key, in different components, that may be similar; with forest only those that would join components, and the key where others were held back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, ["key", "i", "j"]):
@@ -200,27 +223,45 @@ def _compare(percent: int):
             node, comp, n, chunk = (rows.column(c).to_numpy() for c in ("node", "comp", "n", "chunk"))
             sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sketch").combine_chunks()]
             size = min(map(len, sketch))
-            words_ = np.stack([fold(x, size) for x in sketch])
+            bits = np.stack([fold(x, size) for x in sketch])
             i = rows.column("i")[0].as_py()
             left = np.flatnonzero(chunk == i)
             right = left if rows.column("j")[0].as_py() == i else np.flatnonzero(chunk != i)
-            out_a, out_b = [], []
-            for at in range(0, len(left), 32):
-                x = left[at : at + 32, None]
-                ok = (node[x] < node[right]) if right is left else np.ones((len(x), len(right)), bool)
-                ok &= (comp[x] != comp[right]) & _may_link(n[x], n[right], _apart(words_[x], words_[right]), percent)
+            found = []
+            some = max(1, WORDS // (len(right) * size))
+            for at in range(0, len(left), some):
+                x = left[at : at + some, None]
+                apart = _apart(bits[x], bits[right])
+                ok = (comp[x] != comp[right]) & _may_link(n[x], n[right], apart, percent)
+                if right is left:
+                    ok &= node[x] < node[right]
                 p, q = np.nonzero(ok)
-                out_a.append(node[left[at + p]])
-                out_b.append(node[right[q]])
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                found.append((left[at + p], right[q], apart[p, q]))
+            a, b, apart = map(np.concatenate, zip(*found, strict=True)) if found else (left[:0],) * 3
+            held = None
+            if forest and len(a):
+                keep = _forest(comp[a], comp[b], apart)
+                held = rows.column("key")[0].as_py() if len(keep) < len(a) else None
+                a, b = a[keep], b[keep]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array([held] * len(a), pa.int64())], names=["a", "b", "held"])
 
     return run
 
 
+def _open_pairs(shared: DataFrame, sketches: DataFrame, comps: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of nodes that share a key, are in different components and may link (a, b, and held as _compare has it)."""
+    members = save(shared.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    mixed = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m"), "mixed")
+    chunks = F.ceil(F.col("m") / CHUNK)
+    dealt = members.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(sketches, "node")
+    met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "chunk", "node", "comp", "n", "sketch")
+    return save(met.mapInArrow(_compare(percent, forest), "a long, b long, held long"), "open")
+
+
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles (distinct shingles of k words), component_id (smallest doc_id reachable by links) of every row.
+    """doc_id, text_print, n_shingles (distinct shingles of k words), component_id (smallest doc_id reachable by links) of every row.
 
     docs: doc_id, text; other columns are left out. Documents link when their
     sets' Jaccard similarity is at least percent / 100. With fewer than k words
@@ -229,34 +270,41 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets and share a component. Empty tables give no rows. Two different sets
     pass for one, or unequal parts for equal, only where 64-bit hashes collide.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("text_print"), "text")
     nodes = save(docs.mapInArrow(_nodes(k, percent), _NODES), "nodes")
     own = W.partitionBy("key")
     keyed = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    shared = keyed.withColumn("lead", F.min("node").over(own)).withColumn("far", F.max("node").over(own)).where("lead <> far")
-    shared = save(shared.select("key", "node", "lead"), "shared")
+    shared = keyed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("lo <> hi")
+    shared = save(shared.groupBy("key", "node").agg(F.lit(1).alias("_")).select("key", "node"), "shared")
     sketches = nodes.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch")
-    some = save(shared.select("node").distinct(), "sharing")
+    some = save(shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "sharing")
     sketches = save(maybe_in(sketches, some, "node").join(some, "node", "left_semi").dropDuplicates(["node"]), "sketches")
 
-    led = shared.where("node <> lead").groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    # one leader for each node: of the leaders of its keys the one it shares most with
+    lead = shared.join(some, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    led = shared.join(save(lead, "leads"), "key").where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("weight"))
+    led = led.groupBy("node").agg(F.max(F.struct("weight", "lead"))["lead"].alias("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     both = led.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
     near = save(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near_pairs(percent), "a long, b long"), "near")
     links = _verify(near, docs, nodes, k, percent)
-    first = components(links)
-
-    members = save(shared.select("key", "node").distinct().join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
-    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m")
-    chunks = F.ceil(F.col("m") / CHUNK)
-    open_ = members.join(save(mixed, "mixed"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    open_ = open_.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(sketches, "node")
-    met = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "chunk", "node", "comp", "n", "sketch")
-    rest = save(save(met.mapInArrow(_compare(percent), "a long, b long"), "met").distinct(), "rest")
-    more = _verify(rest, docs, nodes, k, percent)
-    final = components(links.union(more))
+    comps = components(links)
+
+    # then what may join components, nearest first; at last what was held back meanwhile
+    opened = _open_pairs(shared, sketches, comps, percent, forest=True)
+    likely = save(opened.select("a", "b").distinct(), "likely")
+    if not likely.isEmpty():
+        more = _verify(likely, docs, nodes, k, percent)
+        links = links.union(more)
+        comps = components(links)
+        held = save(opened.select("held").where("held is not null").distinct(), "held")
+        failed = likely.join(more, ["a", "b"], "left_anti")
+        rest = _open_pairs(shared.join(held, F.col("key") == F.col("held"), "left_semi"), sketches, comps, percent, forest=False)
+        rest = save(rest.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            comps = components(links.union(_verify(rest, docs, nodes, k, percent)))
 
     least = save(nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own")), "least")
-    named = save(least.join(final, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "own"), "named")
+    named = save(least.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "own"), "named")
     ids = save(named.groupBy("comp").agg(F.min("own").alias("component_id")), "ids")
     named = save(named.join(ids, "comp").select("node", "component_id"), "named")
-    return nodes.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return nodes.select("doc_id", "text_print", "n_shingles", "node").join(named, "node", "left").select("doc_id", "text_print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
