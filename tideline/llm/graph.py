@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, text_print
 
 #: A bitmap of this many bits, as rows of 64, has 65,536 rows at most whatever went into it.
 BITS = 1 << 22
@@ -27,6 +28,23 @@ def maybe_in(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return maybe(big, small, key).where("_maybe").drop("_maybe")
 
 
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows that `rows` names by doc_id and text_print; only what may be among them is shuffled."""
+    told = maybe(docs.withColumn("_print", text_print()), rows, "doc_id")
+    named = rows.select(F.col("doc_id").alias("_doc"), F.col("text_print").alias("_own"))
+    some = told.where("_maybe").join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_print") == F.col("_own")), "left_anti")
+    return told.where("not _maybe").unionByName(some).select(*docs.columns)
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one of the equal rows for each doc_id and text_print in `rows`."""
+    told = maybe(docs.withColumn("_print", text_print()), rows, "doc_id")
+    named = rows.select(F.col("doc_id").alias("_doc"), F.col("text_print").alias("_own"), F.lit(True).alias("_named"))
+    some = told.where("_maybe").join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_print") == F.col("_own")), "left")
+    some = some.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_print").orderBy("_print"))).where("_named is null or _k = 1")
+    return told.where("not _maybe").select(*docs.columns).unionByName(some.select(*docs.columns))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) of every node of links (a, b).
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, native_size, save
+from .common import native_size, save
 
 #: A range of keys holds about this many documents.
 RANGE_ROWS = 500
@@ -50,36 +50,57 @@ def budgets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
     return df.select("source", "source_size", "target", F.round("target").cast("long").alias("budget"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix", range_rows: int = RANGE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def _places(docs: DataFrame, weights, most: int, seed: str, range_rows: int, whole_rows: bool) -> DataFrame:
+    """_row (doc_id, source, or all columns), _size, _source_size, _target, _taken of every row."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    row = F.struct(*(docs.columns if whole_rows else ["doc_id"])).alias("_row")
+    keyed = docs.select(row, F.col("source").alias("_source"), native_size().alias("_size"), key.alias("_key"))
+    sized = save(keyed.select("_row.doc_id", "_source", "_size", "_key").select(F.struct("doc_id").alias("_row"), "_source", "_size", "_key"), "sizes")
+    per_source = save(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
+    goal = budgets(per_source, weights, most).join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s")))
+    goal = save(goal.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("budget").alias("_budget"), F.col("n").alias("_n")), "budgets")
+    at = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    part = F.floor(at * F.ceil(F.col("_n") / F.lit(range_rows)) / F.lit(float(2**32)))
+    # a source's row of `goal` is small; if there are too many sources to broadcast, the join of a hot source is split at run time
+    ranged = lambda df: df.join(goal, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_range", part)
+    sums = ranged(sized).groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
+    upto = W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = save(sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before")), "ranges")
+    df = ranged(keyed if whole_rows else sized).join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    within = W.partitionBy("_source", "_range").orderBy("_key", "_row.doc_id", "_size").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0))
+    size = F.col("_source_size")
+    epochs = F.when(size > 0, F.floor(F.col("_budget") / size)).otherwise(0)
+    taken = epochs * F.col("_size") + F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_budget") - epochs * size - before))
+    return df.select("_row", "_size", "_source_size", "_target", taken.cast("long").alias("_taken"))
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the mix, repeats counted) for every row of docs.
 
-    docs: doc_id, text, source; other columns are left out unless named in
-    `keep`. A null text has size 0, a null source is a source of its own, the
-    last. Rows that repeat a doc_id share a key and follow one another by size.
-    Empty tables give no rows. The keys come from md5, so reruns agree.
+    docs: doc_id, text, source; other columns are left out. A null text has
+    size 0, a null source is a source of its own, the last. Rows that repeat a
+    doc_id share a key and follow one another by size. Empty tables give no
+    rows. The keys come from md5, so reruns agree.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = save(docs.select("doc_id", "source", native_size().alias("size"), key.alias("_key"), *keep), "sizes")
-    per_source = save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), "sources")
-    goal = save(budgets(per_source, weights, most).join(per_source.select(F.col("source").alias("_s"), "_n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "budgets")
-    goal = goal.withColumnRenamed("source", "_s")
-    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    ranges = F.ceil(F.col("_n") / F.lit(range_rows))
-    # a source's row of `goal` is small; if there are too many sources to broadcast, the join of a hot source is split at run time
-    df = sized.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    df = df.withColumn("_range", F.floor(place * ranges / F.lit(float(2**32))))
-    sums = df.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    upto = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
-    df = df.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    size, whole = F.col("source_size"), F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
-    rest = F.col("budget") - whole * size - before
-    taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
-    return df.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+    names = {"_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken"}
+    return _places(docs, weights, most, seed, range_rows, False).select("_row.doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows of docs that the mix takes, as often as it does, with all their columns.
+
+    A row that a budget cuts appears once more with the text up to that word.
+    Rows of which no word is taken, such as those without words, are left out.
+    """
+    placed = _places(docs, weights, most, seed, range_rows, True).where("_taken > 0")
+    copies, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
+    text = F.col("_row.text")
+    texts = F.concat(F.array_repeat(text, copies), F.when(rest > 0, F.array(first_words(text, rest))).otherwise(F.expr("cast(array() as array<string>)")))
+    return placed.withColumn("_text", F.explode(texts)).select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
-    return F.when(n <= 0, F.lit("")).otherwise(F.regexp_extract(text, F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*" + WORD + "){"), n.cast("string"), F.lit("}")), 0))
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, hashes, raw, save, slices, windows, words
+from .common import SPACES, hashes, raw, save, slices, text_print, windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[*b"#*$%&|<>"]] = True
@@ -31,7 +31,7 @@ _UPPER[65:91] = True
 _POINT = np.zeros(256, bool)
 _POINT[[*b"!?.,;:()-"]] = True
 
-STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_points long"
+STATS = "doc_id long, lang string, source string, text_print long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_points long"
 #: Grid of the vectors: 1 / GRID.
 GRID = 1024
 #: Spread, in each direction, below which differences mean nothing: added to every covariance, as most texts have no symbols or repeats at all.
@@ -85,12 +85,12 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge[ends] -= 1
             inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool) & ((data & 0xC0) != 0x80)
             columns = [np.diff(first), _count(inside, at), _count(_SYMBOL[data], at), [dup_lines(t or "") for t in rows.column("text").to_pylist()], [repeated(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], _count(_UPPER[data], at), _count(_POINT[data], at)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("lang"), rows.column("source"), *(pa.array(c, pa.int64()) for c in columns)], names=[x.split()[0] for x in STATS.split(", ")])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("lang"), rows.column("source"), rows.column("text_print"), *(pa.array(c, pa.int64()) for c in columns)], names=[x.split()[0] for x in STATS.split(", ")])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """The counts of every whole text, and base_failed."""
-    df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_stats, STATS)
+    df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_print().alias("text_print"), "text").mapInArrow(_stats, STATS)
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -192,8 +192,8 @@ def fit_groups(fit: DataFrame) -> DataFrame:
     return save(now.drop("scale").join(half, "gid").select("gid", "mu", "inverse", scale.alias("scale")), "groups")
 
 
-def quality(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, base_failed, distance and kept of every row of docs.
+def quality(docs: DataFrame) -> DataFrame:
+    """doc_id, text_print, counts, base_failed, kept and distance of every row of docs.
 
     docs: doc_id, text, lang, source; other columns are left out. A null text
     is empty, and fails by its length. Null languages and sources are groups of
@@ -210,4 +210,4 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     fitted = fit_groups(fit).withColumnRenamed("gid", "_g")
     judged = rows.join(fitted, F.col("gid") == F.col("_g"), "left").withColumn("distance", _distance(F.col("x"), F.col("mu"), F.col("inverse")) / F.col("scale"))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUT, F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return judged.select("doc_id", "text_print", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -20,7 +20,7 @@ from .sql import ORACLES
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("text_print")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("text_print")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,19 @@ def _ids(path: str, leaf: int):
     return run
 
 
+def _checked(path: str, leaf: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = TreeBPE(path, leaf=leaf)
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                ids = [np.array(bpe.encode(t), np.int32) for t in texts]
+                back = [bpe.decode(x.tolist()) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([*map(len, ids)], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return run
+
+
 def _texts(path: str, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TreeBPE(path, leaf=leaf)
@@ -139,6 +152,11 @@ def decode(tokens: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(_texts(path, leaf), "doc_id long, text string")
 
 
+def encode_and_check(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip of every row; round_trip: the ids decode to the text's bytes."""
+    return docs.select("doc_id", "text").mapInArrow(_checked(path, leaf), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def token_digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (bytes decoded from those ids) of every row."""
     return docs.select("doc_id", "text").mapInArrow(_digests(path, leaf), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
