@@ -6,7 +6,8 @@ part is kept as the exclusive or of its hashes. A shingle in one set only
 changes one part, so sets whose symmetric difference is at most D differ in at
 most D parts. Of a document's non-empty parts, the first D + 1 are its keys, D
 being the largest difference any partner may have: two linked documents have one
-of them in common, as at most D of these differ. A document that may link with
+of them in common, as at most D of these differ. (Sets with fewer parts that are
+not empty are rare, and have a key for each other.) A document that may link with
 larger ones of the next band has keys there too.
 
 A second parity sketch has one bit to a shingle. Its Hamming distance is never
@@ -21,7 +22,9 @@ that these give, all pairs still open.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,17 @@ SMALL, SMALL_BITS = 64, 12
 CHUNK, WORDS = 2048, 1 << 21
 
 
-def band(size: int) -> int:
-    """log2 of the number of parts: 2 to 4 shingles to a part."""
-    return SMALL_BITS if size < SMALL else size.bit_length() - 2
+@lru_cache
+def load(percent: int) -> float:
+    """Most shingles to a part: as many as leave a tenth more non-empty parts than keys are needed, so that sparse sets are rare."""
+    t = percent / 100
+    need = 1.1 * (1 + 1 / t) * (1 - t) / (1 + t)
+    return next((x / 4 for x in range(20, 1, -1) if (1 - math.exp(-x / 4)) / (x / 4) >= need), 0.25)
+
+
+def band(size: int, percent: int) -> int:
+    """log2 of the number of parts."""
+    return SMALL_BITS if size < SMALL else max(1, math.ceil(math.log2(size / load(percent))))
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -64,15 +75,24 @@ def node_of(s: np.ndarray) -> int:
 
 
 def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
+    """The first non-empty parts, one more than may differ from a partner's, of each band that a partner's keys may be in.
+
+    A sparse set has fewer non-empty parts. It gives all of them: a partner that
+    is not sparse has its share of keys among these. Sparse sets of a band have
+    one more key in common, for each other.
+    """
     n = len(s)
     top = n * 100 // percent
     need = most_apart(n, top, percent) + 1
     spread, out = mix(s), []
-    for bits in range(band(n), band(top) + 1) if n >= SMALL else sorted({band(n), band(top)}):
+    bands = {band(n, percent), *(range(band(max(n, SMALL), percent), band(top, percent) + 1) if top >= SMALL else ())}
+    for bits in sorted(bands):
         part = s >> np.uint64(64 - bits)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         last = starts[need] if len(starts) > need else n
         out.append(mix(np.bitwise_xor.reduceat(spread[:last], starts[:need]) + np.uint64(bits)))
+        if len(starts) < need:
+            out.append(mix(np.array([bits], np.uint64)))
     return np.concatenate(out).view(np.int64)
 
 
@@ -227,6 +247,8 @@ def _compare(percent: int, forest: bool):
             i = rows.column("i")[0].as_py()
             left = np.flatnonzero(chunk == i)
             right = left if rows.column("j")[0].as_py() == i else np.flatnonzero(chunk != i)
+            if not len(right):
+                continue
             found = []
             some = max(1, WORDS // (len(right) * size))
             for at in range(0, len(left), some):
