@@ -5,6 +5,7 @@ import http.server
 import json
 import sys
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,34 @@ def test_supervisor():
     assert s.gauges() == {}
 
 
+def test_stats(spark, world):
+    from tideline.streaming.pipeline import WatcherStats
+
+    pipe, path, *_ = world
+    stats = WatcherStats()
+    spark.streams.addListener(stats)
+    run(spark, pipe, path)
+    for _ in range(100):
+        if stats.stats and not any(s["running"] for s in stats.stats.values()):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(stats)
+    (got,) = stats.stats.values()
+    assert got["events"] == 12 and got["last_error"] is None and got["started"]
+
+
+def test_wait_ready():
+    from tideline.streaming.pipeline import wait_ready
+
+    clock, answers = [0.0], iter([False, 1 / 2 > 1, True])
+
+    def sleep(s):
+        clock[0] += s
+
+    assert wait_ready(lambda: next(answers), 10, sleep=sleep, now=lambda: clock[0]) and clock[0] == 1.0
+    assert not wait_ready(lambda: 1 / 0, 2, sleep=sleep, now=lambda: clock[0])
+
+
 def test_health(spark, tmp_path):
     assert health(spark, {"here": f"file://{tmp_path}", "there": f"file://{tmp_path}/no"}) == {"here": "ok", "there": "missing"}
 

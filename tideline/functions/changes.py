@@ -52,7 +52,7 @@ def terminal(changes: DataFrame) -> DataFrame:
 
 def record_json() -> Column:
     """A record as JSON; absent images and empty ids are left out."""
-    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return F.to_json(F.struct("tableName", "recordType", "newImage", "oldImage", stamp.alias("timestamp"), F.nullif("eventId", F.lit("")).alias("eventId"), F.nullif("documentId", F.lit("")).alias("documentId")))
 
 

@@ -9,14 +9,14 @@ collection run in one driver loop, so each table has one writer.
 from __future__ import annotations
 
 import datetime as dt
-import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schema
 from ..functions.changes import parse_changes, parse_record, quarantined, record_json, terminal
@@ -172,10 +172,40 @@ def health(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
     return out
 
 
-def batch_summary(text: str) -> dict:
-    """Numbers of a progress report that metrics use."""
-    p = json.loads(text)
-    return {"batch": p.get("batchId"), "rows": p.get("numInputRows"), "rowsPerSecond": p.get("processedRowsPerSecond")}
+def wait_ready(ready: Callable[[], bool], deadline: float, every: float = 0.5, sleep=time.sleep, now=time.monotonic) -> bool:
+    """Ask every half second until a source is ready or the deadline has passed; an error counts as not ready."""
+    until = now() + deadline
+    while True:
+        try:
+            if ready():
+                return True
+        except Exception:
+            pass
+        if now() >= until:
+            return False
+        sleep(every)
+
+
+class WatcherStats(StreamingQueryListener):
+    """Start, events, and the last error of every stream, by query id. Add it with spark.streams.addListener."""
+
+    def __init__(self):
+        self.stats: dict[str, dict] = {}
+
+    def _of(self, query_id) -> dict:
+        return self.stats.setdefault(str(query_id), {"started": None, "events": 0, "last_error": None, "running": False})
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._of(event.id).update(started=event.timestamp, running=True)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self._of(event.progress.id)["events"] += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._of(event.id).update(running=False, last_error=event.exception)
 
 
-__all__ = ["MOST_RETRIES", "Pipeline", "Supervisor", "Unsettled", "health"]
+__all__ = ["MOST_RETRIES", "Pipeline", "Supervisor", "Unsettled", "WatcherStats", "health", "wait_ready"]
