@@ -105,7 +105,7 @@ def _(spark, sf_dir):
     return back.select("eventId", "documentId", "recordType", F.unix_micros("timestamp").alias("ts_us"), F.col("newImage").isNotNull().alias("has_new"), F.col("oldImage").isNotNull().alias("has_old"), number("newImage", "$.props.k", "long").alias("new_k"))
 
 
-@query("sink_json", FEED + """SELECT eid AS eventId, len(list_filter([has_new, has_old], lambda x: x)) + 5 AS n_fields, rt AS recordType FROM rec""")
+@query("sink_json", FEED + """SELECT eid AS eventId, (len(list_filter([has_new, has_old], lambda x: x)) + 5)::INTEGER AS n_fields, rt AS recordType FROM rec""")
 def _(spark, sf_dir):
     text = record_json()
     return records(spark, sf_dir).select("eventId", F.size(F.json_object_keys(text)).alias("n_fields"), F.get_json_object(text, "$.recordType").alias("recordType"))
@@ -436,7 +436,7 @@ def _(spark, sf_dir):
     return metrics.counter(retry_queue(spark, sf_dir).withColumnRenamed("collectionName", "collection"), "collection")
 
 
-@query("s_retry_queue", f"SELECT id, n + 1 AS retryCount FROM ({_QUEUE}) WHERE k % 3 = 0 UNION ALL SELECT id, n FROM ({_QUEUE}) WHERE k % 3 = 1")
+@query("s_retry_queue", f"SELECT id, (n + 1)::INTEGER AS retryCount FROM ({_QUEUE}) WHERE k % 3 = 0 UNION ALL SELECT id, n::INTEGER FROM ({_QUEUE}) WHERE k % 3 = 1")
 def _(spark, sf_dir):
     q = retry_queue(spark, sf_dir)
     later = q.where("o_orderkey % 3 = 0").withColumns({"version": F.lit(2).cast("long"), "retryCount": F.col("retryCount") + 1})
@@ -445,7 +445,7 @@ def _(spark, sf_dir):
 
 
 @query("s_retry_step", f"""SELECT id, CASE WHEN n >= most THEN 'dlq' WHEN k % 11 = 0 THEN 'drop' WHEN k % 2 = 0 THEN 'done' ELSE 'requeue' END AS action,
-  CASE WHEN n < most AND k % 11 <> 0 AND k % 2 = 1 THEN n + 1 ELSE n END AS retryCount, CASE WHEN n < most AND k % 11 <> 0 AND k % 2 = 1 THEN least(300.0, pow(2.0, n))::DOUBLE END AS delay FROM ({_QUEUE})""")
+  (CASE WHEN n < most AND k % 11 <> 0 AND k % 2 = 1 THEN n + 1 ELSE n END)::INTEGER AS retryCount, CASE WHEN n < most AND k % 11 <> 0 AND k % 2 = 1 THEN least(300.0, pow(2.0, n))::DOUBLE END AS delay FROM ({_QUEUE})""")
 def _(spark, sf_dir):
     q = retry_queue(spark, sf_dir)
     got = q.where("o_orderkey % 11 <> 0").select("id", (F.col("o_orderkey") % 2 == 0).alias("ok"), F.lit("refused").alias("error"))
