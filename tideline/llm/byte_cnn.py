@@ -66,11 +66,20 @@ def cells(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded, first
 
 
-def _peaks(net: Net, padded: np.ndarray) -> np.ndarray:
-    n = len(padded) - WIDTH + 1
-    r = net.tables[0][padded[:n]]
+def _windows(padded: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The byte at each offset of the window at each place; behind its text's cells a window sees zeros."""
+    n, ends = len(padded) - WIDTH + 1, first[1:] * CELL
+    out = [padded[j : j + n].copy() for j in range(WIDTH)]
     for j in range(1, WIDTH):
-        r += net.tables[j][padded[j : j + n]]
+        for back in range(1, j + 1):
+            out[j][ends - back] = 0
+    return out
+
+
+def _peaks(net: Net, windows: list[np.ndarray]) -> np.ndarray:
+    r = net.tables[0][windows[0]]
+    for table, w in zip(net.tables[1:], windows[1:], strict=True):
+        r += table[w]
     return r.reshape(-1, CELL, FILTERS)
 
 
@@ -92,7 +101,7 @@ def _features(top: np.ndarray, first: np.ndarray, size: np.ndarray):
 
 def logits(net: Net, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     padded, first = cells(data, at)
-    top = np.maximum(_peaks(net, padded).max(1) + net.bias, 0)
+    top = np.maximum(_peaks(net, _windows(padded, first)).max(1) + net.bias, 0)
     z = _features(top, first, np.diff(at))[-1]
     return np.maximum(z @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias
 
@@ -100,7 +109,8 @@ def logits(net: Net, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def gradients(net: Net, data: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Of the mean cross-entropy, through the chunks' largest responses only."""
     padded, first = cells(data, at)
-    peaks = _peaks(net, padded)
+    seen = _windows(padded, first)
+    peaks = _peaks(net, seen)
     where = peaks.argmax(1)
     top = np.maximum(np.take_along_axis(peaks, where[:, None], 1)[:, 0] + net.bias, 0)
     chunk, use_next, most, off, z = _features(top, first, np.diff(at))
@@ -120,7 +130,7 @@ def gradients(net: Net, data: np.ndarray, at: np.ndarray, y: np.ndarray) -> list
     dt *= top > 0
     cell, f = np.nonzero(dt)
     g, place = dt[cell, f], cell * CELL + where[cell, f]
-    tables = np.stack([np.bincount(padded[place + j].astype(np.int64) * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)]).astype(np.float32)
+    tables = np.stack([np.bincount(seen[j][place].astype(np.int64) * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)]).astype(np.float32)
     return [tables, dt.sum(0), z.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
 
 
