@@ -33,8 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Texts without words are no group and stay."""
     rows = save(similar_components(docs, SHINGLE, PERCENT).where("n_shingles > 0"), "grouped")
-    stay = save(rows.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "text_print", "doc_id")).alias("s")).select(F.col("component_id").alias("_c"), F.col("s.doc_id").alias("_doc"), F.col("s.text_print").alias("_own")), "stay")
-    told = rows.join(stay, F.col("component_id").eqNullSafe(F.col("_c"))).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_print") == F.col("_own")))
+    stay = save(rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "text_print", "doc_id")).alias("s")).select(F.col("component").alias("_c"), F.col("s.doc_id").alias("_doc"), F.col("s.text_print").alias("_own")), "stay")
+    told = rows.join(stay, F.col("component") == F.col("_c")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_print") == F.col("_own")))
     go = save(told.where("not stays").select("doc_id", "text_print").distinct(), "go")
     again = save(told.where("stays").groupBy("doc_id", "text_print").count().where("count > 1").select("doc_id", "text_print"), "again")
     return first_of_each(without(docs, go), again)

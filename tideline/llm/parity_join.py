@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashes, lower, mix, raw, save, slices, text_print, windows, words
-from .graph import components, maybe_in
+from .common import hashes, lower, mix, raw, save, scratch, slices, text_print, windows, words
+from .graph import components, maybe, maybe_in
 
 #: Sets smaller than this have parts that rarely hold two shingles.
 SMALL, SMALL_BITS = 64, 12
 #: Nodes of a key that one comparison of two chunks takes from each, and 64-bit words that it holds at a time.
-CHUNK, WORDS = 2048, 1 << 21
+CHUNK, WORDS = 1024, 1 << 21
+#: Keys of up to so many nodes list their pairs.
+FEW = 8
 
 
 @lru_cache
@@ -155,12 +157,13 @@ def _near_pairs(percent: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task
         for batch in batches:
             for rows in slices(batch, "text"):
-                node = rows.column("node").to_pylist()
-                sets = [s if len(s) and node_of(s) == d else None for s, d in zip(shingle_sets(rows.column("text"), k), node, strict=True)]
-                keep = [i for i, s in enumerate(sets) if s is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "hashes"])
+                sets = {node_of(s): s for s in shingle_sets(rows.column("text"), k) if len(s)}
+                new = sets.keys() - seen
+                seen |= new
+                yield pa.RecordBatch.from_arrays([pa.array([*new], pa.int64()), pa.array([sets[d].tobytes() for d in new], pa.binary())], names=["node", "hashes"])
 
     return run
 
@@ -180,13 +183,12 @@ def _linked(percent: int):
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. Texts of these nodes only are read again, one for each node."""
+    """The pairs (a, b) of nodes whose sets are similar enough. Texts of one document for each of these nodes, and of few others, are read again."""
     needed = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     owner = save(maybe_in(nodes.select("node", "doc_id"), needed, "node").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
-    texts = maybe_in(docs, owner, "doc_id").join(owner, "doc_id")
-    sets = save(texts.select("node", "text").mapInArrow(_sets(k), "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = save(maybe_in(docs, owner, "doc_id").select("text").mapInArrow(_sets(k), "node long, hashes binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return save(both.select("a", "b", "ha", "hb").mapInArrow(_linked(percent), "a long, b long"), "links")
+    return save(both.select("a", "b", "ha", "hb").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -271,43 +273,50 @@ def _compare(percent: int, forest: bool):
     return run
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches admit a link."""
+    both = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near_pairs(percent), "a long, b long")
+
+
 def _open_pairs(shared: DataFrame, sketches: DataFrame, comps: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of nodes that share a key, are in different components and may link (a, b, and held as _compare has it)."""
-    members = save(shared.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
-    mixed = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m"), "mixed")
+    told = maybe(shared, comps, "node")
+    some = told.where("_maybe").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    own = W.partitionBy("key")
+    members = some.unionByName(told.where("not _maybe").select("key", "node", "n", F.col("node").alias("comp")))
+    members = members.withColumns({"m": F.count(F.lit(1)).over(own), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo <> hi")
+    members = save(members.select("key", "node", "n", "comp", "m"), "members")
+
+    listed = members.where(F.col("m") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "comp", "n")).alias("x"))
+    fits = lambda x, y: (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    pairs = F.flatten(F.transform("x", lambda x: F.transform(F.filter("x", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    few = _near(listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), sketches, percent)
+
     chunks = F.ceil(F.col("m") / CHUNK)
-    dealt = members.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = members.where(F.col("m") > FEW).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(sketches, "node")
     met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "chunk", "node", "comp", "n", "sketch")
-    return save(met.mapInArrow(_compare(percent, forest), "a long, b long, held long"), "open")
+    many = met.mapInArrow(_compare(percent, forest), "a long, b long, held long")
+    return save(few.withColumn("held", F.lit(None).cast("long")).unionByName(many), "open")
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_print, n_shingles (distinct shingles of k words), component_id (smallest doc_id reachable by links) of every row.
-
-    docs: doc_id, text; other columns are left out. Documents link when their
-    sets' Jaccard similarity is at least percent / 100. With fewer than k words
-    the whole sequence is the one shingle; a null text or one without words has
-    none, links with nothing and is its own component. Repeated rows are equal
-    sets and share a component. Empty tables give no rows. Two different sets
-    pass for one, or unequal parts for equal, only where 64-bit hashes collide.
-    """
+def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("text_print"), "text")
     nodes = save(docs.mapInArrow(_nodes(k, percent), _NODES), "nodes")
-    own = W.partitionBy("key")
-    keyed = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
+    own, each = W.partitionBy("key"), W.partitionBy("node")
+    keyed = nodes.where("keys is not null").select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
     shared = keyed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("lo <> hi")
-    shared = save(shared.groupBy("key", "node").agg(F.lit(1).alias("_")).select("key", "node"), "shared")
+    shared = save(shared.groupBy("key", "node").agg(F.first("n").alias("n")), "shared")
     sketches = nodes.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch")
-    some = save(shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "sharing")
+    some = save(shared.select("node").distinct(), "sharing")
     sketches = save(maybe_in(sketches, some, "node").join(some, "node", "left_semi").dropDuplicates(["node"]), "sketches")
 
-    # one leader for each node: of the leaders of its keys the one it shares most with
-    lead = shared.join(some, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
-    led = shared.join(save(lead, "leads"), "key").where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("weight"))
+    # one leader for each node: of the leaders of its keys the one it shares most with; a key's leader shares most keys
+    weighed = shared.select("key", "node", F.count(F.lit(1)).over(each).alias("weight"))
+    led = weighed.select("key", "node", F.max(F.struct("weight", "node")).over(own)["node"].alias("lead")).where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("weight"))
     led = led.groupBy("node").agg(F.max(F.struct("weight", "lead"))["lead"].alias("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    both = led.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-    near = save(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near_pairs(percent), "a long, b long"), "near")
+    near = save(_near(led, sketches, percent), "near")
     links = _verify(near, docs, nodes, k, percent)
     comps = components(links)
 
@@ -328,5 +337,21 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     least = save(nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own")), "least")
     named = save(least.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "own"), "named")
     ids = save(named.groupBy("comp").agg(F.min("own").alias("component_id")), "ids")
-    named = save(named.join(ids, "comp").select("node", "component_id"), "named")
-    return nodes.select("doc_id", "text_print", "n_shingles", "node").join(named, "node", "left").select("doc_id", "text_print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = save(named.join(ids, "comp").select("node", "comp", "component_id"), "named")
+    out = nodes.select("doc_id", "text_print", "n_shingles", "node").join(named, "node", "left").select("doc_id", "text_print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("comp").alias("component"))
+    return save(out, "components", keep=True)
+
+
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_print, n_shingles (distinct shingles of k words), component_id (smallest doc_id reachable by links) and component of every row.
+
+    docs: doc_id, text; other columns are left out. Documents link when their
+    sets' Jaccard similarity is at least percent / 100. With fewer than k words
+    the whole sequence is the one shingle; a null text or one without words has
+    none, links with nothing and is its own component (null). `component` tells
+    components apart even where a doc_id is in several. Repeated rows are equal
+    sets and share a component. Empty tables give no rows. Two different sets
+    pass for one, or unequal parts for equal, only where 64-bit hashes collide.
+    """
+    with scratch(docs.sparkSession):
+        return _similar(docs, k, percent)

@@ -56,7 +56,7 @@ def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("text_print")
+    return similar_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
