@@ -29,13 +29,15 @@ def unprocessed(records: DataFrame, processed: DataFrame, now: Column) -> DataFr
 
 
 def processed_rows(settled: DataFrame, now: Column) -> DataFrame:
-    return settled.where("settled").select("eventId", (now + F.expr(f"interval {REMEMBER} seconds")).alias("expiresAt"))
+    """Keys of delivered events; `day` is the partition in which they expire, so that a read skips what has expired."""
+    until = now + F.expr(f"interval {REMEMBER} seconds")
+    return settled.where("settled").select("eventId", until.alias("expiresAt"), F.to_date(until).alias("day"))
 
 
 def latest(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The last version of each key, without removed ones."""
-    last = W.partitionBy(key).orderBy(F.col("version").desc(), F.col("removed").desc())
-    return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1 and not removed").drop("_k")
+    """The last version of each key, without removed ones. An aggregation, so that versions meet before the shuffle."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("version", "removed")).alias("_r"))
+    return last.where("not _r.removed").select("_r.*")
 
 
 def due(queue: DataFrame, now: Column, limit: int = TICK) -> DataFrame:
@@ -66,8 +68,8 @@ def retry_step(taken: DataFrame, parsed: Column, outcomes: DataFrame) -> DataFra
 
 def absent(dlq: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries whose dedupKey the dead letters lack, one for each key: the first write holds."""
-    first = W.partitionBy("dedupKey").orderBy("failedAt", "_id")
-    return entries.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").join(dlq.select("dedupKey"), "dedupKey", "left_anti")
+    first = entries.groupBy("dedupKey").agg(F.min_by(F.struct(*entries.columns), F.struct("failedAt", "_id")).alias("_r")).select("_r.*")
+    return first.join(dlq.select("dedupKey"), "dedupKey", "left_anti")
 
 
 def expired(documents: DataFrame, attribute: str, now: Column) -> DataFrame:

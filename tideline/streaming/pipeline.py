@@ -61,7 +61,8 @@ class Pipeline:
             return self.spark.createDataFrame([], TABLES[name])
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path(name))
+        writer = rows.write.mode("append")
+        (writer.partitionBy("day") if name == "processed" else writer).parquet(self._path(name))
 
     def _now(self):
         return F.lit(self.clock()).cast("timestamp")
@@ -72,13 +73,20 @@ class Pipeline:
     # -- first delivery
 
     def process_batch(self, changes: DataFrame, batch_id: int) -> None:
-        """Deliver and settle one micro-batch. Within it a document's events keep their order."""
+        """Deliver and settle one micro-batch, whose source is read once. Within it a document's events keep their order."""
+        changes = changes.persist()
+        try:
+            self._process(changes, batch_id)
+        finally:
+            changes.unpersist()
+
+    def _process(self, changes: DataFrame, batch_id: int) -> None:
         active, now = self.sinks.refresh(), self._now()
         work = f"{self._path('work')}/{batch_id}-{uuid.uuid4().hex}"
         self._append("quarantine", quarantined(changes, self.collection))
         self._append("terminal", terminal(changes).select("operationType"))
         records = parse_changes(changes, self.collection, now, self.old_image).where("eventId <> ''")
-        fresh = unprocessed(records, self.table("processed"), now).repartition("documentId").sortWithinPartitions("documentId", "eventId")
+        fresh = unprocessed(records, self.table("processed").where(F.col("day") >= F.to_date(now)), now).repartition("documentId").sortWithinPartitions("documentId", "eventId")
         fresh.withColumn("record", record_json()).select("eventId", "tableName", "recordType", "record").write.parquet(f"{work}/records")
         fresh = self.spark.read.parquet(f"{work}/records")
         images = fresh.select("*", parse_record(F.col("record")).alias("r")).select("r.*")
