@@ -38,9 +38,11 @@ from .graph import components, maybe, maybe_in
 #: Sets smaller than this have parts that rarely hold two shingles.
 SMALL, SMALL_BITS = 64, 12
 #: Nodes of a key that one comparison of two chunks takes from each, and 64-bit words that it holds at a time.
-CHUNK, WORDS = 1024, 1 << 21
+CHUNK, WORDS = 1024, 1 << 19
 #: Keys of up to so many nodes list their pairs.
 FEW = 8
+#: Bytes of sets, and nodes, of a bucket; two buckets meet in a verification.
+BUCKET_BYTES, BUCKET_NODES = 12 << 20, 2048
 
 
 @lru_cache
@@ -105,20 +107,42 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-_NODES = "doc_id long, text_print long, n_shingles long, node long, keys array<long>, sketch binary"
+_NODES = "doc_id long, text_print long, n_shingles long, node long, sketch binary"
+_KEYS = "node long, n int, key long"
 
 
-def _nodes(k: int, percent: int):
+def _fresh(rows: pa.RecordBatch, k: int, seen: set[int]) -> tuple[list[np.ndarray], list[int | None], list[bool]]:
+    """Sets, nodes, and whether a node is new to the task."""
+    sets = shingle_sets(rows.column("text"), k)
+    node = [node_of(s) if len(s) else None for s in sets]
+    return sets, node, [d is not None and d not in seen and not seen.add(d) for d in node]
+
+
+def _nodes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # of this task
+        seen: set[int] = set()
         for batch in batches:
             for rows in slices(batch, "text"):
-                sets = shingle_sets(rows.column("text"), k)
-                node = [node_of(s) if len(s) else None for s in sets]
-                fresh = [d is not None and d not in seen and not seen.add(d) for d in node]
-                keys = [keys_of(s, percent) if new else None for s, new in zip(sets, fresh, strict=True)]
+                sets, node, fresh = _fresh(rows, k, seen)
                 sketch = [sketch_of(s) if new else None for s, new in zip(sets, fresh, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_print"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "text_print", "n_shingles", "node", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_print"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "text_print", "n_shingles", "node", "sketch"])
+
+    return run
+
+
+def _keys(k: int, percent: int):
+    """Keys go straight to their shuffle: reading texts twice costs less than a table of all keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                sets, node, fresh = _fresh(rows, k, seen)
+                new = [(s, d) for s, d, f in zip(sets, node, fresh, strict=True) if f]
+                keys = [keys_of(s, percent) for s, _ in new]
+                n = [*map(len, keys)]
+                columns = [np.repeat(np.array([d for _, d in new], np.int64), n), np.repeat(np.array([len(s) for s, _ in new], np.int32), n), np.concatenate([np.zeros(0, np.int64), *keys])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["node", "n", "key"])
 
     return run
 
@@ -169,15 +193,26 @@ def _sets(k: int):
 
 
 def _linked(percent: int):
+    """The linked pairs of sorted rows: of each block first its sets (node, hashes), then its pairs (node, other)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            at, node, other, hashes_ = (batch.column(c) for c in ("block", "node", "other", "hashes"))
+            for i, (where, a, b) in enumerate(zip(at.to_pylist(), node.to_pylist(), other.to_pylist(), strict=True)):
+                if where != block:
+                    block, sets = where, {}
+                if b is None:
+                    sets[a] = np.frombuffer(hashes_[i].as_py(), np.uint64)
+                    keep.append(False)
+                    continue
+                x, y = sets[a], sets[b]
                 place = np.searchsorted(y, x)
                 both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = batch.select(["node", "other"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, names=["a", "b"])
 
     return run
 
@@ -187,8 +222,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
     needed = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     owner = save(maybe_in(nodes.select("node", "doc_id"), needed, "node").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
     sets = save(maybe_in(docs, owner, "doc_id").select("text").mapInArrow(_sets(k), "node long, hashes binary"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return save(both.select("a", "b", "ha", "hb").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    # nodes are dealt into buckets; a set goes once to each pair of buckets that has pairs of its node
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes")).first()
+    buckets = max(1, size["n"] // BUCKET_NODES, (size["bytes"] or 0) // BUCKET_BYTES)
+    p, q = (F.pmod(F.xxhash64(c, F.lit("block")), F.lit(buckets)) for c in ("a", "b"))
+    dealt = save(pairs.withColumn("block", F.least(p, q) * buckets + F.greatest(p, q)), "dealt")
+    sent = save(dealt.select("block", F.explode(F.array("a", "b")).alias("node")).distinct(), "sent")
+    given = sets.join(sent, "node").select("block", "node", F.lit(None).cast("long").alias("other"), "hashes")
+    rows = given.unionByName(dealt.select("block", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("hashes")))
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("other").asc_nulls_first())
+    return save(rows.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -288,24 +331,30 @@ def _open_pairs(shared: DataFrame, sketches: DataFrame, comps: DataFrame, percen
     members = members.withColumns({"m": F.count(F.lit(1)).over(own), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo <> hi")
     members = save(members.select("key", "node", "n", "comp", "m"), "members")
 
+    if not forest:  # what was held back has more nodes
+        return save(_many(members, sketches, percent, forest), "open")
     listed = members.where(F.col("m") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "comp", "n")).alias("x"))
     fits = lambda x, y: (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
     pairs = F.flatten(F.transform("x", lambda x: F.transform(F.filter("x", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     few = _near(listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), sketches, percent)
 
+    return save(few.withColumn("held", F.lit(None).cast("long")).unionByName(_many(members, sketches, percent, forest)), "open")
+
+
+def _many(members: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """What _compare finds in keys of many nodes, dealt into chunks."""
     chunks = F.ceil(F.col("m") / CHUNK)
     dealt = members.where(F.col("m") > FEW).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(sketches, "node")
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(maybe_in(sketches, members.where(F.col("m") > FEW), "node"), "node")
     met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "chunk", "node", "comp", "n", "sketch")
-    many = met.mapInArrow(_compare(percent, forest), "a long, b long, held long")
-    return save(few.withColumn("held", F.lit(None).cast("long")).unionByName(many), "open")
+    return met.mapInArrow(_compare(percent, forest), "a long, b long, held long")
 
 
 def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("text_print"), "text")
-    nodes = save(docs.mapInArrow(_nodes(k, percent), _NODES), "nodes")
+    nodes = save(docs.mapInArrow(_nodes(k), _NODES), "nodes")
     own, each = W.partitionBy("key"), W.partitionBy("node")
-    keyed = nodes.where("keys is not null").select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
+    keyed = docs.select("text").mapInArrow(_keys(k, percent), _KEYS)
     shared = keyed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("lo <> hi")
     shared = save(shared.groupBy("key", "node").agg(F.first("n").alias("n")), "shared")
     sketches = nodes.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch")
