@@ -72,6 +72,24 @@ def test_step_is_exact(spark):
     assert np.isclose(step.logdet, np.linalg.slogdet(np.cov(near.T, bias=True) + np.diag(np.square(quality_mcd.FLOOR)))[1])
 
 
+def test_much_junk(spark):
+    """30 and 40 % junk, copies and varied: all of it goes, and no other row."""
+    g = np.random.default_rng(4)
+    rows = []
+    for share in (30, 40):
+        for kind in ("copies", "varied"):
+            bad = 5 * share
+            x = g.normal(0, 0.1, (500, quality_mcd.P))
+            x[:bad, 1:3] += (g.uniform(3, 5, (bad, 2)) if kind == "varied" else 4) * np.ones(2)
+            if kind == "copies":
+                x[:bad] = x[0]
+            rows += [(i, f"{kind}{share}", 500, [int(v) for v in np.round(r * quality_mcd.GRID)], i < bad) for i, r in enumerate(x)]
+    fit = spark.createDataFrame(rows, "doc_id long, gid string, n long, x array<long>, bad boolean")
+    d = quality_mcd._distance(F.col("x"), F.col("mu"), F.col("inverse")) / F.col("scale")
+    got = fit.join(quality_mcd.fit_groups(fit), "gid").select("bad", (d > quality_mcd.CUT).alias("out")).collect()
+    assert len(got) == 2000 and all(r.bad == r.out for r in got)
+
+
 # -- 2
 
 

@@ -3,7 +3,10 @@
 Every text becomes a vector of transformed statistics, rounded to a fixed grid
 so that all sums are exact integers and reruns agree. For each language and
 source the half set with the smallest covariance determinant is sought by
-concentration steps from several starts. A step is one aggregation: each row's
+concentration steps. They begin at the best of many starts on a bounded number of
+rows, draws of P + 1 rows and medians; the best is the one whose ellipsoid around
+half the rows has the least volume, as a tight group of copies makes determinants
+small, but not the ellipsoid that must reach others. A step is one aggregation: each row's
 squared Mahalanobis distance falls into a fine logarithmic bin, counts, sums and
 cross products are added up per bin (before the shuffle, in every task), and a
 running sum over a group's bins finds those that hold its nearest rows. So no
@@ -37,13 +40,15 @@ GRID = 1024
 #: Spread, in each direction, below which differences mean nothing: added to every covariance, as most texts have no symbols or repeats at all.
 FLOOR = (0.02, 0.1, 0.1, 0.1, 0.1, 0.1)
 P = len(FLOOR)
-#: Share of a group's rows that a covariance is taken from.
+#: Share of a group's rows that a step takes a covariance from where no other number is given; fits take half sets.
 SHARE = 0.75
 #: Groups of fewer rows are pooled: those of a language, then all.
 LEAST = 200
-STARTS = 3
-START_ROWS = 60
+#: Hash-random rows of a group that its start is sought among, draws of P + 1 of them, and draws that take all steps.
+START_ROWS, DRAWS, BEST = 600, 200, 20
 STEPS = 10
+#: Scaled distance up to which rows count in the last estimate: the 0.975 quantile of chi-square with P degrees of freedom.
+NEAR = 14.449
 #: Bins of a distance: so many to a doubling.
 OCTAVE = 16
 #: The median of chi-square with P degrees of freedom, and the distance of rejection: texts are not Gaussian, short clean ones reach 150, and junk begins at 400.
@@ -150,46 +155,108 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + F.lit(1e-3)) * OCTAVE).cast("int")
 
 
-def _step(fit: DataFrame, fitted: DataFrame) -> DataFrame:
-    """A concentration step: estimates from each group's nearest rows, SHARE of them and those of the last bin."""
+def _half() -> Column:
+    """Rows of a half set: as few as junk that is no majority can't fill."""
+    return F.floor((F.col("n") + P + 1) / 2)
+
+
+def _step(fit: DataFrame, fitted: DataFrame, need: Column | None = None) -> DataFrame:
+    """A concentration step: estimates from each group's nearest rows, `need` of them (a SHARE if not given) and those of the last bin."""
     at = fit.join(fitted.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).withColumn("bin", _bin(_distance(F.col("x"), F.col("mu"), F.col("inverse"))))
     bins = at.groupBy("gid", "start", "n", "bin").agg(*_sums())
     upto = W.partitionBy("gid", "start").orderBy("bin")
     run = bins.select("gid", "start", "n", "bin", *(F.sum(F.col(x).cast("decimal(38,0)")).over(upto).alias(x) for x in _NAMES))
-    need = F.ceil(F.col("n") * SHARE)
+    need = F.ceil(F.col("n") * SHARE) if need is None else need
     first = run.where(F.col("c") >= need).withColumn("_k", F.row_number().over(upto)).where("_k = 1")
     return save(first.select("gid", "start", "n", *(F.col(x).cast("double").alias(x) for x in _NAMES)).mapInPandas(_estimate, _FITTED), "fitted")
 
 
+def _fits(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and floored covariances of rows x by each row of weights w."""
+    w = w / w.sum(1, keepdims=True)
+    mu = w @ x
+    second = (w @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)).reshape(-1, P, P)
+    return mu, second - mu[:, :, None] * mu[:, None, :] + np.diag(np.square(FLOOR))
+
+
+def _nearest(x: np.ndarray, c: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of each estimate's half set, and the logarithm of its ellipsoid's squared volume; c counts equal rows."""
+    d = x[None] - mu[:, None]
+    d2 = ((d @ np.linalg.inv(cov)) * d).sum(2)
+    order = np.argsort(d2, axis=1, kind="stable")
+    taken = np.cumsum(c[order], axis=1) - c[order] < (c.sum() + P + 1) // 2
+    w = np.zeros(d2.shape)
+    np.put_along_axis(w, order, taken * c[order], 1)
+    return w, np.linalg.slogdet(cov)[1] + P * np.log((d2 * (w > 0)).max(1) + 1e-3)
+
+
+def _sought(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best centre and covariance from medians and from DRAWS draws of P + 1 rows."""
+    g = np.random.default_rng(P)
+    at = np.repeat(np.arange(len(x)), np.minimum(c, START_ROWS))
+    drawn = at[g.integers(0, len(at), (DRAWS, P + 1))]
+    w = np.zeros((DRAWS, len(x)))
+    np.add.at(w, (np.arange(DRAWS)[:, None], drawn), 1.0)
+    mu, cov = _fits(x, w)
+    middle = np.median(x[at], axis=0)
+    spread = 1.4826 * np.median(np.abs(x[at] - middle), axis=0)
+    mu, cov = np.concatenate([middle[None], mu]), np.concatenate([np.diag(np.square(spread) + np.square(FLOOR))[None], cov])
+    for steps, keep in ((2, BEST), (STEPS, 1)):
+        for _ in range(steps):
+            mu, cov = _fits(x, _nearest(x, c, mu, cov)[0])
+        best = np.argsort(_nearest(x, c, mu, cov)[1].round(9), kind="stable")[:keep]
+        mu, cov = mu[best], cov[best]
+    return mu[0], cov[0]
+
+
+def _seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for gid, n, rows in zip(f["gid"], f["n"], f["rows"], strict=True):
+            mu, cov = _sought(np.array([[*r["x"]] for r in rows], float) / GRID, np.array([r["c"] for r in rows], np.int64))
+            out.append((gid, 0, int(n), mu.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), 1.0))
+        yield pd.DataFrame(out, columns=["gid", "start", "n", "mu", "inverse", "logdet", "scale"])
+
+
 def _starts(fit: DataFrame) -> DataFrame:
-    """Start 0 is each group whole; the others are about START_ROWS hash-random rows each."""
-    draw = lambda s: F.pmod(F.xxhash64("doc_id", *(F.col("x")[i] for i in range(P)), F.lit(s)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = F.filter(F.array(F.lit(0), *(F.when(draw(s) * F.col("n") < START_ROWS, F.lit(s)) for s in range(1, STARTS))), lambda s: s.isNotNull())
-    sums = fit.withColumn("start", F.explode(chosen)).groupBy("gid", "start", "n").agg(*_sums())
+    """A start for each group, sought among about START_ROWS hash-random rows."""
+    draw = F.pmod(F.xxhash64("doc_id", *(F.col("x")[i] for i in range(P))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = fit.where(draw * F.col("n") < START_ROWS).groupBy("gid", "n", "x").agg(F.count(F.lit(1)).alias("c"))
+    rows = some.groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("x", "c"))).alias("rows"))
+    return save(rows.mapInPandas(_seek, _FITTED), "fitted")
+
+
+def _scaled(fit: DataFrame, fitted: DataFrame) -> DataFrame:
+    """fitted with the scale that makes the median distance that of a Gaussian, 1 at least."""
+    at = fit.join(fitted.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).withColumn("bin", _bin(_distance(F.col("x"), F.col("mu"), F.col("inverse"))))
+    upto = W.partitionBy("gid").orderBy("bin")
+    run = at.groupBy("gid", "n", "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.sum("c").over(upto))
+    half = run.where(2 * F.col("c") >= F.col("n")).groupBy("gid").agg(F.min("bin").alias("bin"))
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 0.5) / OCTAVE) / F.lit(MEDIAN))
+    return save(fitted.drop("scale").join(half, "gid").select("gid", "start", "n", "mu", "inverse", scale.alias("scale")), "groups")
+
+
+def _reweighted(fit: DataFrame, scaled: DataFrame) -> DataFrame:
+    """Estimates from all rows within NEAR of the half sets' estimates."""
+    at = fit.join(scaled.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).where(_distance(F.col("x"), F.col("mu"), F.col("inverse")) <= F.col("scale") * NEAR)
+    sums = at.groupBy("gid", "start", "n").agg(*_sums())
     return save(sums.select("gid", "start", "n", *(F.col(x).cast("double").alias(x) for x in _NAMES)).mapInPandas(_estimate, _FITTED), "fitted")
 
 
 def fit_groups(fit: DataFrame) -> DataFrame:
-    """gid, mu, inverse, scale of the smallest determinant found for each group.
+    """gid, mu, inverse, scale by a half set of each group.
 
-    All starts take two steps, the best goes on until no determinant falls any
-    more or STEPS are done. `scale` makes the median distance that of a Gaussian.
+    Steps over all rows go on until no determinant falls any more or STEPS are
+    done. The rows near that estimate give the last one.
     """
-    now = _step(fit, _step(fit, _starts(fit)))
-    best = W.partitionBy("gid").orderBy("logdet", "start")
-    now = save(now.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k"), "best")
+    now = _step(fit, _starts(fit), _half())
     for _ in range(STEPS):
-        after = _step(fit, now)
+        after = _step(fit, now, _half())
         moved = after.join(now.select("gid", F.col("logdet").alias("_was")), "gid").agg(F.max(F.col("_was") - F.col("logdet"))).first()[0]
         now = after
         if moved is None or moved < 1e-6:
             break
-    at = fit.join(now.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).withColumn("bin", _bin(_distance(F.col("x"), F.col("mu"), F.col("inverse"))))
-    upto = W.partitionBy("gid").orderBy("bin")
-    run = at.groupBy("gid", "n", "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.sum("c").over(upto))
-    half = run.where(2 * F.col("c") >= F.col("n")).groupBy("gid").agg(F.min("bin").alias("bin"))
-    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 0.5) / OCTAVE) / F.lit(MEDIAN))
-    return save(now.drop("scale").join(half, "gid").select("gid", "mu", "inverse", scale.alias("scale")), "groups")
+    return _scaled(fit, _reweighted(fit, _scaled(fit, now))).select("gid", "mu", "inverse", "scale")
 
 
 def quality(docs: DataFrame) -> DataFrame:
