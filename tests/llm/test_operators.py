@@ -90,6 +90,20 @@ def test_much_junk(spark):
     assert len(got) == 2000 and all(r.bad == r.out for r in got)
 
 
+def test_small_tables_are_judged(spark):
+    """A group with rows enough has its own estimate, and the last pool has one too."""
+    g = np.random.default_rng(5)
+    vocabulary = ["".join(g.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    rows = []
+    for i in range(90):
+        w = [str(x) for x in g.choice(vocabulary, int(g.integers(60, 200)))]
+        lang = "en" if i < 60 else f"x{i % 3}"
+        rows.append((i, " ".join(x + "###" if i % 10 == 0 else x for x in w) + ".", lang, "a"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_mcd.quality(df).collect()
+    assert len(got) == 90 and all(r.distance is not None and r.kept == (r.doc_id % 10 != 0) for r in got)
+
+
 # -- 2
 
 

@@ -43,7 +43,7 @@ P = len(FLOOR)
 #: Share of a group's rows that a step takes a covariance from where no other number is given; fits take half sets.
 SHARE = 0.75
 #: Groups of fewer rows are pooled: those of a language, then all.
-LEAST = 200
+LEAST = 8 * P
 #: Hash-random rows of a group that its start is sought among, draws of P + 1 of them, and draws that take all steps.
 START_ROWS, DRAWS, BEST = 600, 200, 20
 STEPS = 10
@@ -265,15 +265,16 @@ def quality(docs: DataFrame) -> DataFrame:
     docs: doc_id, text, lang, source; other columns are left out. A null text
     is empty, and fails by its length. Null languages and sources are groups of
     their own. Estimates come from rows that pass the base rules; groups of
-    fewer than LEAST such rows are pooled by language, then altogether, and
-    rows without an estimate keep by the base rules alone (distance null).
+    fewer than LEAST such rows are pooled by language, then altogether. The last
+    pool has an estimate whatever its size, if it has more than P rows; P rows
+    or fewer keep by the base rules alone (distance null).
     Repeated rows each count. Empty tables give no rows.
     """
     stats = save(statistics(docs).withColumn("x", vector()), "statistics")
     groups = save(_groups(stats.where(~F.col("base_failed"))), "members")
     # groups are few and small; if they are too many to broadcast, a hot group's join is split at run time
     rows = stats.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    fit = save(rows.where(~F.col("base_failed") & (F.col("n") >= LEAST)).select("doc_id", "gid", "n", "x"), "vectors")
+    fit = save(rows.where(~F.col("base_failed") & (F.col("n") > P)).select("doc_id", "gid", "n", "x"), "vectors")
     fitted = fit_groups(fit).withColumnRenamed("gid", "_g")
     judged = rows.join(fitted, F.col("gid") == F.col("_g"), "left").withColumn("distance", _distance(F.col("x"), F.col("mu"), F.col("inverse")) / F.col("scale"))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUT, F.lit(False))
