@@ -354,6 +354,18 @@ def test_sanitised(docs):
     assert out[(110, "x")] is None and out[(111, "x")] == ""
 
 
+def test_disclosure_far_from_the_value(spark):
+    """A name in the heading reveals the address at the end, and goes wherever it stands in documents with the value."""
+    far = lambda i: " ".join(f"w{i}x{j}" for j in range(200))
+    texts = [f"Zorblatt {far(i)} Zorblatt {'q' * 400} {far(i)} zed@corp.example.com" for i in range(4)] + [far(i) for i in range(10, 60)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.private_spans(df).collect()}
+    for i, t in enumerate(texts):
+        assert [t[a:b] for a, b in spans[i]] == (["Zorblatt", "Zorblatt", "q" * 400] if i < 4 else [])
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("Zorblatt" in t or "zed@" in t for t in clean.values()) and all(clean[i].count("[NAME]") == 2 for i in range(4))
+
+
 # -- 8
 
 

@@ -1,17 +1,17 @@
 """Personal data: patterns, and terms that give away what the patterns hide.
 
-Besides the values that patterns find, words beside them can reveal a value: if
-a term stands near a value again and again and hardly anywhere else, whoever
+Besides the values that patterns find, other words can reveal a value: if
+a term shares documents with a value again and again and hardly stands anywhere else, whoever
 reads the term can guess the value. The corpus tells how strongly. With N
-documents, df(e) that hold value e, df(t) that hold term t and df(e, t) in which
-t stands within WINDOW words of e, knowing t leaves log2(df(t) / df(e, t)) of the
+documents, df(e) that hold value e, df(t) that hold term t and df(e, t) that
+hold both, knowing t leaves log2(df(t) / df(e, t)) of the
 log2(N / df(e)) bits that e carries. Terms whose disclosed share is at least
 THRESHOLD, seen together in SUPPORT documents or more, are sanitised wherever
-they stand near that value: those with a digit or a capital are generalised to
-a class, others are removed.
+they stand in documents with that value: those with a digit or a capital are
+generalised to a class, others are removed.
 
 Values and terms are compared as 64-bit hashes. Co-occurrence is counted over
-all documents; only terms near a repeated value are counted in the corpus, which
+all documents; only terms met with a repeated value are counted in the corpus, which
 a bitmap of bounded size selects before the shuffle.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,6 @@ from .graph import maybe, maybe_in
 from .spans import count, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 8
 SUPPORT = 3
 THRESHOLD = 0.8
 #: Distinct terms that a task holds before it sends their counts.
@@ -83,27 +83,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes, int, int]]:
-    """(value, term, start, end) of each term near each value; terms within values don't count."""
+def value_of(kind: int, found: str) -> bytes:
+    return bytes([kind]) + (found.lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", found)).encode()
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[bytes], list[tuple[bytes, int, int]]]:
+    """The distinct values of a text with spans, and (term, start, end) of all its terms; terms within values don't count."""
     if not spans:
-        return []
-    merged: list[list[int]] = []
-    for _, a, b in sorted(spans, key=lambda s: s[1]):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    out = []
-    for kind, a, b in spans:
-        value = bytes([kind]) + (text[a:b].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[a:b])).encode()
-        low = max(0, a - 40 * WINDOW)  # a term beyond this many characters is not near
-        near = [m for m in _TERM.finditer(text, low, a)][-WINDOW:]
-        if near and near[0].start() == low and low and _TERM.match(text[low - 1]):
-            near = near[1:]  # cut off
-        after = _TERM.finditer(text, b, min(len(text), b + 40 * WINDOW))
-        near += [m for m, _ in zip(after, range(WINDOW), strict=False) if m.end() < b + 40 * WINDOW or m.end() == len(text)]
-        out += [(value, _folded(m[0]), *m.span()) for m in near if not any(p < m.end() and m.start() < q for p, q in merged)]
-    return out
+        return [], []
+    ends = sorted((a, b) for _, a, b in spans)
+    terms, i, until = [], 0, 0
+    for m in _TERM.finditer(text):
+        while i < len(ends) and ends[i][0] < m.end():
+            until = max(until, ends[i][1])
+            i += 1
+        if m.start() >= until:
+            terms.append((_folded(m[0]), *m.span()))
+    return sorted({value_of(k, text[a:b]) for k, a, b in spans}), terms
 
 
 def _folded(term: str) -> bytes:
@@ -117,14 +113,19 @@ def keyed(values: list[bytes]) -> np.ndarray:
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "row long, doc_id long, spans array<struct<kind:string,start:int,end:int>>, near array<struct<value:long,term:long,start:int,end:int>>"
+_TERMS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = "row long, doc_id long, spans array<struct<kind:string,start:int,end:int>>, values array<long>, terms array<struct<term:long,start:int,end:int>>"
+
+
+def _met(text: str, spans) -> tuple[list[int], list[dict]]:
+    values, terms = contexts(text, spans)
+    return keyed(values).tolist(), [{"term": t, "start": x[1], "end": x[2]} for t, x in zip(keyed([x[0] for x in terms]).tolist(), terms, strict=True)]
 
 
 def _near(text: str, spans) -> list[dict]:
-    found = contexts(text, spans)
-    value, term = keyed([x[0] for x in found]).tolist(), keyed([x[1] for x in found]).tolist()
-    return [{"value": v, "term": t, "start": x[2], "end": x[3]} for v, t, x in zip(value, term, found, strict=True)]
+    """Each value of a text with each of its terms."""
+    values, terms = _met(text, spans)
+    return [{"value": v, **t} for v in values for t in terms]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +135,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t or "" for t in rows.column("text").to_pylist()]
             spans = [*map(base_spans, texts)]
             named = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in spans]
-            near = [_near(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), rows.column("doc_id").cast(pa.int64()), pa.array(named, _SPAN), pa.array(near, _NEAR)], names=["row", "doc_id", "spans", "near"])
+            met = [_met(t, s) if s else ([], []) for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), rows.column("doc_id").cast(pa.int64()), pa.array(named, _SPAN), pa.array([x[0] for x in met], pa.list_(pa.int64())), pa.array([x[1] for x in met], _TERMS)], names=["row", "doc_id", "spans", "values", "terms"])
             row += len(texts)
 
 
@@ -166,15 +167,27 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def found_values(docs: DataFrame) -> DataFrame:
-    """row, doc_id, spans, near of every row of docs, written; row numbers the rows of that table."""
+    """row, doc_id, spans, values, terms of every row of docs, written; row numbers the rows of that table. Rows without values have no terms here."""
     return save(docs.select("doc_id", "text").mapInArrow(_find, _FOUND), "values")
 
 
+def _together(found: DataFrame, values: DataFrame) -> DataFrame:
+    """row, doc_id, value, term: each of these values (and few others) with each distinct term of its document."""
+    held = maybe_in(found.where(F.size("values") > 0).select("row", "doc_id", "terms", F.explode("values").alias("value")), values, "value")
+    return held.select("row", "doc_id", "value", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+
+
+def _told(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, doc_id, value, term of the documents that hold both of a revealing pair."""
+    met = _together(found, pairs.select("value").distinct()).withColumn("_pair", F.xxhash64("value", "term"))
+    named = pairs.select("value", "term").withColumn("_pair", F.xxhash64("value", "term"))
+    return maybe_in(met, named, "_pair").drop("_pair").join(named.drop("_pair"), ["value", "term"])
+
+
 def revealing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """value, term, share: pairs whose term discloses at least this share of the value's information."""
-    near = save(found.select("row", F.explode("near").alias("x")).select("row", "x.value", "x.term").distinct(), "near")
-    value_df = near.select("row", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("df_v")).where(F.col("df_v") >= support)
-    pairs = save(near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("df_vt")).where(F.col("df_vt") >= support).join(value_df, "value"), "pairs")
+    value_df = save(found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df_v")).where(F.col("df_v") >= support), "repeated")
+    pairs = save(_together(found, value_df).groupBy("value", "term").agg(F.count(F.lit(1)).alias("df_vt")).where(F.col("df_vt") >= support).join(value_df, "value"), "pairs")
     terms = save(pairs.select("term").distinct(), "terms")
     counted = docs.select("text").mapInArrow(_term_counts, "term long, n long")
     df_t = maybe_in(counted, terms, "term").groupBy("term").agg(F.sum("n").alias("df_t")).join(terms, "term", "left_semi")
@@ -184,11 +197,21 @@ def revealing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, s
     return save(judged.where(F.col("share") >= threshold).select("value", "term", "share"), "revealing")
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, terms: the places of the terms in _hit."""
+    for batch in batches:
+        marked = []
+        for terms, hit in zip(batch.column("terms"), batch.column("_hit"), strict=True):
+            at = terms.values
+            marked.append(at.filter(pa.compute.is_in(at.field("term"), hit.values)).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(marked, _TERMS)], names=["_row", "terms"])
+
+
 def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row, terms: the spans of revealing terms of the rows that have some."""
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hit = near.join(pairs.select("value", "term"), ["value", "term"]).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return hit.select(F.col("row").alias("_row"), "terms")
+    """_row, terms: every place of a revealing term in the rows that hold its value."""
+    hit = save(_told(found, pairs).groupBy("row").agg(F.collect_set("term").alias("_hit")), "hits")
+    rows = maybe_in(found.where(F.size("values") > 0).select("row", "terms"), hit, "row").join(hit, "row")
+    return rows.mapInArrow(_mark, "_row long, terms array<struct<term:long,start:int,end:int>>")
 
 
 def private_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -215,14 +238,17 @@ def private_digests(docs: DataFrame) -> DataFrame:
 
 
 def sanitised_text(text: str, pairs: set[tuple[int, int]]) -> str:
-    """Values as [EMAIL] and so on; revealing terms near them generalised or removed. Spans that overlap are one."""
+    """Values as [EMAIL] and so on; terms that reveal one of them generalised or removed everywhere. Spans that overlap are one."""
     spans = base_spans(text)
     if not spans:
         return text
     marks = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in spans]
     if pairs:
-        for x in _near(text, spans):
-            if (x["value"], x["term"]) in pairs:
+        values, terms = _met(text, spans)
+        own = {*values}
+        hit = {t for v, t in pairs if v in own}
+        for x in terms:
+            if x["term"] in hit:
                 term = text[x["start"] : x["end"]]
                 marks.append((x["start"], x["end"], "[NUMBER]" if any(c.isdigit() for c in term) else "[NAME]" if term[0].isupper() else ""))
     out, end = [], 0
@@ -250,8 +276,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
     """
     found = found_values(docs)
     pairs = revealing(docs, found, threshold, support)
-    near = found.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.value", "x.term")
-    hit = near.join(pairs.select("value", "term"), ["value", "term"]).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("value", "term")).alias("_pairs"))
+    hit = _told(found, pairs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("value", "term")).alias("_pairs"))
     hit = save(hit.where("_doc is not null"), "hits")
     told = maybe(docs, hit.select(F.col("_doc").alias("doc_id")), "doc_id")
     some = told.where("_maybe").join(hit, F.col("doc_id") == F.col("_doc"), "left").select(*docs.columns, "_pairs")
