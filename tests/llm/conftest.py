@@ -32,6 +32,7 @@ def rows(seed=3):
     out += [(119, "mail jo.e@x.example.org or 10.0.0.256 10.1.2.3 card 4111 1111 1111 1111 call +1 (743) 555-3824 now", "en", "a", 1)]
     out += [(120 + i, f"{' '.join(make_words(rng, 9))} Zorblatt met zed@corp.example.com yesterday {' '.join(make_words(rng, 9))}", "en", "a", 1) for i in range(4)]
     out += [(130, "Licensed under the Apache License, Version 2.0. And more.", "en", "a", 1), (131, "it is licensed under the Apache Licence, Version 2.0 here", "en", "a", 1)]
+    out += [(140 + i, " ".join(x + "#$%" for x in make_words(rng, 90)), "en", "ab"[i % 2], 1) for i in range(6)]
     return out
 
 

@@ -8,8 +8,8 @@ Over a text's chunks their maximum, mean and spread, with the text's length,
 go through one hidden layer to one probability.
 
 Training takes at most `per_class` labelled texts of each class, those with the
-smallest hash of their id; texts over `longest` bytes are not trained on, though
-they are scored whole. The share of each class among all labels that may be
+smallest hash of their id; of a text over `longest` bytes a window at a hash-random
+place is trained on, though texts are scored whole. The share of each class among all labels that may be
 learned from corrects the probability.
 """
 
@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, save, slices
+from .common import raw, save, scratch, slices
 from .graph import maybe_in
 
 WIDTH, FILTERS, HIDDEN, CELL = 6, 16, 24, 128
 #: The bound on training: texts of each class, and bytes of one.
 PER_CLASS, LONGEST = 1500, 1 << 16
 EPOCHS, RATE, DECAY = 8, 0.01, 1e-4
-#: Bytes of text that go through the network together.
-STEP = 1 << 16
+#: Bytes of text that go through the network together, and cells of one text that do.
+STEP, RUN = 1 << 16, 512
 
 
 @dataclass
@@ -62,13 +62,14 @@ def cells(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = -(-(size + WIDTH - 1) // CELL)
     first = np.concatenate([[0], np.cumsum(n)])
     padded = np.zeros(first[-1] * CELL + WIDTH - 1, np.uint8)
-    padded[np.arange(len(data)) + np.repeat(first[:-1] * CELL - at[:-1], size)] = data
+    for a, b, c in zip(at[:-1].tolist(), at[1:].tolist(), (first[:-1] * CELL).tolist(), strict=True):
+        padded[c : c + b - a] = data[a:b]
     return padded, first
 
 
-def _windows(padded: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The byte at each offset of the window at each place; behind its text's cells a window sees zeros."""
-    n, ends = len(padded) - WIDTH + 1, first[1:] * CELL
+def _windows(padded: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The byte at each offset of the window at each place; behind its text's cells, which end at `ends`, a window sees zeros."""
+    n = len(padded) - WIDTH + 1
     out = [padded[j : j + n].copy() for j in range(WIDTH)]
     for j in range(1, WIDTH):
         for back in range(1, j + 1):
@@ -99,17 +100,26 @@ def _features(top: np.ndarray, first: np.ndarray, size: np.ndarray):
     return chunk, use_next, most, off, z
 
 
+def _tops(net: Net, padded: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each filter's largest response in every cell, a run of cells at a time: responses take 16 times the bytes they are of."""
+    out = []
+    for a in range(0, int(first[-1]), RUN):
+        b = min(a + RUN, int(first[-1]))
+        ends = first[1:][(first[1:] > a) & (first[1:] <= b)] - a
+        out.append(np.maximum(_peaks(net, _windows(padded[a * CELL : b * CELL + WIDTH - 1], ends * CELL)).max(1) + net.bias, 0))
+    return np.concatenate(out)
+
+
 def logits(net: Net, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     padded, first = cells(data, at)
-    top = np.maximum(_peaks(net, _windows(padded, first)).max(1) + net.bias, 0)
-    z = _features(top, first, np.diff(at))[-1]
+    z = _features(_tops(net, padded, first), first, np.diff(at))[-1]
     return np.maximum(z @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias
 
 
 def gradients(net: Net, data: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Of the mean cross-entropy, through the chunks' largest responses only."""
     padded, first = cells(data, at)
-    seen = _windows(padded, first)
+    seen = _windows(padded, first[1:] * CELL)
     peaks = _peaks(net, seen)
     where = peaks.argmax(1)
     top = np.maximum(np.take_along_axis(peaks, where[:, None], 1)[:, 0] + net.bias, 0)
@@ -178,19 +188,28 @@ def held_out(name="doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[list[str], list[int], float]:
-    """Training texts, their labels, and class 1's share among all labels outside the held-out part. At most 2 * per_class texts come to the driver."""
+    """Training texts, their labels, and class 1's share among all labels outside the held-out part.
+
+    At most 2 * per_class texts of `longest` bytes come to the driver: 196 MB by
+    the defaults, if all are as long as that.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
     n = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = save(usable.where("y = 0").orderBy(*order).limit(per_class).union(usable.where("y = 1").orderBy(*order).limit(per_class)), "sample")
-    rows = maybe_in(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest), chosen, "doc_id").join(chosen, "doc_id")
+    size = F.octet_length("text")
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - longest // 4, F.lit(0)) + 1)
+    part = F.when(size <= longest, F.col("text")).otherwise(F.substr("text", (start + 1).cast("int"), F.lit(longest // 4)))  # a character has four bytes at most
+    rows = maybe_in(docs.select("doc_id", part.alias("text")), chosen, "doc_id").join(chosen, "doc_id")
     # an id that labels or documents repeat could bring more rows than were chosen
     rows = rows.orderBy(*order, "text", "y").limit(2 * per_class).collect()
     return [r["text"] or "" for r in rows], [r["y"] for r in rows], (n.get(1, 0) + 1) / (sum(n.values()) + 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Net:
-    return train(*sample(docs, labels, label, per_class))
+    """A network trained on at most per_class texts of each class. An id with contradicting labels counts under both."""
+    with scratch(docs.sparkSession):
+        return train(*sample(docs, labels, label, per_class))
 
 
 def score(docs: DataFrame, net: Net, at_least: float = 0.7) -> DataFrame:
@@ -198,7 +217,9 @@ def score(docs: DataFrame, net: Net, at_least: float = 0.7) -> DataFrame:
 
     The network sees the text alone. A null text scores as an empty one; without
     labels every score is the prior, 0.5. Row by row: repeated rows stay, other
-    columns are left out. The network is under 0.2 MB and goes with the tasks.
+    columns are left out. The network is under 0.2 MB and goes with the tasks. A
+    very long text goes through it in runs of cells: a task holds some ten times
+    its bytes.
     """
     scored = docs.select("doc_id", "text").mapInArrow(_score(net), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= at_least, 1).otherwise(0).alias("predicted"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,39 +26,69 @@ _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that a running sum of hashes holds at a time.
+RUN = 1 << 19
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none, as in tests."""
+    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _of_local_session(spark.sparkContext.applicationId)
 
 
-_scratch: list[list[str]] = []
+@lru_cache(1)
+def _of_local_session(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tideline-")
+
+
+#: The paths of each run of `scratch` that is going on in this thread, innermost last.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+def _on_disk(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, files = _on_disk(spark, path)
+    files.delete(p, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are saved inside, but for those to keep, go at the end; nothing lazy may still read them."""
-    _scratch.append([])
+    """Tables that are saved inside go at the end; those to keep pass to the run around this one, if any. Nothing lazy may still read what goes."""
+    mine: list[str] = []
+    token = _scratch.set((*_scratch.get(), mine))
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _scratch.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
+def new_folder(spark: SparkSession, keep: bool = False) -> str:
+    """A new path in the shared folder, for a run of `scratch` to remove; what no run removes goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    p, files = _on_disk(spark, path)
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    runs = _scratch.get()[: -1 if keep else None]
+    if runs:
+        runs[-1].append(path)
+    return path
 
 
 def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    path = new_folder(spark, keep)
     df.write.parquet(f"{path}/{name}")
     return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
@@ -122,16 +155,29 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running sum over all of them."""
-    n = len(data)
-    if len(_POWERS[0]) < n:
+    """A 64-bit hash of each span of bytes, spans in order and apart. Runs of them share one running sum over RUN bytes, longer spans take several."""
+    if not len(_POWERS[0]):
         for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p = np.full(RUN, base, np.uint64)
             p[0] = 1
             _POWERS[k] = np.cumprod(p)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _POWERS[0][:n], out=run[1:])
-    return mix((run[ends] - run[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = int(np.searchsorted(ends, low + RUN, "right"))
+        if j > i:
+            run = np.zeros(int(ends[j - 1]) - low + 1, np.uint64)
+            np.cumsum(_BYTE[data[low : ends[j - 1]]] * _POWERS[0][: len(run) - 1], out=run[1:])
+            a, b = starts[i:j] - low, ends[i:j] - low
+            out[i:j] = (run[b] - run[a]) * _POWERS[1][a]
+        else:
+            j, total, high = i + 1, 0, int(ends[i])
+            for at in range(low, high, RUN):
+                part = data[at : min(at + RUN, high)]
+                total += int((_BYTE[part] * _POWERS[0][: len(part)]).sum()) * pow(int(_BASE), at - low, 1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,14 +1,21 @@
 """License scans by conditional compression.
 
-A block of text that shares words with some license template is compressed with
-Zstandard on its own and once with each template as raw dictionary. How much a
-template shrinks the block ranks the templates; the best whose words agree is
-the block's license, and the exact differences in wording are reported.
+A candidate block is a run of words dense in word pairs of some license
+template. It is compressed with Zstandard on its own and once with each template
+as raw dictionary; how much a template shrinks it ranks the templates. The best
+one whose words agree is found, with the exact differences in wording; what is
+left on both sides of its words is searched again, until nothing more is found.
+
+Which blocks are candidates follows from WORDING. A match of m of a template's n
+words within m / WORDING words of text leaves out n - m words and has at most
+m / WORDING - m others in between, so it is cut into at most
+(n - m) + (m / WORDING - m) + 1 runs, and m less that many pairs of neighbours
+stand side by side in both. A stretch of n / WORDING words with fewer such pairs
+can't agree and is passed over; no other is.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,16 +27,59 @@ from pyspark.sql import DataFrame
 
 from .common import hashes, lower, members, raw, slices, windows
 
-# The wording of well-known license notices.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software."
+)
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+    "the above copyright notice and this permission notice appear in all copies."
+)
+
+
+def _gnu(program: str, version: str, mark: str, kind: str = "") -> str:
+    """The notice of the GNU licenses, which differ in name, version and punctuation."""
+    name = f"GNU {kind}General Public License"
+    return (
+        f"This {program} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published "
+        f"by the Free Software Foundation{mark.replace(':', ',')} either version {version} of the License, or (at your option) any later version. This {program} "
+        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        f"FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    )
+
+
+# The wording of well-known licenses and their notices.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
-    ),
+    "MIT": _MIT + " " + _AS_IS,
+    "MIT-grant": _MIT,
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -38,35 +88,52 @@ TEMPLATES = {
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "GPL-2.0": (
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
-    ),
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0": _gnu("program", "3", ":"),
+    "GPL-2.0": _gnu("program", "2", ";"),
+    "LGPL-3.0": _gnu("library", "3", ":", "Lesser "),
+    "LGPL-2.1": _gnu("library", "2.1", ";", "Lesser "),
+    "AGPL-3.0": _gnu("program", "3", ":", "Affero "),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "BSD-3-Clause": " ".join((_BSD_START, _BSD_NAMES, _BSD_END)),
+    "BSD-2-Clause": " ".join((_BSD_START, _BSD_END)),
+    "BSD-conditions": _BSD_START,
+    "ISC": _ISC
+    + (
+        ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+        "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies."
+    "ISC-grant": _ISC,
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+        "software. 3. This notice may not be removed or altered from any source distribution."
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
 }
 
-#: Words of a run that a template must share for a block, words between two such runs of one block, and words around it.
-SHARED, GAP, AROUND = 3, 12, 2
-#: Least size reduction, and least share of a template's words in order, of a license.
+#: Least size reduction, and least share of a template's words, in order, and of the words they stretch over, of a license.
 REDUCTION, WORDING = 0.2, 0.8
+#: Words around a match that belong to its block.
+AROUND = 2
+#: What a missing or an extra word counts in an alignment; a missing one 1 more.
+_STEP = 1 << 12
 
 _WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010FFFF]+")
 _WORDY = np.zeros(256, bool)
@@ -77,71 +144,199 @@ def plain_words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def stretch(n: int) -> int:
+    """Words of text that a match of a template of n words takes at most."""
+    return int(n / WORDING + 1e-9)
+
+
+def most_apart(n: int) -> int:
+    """Missing and extra words of such a match at most."""
+    return max(n - m + stretch(m) - m for m in range(-int(-n * WORDING // 1), n + 1))
+
+
+def pairs_needed(n: int) -> int:
+    """Pairs of neighbours that such a match has in common at least."""
+    return max(1, min(m - (n - m) - (stretch(m) - m) - 1 for m in range(-int(-n * WORDING // 1), n + 1)))
+
+
+def _merged(ranges) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
-        self.words = {k: plain_words(t) for k, t in templates.items()}
+        self.names = list(templates)
+        self.words = [plain_words(t) for t in templates.values()]
+        if any(len(w) < 4 for w in self.words):
+            raise ValueError("a template needs four words")
+        self.number = [{w: i for i, w in enumerate(dict.fromkeys(words))} for words in self.words]
         self.alone = self._compressor(None)
-        self.given = {k: self._compressor(zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
-        data, at = raw(pa.array(list(templates.values())))
-        data = lower(data)
-        starts, ends, first = members(_WORDY[data], at)
-        h = hashes(data, starts, ends)
-        self.runs = np.unique(np.concatenate([windows(h[a:b], SHARED) for a, b in zip(first[:-1], first[1:], strict=True)]))
+        self.given = [self._compressor(zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates.values()]
+        pairs = [self._pairs(*raw(pa.array([t]))) for t in templates.values()]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
+        self.own = np.array([np.isin(self.pairs, p) for p in pairs]).reshape(len(pairs), -1)  # (template, pair)
+        self.stretch = [stretch(len(w)) for w in self.words]
+        self.apart = [most_apart(len(w)) for w in self.words]
+        self.need = [pairs_needed(len(w)) for w in self.words]
+
+    @staticmethod
+    def _pairs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        low = lower(data)
+        starts, ends, _ = members(_WORDY[low], at)
+        return windows(hashes(low, starts, ends), 2)
 
     @staticmethod
     def _compressor(dictionary) -> zstandard.ZstdCompressor:
         return zstandard.ZstdCompressor(level=19, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Size reductions of the block by each template, best first."""
-        data = block.encode()
-        alone = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs that some template has, and which pairs these are."""
+        if len(h) < 2 or not len(self.pairs):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        w = windows(h, 2)
+        which = np.minimum(np.searchsorted(self.pairs, w), len(self.pairs) - 1)
+        at = np.flatnonzero(self.pairs[which] == w)
+        return at, which[at]
 
-    def judge(self, block: str) -> dict | None:
-        """The best-ranked template whose wording agrees, with the exact differences."""
-        words = plain_words(block)
-        for reduction, name in self.ranked(block):
+    def dense(self, t: int, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """First and last word of each stretch with pairs enough of a template, and how many it has: (k, 3)."""
+        own = at[self.own[t][which]]
+        need = self.need[t]
+        if len(own) < need:
+            return np.zeros((0, 3), np.int64)
+        close = np.flatnonzero(own[need - 1 :] - own[: len(own) - need + 1] <= self.stretch[t] - 2)
+        last = np.searchsorted(own, own[close] + self.stretch[t] - 2, "right") - 1
+        return np.stack([own[close], own[last] + 1, last - close + 1], 1)
+
+    def closest(self, t: int, words: list[str], p: int, q: int) -> tuple[bool, int, list[tuple[int, int]]]:
+        """Whether some stretch of words[p:q] agrees, words missing and extra in it or else in the closest one, and the pairs of places that match there.
+
+        An edit distance with free ends: fewest missing and extra words, then
+        fewest missing. Ends are tried from the closest on.
+        """
+        model, number = self.words[t], self.number[t]
+        text = np.array([number.get(w, -1) for w in words[p:q]])
+        place = np.arange(len(text) + 1) * _STEP
+        rows = [np.zeros(len(text) + 1, np.int64)]
+        same = []
+        for w in model:
+            same.append(text == number[w])
+            e = rows[-1] + _STEP + 1
+            e[1:] = np.where(same[-1], np.minimum(e[1:], rows[-1][:-1]), e[1:])
+            rows.append(np.minimum.accumulate(e - place) + place)
+        n, first = len(model), None
+        for end in np.argsort(rows[-1], kind="stable").tolist():
+            cost = int(rows[-1][end])
+            if first is not None and cost >= (self.apart[t] + 1) * _STEP:
+                break
+            i, j, pairs = n, end, []
+            while i:
+                here = rows[i][j]
+                if j and same[i - 1][j - 1] and here == rows[i - 1][j - 1]:
+                    i, j = i - 1, j - 1
+                    pairs.append((i, p + j))
+                elif here == rows[i - 1][j] + _STEP + 1:
+                    i -= 1
+                else:
+                    j -= 1
+            if not pairs:
+                break
+            pairs.reverse()
+            span = pairs[-1][1] + 1 - pairs[0][1]
+            got = len(pairs) >= WORDING * n and len(pairs) >= WORDING * span, n + span - 2 * len(pairs), pairs
+            if got[0]:
+                return got
+            first = first or got
+        return first or (False, 2 * n, [])
+
+    def best(self, words: list[str], text_of, at: np.ndarray, which: np.ndarray, p: int, q: int) -> dict | None:
+        """The license of words[p:q] with the largest reduction whose wording agrees, then the one that is closest. at, which: the pairs within."""
+        near: dict[int, tuple] = {}
+        for t in range(len(self.names)):
+            room = ((max(p, a - self.stretch[t]), min(q, b + 1 + self.stretch[t])) for a, b, _ in self.dense(t, at, which).tolist())
+            tried = [self.closest(t, words, a, b) for a, b in _merged(room)]
+            if tried:
+                near[t] = min(tried, key=lambda x: (not x[0], x[1]))
+        spans = {t: (max(p, x[2][0][1] - AROUND), min(q, x[2][-1][1] + 1 + AROUND)) for t, x in near.items() if x[2]}
+        ranked = []
+        for a, b in _merged(spans.values()):  # the candidate blocks
+            data = text_of(a, b).encode()
+            size = len(self.alone.compress(data))
+            ranked += [(len(self.given[t].compress(data)) / size, near[t][1], t) for t, (x, y) in spans.items() if a <= x and y <= b]
+        for _, _, t in sorted(ranked):
+            agrees, _, pairs = near[t]
+            if not agrees:
+                continue
+            low, high = pairs[0][1], pairs[-1][1] + 1
+            data = text_of(low, high).encode()  # the block may hold more than this license
+            reduction = 1 - len(self.given[t].compress(data)) / len(self.alone.compress(data))
             if reduction < REDUCTION:
-                return None
-            model = self.words[name]
-            steps = difflib.SequenceMatcher(None, model, words, autojunk=False).get_opcodes()
-            same = [(i, j, x, y) for op, i, j, x, y in steps if op == "equal"]
-            shared = sum(j - i for i, j, _, _ in same)
-            if not shared or shared < WORDING * len(model):
                 continue
-            low, high = same[0][2], same[-1][3]  # words of the block outside are no difference
-            changed = [f"-{' '.join(model[i:j])}+{' '.join(words[x:y])}" for op, i, j, x, y in steps if op != "equal" and (j > i or low <= x and y <= high)]
-            return {"license": name, "reduction": round(reduction, 4), "missing": len(model) - shared, "changes": changed, "words": (low, high)}
+            changed, model = [], self.words[t]
+            ends = [(-1, low - 1), *pairs, (len(model), high)]
+            for (i, x), (j, y) in zip(ends[:-1], ends[1:], strict=True):
+                if j - i > 1 or y - x > 1:
+                    changed.append(f"-{' '.join(model[i + 1 : j])}+{' '.join(words[x + 1 : y])}")
+            return {"license": self.names[t], "reduction": round(reduction, 4), "missing": len(model) - len(pairs), "changes": changed, "words": (low, high)}
         return None
 
+    def found(self, text: str, spans: list[tuple[int, int]], at: np.ndarray, which: np.ndarray) -> list[dict]:
+        """All licenses of a text with these word spans, in order: the best one, then those on both sides of it."""
+        words = [text[a:b].lower() for a, b in spans]
+        text_of = lambda a, b: text[spans[a][0] : spans[b - 1][1]]
+        out, todo = [], [(0, len(spans))]
+        while todo:
+            p, q = todo.pop()
+            i, j = np.searchsorted(at, p), np.searchsorted(at, q - 1)
+            if i < j and (got := self.best(words, text_of, at[i:j], which[i:j], p, q)):
+                out.append(got)
+                todo += [(p, got["words"][0]), (got["words"][1], q)]
+        return sorted(out, key=lambda x: x["words"])
+
+    def blocks(self, at: np.ndarray, which: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Runs of words, apart from each other, that hold every possible license of a text of n words."""
+        room = [(int(a) - self.stretch[t], int(b) + 1 + self.stretch[t]) for t in range(len(self.names)) for a, b, _ in self.dense(t, at, which)]
+        return _merged((max(0, a), min(n, b)) for a, b in room)
+
+    def scan(self, text: str) -> list[dict]:
+        """The licenses of a text, with `span` in code points."""
+        data, at = raw(pa.array([text]))
+        return [f for _, f in self.scan_all(data, at)]
+
+    def scan_all(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, dict]]:
+        """(number of the text, license) of every license in several texts."""
+        low = lower(data)
+        starts, ends, first = members(_WORDY[low], at)
+        h = hashes(low, starts, ends)
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            place, which = self.hits(h[a:b])
+            if not len(place):
+                continue
+            done, chars = int(at[i]), 0  # code points up to here are counted once
+            for p, q in self.blocks(place, which, b - a):
+                begin, end = int(starts[a + p]), int(ends[a + q - 1])
+                chars += int(((data[done:begin] & 0xC0) != 0x80).sum())
+                done = begin
+                text = data[begin:end].tobytes().decode("utf-8", "replace")
+                inside = (place >= p) & (place < q - 1)
+                spans = [m.span() for m in _WORD.finditer(text)]
+                for got in self.found(text, spans, place[inside] - p, which[inside]):
+                    x, y = got["words"]
+                    yield i, got | {"span": (chars + spans[x][0], chars + spans[y - 1][1])}
+
 
 @lru_cache(2)
 def _prepared(items: tuple[tuple[str, str], ...]) -> Templates:
     return Templates(dict(items))
 
 
-def blocks(data: np.ndarray, at: np.ndarray, runs: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Byte ranges of each text whose words share runs with templates, widened a little."""
-    low = lower(data)
-    starts, ends, first = members(_WORDY[low], at)
-    h = hashes(low, starts, ends)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        found = []
-        if b - a >= SHARED:
-            w = windows(h[a:b], SHARED)
-            place = np.minimum(np.searchsorted(runs, w), len(runs) - 1)
-            hits = np.flatnonzero(runs[place] == w)
-            if len(hits):
-                cut = np.flatnonzero(np.diff(hits) > GAP + SHARED) + 1
-                for part in np.split(hits, cut):
-                    p, q = max(0, part[0] - AROUND), min(b - a, part[-1] + SHARED + AROUND)
-                    found.append((int(starts[a + p]), int(ends[a + q - 1])))
-        out.append(found)
-    return out
-
-
 _FOUND = "doc_id long, block_start long, block_end long, license string, reduction double, missing_words int, changes array<string>"
 
 
@@ -150,16 +345,8 @@ def _scan(items: tuple[tuple[str, str], ...]):
         templates = _prepared(items)
         for batch in batches:
             for rows in slices(batch, "text"):
-                data, at = raw(rows.column("text"))
-                ids, out = rows.column("doc_id").to_pylist(), []
-                for i, found in enumerate(blocks(data, at, templates.runs)):
-                    for a, b in found:
-                        block = data[a:b].tobytes().decode("utf-8", "replace")
-                        if verdict := templates.judge(block):
-                            spans = [m.span() for m in _WORD.finditer(block)]
-                            before = len(data[at[i] : a].tobytes().decode("utf-8", "replace"))
-                            x, y = verdict["words"]
-                            out.append((ids[i], before + spans[x][0], before + spans[y - 1][1], verdict["license"], verdict["reduction"], verdict["missing"], verdict["changes"]))
+                ids = rows.column("doc_id").to_pylist()
+                out = [(ids[i], *x["span"], x["license"], x["reduction"], x["missing"], x["changes"]) for i, x in templates.scan_all(*raw(rows.column("text")))]
                 if out:
                     columns = list(zip(*out, strict=True))
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.string())]
@@ -171,10 +358,11 @@ def _scan(items: tuple[tuple[str, str], ...]):
 def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each license found: doc_id, block_start, block_end (code points), license, reduction, missing_words, changes.
 
-    Every text is scanned whole; a block begins where SHARED words in a row
-    stand in a template. Null or empty texts and those without licenses give no
-    rows, repeated rows give theirs again. `changes` lists -template+text words.
-    Other columns are left out. Row by row: no shuffle.
+    Every text is scanned whole. Null or empty texts and those without licenses
+    give no rows, repeated rows give theirs again, licenses side by side or
+    repeated one each. `changes` lists -template+text words. Other columns are
+    left out. Row by row: no shuffle. A task holds some ten times a very long
+    text's bytes.
     """
     items = tuple((TEMPLATES if templates is None else templates).items())
     return docs.select("doc_id", "text").mapInArrow(_scan(items), _FOUND)

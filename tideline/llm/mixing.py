@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import native_size, save
+from .common import native_size, save, scratch
 
 #: A range of keys holds about this many documents.
 RANGE_ROWS = 500
@@ -31,7 +31,8 @@ def budgets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
     L and weights w sorted by L / w, the first k are limited for the smallest k
     at which (total - their limits) / (the others' weights) is no more than the
     next L / w. No words at all: every target is 0. `per_source` has a row per
-    source, so its windows see no more rows than there are sources.
+    source, so its one-task windows see no more rows than there are sources: a
+    million of them are some 50 MB.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -52,20 +53,20 @@ def budgets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
 
 def _places(docs: DataFrame, weights, most: int, seed: str, range_rows: int, whole_rows: bool) -> DataFrame:
     """_row (doc_id, source, or all columns), _size, _source_size, _target, _taken of every row."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     row = F.struct(*(docs.columns if whole_rows else ["doc_id"])).alias("_row")
     keyed = docs.select(row, F.col("source").alias("_source"), native_size().alias("_size"), key.alias("_key"))
-    sized = save(keyed.select("_row.doc_id", "_source", "_size", "_key").select(F.struct("doc_id").alias("_row"), "_source", "_size", "_key"), "sizes")
+    sized = save(keyed.select("_row.doc_id", "_source", "_size", "_key").select(F.struct("doc_id").alias("_row"), "_source", "_size", "_key"), "sizes", keep=not whole_rows)
     per_source = save(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     goal = budgets(per_source, weights, most).join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s")))
-    goal = save(goal.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("budget").alias("_budget"), F.col("n").alias("_n")), "budgets")
+    goal = save(goal.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("budget").alias("_budget"), F.col("n").alias("_n")), "budgets", keep=True)
     at = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     part = F.floor(at * F.ceil(F.col("_n") / F.lit(range_rows)) / F.lit(float(2**32)))
     # a source's row of `goal` is small; if there are too many sources to broadcast, the join of a hot source is split at run time
     ranged = lambda df: df.join(goal, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_range", part)
     sums = ranged(sized).groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
     upto = W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = save(sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before")), "ranges")
+    sums = save(sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before")), "ranges", keep=True)
     df = ranged(keyed if whole_rows else sized).join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     within = W.partitionBy("_source", "_range").orderBy("_key", "_row.doc_id", "_size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0))
@@ -80,11 +81,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
 
     docs: doc_id, text, source; other columns are left out. A null text has
     size 0, a null source is a source of its own, the last. Rows that repeat a
-    doc_id share a key and follow one another by size. Empty tables give no
-    rows. The keys come from md5, so reruns agree.
+    doc_id and text share a key, and with it a range. Empty tables give no rows.
+    The keys come from md5 of both, so reruns agree.
     """
     names = {"_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken"}
-    return _places(docs, weights, most, seed, range_rows, False).select("_row.doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+    with scratch(docs.sparkSession):
+        placed = _places(docs, weights, most, seed, range_rows, False)
+    return placed.select("_row.doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -93,7 +96,8 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: st
     A row that a budget cuts appears once more with the text up to that word.
     Rows of which no word is taken, such as those without words, are left out.
     """
-    placed = _places(docs, weights, most, seed, range_rows, True).where("_taken > 0")
+    with scratch(docs.sparkSession):
+        placed = _places(docs, weights, most, seed, range_rows, True).where("_taken > 0")
     copies, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
     text = F.col("_row.text")
     texts = F.concat(F.array_repeat(text, copies), F.when(rest > 0, F.array(first_words(text, rest))).otherwise(F.expr("cast(array() as array<string>)")))

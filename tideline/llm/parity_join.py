@@ -17,7 +17,12 @@ start. To find components without comparing all pairs of a key, each node is
 first verified with one leader. Afterwards nodes that share a key and are in
 different components are compared, in bounded chunks: first a chunk's nearest
 pairs that would join its components are verified, then, with the components
-that these give, all pairs still open.
+that these give, all pairs still open. Large components of a key have chunks of
+their own, and chunks of one component never meet.
+
+No key is brought together as a whole. A key that a task meets twice is known to
+be shared, so of a block of its texts one row for the key is enough to tell the
+others; minima, maxima and counts of a key are aggregated.
 """
 
 from __future__ import annotations
@@ -82,21 +87,27 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     """The first non-empty parts, one more than may differ from a partner's, of each band that a partner's keys may be in.
 
     A sparse set has fewer non-empty parts. It gives all of them: a partner that
-    is not sparse has its share of keys among these. Sparse sets of a band have
-    one more key in common, for each other.
+    is not sparse has its share of keys among these. For partners that are sparse
+    too it goes on to the next finer partition, in which the same holds; at last
+    each hash is a part of its own, and all are given.
     """
     n = len(s)
     top = n * 100 // percent
     need = most_apart(n, top, percent) + 1
     spread, out = mix(s), []
     bands = {band(n, percent), *(range(band(max(n, SMALL), percent), band(top, percent) + 1) if top >= SMALL else ())}
-    for bits in sorted(bands):
+    todo, done = sorted(bands), set()
+    while todo:
+        bits = todo.pop()
+        if bits in done:
+            continue
+        done.add(bits)
         part = s >> np.uint64(64 - bits)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         last = starts[need] if len(starts) > need else n
         out.append(mix(np.bitwise_xor.reduceat(spread[:last], starts[:need]) + np.uint64(bits)))
-        if len(starts) < need:
-            out.append(mix(np.array([bits], np.uint64)))
+        if len(starts) < need and bits < 64:
+            todo.append(bits + 1 if len(starts) < n else 64)
     return np.concatenate(out).view(np.int64)
 
 
@@ -108,7 +119,9 @@ def sketch_of(s: np.ndarray) -> bytes:
 
 
 _NODES = "doc_id long, text_print long, n_shingles long, node long, sketch binary"
-_KEYS = "node long, n int, key long"
+_KEYS = "node long, n int, key long, salt long, known boolean"
+#: Keys of a task among which those that it shares with itself are found at a time.
+KEYS = 1 << 19
 
 
 def _fresh(rows: pa.RecordBatch, k: int, seen: set[int]) -> tuple[list[np.ndarray], list[int | None], list[bool]]:
@@ -130,19 +143,37 @@ def _nodes(k: int):
     return run
 
 
+def _keyed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of _KEYS: `known` where another node here has the key; of these all but one of a key are salted by their node."""
+    node, n, key = map(np.concatenate, zip(*held, strict=True))
+    order = np.argsort(key, kind="stable")
+    node, n, key = node[order], n[order], key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    known = ~first
+    known[:-1] |= ~first[1:]
+    salt = np.where(first, 0, node)
+    return pa.RecordBatch.from_arrays([*map(pa.array, (node, n, key, salt, known))], names=["node", "n", "key", "salt", "known"])
+
+
 def _keys(k: int, percent: int):
     """Keys go straight to their shuffle: reading texts twice costs less than a table of all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, total = [], 0
         for batch in batches:
             for rows in slices(batch, "text"):
                 sets, node, fresh = _fresh(rows, k, seen)
-                new = [(s, d) for s, d, f in zip(sets, node, fresh, strict=True) if f]
-                keys = [keys_of(s, percent) for s, _ in new]
-                n = [*map(len, keys)]
-                columns = [np.repeat(np.array([d for _, d in new], np.int64), n), np.repeat(np.array([len(s) for s, _ in new], np.int32), n), np.concatenate([np.zeros(0, np.int64), *keys])]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["node", "n", "key"])
+                for s, d, new in zip(sets, node, fresh, strict=True):
+                    if new:
+                        keys = np.unique(keys_of(s, percent))
+                        held.append((np.full(len(keys), d, np.int64), np.full(len(keys), len(s), np.int32), keys))
+                        total += len(keys)
+                if total > KEYS:
+                    yield _keyed(held)
+                    held, total = [], 0
+        if held:
+            yield _keyed(held)
 
     return run
 
@@ -218,10 +249,12 @@ def _linked(percent: int):
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. Texts of one document for each of these nodes, and of few others, are read again."""
+    """The pairs (a, b) of nodes whose sets are similar enough. The texts of these nodes, one to a node and few others, are read again."""
     needed = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    owner = save(maybe_in(nodes.select("node", "doc_id"), needed, "node").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
-    sets = save(maybe_in(docs, owner, "doc_id").select("text").mapInArrow(_sets(k), "node long, hashes binary"), "sets")
+    own = maybe_in(nodes.select("node", "doc_id", "text_print"), needed, "node").join(needed, "node", "left_semi")
+    owner = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_print")).alias("o"))
+    owner = save(owner.select(F.xxhash64("o.doc_id", "o.text_print").alias("row")), "owners")
+    sets = save(maybe_in(docs.withColumn("row", F.xxhash64("doc_id", "text_print")), owner, "row").select("text").mapInArrow(_sets(k), "node long, hashes binary"), "sets")
     # nodes are dealt into buckets; a set goes once to each pair of buckets that has pairs of its node
     size = sets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("hashes")).alias("bytes")).first()
     buckets = max(1, size["n"] // BUCKET_NODES, (size["bytes"] or 0) // BUCKET_BYTES)
@@ -326,44 +359,64 @@ def _open_pairs(shared: DataFrame, sketches: DataFrame, comps: DataFrame, percen
     """Pairs of nodes that share a key, are in different components and may link (a, b, and held as _compare has it)."""
     told = maybe(shared, comps, "node")
     some = told.where("_maybe").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    own = W.partitionBy("key")
-    members = some.unionByName(told.where("not _maybe").select("key", "node", "n", F.col("node").alias("comp")))
-    members = members.withColumns({"m": F.count(F.lit(1)).over(own), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo <> hi")
-    members = save(members.select("key", "node", "n", "comp", "m"), "members")
-
+    told = save(some.unionByName(told.where("not _maybe").select("key", "node", "n", F.col("node").alias("comp"))), "told")
+    open_keys = save(told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "m"), "open_keys")
+    members = save(maybe_in(told, open_keys, "key").join(open_keys, "key"), "members")
     if not forest:  # what was held back has more nodes
         return save(_many(members, sketches, percent, forest), "open")
     listed = members.where(F.col("m") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "comp", "n")).alias("x"))
     fits = lambda x, y: (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
     pairs = F.flatten(F.transform("x", lambda x: F.transform(F.filter("x", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     few = _near(listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), sketches, percent)
-
     return save(few.withColumn("held", F.lit(None).cast("long")).unionByName(_many(members, sketches, percent, forest)), "open")
 
 
+def _chunks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of keys of many nodes with their chunk, and the chunks (key, i, j) that meet.
+
+    A component with CHUNK nodes of a key or more has chunks of its own (`comp`);
+    the rest of a key is dealt by component into pools (`comp` null), of about
+    CHUNK nodes each. A pool meets every chunk and itself, a component's chunk
+    those of other components. Chunks are a thousandth of the nodes.
+    """
+    many = members.where(F.col("m") > FEW)
+    size = many.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    large = save(size.where(F.col("c") >= CHUNK).select("key", "comp", F.ceil(F.col("c") / CHUNK).alias("own")), "large")
+    pooled = save(size.where(F.col("c") < CHUNK).groupBy("key").agg(F.sum("c").alias("p")).select("key", F.ceil(F.col("p") / CHUNK).alias("pools")), "pools")
+    big = large.select(F.col("key").alias("_k"), F.col("comp").alias("_c"), "own")
+    dealt = many.join(big, (F.col("key") == F.col("_k")) & (F.col("comp") == F.col("_c")), "left").drop("_k", "_c")
+    dealt = dealt.join(pooled, "key", "left").withColumn("chunk", F.when(F.col("own").isNull(), F.xxhash64(F.lit("pool"), F.pmod(F.xxhash64("comp"), F.col("pools")))).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("own")))))
+    dealt = save(dealt.select("key", "chunk", "node", "comp", F.col("own").isNotNull().alias("alone")), "dealt")
+    chunks = save(dealt.groupBy("key", "chunk").agg(F.max(F.when(F.col("alone"), F.col("comp"))).alias("one")), "chunks")
+    x, y = chunks.select("key", F.col("chunk").alias("i"), F.col("one").alias("a")), chunks.select("key", F.col("chunk").alias("j"), F.col("one").alias("b"))
+    met = x.join(y, "key").where((F.col("i") <= F.col("j")) & F.coalesce(F.col("a") != F.col("b"), F.lit(True)))
+    return dealt, save(met.select("key", "i", "j"), "meetings")
+
+
 def _many(members: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
     """What _compare finds in keys of many nodes, dealt into chunks."""
-    chunks = F.ceil(F.col("m") / CHUNK)
-    dealt = members.where(F.col("m") > FEW).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp").join(maybe_in(sketches, members.where(F.col("m") > FEW), "node"), "node")
-    met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "chunk", "node", "comp", "n", "sketch")
-    return met.mapInArrow(_compare(percent, forest), "a long, b long, held long")
+    dealt, met = _chunks(members)
+    sides = met.select("key", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("chunk"))
+    wide = dealt.join(maybe_in(sketches, dealt, "node"), "node").join(sides, ["key", "chunk"])
+    dealt = wide.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "chunk", "node", "comp", "n", "sketch")
+    return dealt.mapInArrow(_compare(percent, forest), "a long, b long, held long")
 
 
 def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("text_print"), "text")
     nodes = save(docs.mapInArrow(_nodes(k), _NODES), "nodes")
-    own, each = W.partitionBy("key"), W.partitionBy("node")
     keyed = docs.select("text").mapInArrow(_keys(k, percent), _KEYS)
-    shared = keyed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("lo <> hi")
+    own = W.partitionBy("key", "salt")
+    shared = keyed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("known or lo <> hi")
     shared = save(shared.groupBy("key", "node").agg(F.first("n").alias("n")), "shared")
     sketches = nodes.where("sketch is not null").select("node", F.col("n_shingles").alias("n"), "sketch")
     some = save(shared.select("node").distinct(), "sharing")
     sketches = save(maybe_in(sketches, some, "node").join(some, "node", "left_semi").dropDuplicates(["node"]), "sketches")
 
     # one leader for each node: of the leaders of its keys the one it shares most with; a key's leader shares most keys
-    weighed = shared.select("key", "node", F.count(F.lit(1)).over(each).alias("weight"))
-    led = weighed.select("key", "node", F.max(F.struct("weight", "node")).over(own)["node"].alias("lead")).where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = save(shared.select("key", "node", F.count(F.lit(1)).over(W.partitionBy("node")).alias("weight")), "weighed")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("l")).select("key", F.col("l.node").alias("lead"))
+    led = weighed.join(leaders, "key").where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("weight"))
     led = led.groupBy("node").agg(F.max(F.struct("weight", "lead"))["lead"].alias("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     near = save(_near(led, sketches, percent), "near")
     links = _verify(near, docs, nodes, k, percent)
@@ -383,10 +436,10 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if not rest.isEmpty():
             comps = components(links.union(_verify(rest, docs, nodes, k, percent)))
 
-    least = save(nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own")), "least")
+    least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
     named = save(least.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "own"), "named")
-    ids = save(named.groupBy("comp").agg(F.min("own").alias("component_id")), "ids")
-    named = save(named.join(ids, "comp").select("node", "comp", "component_id"), "named")
+    ids = named.groupBy(F.col("comp").alias("_comp")).agg(F.min("own").alias("component_id"))
+    named = named.join(ids, F.col("comp") == F.col("_comp")).select("node", "comp", "component_id")
     out = nodes.select("doc_id", "text_print", "n_shingles", "node").join(named, "node", "left").select("doc_id", "text_print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("comp").alias("component"))
     return save(out, "components", keep=True)
 
@@ -401,6 +454,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     components apart even where a doc_id is in several. Repeated rows are equal
     sets and share a component. Empty tables give no rows. Two different sets
     pass for one, or unequal parts for equal, only where 64-bit hashes collide.
+    A task holds some fifteen times the bytes of a very long text.
     """
     with scratch(docs.sparkSession):
         return _similar(docs, k, percent)

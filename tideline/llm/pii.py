@@ -7,8 +7,8 @@ documents, df(e) that hold value e, df(t) that hold term t and df(e, t) that
 hold both, knowing t leaves log2(df(t) / df(e, t)) of the
 log2(N / df(e)) bits that e carries. Terms whose disclosed share is at least
 THRESHOLD, seen together in SUPPORT documents or more, are sanitised wherever
-they stand in documents with that value: those with a digit or a capital are
-generalised to a class, others are removed.
+they stand in documents with that value: years, numbers, codes and names are
+generalised to their class, other terms are removed.
 
 Values and terms are compared as 64-bit hashes. Co-occurrence is counted over
 all documents; only terms met with a repeated value are counted in the corpus, which
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, lower, members, raw, save, slices
+from .common import hashes, lower, members, raw, save, scratch, slices, text_print
 from .graph import maybe, maybe_in
 from .spans import count, digest, joined
 
@@ -114,7 +114,7 @@ def keyed(values: list[bytes]) -> np.ndarray:
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _TERMS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "row long, doc_id long, spans array<struct<kind:string,start:int,end:int>>, values array<long>, terms array<struct<term:long,start:int,end:int>>"
+_FOUND = "row long, doc_id long, text_print long, spans array<struct<kind:string,start:int,end:int>>, values array<long>, terms array<struct<term:long,start:int,end:int>>"
 
 
 def _met(text: str, spans) -> tuple[list[int], list[dict]]:
@@ -122,12 +122,6 @@ def _met(text: str, spans) -> tuple[list[int], list[dict]]:
     return keyed(values).tolist(), [{"term": t, "start": x[1], "end": x[2]} for t, x in zip(keyed([x[0] for x in terms]).tolist(), terms, strict=True)]
 
 
-def _near(text: str, spans) -> list[dict]:
-    """Each value of a text with each of its terms."""
-    values, terms = _met(text, spans)
-    return [{"value": v, **t} for v in values for t in terms]
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
@@ -136,7 +130,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [*map(base_spans, texts)]
             named = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in spans]
             met = [_met(t, s) if s else ([], []) for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), rows.column("doc_id").cast(pa.int64()), pa.array(named, _SPAN), pa.array([x[0] for x in met], pa.list_(pa.int64())), pa.array([x[1] for x in met], _TERMS)], names=["row", "doc_id", "spans", "values", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), rows.column("doc_id").cast(pa.int64()), rows.column("text_print"), pa.array(named, _SPAN), pa.array([x[0] for x in met], pa.list_(pa.int64())), pa.array([x[1] for x in met], _TERMS)], names=["row", "doc_id", "text_print", "spans", "values", "terms"])
             row += len(texts)
 
 
@@ -166,19 +160,19 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def found_values(docs: DataFrame) -> DataFrame:
-    """row, doc_id, spans, values, terms of every row of docs, written; row numbers the rows of that table. Rows without values have no terms here."""
-    return save(docs.select("doc_id", "text").mapInArrow(_find, _FOUND), "values")
+def found_values(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """row, doc_id, text_print, spans, values, terms of every row of docs, written; row numbers the rows of that table. Rows without values have no terms here."""
+    return save(docs.select("doc_id", "text", text_print().alias("text_print")).mapInArrow(_find, _FOUND), "values", keep)
 
 
 def _together(found: DataFrame, values: DataFrame) -> DataFrame:
-    """row, doc_id, value, term: each of these values (and few others) with each distinct term of its document."""
-    held = maybe_in(found.where(F.size("values") > 0).select("row", "doc_id", "terms", F.explode("values").alias("value")), values, "value")
-    return held.select("row", "doc_id", "value", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+    """row, doc_id, text_print, value, term: each of these values (and few others) with each distinct term of its document."""
+    held = maybe_in(found.where(F.size("values") > 0).select("row", "doc_id", "text_print", "terms", F.explode("values").alias("value")), values, "value")
+    return held.select("row", "doc_id", "text_print", "value", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
 
 
 def _told(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row, doc_id, value, term of the documents that hold both of a revealing pair."""
+    """row, doc_id, text_print, value, term of the documents that hold both of a revealing pair."""
     met = _together(found, pairs.select("value").distinct()).withColumn("_pair", F.xxhash64("value", "term"))
     named = pairs.select("value", "term").withColumn("_pair", F.xxhash64("value", "term"))
     return maybe_in(met, named, "_pair").drop("_pair").join(named.drop("_pair"), ["value", "term"])
@@ -220,16 +214,19 @@ def private_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int =
     docs: doc_id, text; other columns are left out. A null text is empty.
     Repeated rows are documents of their own, so copies count as co-occurrence.
     A value that stands in all documents carries no information, and no term
-    reveals it. Empty tables give no rows.
+    reveals it. Empty tables give no rows. A task holds some fifteen times the
+    bytes of a very long text.
     """
-    found = found_values(docs)
-    pairs = revealing(docs, found, threshold, support)
-    terms = save(_with_terms(found, pairs), "terms")
+    with scratch(docs.sparkSession):
+        found = found_values(docs, keep=True)
+        pairs = revealing(docs, found, threshold, support)
+        terms = save(_with_terms(found, pairs), "terms", keep=True)
     more = F.transform(F.col("terms"), lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     return found.select("row", "doc_id", "spans").join(terms, F.col("row") == F.col("_row"), "left").select("doc_id", F.concat("spans", F.coalesce(more, F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)"))).alias("spans"))
 
 
 def private_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of each kind, base_sha256, spans, n_term of every row: private_spans as digests; a row without spans has the digest of an empty text."""
     spans = F.col("spans")
     return private_spans(docs).select("doc_id", *(count(spans, k).alias(f"n_{k}") for k in KINDS), digest(spans, KINDS).alias("base_sha256"), joined(spans).alias("spans"), count(spans, "term").alias("n_term"))
 
@@ -237,6 +234,15 @@ def private_digests(docs: DataFrame) -> DataFrame:
 # -- sanitised texts
 
 
+def general(term: str) -> str:
+    """The class that stands for a revealing term; nothing for a plain word, which has none."""
+    if term.isdigit():
+        return "[YEAR]" if len(term) == 4 and term[:2] in ("18", "19", "20") else "[NUMBER]"
+    if any(c.isdigit() for c in term):
+        return "[CODE]"
+    return "[NAME]" if term[0].isupper() else ""
+
+
 def sanitised_text(text: str, pairs: set[tuple[int, int]]) -> str:
     """Values as [EMAIL] and so on; terms that reveal one of them generalised or removed everywhere. Spans that overlap are one."""
     spans = base_spans(text)
@@ -250,7 +256,7 @@ def sanitised_text(text: str, pairs: set[tuple[int, int]]) -> str:
         for x in terms:
             if x["term"] in hit:
                 term = text[x["start"] : x["end"]]
-                marks.append((x["start"], x["end"], "[NUMBER]" if any(c.isdigit() for c in term) else "[NAME]" if term[0].isupper() else ""))
+                marks.append((x["start"], x["end"], general(term)))
     out, end = [], 0
     for a, b, what in sorted(marks):
         if a >= end:
@@ -271,14 +277,15 @@ def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """docs with sanitised texts; all columns and rows stay, null texts are null.
 
-    Only documents with revealing terms meet a join, by doc_id; rows that repeat
-    a doc_id share its pairs.
+    Only documents with revealing terms meet a join, by doc_id (null or not) and
+    the hash of the text, so rows that repeat both share their pairs.
     """
-    found = found_values(docs)
-    pairs = revealing(docs, found, threshold, support)
-    hit = _told(found, pairs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("value", "term")).alias("_pairs"))
-    hit = save(hit.where("_doc is not null"), "hits")
-    told = maybe(docs, hit.select(F.col("_doc").alias("doc_id")), "doc_id")
-    some = told.where("_maybe").join(hit, F.col("doc_id") == F.col("_doc"), "left").select(*docs.columns, "_pairs")
+    with scratch(docs.sparkSession):
+        found = found_values(docs)
+        pairs = revealing(docs, found, threshold, support)
+        hit = _told(found, pairs).groupBy(F.col("doc_id").alias("_doc"), F.col("text_print").alias("_own")).agg(F.collect_set(F.struct("value", "term")).alias("_pairs"))
+        hit = save(hit, "hits", keep=True)
+    told = maybe(docs.withColumn("_print", text_print()), hit.select(F.col("_own").alias("_print")), "_print")
+    some = told.where("_maybe").join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_print") == F.col("_own")), "left").select(*docs.columns, "_pairs")
     rest = told.where("not _maybe").select(*docs.columns, F.expr("cast(null as array<struct<value:long,term:long>>)").alias("_pairs"))
     return some.unionByName(rest).mapInArrow(_sanitise, docs.schema)

@@ -2,7 +2,7 @@
 
 Every text becomes a vector of transformed statistics, rounded to a fixed grid
 so that all sums are exact integers and reruns agree. For each language and
-source the half set with the smallest covariance determinant is sought by
+source, each language, and all rows, the half set with the smallest covariance determinant is sought by
 concentration steps. They begin at the best of many starts on a bounded number of
 rows, draws of P + 1 rows and medians; the best is the one whose ellipsoid around
 half the rows has the least volume, as a tight group of copies makes determinants
@@ -11,6 +11,13 @@ squared Mahalanobis distance falls into a fine logarithmic bin, counts, sums and
 cross products are added up per bin (before the shuffle, in every task), and a
 running sum over a group's bins finds those that hold its nearest rows. So no
 group is ever brought together, however large.
+
+Few rows say little, so a group's centre and scatter lean on its language's, and
+those on all rows'. Of n rows a half set leaves out free = (n - P - 1) / 2 at
+most. The group's own scatter weighs free / (free + LEAN), whatever n is. Its
+own centre weighs free / (n / 3), 1 at most: as much as a third of junk can't
+move it, so a source that differs from the rest of its language is judged by
+itself, but not one of a handful of rows.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, hashes, raw, save, slices, text_print, windows, words
+from .common import SPACES, hashes, raw, save, scratch, slices, text_print, windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[*b"#*$%&|<>"]] = True
@@ -40,10 +47,8 @@ GRID = 1024
 #: Spread, in each direction, below which differences mean nothing: added to every covariance, as most texts have no symbols or repeats at all.
 FLOOR = (0.02, 0.1, 0.1, 0.1, 0.1, 0.1)
 P = len(FLOOR)
-#: Share of a group's rows that a step takes a covariance from where no other number is given; fits take half sets.
-SHARE = 0.75
-#: Groups of fewer rows are pooled: those of a language, then all.
-LEAST = 8 * P
+#: Rows left out of a half set at which a group's own estimate counts as much as the one it leans on.
+LEAN = 4 * P
 #: Hash-random rows of a group that its start is sought among, draws of P + 1 of them, and draws that take all steps.
 START_ROWS, DRAWS, BEST = 600, 200, 20
 STEPS = 10
@@ -51,13 +56,17 @@ STEPS = 10
 NEAR = 14.449
 #: Bins of a distance: so many to a doubling.
 OCTAVE = 16
-#: The median of chi-square with P degrees of freedom, and the distance of rejection: texts are not Gaussian, short clean ones reach 150, and junk begins at 400.
-MEDIAN, CUT = 5.348, 200.0
+#: The median of chi-square with P degrees of freedom, and the bin's value that stands for it.
+MEDIAN = 5.348
+#: The share of clean rows that may go whatever their distribution, and the distance of rejection that follows: of any
+#: distribution with covariance S, at most P / t of the rows lie further than t from its mean by S (Chebyshev's bound).
+#: Gaussian rows end at 30, but texts' statistics have long tails.
+LOST = 0.03
+CUT = P / LOST
 
 
-def _count(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    run = np.concatenate([[0], np.cumsum(flags)])
-    return run[at[1:]] - run[at[:-1]]
+def _count(flags: np.ndarray, at: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(flags[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def repeated(h: np.ndarray, k: int = 3) -> int:
@@ -94,7 +103,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The counts of every whole text, and base_failed."""
+    """The counts of every whole text, and base_failed. A null or empty text counts 0 of everything; repeated rows stay, other columns go."""
     df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_print().alias("text_print"), "text").mapInArrow(_stats, STATS)
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -107,19 +116,27 @@ def vector() -> Column:
     return F.array(*(F.round(x * GRID).cast("long") for x in parts))
 
 
-def _groups(fit: DataFrame) -> DataFrame:
-    """lang, source -> gid, n: the group whose estimate holds for these rows, and its rows."""
-    n = fit.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n0"))
-    small = F.col("n0") < LEAST
-    n = n.withColumn("n1", F.sum(F.when(small, F.col("n0"))).over(W.partitionBy("lang")))
-    rest = small & (F.col("n1") < LEAST)
-    n = n.withColumn("n2", F.sum(F.when(rest, F.col("n0"))).over(W.partitionBy()))
-    gid = F.when(~small, F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})).when(~rest, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).otherwise(F.lit("{}"))
-    return n.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), gid.alias("gid"), F.when(~small, F.col("n0")).when(~rest, F.col("n1")).otherwise(F.col("n2")).alias("n"))
+#: A row's own group and the groups this one leans on, as columns.
+LEVELS = ("gid", "of_lang", "of_all")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """df with the names of its rows' groups."""
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    return df.withColumns({"gid": name("lang", "source"), "of_lang": name("lang"), "of_all": F.lit("{}")})
+
+
+def _members(vectors: DataFrame) -> DataFrame:
+    """doc_id, gid, x: each row in its group of each level."""
+    return vectors.select("doc_id", F.explode(F.array(*LEVELS)).alias("gid"), "x")
+
+
+def _sizes(fit: DataFrame) -> DataFrame:
+    return save(fit.groupBy("gid").agg(F.count(F.lit(1)).alias("n")), "sizes")
 
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-_FITTED = f"gid string, start int, n long, mu array<double>, inverse array<double>, logdet double, scale double"
+_FITTED = "gid string, n long, mu array<double>, cov array<double>, inverse array<double>, logdet double"
 
 
 def _sums() -> list[Column]:
@@ -130,8 +147,16 @@ def _sums() -> list[Column]:
 _NAMES = ["c", *(f"s{i}" for i in range(P)), *(f"q{i}_{j}" for i, j in _PAIRS)]
 
 
+def _row(gid: str, n: int, mu: np.ndarray, cov: np.ndarray) -> tuple:
+    return gid, int(n), mu.tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["gid", "n", "mu", "cov", "inverse", "logdet"])
+
+
 def _estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre and inverse covariance from the sums of one group and start a row; the rows are as few as groups."""
+    """Centre and inverse covariance from the sums of one group a row; the rows are as few as groups."""
     for f in frames:
         out = []
         for r in f.to_dict("records"):
@@ -140,9 +165,8 @@ def _estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = np.zeros((P, P))
             for i, j in _PAIRS:
                 cov[i, j] = cov[j, i] = float(r[f"q{i}_{j}"]) / c - mu[i] * mu[j]
-            cov = cov / GRID**2 + np.diag(np.square(FLOOR))
-            out.append((r["gid"], int(r["start"]), int(r["n"]), (mu / GRID).tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), 1.0))
-        yield pd.DataFrame(out, columns=["gid", "start", "n", "mu", "inverse", "logdet", "scale"])
+            out.append(_row(r["gid"], r["n"], mu / GRID, cov / GRID**2 + np.diag(np.square(FLOOR))))
+        yield _frame(out)
 
 
 def _distance(x: Column, mu: Column, inverse: Column) -> Column:
@@ -157,18 +181,22 @@ def _bin(d2: Column) -> Column:
 
 def _half() -> Column:
     """Rows of a half set: as few as junk that is no majority can't fill."""
-    return F.floor((F.col("n") + P + 1) / 2)
+    return F.least(F.col("n"), F.floor((F.col("n") + P + 1) / 2))
 
 
-def _step(fit: DataFrame, fitted: DataFrame, need: Column | None = None) -> DataFrame:
-    """A concentration step: estimates from each group's nearest rows, `need` of them (a SHARE if not given) and those of the last bin."""
-    at = fit.join(fitted.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).withColumn("bin", _bin(_distance(F.col("x"), F.col("mu"), F.col("inverse"))))
-    bins = at.groupBy("gid", "start", "n", "bin").agg(*_sums())
-    upto = W.partitionBy("gid", "start").orderBy("bin")
-    run = bins.select("gid", "start", "n", "bin", *(F.sum(F.col(x).cast("decimal(38,0)")).over(upto).alias(x) for x in _NAMES))
-    need = F.ceil(F.col("n") * SHARE) if need is None else need
-    first = run.where(F.col("c") >= need).withColumn("_k", F.row_number().over(upto)).where("_k = 1")
-    return save(first.select("gid", "start", "n", *(F.col(x).cast("double").alias(x) for x in _NAMES)).mapInPandas(_estimate, _FITTED), "fitted")
+def _told(fit: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Rows with their group's n and the bin of their distance. Groups are few and small; if they are too many to broadcast, a hot group's join is split at run time."""
+    own = fitted.select(F.col("gid").alias("_g"), "n", "mu", "inverse")
+    return fit.join(own, F.col("gid") == F.col("_g")).withColumn("d2", _distance(F.col("x"), F.col("mu"), F.col("inverse"))).withColumn("bin", _bin(F.col("d2")))
+
+
+def _step(fit: DataFrame, fitted: DataFrame) -> DataFrame:
+    """A concentration step: estimates from each group's half set, with all of the last bin."""
+    bins = _told(fit, fitted).groupBy("gid", "n", "bin").agg(*_sums())
+    upto = W.partitionBy("gid").orderBy("bin")
+    run = bins.select("gid", "n", "bin", *(F.sum(F.col(x).cast("decimal(38,0)")).over(upto).alias(x) for x in _NAMES))
+    first = run.where(F.col("c") >= _half()).withColumn("_k", F.row_number().over(upto)).where("_k = 1")
+    return save(first.select("gid", "n", *(F.col(x).cast("double").alias(x) for x in _NAMES)).mapInPandas(_estimate, _FITTED), "fitted")
 
 
 def _fits(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,69 +241,98 @@ def _seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for gid, n, rows in zip(f["gid"], f["n"], f["rows"], strict=True):
-            mu, cov = _sought(np.array([[*r["x"]] for r in rows], float) / GRID, np.array([r["c"] for r in rows], np.int64))
-            out.append((gid, 0, int(n), mu.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), 1.0))
-        yield pd.DataFrame(out, columns=["gid", "start", "n", "mu", "inverse", "logdet", "scale"])
+            x, c = np.array([[*r["x"]] for r in rows], float) / GRID, np.array([r["c"] for r in rows], np.int64)
+            out.append(_row(gid, n, *_sought(x, c)))
+        yield _frame(out)
 
 
 def _starts(fit: DataFrame) -> DataFrame:
-    """A start for each group, sought among about START_ROWS hash-random rows."""
+    """A start for each group, sought among about START_ROWS hash-random rows, or all where they are fewer."""
+    sizes = _sizes(fit).withColumnRenamed("gid", "_g")
     draw = F.pmod(F.xxhash64("doc_id", *(F.col("x")[i] for i in range(P))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = fit.where(draw * F.col("n") < START_ROWS).groupBy("gid", "n", "x").agg(F.count(F.lit(1)).alias("c"))
-    rows = some.groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("x", "c"))).alias("rows"))
+    some = fit.join(sizes, F.col("gid") == F.col("_g")).where((draw * F.col("n") < START_ROWS) | (F.col("n") <= START_ROWS)).groupBy("gid", "n", "x").agg(F.count(F.lit(1)).alias("c"))
+    # copies of one vector may all be drawn or none: a group without a row drawn takes its smallest one
+    least = fit.join(sizes, F.col("gid") == F.col("_g")).where(F.col("n") > START_ROWS).groupBy("gid", "n").agg(F.min("x").alias("x")).withColumn("c", F.lit(1).cast("long"))
+    rows = some.unionByName(least.select(*some.columns)).groupBy("gid", "n").agg(F.sort_array(F.collect_list(F.struct("x", "c"))).alias("rows"))
     return save(rows.mapInPandas(_seek, _FITTED), "fitted")
 
 
 def _scaled(fit: DataFrame, fitted: DataFrame) -> DataFrame:
-    """fitted with the scale that makes the median distance that of a Gaussian, 1 at least."""
-    at = fit.join(fitted.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).withColumn("bin", _bin(_distance(F.col("x"), F.col("mu"), F.col("inverse"))))
+    """gid, n, mu, cov, inverse and scale: the factor that makes the median distance that of a Gaussian, 1 at least."""
     upto = W.partitionBy("gid").orderBy("bin")
-    run = at.groupBy("gid", "n", "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.sum("c").over(upto))
+    run = _told(fit, fitted).groupBy("gid", "n", "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.sum("c").over(upto))
     half = run.where(2 * F.col("c") >= F.col("n")).groupBy("gid").agg(F.min("bin").alias("bin"))
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 0.5) / OCTAVE) / F.lit(MEDIAN))
-    return save(fitted.drop("scale").join(half, "gid").select("gid", "start", "n", "mu", "inverse", scale.alias("scale")), "groups")
+    return save(fitted.join(half, "gid").select("gid", "n", "mu", "cov", "inverse", scale.alias("scale")), "groups")
 
 
 def _reweighted(fit: DataFrame, scaled: DataFrame) -> DataFrame:
     """Estimates from all rows within NEAR of the half sets' estimates."""
-    at = fit.join(scaled.withColumnsRenamed({"gid": "_g", "n": "_n"}), F.col("gid") == F.col("_g")).where(_distance(F.col("x"), F.col("mu"), F.col("inverse")) <= F.col("scale") * NEAR)
-    sums = at.groupBy("gid", "start", "n").agg(*_sums())
-    return save(sums.select("gid", "start", "n", *(F.col(x).cast("double").alias(x) for x in _NAMES)).mapInPandas(_estimate, _FITTED), "fitted")
+    at = _told(fit, scaled).join(scaled.select(F.col("gid").alias("_of"), "scale"), F.col("gid") == F.col("_of")).where(F.col("d2") <= F.col("scale") * NEAR)
+    return save(at.groupBy("gid", "n").agg(*_sums()).select("gid", "n", *(F.col(x).cast("double").alias(x) for x in _NAMES)).mapInPandas(_estimate, _FITTED), "fitted")
 
 
 def fit_groups(fit: DataFrame) -> DataFrame:
-    """gid, mu, inverse, scale by a half set of each group.
+    """gid, n, mu, cov, inverse, scale by a half set of each group of (doc_id, gid, x).
 
     Steps over all rows go on until no determinant falls any more or STEPS are
     done. The rows near that estimate give the last one.
     """
-    now = _step(fit, _starts(fit), _half())
+    now = _step(fit, _starts(fit))
     for _ in range(STEPS):
-        after = _step(fit, now, _half())
+        after = _step(fit, now)
         moved = after.join(now.select("gid", F.col("logdet").alias("_was")), "gid").agg(F.max(F.col("_was") - F.col("logdet"))).first()[0]
         now = after
         if moved is None or moved < 1e-6:
             break
-    return _scaled(fit, _reweighted(fit, _scaled(fit, now))).select("gid", "mu", "inverse", "scale")
+    return _scaled(fit, _reweighted(fit, _scaled(fit, now)))
+
+
+def own_weights(n: int) -> tuple[float, float]:
+    """Of a group's centre and of its scatter."""
+    free = max(0.0, (n - P - 1) / 2)
+    return min(1.0, 3 * free / n), free / (free + LEAN)
+
+
+def _lean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's centre and scatter, leaning on its language's, which lean on all rows'."""
+    square = lambda x: np.array([*x]).reshape(P, P)
+    for f in frames:
+        out = []
+        for r in f.to_dict("records"):
+            mu, scatter = np.array([*r["mu_of_all"]]), square(r["cov_of_all"]) * r["scale_of_all"]
+            for level in ("of_lang", "gid"):
+                u, w = own_weights(r[f"n_{level}"])
+                mu = u * np.array([*r[f"mu_{level}"]]) + (1 - u) * mu
+                scatter = w * square(r[f"cov_{level}"]) * r[f"scale_{level}"] + (1 - w) * scatter
+            out.append((r["gid"], mu.tolist(), np.linalg.inv(scatter).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["gid", "mu", "inverse"])
+
+
+def leaning(groups: DataFrame, fitted: DataFrame) -> DataFrame:
+    """gid, mu, inverse of every group; groups: their names at all LEVELS."""
+    for level in LEVELS:
+        own = fitted.select(F.col("gid").alias("_g"), *(F.col(c).alias(f"{c}_{level}") for c in ("n", "mu", "cov", "scale")))
+        groups = groups.join(own, F.col(level) == F.col("_g")).drop("_g")
+    return save(groups.mapInPandas(_lean, "gid string, mu array<double>, inverse array<double>"), "estimates")
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, text_print, counts, base_failed, kept and distance of every row of docs.
+def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
+    """doc_id, lang, source, text_print, counts, base_failed, kept and distance of every row of docs.
 
     docs: doc_id, text, lang, source; other columns are left out. A null text
     is empty, and fails by its length. Null languages and sources are groups of
-    their own. Estimates come from rows that pass the base rules; groups of
-    fewer than LEAST such rows are pooled by language, then altogether. The last
-    pool has an estimate whatever its size, if it has more than P rows; P rows
-    or fewer keep by the base rules alone (distance null).
-    Repeated rows each count. Empty tables give no rows.
+    their own. Estimates come from rows that pass the base rules; every group
+    with such a row has one, of any size (see above). `cut`: the distance of
+    rejection. Rows that fail the base rules have a distance where their group
+    has an estimate. Repeated rows each count. Empty tables give no rows. A
+    task holds some ten times the bytes of a very long text.
     """
-    stats = save(statistics(docs).withColumn("x", vector()), "statistics")
-    groups = save(_groups(stats.where(~F.col("base_failed"))), "members")
-    # groups are few and small; if they are too many to broadcast, a hot group's join is split at run time
-    rows = stats.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    fit = save(rows.where(~F.col("base_failed") & (F.col("n") > P)).select("doc_id", "gid", "n", "x"), "vectors")
-    fitted = fit_groups(fit).withColumnRenamed("gid", "_g")
-    judged = rows.join(fitted, F.col("gid") == F.col("_g"), "left").withColumn("distance", _distance(F.col("x"), F.col("mu"), F.col("inverse")) / F.col("scale"))
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUT, F.lit(False))
-    return judged.select("doc_id", "text_print", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    with scratch(docs.sparkSession):
+        stats = save(_named(statistics(docs).withColumn("x", vector())), "statistics", keep=True)
+        vectors = save(stats.where(~F.col("base_failed")).select("doc_id", *LEVELS, "x"), "vectors")
+        groups = save(vectors.select(*LEVELS).distinct(), "members")
+        estimates = leaning(groups, fit_groups(_members(vectors))).withColumnRenamed("gid", "_g")
+        judged = stats.join(save(estimates, "judges", keep=True), F.col("gid") == F.col("_g"), "left").withColumn("distance", _distance(F.col("x"), F.col("mu"), F.col("inverse")))
+        kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cut, F.lit(False))
+        return judged.select("doc_id", "lang", "source", "text_print", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

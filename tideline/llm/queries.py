@@ -20,7 +20,7 @@ from .sql import ORACLES
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).drop("text_print")
+    return quality(table(spark, sf_dir, "documents")).drop("lang", "source", "text_print")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

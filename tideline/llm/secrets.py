@@ -190,11 +190,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
 
     Matches of one rule don't overlap, those of different rules may. A null or
     empty text has no spans. Row by row: no shuffle, repeated rows stay, other
-    columns are left out.
+    columns are left out. A task holds some twenty times the bytes of a very
+    long text.
     """
     return docs.select("doc_id", "text").mapInArrow(_scan(rules, tuple(r.kind for r in rules)), f"doc_id long, spans {SPANS}")
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and spans of every row: scan as digests; a row without spans has the digest of an empty text."""
     spans: Column = F.col("spans")
     return scan(docs).select("doc_id", *(count(spans, k).alias(f"n_{k}") for k in BASE_KINDS), digest(spans, BASE_KINDS).alias("base_sha256"), joined(spans).alias("spans"))

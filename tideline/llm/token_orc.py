@@ -14,8 +14,8 @@ the files' starts are a running sum over one row per file.
 
 from __future__ import annotations
 
+import json
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import raw, shared_dir, slices
+from .common import new_folder, raw, slices, text_print
 
 END_ID = 2
 #: Chunks whose ids a worker remembers; beyond it starts anew.
@@ -65,13 +65,23 @@ class Encoder:
     or newline, or between a letter or digit and a point. So texts are cut
     there, every distinct chunk goes through the library once, many to a call,
     and its ids are used wherever it occurs. Texts with characters beyond Latin
-    letters, or other white space, go through it whole.
+    letters, with other white space or with an added token (which the library
+    takes out of a text before it splits) go through it whole, and so do all
+    texts of a vocabulary that splits in another way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        shape = json.loads(self.library.to_str())
+        split, model = shape["pre_tokenizer"] or {}, shape["model"]
+        self.added = [t["content"] for t in shape["added_tokens"]]
+        self.cuts = (
+            (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+            and (model["type"], shape["normalizer"], shape["truncation"], shape["padding"]) == ("BPE", None, None, None)
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(a.split() == [a] for a in self.added)
+        )
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.length = np.zeros(1 + max(vocabulary.values()), np.int64)
         self.length[[*vocabulary.values()]] = [*map(len, vocabulary)]  # its strings have a character for each byte
@@ -86,6 +96,7 @@ class Encoder:
         data, at = raw(texts)
         plain, even = self._classes(data, at)
         texts = ["" if t is None else t for t in texts.to_pylist()]
+        plain = [self.cuts and bool(p) and not any(a in t for a in self.added) for p, t in zip(plain, texts, strict=True)]
         if len(self.number) > REMEMBER:
             self._forget()
         cut = [self._cut(t, e) if p else [t] for t, p, e in zip(texts, plain, even, strict=True)]
@@ -191,11 +202,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int | None =
 
     Null texts are empty; `end` (none: nothing) follows each document. Null ids
     come first; rows with the same doc_id are all written, in order of their
-    texts. An empty table writes an empty folder. Other columns are left out.
-    A task that runs again writes the same rows, as ranges and order depend on
-    the ids alone.
+    texts' hashes, so that even one id's rows are dealt to several tasks. An
+    empty table writes an empty folder. Other columns are left out. A task that
+    runs again writes the same rows, as ranges and order depend on ids and texts
+    alone. A very long text takes a task several times its size.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_print().alias("_print")).repartitionByRange("doc_id", "_print").sortWithinPartitions("doc_id", "_print").drop("_print")
     ordered.mapInArrow(_encode(vocabulary, end), FORMAT).write.options(**WRITE).orc(path)
 
 
@@ -206,7 +218,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 
 def file_starts(tokens: DataFrame) -> DataFrame:
-    """part, start: ids in all files before this one. One row per file passes through the window."""
+    """part, start: ids in all files before this one. One row per file passes through the window, some 10^5 for 10 TB of text."""
     per_file = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     return per_file.select("part", F.coalesce(F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"))
 
@@ -220,11 +232,11 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every row, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every row, from the files. Repeated rows stay; an empty folder gives none."""
     tokens = read_tokens(spark, path)
     rows = tokens.select("doc_id", "part", "first", "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
     return rows.join(file_starts(tokens), "part").select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}/tokens"
+    return f"{new_folder(spark)}/tokens"

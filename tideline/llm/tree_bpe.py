@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Texts up to this many characters are encoded without halving.
-LEAF = 4096
+LEAF = 512
 #: The first window reaches this many characters to each side of a seam.
 WINDOW = 32
 
-#: Stable places, for any reading of \s in the split pattern.
+#: Stable places of public_tokenizers.PATTERN, for any reading of \s. Texts of another pattern are encoded whole.
 _EDGE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])[ \n]")
 
 
@@ -40,7 +41,7 @@ class TreeBPE:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes = {b: a for a, b in ranks.items()}
-        self.leaf, self.window = leaf, window
+        self.leaf, self.window = leaf if pattern == public_tokenizers.PATTERN else sys.maxsize, window
 
     def encode(self, text: str) -> list[int]:
         return self._encode(text, 0, len(text))
@@ -158,5 +159,11 @@ def encode_and_check(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (bytes decoded from those ids) of every row."""
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (bytes decoded from those ids) of every row.
+
+    A null text is empty and has no ids; repeated rows stay, other columns go.
+    Row by row: no shuffle. A very long text without stable places is encoded
+    anew at every level of its tree, n log n work; a task holds some thirty
+    times its bytes.
+    """
     return docs.select("doc_id", "text").mapInArrow(_digests(path, leaf), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
