@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import tree_bpe
-from tideline.llm.common import save, table
+from tideline.llm.common import new_folder, remove, save, scratch, table
 from tideline.llm.graph import first_of_each, without
 from tideline.llm.mixing import mixed_documents
 from tideline.llm.parity_join import similar_components
@@ -26,17 +26,20 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return without(docs, save(quality(docs).where(~F.col("kept")).select("doc_id", "text_print").distinct(), "rejected"))
+    """Rejected documents go. A row is known by id, text, language and source, as the same text may stand in another group."""
+    with scratch(spark):
+        rejected = save(quality(docs).where(~F.col("kept")).select("doc_id", "text_print", "lang", "source").distinct(), "rejected", keep=True)
+    return without(docs, rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Texts without words are no group and stay."""
-    rows = save(similar_components(docs, SHINGLE, PERCENT).where("n_shingles > 0"), "grouped")
-    stay = save(rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "text_print", "doc_id")).alias("s")).select(F.col("component").alias("_c"), F.col("s.doc_id").alias("_doc"), F.col("s.text_print").alias("_own")), "stay")
-    told = rows.join(stay, F.col("component") == F.col("_c")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_print") == F.col("_own")))
-    go = save(told.where("not stays").select("doc_id", "text_print").distinct(), "go")
-    again = save(told.where("stays").groupBy("doc_id", "text_print").count().where("count > 1").select("doc_id", "text_print"), "again")
+    with scratch(spark):
+        rows = save(similar_components(docs, SHINGLE, PERCENT).where("n_shingles > 0"), "grouped")
+        stay = save(rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "text_print", "doc_id")).alias("s")).select(F.col("component").alias("_c"), F.col("s.doc_id").alias("_doc"), F.col("s.text_print").alias("_own")), "stay")
+        told = rows.join(stay, F.col("component") == F.col("_c")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_print") == F.col("_own")))
+        go = save(told.where("not stays").select("doc_id", "text_print").distinct(), "go", keep=True)
+        again = save(told.where("stays").groupBy("doc_id", "text_print").count().where("count > 1").select("doc_id", "text_print"), "again", keep=True)
     return first_of_each(without(docs, go), again)
 
 
@@ -59,7 +62,15 @@ STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns. Each stage's tables go once its result is written, and that once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch(spark):
+            folder = new_folder(spark, keep=True)
+            after = stage(spark, docs, sf_dir)
+            after.write.parquet(f"{folder}/{name.replace(' ', '_')}")
+        docs = spark.read.schema(after.schema).parquet(f"{folder}/{name.replace(' ', '_')}")
+        if before:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
