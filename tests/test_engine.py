@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tideline import queries as engine
 from tideline.functions.changes import display_columns, key_labels, parse_record, record_json
+from tideline.functions.filters import Filter
 from tideline.operators import metrics, reads, routing, state
 from tideline.operators.routing import Sink, Sinks
 from tideline.plans.catalog import Catalog, Refused, catalog_tables, fingerprint, parse_config, reserved, validate_sink
-from tideline.sources.feed import start_position, token_is_useless
+from tideline.sources.feed import from_start, start_position, token_is_useless
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -60,11 +61,42 @@ def test_lookup(spark):
 def test_start_position():
     assert start_position("82AB", "c") == ("token", "82AB")
     assert start_position("zz", "c") == ("checkpoint", "c")
-    assert start_position(None, None) == ("now", None)
+    assert start_position(None, None) == ("now", None) and start_position(None, 0.0) == ("checkpoint", 0.0)
     assert token_is_useless(286) and token_is_useless(280, "x: cannot resume stream; the resume token was not found")
     assert not token_is_useless(280) and not token_is_useless(None, "timeout")
 
 
+def test_from_start(spark):
+    rows = [("0A", 10), ("0B", 20), ("0C", None)]
+    df = spark.createDataFrame(rows, "k string, t long").select(F.struct(F.col("k").alias("_data")).alias("_id"), F.when(F.col("t").isNotNull(), F.struct(F.col("t"), F.lit(1).alias("i"))).alias("clusterTime"))
+    got = lambda position, now=0: sorted(r[0] for r in from_start(df, position, now).select("_id._data").collect())
+    assert got(start_position("0a", None)) == ["0B", "0C"] and got(start_position(None, 20.0)) == ["0B", "0C"]
+    assert got(start_position(None, None), now=30) == ["0C"] and got(start_position("zz", None), now=5) == ["0A", "0B", "0C"]
+
+
+def test_document_lookup(spark):
+    df = spark.createDataFrame([("0123456789abcdef01234567", 1), ("plain", 2)], "_id string, n int")
+    assert [r.n for r in reads.document(df, "0123456789ABCDEF01234567").collect()] == [1]
+    assert reads.document(df, "plain").collect() == [] == reads.document(df.select(F.col("n").alias("_id")), "x").collect()
+    sinks = spark.createDataFrame([("s", "a"), ("t", "b")], "id string, collectionId string")
+    assert reads.sink(sinks, "a", "s").count() == 1 and reads.sink(sinks, "b", "s").count() == 0
+
+
+def test_removals(spark):
+    df = spark.sql("SELECT 1 AS _id, timestamp'2024-01-01 00:00:00' AS at, 'soon' AS note UNION ALL SELECT 2, timestamp'2024-03-01 00:00:00', 'late' UNION ALL SELECT 3, null, 'never'")
+    now = F.expr("timestamp'2024-02-01 00:00:00'")
+    (r,) = state.removals(df, "c", "at", now).select("*", F.to_json("oldImage").alias("j")).drop("newImage", "oldImage").collect()
+    assert (r.recordType, r.documentId, r.eventId) == ("REMOVE", "1", "c:expired:1:20240101000000000000") and '"note":"soon"' in r.j
+    assert state.removals(df, "c", "note", now).count() == 0  # no time, no expiry
+
+
+def test_metric_lines(spark):
+    df = spark.createDataFrame([("a", 0.5), ("a", 0.002), ("b", 40.0)], "sink string, seconds double")
+    h = metrics.histogram(df, "seconds", metrics.WAIT_BUCKETS, "sink")
+    assert {r.line for r in metrics.snapshot_histogram(h, "wait", "sink").collect()} == {"wait{sink=a} count=2 sum=0.502000", "wait{sink=b} count=1 sum=40.000000"}
+    assert {r.line for r in metrics.snapshot(h, "n", "sink").collect()} == {"n{sink=a} 2", "n{sink=b} 1"}
+
+
 def test_backoff(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,), (20,)], "n int").select(state.backoff(F.col("n")))
     assert [r[0] for r in df.collect()] == [1.0, 2.0, 4.0, 8.0, 300.0]
@@ -103,6 +135,8 @@ def test_live_sinks():
     sinks.load = lambda: 1 / 0
     assert len(sinks.refresh()) == 3  # the last good ones
     assert sinks.remove("a") and not sinks.remove("a")
+    sinks.register(Sink("r", "c", "http"))
+    assert sinks.active["r"].type == "http" and sinks.count() == 3
     sinks.clear()
     with pytest.raises(ZeroDivisionError):
         sinks.refresh()
@@ -147,6 +181,12 @@ def test_catalog(spark):
     c.enable_ttl("u", "at")
     assert code(c.enable_ttl, "u", "other") == "TTL_ENABLED"
     assert c.disable_ttl("u").ttl_attribute is None and c.disable_ttl("u").ttl_attribute is None
+    c.create("w"), c.enable_stream("w"), c.create_sink("w", "5", "http", spec)
+    assert code(c.delete_sink, "u", "5") == "SINK_NOT_FOUND" and c.get_sink("w", "5").collection == "w"  # of another collection
+    c.delete_sink("w", "5")
+    assert code(c.get_sink, "w", "5") == "SINK_NOT_FOUND" == code(c.delete_sink, "w", "5") and told[-1] == "w"
+    c.unprotect("w"), c.delete("w")
+    purged.clear()
     collections, sinks = catalog_tables(spark, c)
     assert collections.count() == 1 and sinks.first().fingerprint == fingerprint("http", spec)
     c.disable_stream("u")
@@ -170,6 +210,11 @@ def test_plans_stay_narrow(spark):
     """Parsing, filtering and routing need the feed's one shuffle for old images, and no Python."""
     plan = engine.QUERIES["route"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan
+    # what filters ask of an image is extracted once, whatever the number of sinks
+    many = [Sink(f"s{i}", engine.COLLECTION, "http", {}, (), Filter.parse({"newImage": {"value": {"gt": i}, "event_type": {"eq": "purchase"}}})) for i in range(60)]
+    plan = routing.route(engine.records(spark, SF), many)._jdf.queryExecution().optimizedPlan().toString()
+    few = routing.route(engine.records(spark, SF), many[:2])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") == few.count("try_variant_get") and plan.count("schema_of_variant") == few.count("schema_of_variant")
     scan = engine.QUERIES["get_document"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderkey,33)" in scan and "o_totalprice" not in scan
     page = engine.QUERIES["scan_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -54,7 +54,7 @@ def world(spark, tmp_path):
         text.where(f"event_id % 2 = {k}").drop("event_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     now = [dt.datetime(2024, 2, 1, tzinfo=dt.UTC)]
     sink = Sink("f", "users", "file", {"folder": str(tmp_path / "out")}, (), Filter.parse({"newImage": {"event_type": {"eq": "purchase"}}}))
-    pipe = Pipeline(spark, "users", f"file://{tmp_path}/state", lambda: [sink], lambda: now[0])
+    pipe = Pipeline(spark, "users", f"file://{tmp_path}/state", lambda: [sink], lambda: now[0], started_at=0.0)
     return pipe, tmp_path, now, text
 
 
@@ -82,24 +82,159 @@ def test_delivery_and_restart(spark, world):
 
 def test_crash_before_commit(spark, world):
     pipe, path, *_ = world
-    keep, pipe._append = pipe._append, None
+    keep = pipe._put
 
-    def append(name, rows):
+    def put(name, rows, part):
         if name == "processed":
             raise OSError("lost")
-        keep(name, rows)
+        keep(name, rows, part)
 
-    pipe._append = append
+    pipe._put = put
     q = pipe.start(stream_changes(spark, str(path / "in")))
     with pytest.raises(Exception, match="lost"):
         q.awaitTermination()
     first = len(sent(path / "out"))
-    pipe._append = keep
+    pipe._put = keep
     run(spark, pipe, path)
     assert first == 3 and len(sent(path / "out")) == 6  # again, not lost
     assert pipe.table("processed").count() == 12
 
 
+def test_a_batch_that_runs_again_counts_once(spark, world):
+    pipe, path, *_ = world
+    from tideline.sources.feed import read_changes
+
+    changes = read_changes(spark, str(path / "in"))
+    keep, failed = pipe._put, []
+
+    def put(name, rows, part):
+        keep(name, rows, part)
+        if name == "outcomes" and not failed:
+            failed.append(part)
+            raise OSError("lost")
+
+    pipe._put = put
+    with pytest.raises(OSError):
+        pipe.process_batch(changes, 7)
+    pipe._delete(pipe._path("processed"))  # as if these keys had not been written
+    pipe.process_batch(changes, 7)
+    assert pipe.table("outcomes").count() == 3 and pipe.table("settled").count() == 12
+    assert {r.state for r in pipe.table("settled").collect()} == {"delivered"}
+    assert not list((path / "state" / "users" / "work").glob("[!.]*"))
+
+
+def test_unsettled(spark, world):
+    """What is neither delivered nor queued is an error: its batch runs again."""
+    from tideline.sources.feed import read_changes
+    from tideline.streaming.pipeline import Unsettled
+
+    pipe, path, *_ = world
+    (path / "out" / "fail").touch()
+    keep = pipe._put
+
+    def put(name, rows, part):
+        if name == "retry":
+            raise OSError("no queue")
+        keep(name, rows, part)
+
+    pipe._put = put
+    changes = read_changes(spark, str(path / "in"))
+    with pytest.raises(Unsettled, match="no queue"):
+        pipe.process_batch(changes, 0)
+    assert pipe.table("processed").count() == 0
+    pipe._put = keep
+    pipe.process_batch(changes, 0)
+    assert pipe.table("retry").count() == 3 and {r.state: r.n for r in pipe.table("settled").groupBy("state").agg(F.count("*").alias("n")).collect()} == {"delivered": 9, "queued": 3}
+
+
+def test_compaction(spark, world):
+    """The queue becomes one part and keeps its meaning, expired days and old parts go."""
+    import os
+
+    from tideline.operators.state import latest
+
+    pipe, path, now, _ = world
+    (path / "out" / "fail").touch()
+    run(spark, pipe, path)
+    for _ in range(3):
+        now[0] += dt.timedelta(seconds=400)
+        assert pipe.retry_tick() == {"requeue": 3}
+    (path / "out" / "fail").unlink()
+    before = sorted(map(str, latest(pipe.table("retry")).collect()))
+    assert len(pipe.parts("retry")) > 3
+    pipe.compact()
+    assert len(pipe.parts("retry")) == 1 and sorted(map(str, latest(pipe.table("retry")).collect())) == before
+    now[0] += dt.timedelta(seconds=400)
+    assert pipe.retry_tick() == {"done": 3} and pipe.retry_tick() == {}
+    pipe.compact()
+    assert latest(pipe.table("retry")).count() == 0 and pipe.table("retry").count() == 3  # removed lately
+    now[0] += dt.timedelta(days=3)
+    for part, _ in pipe.parts("settled"):
+        os.utime(part.removeprefix("file:"), (0, 0))
+    pipe.compact()
+    pipe._put("retry", pipe.table("retry").where("false"), "other")
+    pipe.compact()
+    assert pipe.table("retry").count() == 0 and pipe.table("processed").count() == 0
+    assert pipe.parts("settled") == [] and pipe.table("settled").count() == 0 and pipe.parts("outcomes")
+
+
+def test_many_parts_are_compacted(spark, world, monkeypatch):
+    from tideline.streaming import pipeline
+
+    pipe, path, now, _ = world
+    monkeypatch.setattr(pipeline, "MANY_PARTS", 2)
+    (path / "out" / "fail").touch()
+    run(spark, pipe, path)
+    for _ in range(4):
+        now[0] += dt.timedelta(seconds=400)
+        assert pipe.retry_tick() == {"requeue": 3}
+    assert len(pipe.parts("retry")) <= 3
+
+
+def test_first_start(spark, world):
+    """After a token, at the stream's enabling, or now; a second start goes on where the first one ended."""
+    from dataclasses import replace
+
+    pipe, path, now, text = world
+    late = replace(pipe, root=f"file://{path}/late", started_at=None)
+    run(spark, late, path)
+    assert late.table("processed").count() == 0  # all events were before now
+    text.drop("event_id").coalesce(1).write.mode("append").parquet(str(path / "in"))
+    run(spark, late, path)
+    assert late.table("processed").count() == 12  # came after the first start, whatever their time
+    token = replace(pipe, root=f"file://{path}/token", resume_token=f"{7:016X}")
+    run(spark, token, path)
+    assert token.table("processed").count() == 4
+    since = replace(pipe, root=f"file://{path}/since", started_at=dt.datetime(2024, 1, 1, 0, 9, tzinfo=dt.UTC).timestamp())
+    run(spark, since, path)
+    assert since.table("processed").count() == 3
+
+
+def test_terminal_event_ends_the_stream(spark, world):
+    from tideline.streaming.pipeline import StreamEnded
+
+    pipe, path, *_ = world
+    drop = spark.sql("SELECT named_struct('_data', 'FF') AS _id, 'drop' AS operationType, named_struct('t', 1893456000L, 'i', 1) AS clusterTime, cast(null AS string) AS documentKey, cast(null AS string) AS fullDocument, cast(null AS string) AS fullDocumentBeforeChange")
+    drop.coalesce(1).write.mode("append").parquet(str(path / "in"))
+    time.sleep(1.1)
+    insert = drop.selectExpr("named_struct('_data', 'FFF') AS _id", "'insert' AS operationType", "clusterTime", "'{\"_id\":1}' AS documentKey", "'{\"_id\":1,\"event_type\":\"purchase\"}' AS fullDocument", "fullDocumentBeforeChange")
+    insert.coalesce(1).write.mode("append").parquet(str(path / "in"))
+    q = pipe.start(stream_changes(spark, str(path / "in"), max_files=1))
+    with pytest.raises(Exception, match="StreamEnded"):
+        q.awaitTermination()
+    assert pipe.table("processed").count() == 12 and pipe.ended()
+    again = Pipeline(spark, "users", pipe.root, pipe.load_sinks, pipe.clock)  # a new process knows it too
+    with pytest.raises(StreamEnded):
+        again.start(stream_changes(spark, str(path / "in")))
+    stopped = []
+    s = Supervisor(lambda: ["users", "b"], lambda n: stopped.append(n), lambda n: n == "users" and again.ended())
+    s.sync()
+    assert stopped == ["b"]
+    again.reopen()
+    run(spark, again, path)
+    assert again.table("processed").count() == 13
+
+
 def test_retry_and_dead_letters(spark, world):
     pipe, path, now, _ = world
     (path / "out" / "fail").touch()
@@ -253,6 +388,49 @@ class Client:
         return call
 
 
+def test_http_keeps_its_connection():
+    ports = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            ports.append(self.client_address[1])
+            self.rfile.read(int(self.headers["Content-Length"]))
+            body = b"x" * (10 if len(ports) != 2 else 100_000)
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+            if len(ports) == 4:
+                self.close_connection = True
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    t = S.HttpTransport(f"http://127.0.0.1:{server.server_port}/x?y=1")
+    for _ in range(5):
+        t.send(RECORD)
+    server.shutdown()
+    assert ports[0] == ports[1] and ports[1] != ports[2] == ports[3] != ports[4]  # a long answer is not read to its end; a closed connection is replaced
+
+
+def test_hung_clients(monkeypatch):
+    monkeypatch.setattr(S, "TIMEOUT", 0.2)
+
+    class Hung:
+        def __getattr__(self, name):
+            return lambda *args, **kwargs: time.sleep(60)
+
+    began = time.monotonic()
+    for t in (S.RedisTransport("s", Hung()), S.EventBridgeTransport("bus", client=Hung()), S.MeilisearchTransport("i", Hung())):
+        with pytest.raises(S.DeliveryError, match="no answer"):
+            t.send(RECORD)
+    assert time.monotonic() - began < 5
+
+
 def test_other_transports():
     c = Client()
     S.RedisTransport("s", c).send(RECORD)

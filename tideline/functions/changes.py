@@ -56,13 +56,16 @@ def record_json() -> Column:
     return F.to_json(F.struct("tableName", "recordType", "newImage", "oldImage", stamp.alias("timestamp"), F.nullif("eventId", F.lit("")).alias("eventId"), F.nullif("documentId", F.lit("")).alias("documentId")))
 
 
+_RECORD_JSON = "tableName string, recordType string, newImage variant, oldImage variant, timestamp string, eventId string, documentId string, _broken string"
+
+
 def parse_record(json: Column) -> Column:
-    """A record struct of its JSON: null images are absent, a bad timestamp is null, broken JSON gives null. Ids stay."""
-    v = F.try_parse_json(json)
-    text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
-    image = lambda k: F.when(~F.is_variant_null(F.try_variant_get(v, f"$.{k}", "variant")), F.try_variant_get(v, f"$.{k}", "variant"))
-    stamp = F.try_to_timestamp(text("timestamp"))
-    return F.when(v.isNotNull(), F.struct(text("tableName").alias("tableName"), text("recordType").alias("recordType"), image("newImage").alias("newImage"), image("oldImage").alias("oldImage"), stamp.alias("timestamp"), F.coalesce(text("eventId"), F.lit("")).alias("eventId"), F.coalesce(text("documentId"), F.lit("")).alias("documentId")))
+    """A record struct of its JSON: null images are absent, a bad timestamp is null, broken JSON or no object gives null. Ids stay."""
+    r = F.from_json(json, _RECORD_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    image = lambda k: F.when(~F.is_variant_null(r[k]), r[k])
+    text = lambda k: F.coalesce(r[k], F.lit(""))
+    record = F.struct(r["tableName"].alias("tableName"), r["recordType"].alias("recordType"), image("newImage").alias("newImage"), image("oldImage").alias("oldImage"), F.try_to_timestamp(r["timestamp"]).alias("timestamp"), text("eventId").alias("eventId"), text("documentId").alias("documentId"))
+    return F.when(r.isNotNull() & r["_broken"].isNull(), record)
 
 
 # -- columns of a document table

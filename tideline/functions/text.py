@@ -31,7 +31,16 @@ def as_text(x: Column) -> Column:
 
 
 def plain_double(d: Column) -> Column:
-    """A double in the digits of the JVM (the shortest but for rare cases): exponents only below 1e-4 and from 1e21, no point for whole numbers."""
+    """A double in the digits of the JVM (the shortest but for rare cases): exponents only below 1e-4 and from 1e21, no point for whole numbers.
+
+    Doubles that the JVM writes without an exponent, which nearly all are, only lose a last .0.
+    """
+    s, size = d.cast("string"), F.abs(d)
+    short = F.when(s.endswith(".0"), F.substr(s, F.lit(1), F.length(s) - 2)).otherwise(s)
+    return F.when((size >= 1e-3) & (size < 1e7), short).otherwise(_any_double(d))
+
+
+def _any_double(d: Column) -> Column:
     s = F.abs(d).cast("string")
     mantissa = F.regexp_extract(s, r"^([0-9.]+)", 1)
     exponent = F.coalesce(F.try_element_at(F.split(s, "E"), F.lit(2)).cast("int"), F.lit(0))
@@ -51,19 +60,24 @@ def plain_double(d: Column) -> Column:
     return F.when(F.isnan(d), F.lit("NaN")).when(d == float("inf"), F.lit("+Inf")).when(d == float("-inf"), F.lit("-Inf")).otherwise(F.concat(sign, body))
 
 
-def _plain_scalar(x: Column) -> Column:
-    t = variant_type(x)
-    return F.when(t == "VOID", F.lit("<nil>")).when(t.isin("STRING", "BOOLEAN", "TINYINT", "SMALLINT", "INT", "BIGINT"), as_text(x)).when(is_number(t), plain_double(as_double(x, t))).otherwise(F.to_json(x))
+#: The tokens of JSON.
+_TOKENS = r'"(?:[^"\\]|\\.)*"|[-+0-9.eE]+|true|false|null|[\[\]{}:,]'
 
 
-def plain(x: Column) -> Column:
-    """A value as plain text: null is <nil>, an array [a b], an object map[k:v] by key. Values nested deeper are JSON."""
-    t = variant_type(x)
-    array = F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get(x, "$", "array<variant>"), _plain_scalar), " "), F.lit("]"))
-    entries = F.array_sort(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")))
-    pairs = F.transform(entries, lambda k: F.concat(k, F.lit(":"), _plain_scalar(F.element_at(F.try_variant_get(x, "$", "map<string,variant>"), k))))
-    obj = F.concat(F.lit("map["), F.array_join(pairs, " "), F.lit("]"))
-    return F.when(t.startswith("ARRAY"), array).when(t.startswith("OBJECT"), obj).otherwise(_plain_scalar(x))
+def _plain_token(token: Column) -> Column:
+    first = F.substring(token, 1, 1)
+    text = F.when(F.contains(token, F.lit("\\")), F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(F.substr(token, F.lit(2), F.length(token) - 2))
+    number = F.when(F.rlike(token, F.lit("^-?[0-9]+$")), token).otherwise(plain_double(token.cast("double")))
+    marks = F.when(token == "{", "map[").when(token == "}", "]").when(token == ",", " ").when(token == "null", "<nil>")
+    return F.when(first == '"', text).otherwise(F.coalesce(marks, F.when(F.rlike(first, F.lit("[-0-9]")), number).otherwise(token)))
+
+
+def plain(x: Column, t: Column | None = None) -> Column:
+    """A value as plain text: null is <nil>, an array [a b], an object map[k:v] by key, however deep they are nested."""
+    t = variant_type(x) if t is None else t
+    nested = F.array_join(F.transform(F.regexp_extract_all(F.to_json(x), F.lit(_TOKENS), F.lit(0)), _plain_token), "")
+    text = F.when(t.isin("STRING", "BOOLEAN", "TINYINT", "SMALLINT", "INT", "BIGINT"), as_text(x)).when(t == "VOID", F.lit("<nil>"))
+    return text.when(is_number(t), plain_double(as_double(x, t))).when(t.startswith("ARRAY") | t.startswith("OBJECT"), nested).otherwise(F.to_json(x))
 
 
 def plain_literal(value) -> str:

@@ -20,10 +20,23 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], *labels: str
     return df.groupBy(*labels).agg(*buckets, F.count(value).alias("n"), F.sum(value).alias("total"))
 
 
-def snapshot(counters: DataFrame, name: str, *labels: str) -> DataFrame:
-    """Log lines of a counter: name{label=value,...} n."""
-    pairs = F.concat_ws(",", *(F.concat(F.lit(f"{x}="), F.col(x)) for x in labels))
-    return counters.select(F.concat(F.lit(f"{name}{{"), pairs, F.lit("} "), F.col("n").cast("string")).alias("line"))
+def waits(records: DataFrame, now) -> DataFrame:
+    """records with `seconds`: how long each has waited for the batch that starts `now`."""
+    return records.withColumn("seconds", F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("timestamp")) / F.lit(1e6)))
+
+
+def _series(name: str, labels: tuple[str, ...]):
+    return F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *(F.concat(F.lit(f"{x}="), F.col(x)) for x in labels)), F.lit("} "))
+
+
+def snapshot(values: DataFrame, name: str, *labels: str, value: str = "n") -> DataFrame:
+    """Log lines of counters or gauges: name{label=value,...} n."""
+    return values.select(F.concat(_series(name, labels), F.col(value).cast("string")).alias("line"))
+
+
+def snapshot_histogram(histograms: DataFrame, name: str, *labels: str) -> DataFrame:
+    """Log lines of histograms: name{label=value,...} count=n sum=total."""
+    return histograms.select(F.concat(_series(name, labels), F.lit("count="), F.col("n").cast("string"), F.lit(" sum="), F.round("total", 6).cast("decimal(38,6)").cast("string")).alias("line"))
 
 
 def without_lane(series: DataFrame, collection: str, sink_id: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 DEFAULT_LIMIT, MOST_LIMIT = 100, 1000
 
@@ -43,6 +46,18 @@ def has_more(n_rows: int, limit: int) -> bool:
     return n_rows == limit
 
 
+def document(docs: DataFrame, doc_id: str, key: str = "_id") -> DataFrame:
+    """The document with this id, as text. An id that no key can have gives no row: digits for whole-number keys, else 24 hexadecimal ones."""
+    whole = isinstance(docs.schema[key].dataType, IntegralType)
+    if not re.fullmatch(r"-?[0-9]{1,18}" if whole else r"[0-9a-fA-F]{24}", doc_id):
+        return docs.where(F.lit(False))
+    return docs.where(F.col(key) == (F.lit(int(doc_id)) if whole else F.lit(doc_id.lower()))).limit(1)
+
+
+def collection(collections: DataFrame, name: str) -> DataFrame:
+    return collections.where(F.col("collectionName") == name)
+
+
 def dead_letters(dlq: DataFrame, collections: DataFrame, collection: str, limit: int = 0, skip: int = 0) -> DataFrame:
     """Of a managed collection, latest first; equal times in order of dedupKey, so that pages are stable."""
     own = managed(dlq.where(F.col("collectionName") == collection), collections)
@@ -71,6 +86,16 @@ def sinks_of(sinks: DataFrame, collections: DataFrame, name: str) -> DataFrame:
     return sinks.join(own, F.col("collectionId") == F.col("_name"), "left_semi")
 
 
+def sink(sinks: DataFrame, name: str, sink_id) -> DataFrame:
+    """A sink of this collection; an id of another collection's sink gives no row."""
+    return sinks.where((F.col("id") == sink_id) & (F.col("collectionId") == name))
+
+
+def with_sinks(collections: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Each collection that has sinks with each of them. Collections are few; the planner broadcasts them by their size."""
+    return collections.join(sinks, F.col("collectionName") == F.col("collectionId"))
+
+
 def one(df: DataFrame, what: str):
     """The one row, or NotFound."""
     rows = df.limit(1).collect()

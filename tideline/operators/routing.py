@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import Filter, event_type_allowed
+from ..functions.filters import Filter, event_type_allowed, with_matches
+from ..functions.text import canonical_json
 
 
 @dataclass(frozen=True)
@@ -21,24 +24,36 @@ class Sink:
     event_types: tuple[str, ...] = ()
     filter: Filter = field(default_factory=Filter, hash=False)
 
-    def accepts(self) -> Column:
-        """Event type first, as it is the cheaper test."""
-        return event_type_allowed(F.col("recordType"), list(self.event_types)) & self.filter.column(F.col("newImage"), F.col("oldImage"))
+    def rule(self) -> tuple:
+        """Sinks of one rule accept the same records."""
+        return self.collection, tuple(sorted(t.upper() for t in self.event_types)), canonical_json(self.filter.config())
+
+
+def _told(records: DataFrame, sinks: list[Sink]) -> tuple[DataFrame, list[tuple[Column, list[str]]]]:
+    """Records with what the sinks' filters share, and for each distinct rule its test and its sinks. Cheaper tests come first."""
+    rules: dict[tuple, list[Sink]] = {}
+    for s in sinks:
+        rules.setdefault(s.rule(), []).append(s)
+    df, matches = with_matches(records, [of[0].filter for of in rules.values()])
+    tests = [(F.col("tableName") == of[0].collection) & event_type_allowed(F.col("recordType"), list(of[0].event_types)) & m for of, m in zip(rules.values(), matches, strict=True)]
+    return df, [(t, [s.id for s in of]) for t, of in zip(tests, rules.values(), strict=True)]
 
 
 def route(records: DataFrame, sinks: list[Sink]) -> DataFrame:
-    """A row for each record and each sink of its collection that accepts it, with sinkId. One pass for all sinks; no sinks, no rows."""
-    hits = [F.when((F.col("tableName") == s.collection) & s.accepts(), F.lit(s.id)) for s in sinks]
-    chosen = F.array_compact(F.array(*hits)) if hits else F.expr("cast(array() as array<string>)")
-    return records.withColumn("sinkId", F.explode(chosen))
+    """A row for each record and each sink of its collection that accepts it, with sinkId. One pass for all sinks; no sinks, no rows.
+
+    What filters ask of the images is extracted once for all sinks.
+    """
+    df, tests = _told(records, sinks)
+    hits = [F.when(t, F.array(*map(F.lit, ids))) for t, ids in tests]
+    chosen = F.flatten(F.array_compact(F.array(*hits))) if hits else F.expr("cast(array() as array<string>)")
+    return df.withColumn("sinkId", F.explode(chosen)).select(*records.columns, "sinkId")
 
 
 def any_route(records: DataFrame, sinks: list[Sink]) -> DataFrame:
     """Records that some sink accepts, once: several sinks on one destination are an OR."""
-    test = F.lit(False)
-    for s in sinks:
-        test = test | ((F.col("tableName") == s.collection) & s.accepts())
-    return records.where(test)
+    df, tests = _told(records, sinks)
+    return df.where(reduce(or_, (t for t, _ in tests), F.lit(False))).select(*records.columns)
 
 
 def settle(events: DataFrame, outcomes: DataFrame) -> DataFrame:

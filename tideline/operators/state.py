@@ -1,7 +1,7 @@
 """Processed events, retries and dead letters as DataFrames; expiry of documents.
 
-State tables are append-only rows, the last version of a key holds. Nothing is
-overwritten: a batch that runs again appends the same rows once more.
+State tables are rows of which the last version of a key holds. They are kept
+in parts, one for each batch; a batch that runs again replaces its own.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 #: Seconds: the first retry, the longest wait, and how long a processed event is remembered.
 BASE_DELAY, MOST_DELAY, REMEMBER = 1, 300, 24 * 3600
@@ -34,10 +35,14 @@ def processed_rows(settled: DataFrame, now: Column) -> DataFrame:
     return settled.where("settled").select("eventId", until.alias("expiresAt"), F.to_date(until).alias("day"))
 
 
+def last_versions(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The last version of each key. An aggregation, so that versions meet before the shuffle."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("version", "removed")).alias("_r")).select("_r.*")
+
+
 def latest(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The last version of each key, without removed ones. An aggregation, so that versions meet before the shuffle."""
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("version", "removed")).alias("_r"))
-    return last.where("not _r.removed").select("_r.*")
+    """The last version of each key, without removed ones."""
+    return last_versions(rows, key).where("not removed")
 
 
 def due(queue: DataFrame, now: Column, limit: int = TICK) -> DataFrame:
@@ -73,5 +78,26 @@ def absent(dlq: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def expired(documents: DataFrame, attribute: str, now: Column) -> DataFrame:
-    """Documents past the time in their attribute; without a time they never expire."""
+    """Documents past the time in their attribute; without a time, or where the attribute is none, they never expire."""
+    if not isinstance(documents.schema[attribute].dataType, (DateType, TimestampType, TimestampNTZType)):
+        return documents.where(F.lit(False))
     return documents.where(F.col(attribute) <= now)
+
+
+def removals(documents: DataFrame, collection: str, attribute: str, now: Column, key: str = "_id") -> DataFrame:
+    """REMOVE records of expired documents, as the feed would deliver them; an id and its time make the event id, so a second run repeats it."""
+    gone = expired(documents, attribute, now)
+    doc = F.col(key).cast("string")
+    event = F.concat(F.lit(f"{collection}:expired:"), doc, F.lit(":"), F.date_format(F.col(attribute).cast("timestamp"), "yyyyMMddHHmmssSSSSSS"))
+    image = F.to_variant_object(F.struct(*documents.columns))
+    return gone.select(F.lit(collection).alias("tableName"), F.lit("REMOVE").alias("recordType"), F.lit(None).cast("variant").alias("newImage"), image.alias("oldImage"), now.cast("timestamp").alias("timestamp"), event.alias("eventId"), doc.alias("documentId"))
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records dealt by document and sorted by event within: a task takes a document's events one after the other. The shuffle is the price of order; a document is never split."""
+    return records.repartition("documentId").sortWithinPartitions("documentId", "eventId")
+
+
+def places(records: DataFrame) -> DataFrame:
+    """documentId, eventId, place: each record's place in that order, from 1."""
+    return records.select("documentId", "eventId", F.row_number().over(W.partitionBy("documentId").orderBy("eventId")).alias("place"))

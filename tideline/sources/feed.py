@@ -18,7 +18,7 @@ def read_changes(spark: SparkSession, path: str, file_format: str = "parquet") -
 
 
 def stream_changes(spark: SparkSession, path: str, file_format: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """A stream of files of change events; max_files bounds a batch, which is the backpressure."""
+    """A stream of files of change events; max_files bounds a batch, which is the backpressure. Where it starts: `from_start`."""
     reader = spark.readStream.schema(CHANGE_TEXT).format(file_format)
     return _documents((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path))
 
@@ -58,11 +58,20 @@ def change_feed(events: DataFrame) -> DataFrame:
 # -- options
 
 
-def start_position(resume_token: str | None, checkpoint: str | None) -> tuple[str, str | None]:
-    """Where a stream starts: after its token, else at the checkpoint of its enabling, else now. A broken token is none."""
+def start_position(resume_token: str | None, checkpoint: float | None) -> tuple[str, str | float | None]:
+    """Where a stream starts: after its token, else at the checkpoint of its enabling (seconds since 1970), else now. A broken token is none."""
     if resume_token and all(c in "0123456789abcdefABCDEF" for c in resume_token):
         return "token", resume_token
-    return ("checkpoint", checkpoint) if checkpoint else ("now", None)
+    return ("checkpoint", checkpoint) if checkpoint is not None else ("now", None)
+
+
+def from_start(changes: DataFrame, position: tuple[str, str | float | None], now: float) -> DataFrame:
+    """The events from a start position on. Tokens are ordered as text of one case; a time takes events of that second and later, and those without a time."""
+    kind, value = position
+    if kind == "token":
+        return changes.where(F.upper("_id._data") > str(value).upper())
+    since = now if kind == "now" else value
+    return changes.where(F.coalesce(F.col("clusterTime.t") >= F.lit(int(since)), F.lit(True)))
 
 
 #: Error codes, and parts of messages, after which a resume token is of no use.

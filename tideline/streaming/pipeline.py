@@ -2,13 +2,16 @@
 
 A micro-batch commits its offsets after `process_batch` returns, that is after
 every record is delivered or durably queued. A crash before that delivers again
-and loses nothing. Tables are append-only; batches and retry ticks of a
-collection run in one driver loop, so each table has one writer.
+and loses nothing. Tables are kept in parts, one for each batch or retry tick; a
+batch that runs again replaces its part, so nothing counts twice. Batches and
+retry ticks of a collection run in one driver loop, so each table has one writer.
+`compact` merges the retry queue's parts and drops what has expired.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -20,20 +23,32 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schema
 from ..functions.changes import parse_changes, parse_record, quarantined, record_json, terminal
-from ..operators.routing import Sink, Sinks, route, settle
-from ..operators.state import MOST_RETRIES, absent, due, latest, processed_rows, retry_rows, retry_step, unprocessed
+from ..operators.routing import Sink, Sinks, route, settle, settlement
+from ..operators.state import MOST_RETRIES, absent, due, in_order, last_versions, latest, processed_rows, retry_rows, retry_step, unprocessed
+from ..sources.feed import from_start, start_position
 from .sinks import deliver
 
-TABLES = {"processed": schema.PROCESSED, "retry": schema.RETRY, "dlq": schema.DLQ, "outcomes": schema.OUTCOME, "quarantine": "eventId string, reason string", "settled": "eventId string, recordType string, settled boolean, error string", "terminal": "operationType string"}
+#: Parts of the retry queue at which a tick merges them, and days that outcomes and the like are kept, and tombstones of the queue.
+MANY_PARTS, KEEP_DAYS, KEEP_REMOVED = 64, 30, 1
+TABLES = {"processed": schema.PROCESSED, "retry": schema.RETRY, "dlq": schema.DLQ, "outcomes": schema.OUTCOME, "quarantine": "eventId string, reason string", "settled": "eventId string, recordType string, state string, error string", "terminal": "operationType string"}
 
 
 class Unsettled(Exception):
     """A batch that was neither delivered nor queued: it runs again from the last settled position."""
 
 
+class StreamEnded(Exception):
+    """The collection was dropped, or its feed is invalid: there is nothing to follow any more."""
+
+
 @dataclass
 class Pipeline:
-    """One collection's path. `root` is a shared folder; `clock` gives the present as a UTC datetime."""
+    """One collection's path. `root` is a shared folder; `clock` gives the present as a UTC datetime.
+
+    The first start is after `resume_token`, else at `started_at` (seconds since
+    1970), when the stream was enabled, else now; later ones go on at the query's
+    own checkpoint.
+    """
 
     spark: SparkSession
     collection: str
@@ -41,10 +56,13 @@ class Pipeline:
     load_sinks: Callable[[], list[Sink]]
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)
     old_image: bool = True
+    resume_token: str | None = None
+    started_at: float | None = None
     sinks: Sinks = field(init=False)
 
     def __post_init__(self):
         self.sinks = Sinks(self.load_sinks)
+        self._ended: bool | None = None
 
     # -- tables
 
@@ -54,15 +72,74 @@ class Pipeline:
     def table(self, name: str) -> DataFrame:
         """A state table; empty before its first row."""
         try:
-            return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
+            return self.spark.read.schema(TABLES[name]).parquet(self._path(name)).drop("part")
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             return self.spark.createDataFrame([], TABLES[name])
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        writer = rows.write.mode("append")
-        (writer.partitionBy("day") if name == "processed" else writer).parquet(self._path(name))
+    def _put(self, name: str, rows: DataFrame, part: str) -> None:
+        """Rows as this part of a table, in place of what a run before has written."""
+        if name == "processed":  # by day, in which keys expire
+            rows.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "part").parquet(self._path(name))
+        else:
+            rows.write.mode("overwrite").parquet(f"{self._path(name)}/part={part}")
+
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        p, files = self._files(self._path(name))
+        return files.exists(p)
+
+    def _delete(self, path: str) -> None:
+        p, files = self._files(path)
+        files.delete(p, True)
+
+    def parts(self, name: str, prefix: str = "part=") -> list[tuple[str, float]]:
+        """(path, seconds since 1970 of its last change) of a table's parts."""
+        p, files = self._files(self._path(name))
+        return [(x.getPath().toString(), x.getModificationTime() / 1000) for x in files.listStatus(p) if x.getPath().getName().startswith(prefix)] if files.exists(p) else []
+
+    def _batch(self, batch_id: int) -> str:
+        """A batch's part: by the query's checkpoint too, as a new one counts from 0 again."""
+        return f"{self.spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'direct'}-{batch_id}"
+
+    def compact(self) -> None:
+        """The retry queue as one part, without what was removed a day ago; days of processed keys and parts of outcomes that have expired go.
+
+        The merged part is written first and holds the last version of every
+        key, also of those removed lately: a crash before the old parts are gone
+        changes nothing.
+        """
+        now = self.clock()
+        old = self.parts("retry")
+        if len(old) > 1:
+            since = self._version() - KEEP_REMOVED * 86_400_000_000
+            self._put("retry", last_versions(self.table("retry")).where(~F.col("removed") | (F.col("version") >= since)), f"merged-{self._version()}-{uuid.uuid4().hex[:8]}")
+            for path, _ in old:
+                self._delete(path)
+        for path, _ in self.parts("processed", "day="):
+            day = path.rsplit("day=", 1)[1]
+            if re.fullmatch(r"\d{4}-\d\d-\d\d", day) and day < str(now.date()):
+                self._delete(path)
+        for name in ("outcomes", "settled", "quarantine"):
+            for path, at in self.parts(name):
+                if at < time.time() - KEEP_DAYS * 86_400:
+                    self._delete(path)
+
+    # -- the end of a feed
+
+    def ended(self) -> bool:
+        if self._ended is None:
+            self._ended = not self.table("terminal").isEmpty()
+        return self._ended
+
+    def reopen(self) -> None:
+        """After the collection was made anew."""
+        self._delete(self._path("terminal"))
+        self._ended = False
 
     def _now(self):
         return F.lit(self.clock()).cast("timestamp")
@@ -73,79 +150,104 @@ class Pipeline:
     # -- first delivery
 
     def process_batch(self, changes: DataFrame, batch_id: int) -> None:
-        """Deliver and settle one micro-batch, whose source is read once. Within it a document's events keep their order."""
+        """Deliver and settle one micro-batch, whose source is read once. Within it a document's events keep their order.
+
+        The batch of a terminal event is settled like others; the next one ends the query.
+        """
+        if self.ended():
+            raise StreamEnded(self.collection)
         changes = changes.persist()
+        work = f"{self._path('work')}/{batch_id}-{uuid.uuid4().hex}"
         try:
-            self._process(changes, batch_id)
+            self._process(changes, self._batch(batch_id), work)
         finally:
             changes.unpersist()
+            self._delete(work)
 
-    def _process(self, changes: DataFrame, batch_id: int) -> None:
+    def _process(self, changes: DataFrame, part: str, work: str) -> None:
         active, now = self.sinks.refresh(), self._now()
-        work = f"{self._path('work')}/{batch_id}-{uuid.uuid4().hex}"
-        self._append("quarantine", quarantined(changes, self.collection))
-        self._append("terminal", terminal(changes).select("operationType"))
+        self._put("quarantine", quarantined(changes, self.collection), part)
         records = parse_changes(changes, self.collection, now, self.old_image).where("eventId <> ''")
-        fresh = unprocessed(records, self.table("processed").where(F.col("day") >= F.to_date(now)), now).repartition("documentId").sortWithinPartitions("documentId", "eventId")
+        fresh = in_order(unprocessed(records, self.table("processed").where(F.col("day") >= F.to_date(now)), now))
         fresh.withColumn("record", record_json()).select("eventId", "tableName", "recordType", "record").write.parquet(f"{work}/records")
         fresh = self.spark.read.parquet(f"{work}/records")
         images = fresh.select("*", parse_record(F.col("record")).alias("r")).select("r.*")
         deliver(route(images, active), active).write.parquet(f"{work}/outcomes")  # sends once
         outcomes = self.spark.read.schema(schema.OUTCOME).parquet(f"{work}/outcomes")
-        settled = settle(fresh, outcomes).join(fresh, "eventId")
-        failed = settled.where("not settled").select("eventId", "tableName", "record", "error")
+        settled = settle(fresh, outcomes)
+        told = settled.join(fresh, "eventId")
+        failed = told.where("not settled").select("eventId", "tableName", "record", "error")
         try:
-            self._append("retry", retry_rows(failed, now, F.lit(self._version())))
+            self._put("retry", retry_rows(failed, now, F.lit(self._version())), part)
         except Exception as error:
             raise Unsettled(str(error)) from error
-        self._append("processed", processed_rows(settled, now))
-        self._append("settled", settled.select("eventId", "recordType", "settled", "error"))
-        self._append("outcomes", outcomes)
+        self._put("processed", processed_rows(told, now), part)
+        states = settlement(settled, failed).join(told.select("eventId", "recordType", "error"), "eventId")
+        self._put("settled", states.select("eventId", "recordType", "state", "error"), part)
+        self._put("outcomes", outcomes, part)
+        ends = terminal(changes).select("operationType").limit(1).collect()
+        if ends:
+            self._put("terminal", self.spark.createDataFrame(ends, TABLES["terminal"]), part)
+            self._ended = True
 
     # -- retries
 
     def retry_tick(self) -> dict[str, int]:
         """One round over due events: dead letters first, then new queue entries, so that a crash repeats and loses nothing."""
+        if len(self.parts("retry")) > MANY_PARTS:
+            self.compact()
         active, now, version = self.sinks.refresh(), self._now(), self._version()
         taken = due(latest(self.table("retry")), now)
         rows = taken.collect()  # TICK rows of a collection at most
         if not rows:
             return {}
+        work = f"{self._path('work')}/retry-{uuid.uuid4().hex}"
+        try:
+            return self._retry(rows, taken, active, now, version, work)
+        finally:
+            self._delete(work)
+
+    def _retry(self, rows, taken: DataFrame, active: list[Sink], now, version: int, work: str) -> dict[str, int]:
         taken = self.spark.createDataFrame(rows, taken.schema)
         parsed = parse_record(F.col("eventData"))
         images = taken.where(F.col("retryCount") < F.col("maxRetries")).select("id", parsed.alias("r")).where("r is not null").select("id", "r.*").withColumn("eventId", F.col("id"))
-        work = f"{self._path('work')}/retry-{uuid.uuid4().hex}"
-        deliver(route(images, active), active).write.parquet(work)
-        outcomes = settle(images, self.spark.read.schema(schema.OUTCOME).parquet(work)).select(F.col("eventId").alias("id"), F.col("settled").alias("ok"), "error")
+        deliver(route(images, active), active).write.parquet(f"{work}/outcomes")
+        outcomes = settle(images, self.spark.read.schema(schema.OUTCOME).parquet(f"{work}/outcomes")).select(F.col("eventId").alias("id"), F.col("settled").alias("ok"), "error")
         step = retry_step(taken, parsed.isNotNull(), outcomes)
-        step.write.parquet(f"{work}-step")
-        step = self.spark.read.parquet(f"{work}-step")
+        step.write.parquet(f"{work}/step")
+        step = self.spark.read.parquet(f"{work}/step")
         dead = step.where("action = 'dlq'").select(F.sha2(F.concat_ws(":", "collectionName", "id"), 256).alias("_id"), "collectionName", F.lit(None).cast("string").alias("sinkId"), "eventData", "lastError", now.alias("failedAt"), F.col("id").alias("dedupKey"))
-        self._append("dlq", absent(self.table("dlq"), dead))
+        tick = f"tick-{version}-{uuid.uuid4().hex[:8]}"
+        self._put("dlq", absent(self.table("dlq"), dead), tick)
         again = F.col("action") == "requeue"
         wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce("delay", F.lit(0.0)).cast("decimal(18,6)"))
-        self._append("retry", step.select("id", "collectionName", "eventData", F.col("retryCount").cast("int").alias("retryCount"), "maxRetries", F.when(again, now + wait).otherwise(now).alias("nextRetryAt"), F.when(again, F.col("error")).otherwise(F.col("lastError")).alias("lastError"), F.lit(version).alias("version"), (~again).alias("removed")))
+        self._put("retry", step.select("id", "collectionName", "eventData", F.col("retryCount").cast("int").alias("retryCount"), "maxRetries", F.when(again, now + wait).otherwise(now).alias("nextRetryAt"), F.when(again, F.col("error")).otherwise(F.col("lastError")).alias("lastError"), F.lit(version).alias("version"), (~again).alias("removed")), tick)
         return {r["action"]: r["count"] for r in step.groupBy("action").count().collect()}
 
     # -- running
 
     def start(self, changes: DataFrame, available_now: bool = True, every: str = "5 seconds") -> StreamingQuery:
+        if self.ended():
+            raise StreamEnded(self.collection)
+        if not self._exists("checkpoint"):
+            changes = from_start(changes, start_position(self.resume_token, self.started_at), self.clock().timestamp())
         writer = changes.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", self._path("checkpoint"))
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 @dataclass
 class Supervisor:
-    """Keeps a stream running for every enabled collection: starts, stops and recreates them."""
+    """Keeps a stream running for every enabled collection whose feed has not ended: starts, stops and recreates them."""
 
     enabled: Callable[[], list[str]]
     start: Callable[[str], StreamingQuery]
+    ended: Callable[[str], bool] = lambda name: False
     running: dict[str, StreamingQuery] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
     def sync(self) -> None:
         """To be called every 30 seconds, and at once after a change of configuration."""
-        wanted = set(self.enabled())
+        wanted = {n for n in self.enabled() if not self.ended(n)}
         for name in [n for n in self.running if n not in wanted]:
             self.running.pop(name).stop()
         for name in wanted:
@@ -216,4 +318,4 @@ class WatcherStats(StreamingQueryListener):
         self._of(event.id).update(running=False, last_error=event.exception)
 
 
-__all__ = ["MOST_RETRIES", "Pipeline", "Supervisor", "Unsettled", "WatcherStats", "health", "wait_ready"]
+__all__ = ["MOST_RETRIES", "Pipeline", "StreamEnded", "Supervisor", "Unsettled", "WatcherStats", "health", "wait_ready"]

@@ -7,10 +7,12 @@ EventBridge and Meilisearch are handed in, as none comes with Spark.
 
 from __future__ import annotations
 
+import http.client
 import json
+import queue
+import threading
 import time
-import urllib.error
-import urllib.request
+import urllib.parse
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -46,31 +48,59 @@ def decode_spec(kind: type, spec: dict):
         raise DeliveryError(f"spec: {error}") from error
 
 
-class _NoRedirect(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *args, **kwargs):
-        return None
+def limited(call: Callable, *args, **kwargs):
+    """The call's result within TIMEOUT seconds. A client that hangs is left to a thread of its own, which ends with the process."""
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            done.put((True, call(*args, **kwargs)))
+        except BaseException as error:
+            done.put((False, error))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        ok, value = done.get(timeout=TIMEOUT)
+    except queue.Empty:
+        raise DeliveryError(f"no answer within {TIMEOUT:g} s") from None
+    if not ok:
+        raise value
+    return value
 
 
 @dataclass
 class HttpTransport:
-    """POST of the record's JSON; redirects are refused and only 2xx is success."""
+    """POST of the record's JSON; redirects are not followed and only 2xx is success. One connection is kept."""
 
     endpoint: str
     authToken: str | None = None  # noqa: N815
+    connection: Any = None
 
     def send(self, record: dict) -> None:
+        url = urllib.parse.urlsplit(self.endpoint)
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.authToken}"} if self.authToken else {})
-        request = urllib.request.Request(self.endpoint, json.dumps(record).encode(), headers, method="POST")
+        path = (url.path or "/") + (f"?{url.query}" if url.query else "")
         try:
-            with urllib.request.build_opener(_NoRedirect).open(request, timeout=TIMEOUT) as answer:
-                answer.read(DRAIN)
-                if not 200 <= answer.status < 300:
-                    raise DeliveryError(f"status {answer.status}")
-        except urllib.error.HTTPError as error:
-            error.read(DRAIN)
-            raise DeliveryError(f"status {error.code}") from error
-        except OSError as error:
-            raise DeliveryError(str(error)) from error
+            for kept in ([True] if self.connection else []) + [False]:
+                if not kept:
+                    self.connection = (http.client.HTTPSConnection if url.scheme == "https" else http.client.HTTPConnection)(url.netloc, timeout=TIMEOUT)
+                try:
+                    self.connection.request("POST", path, json.dumps(record).encode(), headers)
+                    answer = self.connection.getresponse()
+                    break
+                except (http.client.RemoteDisconnected, BrokenPipeError, ConnectionResetError):
+                    self.connection.close()
+                    if not kept:  # a kept one may have been closed meanwhile; a new one tells
+                        raise
+            answer.read(DRAIN)
+            if not answer.isclosed():  # more than is read: the connection can't serve again
+                self.connection.close()
+                self.connection = None
+        except (OSError, http.client.HTTPException) as error:
+            self.connection = None
+            raise DeliveryError(str(error) or type(error).__name__) from error
+        if not 200 <= answer.status < 300:
+            raise DeliveryError(f"status {answer.status}")
 
 
 @dataclass
@@ -81,7 +111,7 @@ class RedisTransport:
     client: Any = None
 
     def send(self, record: dict) -> None:
-        self.client.xadd(self.stream, {"event": json.dumps(record)})
+        limited(self.client.xadd, self.stream, {"event": json.dumps(record)})
 
 
 @dataclass
@@ -97,7 +127,7 @@ class EventBridgeTransport:
         detail = json.dumps(record)
         if len(detail.encode()) > ENTRY_BYTES:
             raise DeliveryError("entry is too large")
-        answer = self.client.put_events(Entries=[{"EventBusName": self.eventBusName, "Source": self.source, "DetailType": self.detailType, "Detail": detail}])
+        answer = limited(self.client.put_events, Entries=[{"EventBusName": self.eventBusName, "Source": self.source, "DetailType": self.detailType, "Detail": detail}])
         if answer.get("FailedEntryCount"):
             raise DeliveryError(f"entry failed: {answer['Entries'][0].get('ErrorMessage', '')}")
 
@@ -111,9 +141,9 @@ class MeilisearchTransport:
 
     def send(self, record: dict) -> None:
         action, document = search_action(record)
-        task = self.client.upsert(self.indexName, document) if action == "upsert" else self.client.delete(self.indexName, document)
+        task = limited(self.client.upsert if action == "upsert" else self.client.delete, self.indexName, document)
         until = time.monotonic() + TASK_WAIT
-        while (state := self.client.task(task)) not in ("succeeded", "failed"):
+        while (state := limited(self.client.task, task)) not in ("succeeded", "failed"):
             if time.monotonic() > until:
                 raise DeliveryError("task did not end")
             time.sleep(TASK_POLL)
@@ -174,6 +204,10 @@ def build_transport(sink: Sink, registry: dict[str, Callable[[Sink], Transport]]
         return _Unavailable(f"{sink.type}: {error}")
 
 
+def registered_transport(sink: Sink) -> Transport:
+    return build_transport(sink, _REGISTRY)
+
+
 register_transport("http", lambda s: decode_spec(HttpTransport, s.spec))
 register_transport("redis", lambda s: decode_spec(RedisTransport, s.spec))
 register_transport("eventbridge", lambda s: decode_spec(EventBridgeTransport, s.spec))
