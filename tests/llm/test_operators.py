@@ -913,6 +913,76 @@ def test_tree_of_any_shape(ranks):
             assert bpe.decode(ids) == t.encode()
 
 
+def test_tree_of_another_pattern():
+    """Stable places hold for the known split pattern; texts of another one are encoded whole."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\S+ \S+|\s+|\S+"
+    bpe = tree_bpe.TreeBPE(path, pattern=pattern, leaf=8)
+    for t in ("one two three four five, six", "a b " * 500):
+        ids = bpe.encode(t)
+        assert ids == bpe.base.encode_ordinary(t) and bpe.decode(ids) == t.encode()
+
+
+# -- at scale: no bitmap, very long texts, clusters without a shared folder
+
+
+def test_without_bitmaps(spark, docs, texts, monkeypatch):
+    """More keys than a bitmap serves: the exact joins give the same rows."""
+    from tideline.llm import graph
+    from tideline.llm.common import save, text_print
+
+    clean = sorted(map(str, pii.sanitise(docs, 0.3, 2).collect()))
+    spans = sorted(map(str, pii.private_spans(docs, 0.3, 2).collect()))
+    some = save(docs.where("doc_id % 3 = 0 or doc_id is null").select("doc_id", text_print().alias("text_print"), "source").distinct(), "some")
+    left, first = (sorted(map(str, f.collect())) for f in (graph.without(docs, some), graph.first_of_each(docs, some.drop("source"))))
+    assert len(left) == docs.where("not (doc_id % 3 = 0 or doc_id is null)").count()
+    monkeypatch.setattr(graph, "MOST_BITS", 0)
+    assert graph._bits(some) == 0
+    assert sorted(map(str, pii.sanitise(docs, 0.3, 2).collect())) == clean and sorted(map(str, pii.private_spans(docs, 0.3, 2).collect())) == spans
+    assert [sorted(map(str, f.collect())) for f in (graph.without(docs, some), graph.first_of_each(docs, some.drop("source")))] == [left, first]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in parity_join.similar_components(docs, 4, 85).collect()]
+    assert same(got, plain_components(texts, 4, 85))
+
+
+def test_a_very_long_text_in_bounded_memory():
+    """25 MB of text: statistics, shingles, licenses and personal data take a bounded multiple of it, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import pyarrow as pa
+from tideline.llm import licenses, parity_join, pii, quality_mcd
+text = pa.array(["ab cdef x1 " * 2_300_000])
+row = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["en"]), pa.array(["a"]), pa.array([1]), text], names=["doc_id", "lang", "source", "text_print", "text"])
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = used()
+(got,) = quality_mcd._stats(iter([row]))
+assert got.column("n_words")[0].as_py() == 6_900_000
+(s,) = parity_join.shingle_sets(text, 4)
+assert len(s) == 3
+assert list(licenses._scan(tuple(licenses.TEMPLATES.items()))(iter([row]))) == []
+(got,) = pii._term_counts(iter([row]))
+assert len(got) == 3
+print(used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 25 * 30, out.stdout  # MB
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tideline.llm.common import shared_dir
+
+    session = lambda master, path=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: path), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://h"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://n/shared/")) == "hdfs://n/shared"
+    for master in ("local", "local[*]", "local[4]", "local[4,2]"):
+        assert shared_dir(session(master)).startswith("file://")
+
+
 # -- what stays in the shared folder
 
 
