@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import shared_dir
 from .functions.changes import event_id, parse_changes, parse_record, quarantined, record_json
 from .functions.filters import Filter, event_type_allowed, match_image
 from .functions.text import display_value, id_text, plain
 from .operators import metrics, reads, routing, state
 from .operators.routing import Sink
 from .plans import catalog
-from .sources.feed import change_feed, feed_columns, micros, token
+from .sources.feed import as_text, change_feed, micros, stream_changes
 from .streaming.sinks import DeliveryError, deliver, entry_too_large, register_transport, registered_transport, search_action_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +67,18 @@ def number(image: str, path: str, kind: str = "double"):
 
 @query("src_change_stream", FEED + "SELECT op AS operation, count(*) AS n, sum(event_id)::BIGINT AS ids FROM feed GROUP BY op")
 def _(spark, sf_dir):
-    return feed_columns(table(spark, sf_dir, "events")).groupBy(F.col("op").alias("operation")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    """The feed as files of change events, taken as a stream to its end."""
+    folder = f"{shared_dir(spark)}/change-stream-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    as_text(feed(spark, sf_dir)).write.parquet(f"{folder}/in")
+    changes = stream_changes(spark, f"{folder}/in", max_files=4).select("operationType", F.col("_id._data").alias("token"))
+    taken = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    taken.awaitTermination()
+    out = spark.read.schema("operationType string, token string").parquet(f"{folder}/out")
+    return out.groupBy(F.col("operationType").alias("operation")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv("token", 16, 10).cast("long")).alias("ids"))
 
 
 @query("parse_change", FEED + """SELECT eid AS eventId, did AS documentId, rt AS recordType, 'users' AS tableName, ts_us,

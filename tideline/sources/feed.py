@@ -55,6 +55,11 @@ def change_feed(events: DataFrame) -> DataFrame:
     return df.select("event_id", "ts_us", F.struct(token().alias("_data")).alias("_id"), F.col("op").alias("operationType"), F.struct((F.col("ts_us") / 1_000_000).cast("long").alias("t"), F.lit(1).alias("i")).alias("clusterTime"), F.parse_json(F.to_json(F.struct(F.col("user_id").alias("_id")))).alias("documentKey"), new.alias("fullDocument"), old.alias("fullDocumentBeforeChange"))
 
 
+def as_text(changes: DataFrame) -> DataFrame:
+    """Change events with their documents as JSON, as files hold them."""
+    return changes.select("_id", "operationType", "clusterTime", *(F.to_json(c).alias(c) for c in ("documentKey", "fullDocument", "fullDocumentBeforeChange")))
+
+
 # -- options
 
 
