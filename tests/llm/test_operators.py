@@ -972,7 +972,7 @@ print(used() - before)
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
-    from tideline.llm.common import shared_dir
+    from tideline.files import shared_dir
 
     session = lambda master, path=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: path), sparkContext=SimpleNamespace(master=master, applicationId="x"))
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://h"):

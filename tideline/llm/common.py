@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +13,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import shared_dir
+
 #: A word is a longest run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\v\f\r"
@@ -31,21 +30,6 @@ RUN = 1 << 19
 _POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one; a cluster is refused."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _of_local_session(spark.sparkContext.applicationId)
-
-
-@lru_cache(1)
-def _of_local_session(application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tideline-")
-
-
 #: The paths of each run of `scratch` that is going on in this thread, innermost last.
 _scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
