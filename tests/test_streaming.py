@@ -123,6 +123,26 @@ def test_a_batch_that_runs_again_counts_once(spark, world):
     assert not list((path / "state" / "users" / "work").glob("[!.]*"))
 
 
+def test_a_batch_that_was_done_is_passed_over(spark, world):
+    """A crash after all parts are written, before the offsets are."""
+    pipe, path, *_ = world
+    keep, failed = pipe._put, []
+
+    def put(name, rows, part):
+        keep(name, rows, part)
+        if name == "processed" and not failed:
+            failed.append(part)
+            raise OSError("lost")
+
+    pipe._put = put
+    q = pipe.start(stream_changes(spark, str(path / "in")))
+    with pytest.raises(Exception, match="lost"):
+        q.awaitTermination()
+    run(spark, pipe, path)
+    assert len(sent(path / "out")) == 3
+    assert pipe.table("outcomes").count() == 3 and pipe.table("settled").count() == 12 and pipe.table("processed").count() == 12
+
+
 def test_unsettled(spark, world):
     """What is neither delivered nor queued is an error: its batch runs again."""
     from tideline.sources.feed import read_changes

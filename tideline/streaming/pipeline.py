@@ -106,6 +106,11 @@ class Pipeline:
         """A batch's part: by the query's checkpoint too, as a new one counts from 0 again."""
         return f"{self.spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'direct'}-{batch_id}"
 
+    def _done(self, part: str) -> bool:
+        """Whether a batch's processed keys are there."""
+        p, files = self._files(f"{self._path('processed')}/day=*/part={part}")
+        return bool(files.globStatus(p))
+
     def compact(self) -> None:
         """The retry queue as one part, without what was removed a day ago; days of processed keys and parts of outcomes that have expired go.
 
@@ -152,14 +157,20 @@ class Pipeline:
     def process_batch(self, changes: DataFrame, batch_id: int) -> None:
         """Deliver and settle one micro-batch, whose source is read once. Within it a document's events keep their order.
 
+        Processed keys are written last. A batch that has them has all its
+        parts, so one that was done but not committed is passed over.
+
         The batch of a terminal event is settled like others; the next one ends the query.
         """
         if self.ended():
             raise StreamEnded(self.collection)
+        part = self._batch(batch_id)
+        if self._done(part):
+            return
         changes = changes.persist()
         work = f"{self._path('work')}/{batch_id}-{uuid.uuid4().hex}"
         try:
-            self._process(changes, self._batch(batch_id), work)
+            self._process(changes, part, work)
         finally:
             changes.unpersist()
             self._delete(work)
@@ -181,14 +192,14 @@ class Pipeline:
             self._put("retry", retry_rows(failed, now, F.lit(self._version())), part)
         except Exception as error:
             raise Unsettled(str(error)) from error
-        self._put("processed", processed_rows(told, now), part)
         states = settlement(settled, failed).join(told.select("eventId", "recordType", "error"), "eventId")
         self._put("settled", states.select("eventId", "recordType", "state", "error"), part)
         self._put("outcomes", outcomes, part)
         ends = terminal(changes).select("operationType").limit(1).collect()
         if ends:
             self._put("terminal", self.spark.createDataFrame(ends, TABLES["terminal"]), part)
-            self._ended = True
+        self._put("processed", processed_rows(told, now), part)
+        self._ended = self._ended or bool(ends)
 
     # -- retries
 
