@@ -206,22 +206,16 @@ def event_type_allowed(record_type: Column, event_types: list[str] | None) -> Co
 
 
 def form_to_filter(form: list[dict]) -> dict:
-    """Rows {image, field, operator, value} of a form as a filter. Lists are split on commas; comparisons take numbers where they read as such."""
+    """Rows {image, field, operator, value} of a form as a filter. Lists are split on commas, exists is true or false, other values stay texts; rows without a field or a value say nothing."""
     out: dict = {}
     for row in form:
-        name, operator, value = row["field"].strip(), row["operator"], row.get("value", "")
-        if not name:
-            continue
+        name, operator, value = row["field"], row["operator"], row.get("value", "")
         if operator in ("in", "notIn"):
             value = [x.strip() for x in value.split(",") if x.strip()]
         elif operator == "exists":
-            value = str(value).lower() == "true"
-        elif operator in ("gt", "gte", "lt", "lte"):
-            try:
-                value = float(value)
-            except ValueError:
-                pass
-        out.setdefault(row["image"], {}).setdefault(name, {})[operator] = value
+            value = {"true": True, "false": False}.get(value, "")
+        if name and value not in ("", [], None):
+            out.setdefault(row["image"], {}).setdefault(name, {})[operator] = value
     return out
 
 
