@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import shared_dir
-from .functions.changes import event_id, parse_changes, parse_record, quarantined, record_json
-from .functions.filters import Filter, event_type_allowed, match_image
+from .functions.changes import display_columns, event_id, key_labels, parse_changes, parse_record, quarantined, record_json, terminal
+from .functions.filters import Filter, event_type_allowed, filter_to_form, form_to_filter, match_image
 from .functions.text import display_value, id_text, plain
 from .operators import metrics, reads, routing, state
-from .operators.routing import Sink
+from .operators.routing import Sink, Sinks
 from .plans import catalog
-from .sources.feed import as_text, change_feed, micros, stream_changes
+from .sources.feed import as_text, change_feed, from_start, micros, start_position, stream_changes
 from .streaming.sinks import DeliveryError, deliver, entry_too_large, register_transport, registered_transport, search_action_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,22 +65,69 @@ def number(image: str, path: str, kind: str = "double"):
     return F.try_variant_get(image, path, kind)
 
 
-@query("src_change_stream", FEED + "SELECT op AS operation, count(*) AS n, sum(event_id)::BIGINT AS ids FROM feed GROUP BY op")
-def _(spark, sf_dir):
-    """The feed as files of change events, taken as a stream to its end."""
+def followed(spark: SparkSession, changes: DataFrame, *arrivals) -> DataFrame:
+    """operationType and token of what a stream takes: each arrival is written as files, and the stream started to take it to its end."""
     folder = f"{shared_dir(spark)}/change-stream-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = p.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(p)
     files.deleteOnExit(p)
-    as_text(feed(spark, sf_dir)).write.parquet(f"{folder}/in")
-    changes = stream_changes(spark, f"{folder}/in", max_files=4).select("operationType", F.col("_id._data").alias("token"))
-    taken = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    taken.awaitTermination()
-    out = spark.read.schema("operationType string, token string").parquet(f"{folder}/out")
+    for arrived in arrivals:
+        as_text(changes.where(arrived)).write.mode("append").parquet(f"{folder}/in")
+        got = stream_changes(spark, f"{folder}/in", max_files=4).select("operationType", F.col("_id._data").alias("token"))
+        taken = got.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        taken.awaitTermination()
+    return spark.read.schema("operationType string, token string").parquet(f"{folder}/out")
+
+
+@query("src_change_stream", FEED + "SELECT op AS operation, count(*) AS n, sum(event_id)::BIGINT AS ids FROM feed GROUP BY op")
+def _(spark, sf_dir):
+    """The feed as files of change events, taken as a stream to its end."""
+    out = followed(spark, feed(spark, sf_dir), F.lit(True))
     return out.groupBy(F.col("operationType").alias("operation")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv("token", 16, 10).cast("long")).alias("ids"))
 
 
+@query("s_resume", FEED + "SELECT event_id, op AS operation, 1::BIGINT AS times FROM feed")
+def _(spark, sf_dir):
+    """Half of the feed, then the rest, by a stream that is stopped between them."""
+    half = F.col("event_id") % 2
+    out = followed(spark, feed(spark, sf_dir), half == 0, half == 1)
+    return out.groupBy(F.conv("token", 16, 10).cast("long").alias("event_id"), F.col("operationType").alias("operation")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def second_of(changes: DataFrame, event: int) -> int:
+    """When an event of the feed was, in whole seconds."""
+    return changes.where(F.col("event_id") == event).select("clusterTime.t").first()[0]
+
+
+_SECOND = "(SELECT ts_us // 1000000 FROM feed WHERE event_id = {})"
+
+
+@query("src_stream_options", FEED + f"""SELECT 'token' AS start, event_id FROM feed WHERE event_id > 50 UNION ALL SELECT 'checkpoint', event_id FROM feed WHERE ts_us // 1000000 >= {_SECOND.format(60)}
+  UNION ALL SELECT 'now', event_id FROM feed WHERE ts_us // 1000000 >= {_SECOND.format(70)}""")
+def _(spark, sf_dir):
+    """After a token; at the checkpoint where the token is broken; else now."""
+    changes = feed(spark, sf_dir)
+    checkpoint, now = second_of(changes, 60), second_of(changes, 70)
+    positions = [start_position(f"{50:016X}", checkpoint), start_position("broken", checkpoint), start_position(None, None)]
+    taken = [from_start(changes, p, now).select(F.lit(p[0]).alias("start"), "event_id") for p in positions]
+    return taken[0].unionByName(taken[1]).unionByName(taken[2])
+
+
+@query("s_first_start", FEED + f"SELECT op AS operation, count(*) AS n FROM feed WHERE ts_us // 1000000 >= {_SECOND.format(80)} GROUP BY op")
+def _(spark, sf_dir):
+    changes = feed(spark, sf_dir)
+    since = from_start(changes, start_position(None, second_of(changes, 80)), 0.0)
+    return since.groupBy(F.col("operationType").alias("operation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("parse_terminal", FEED + "SELECT event_id, CASE event_id % 50 WHEN 0 THEN 'drop' ELSE 'invalidate' END AS operation FROM feed WHERE event_id % 50 < 2")
+def _(spark, sf_dir):
+    r = F.col("event_id") % 50
+    changes = feed(spark, sf_dir).withColumn("operationType", F.when(r == 0, "drop").when(r == 1, "invalidate").otherwise(F.col("operationType")))
+    return terminal(changes).select("event_id", F.col("operationType").alias("operation"))
+
+
 @query("parse_change", FEED + """SELECT eid AS eventId, did AS documentId, rt AS recordType, 'users' AS tableName, ts_us,
   CASE WHEN has_new THEN event_type END AS new_type, CASE WHEN has_new THEN value END AS new_value, CASE WHEN has_old THEN pt END AS old_type, CASE WHEN has_old THEN pk END AS old_k FROM rec""")
 def _(spark, sf_dir):
@@ -135,6 +182,17 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", display_value(F.try_variant_get(F.parse_json(text), "$.v", "variant")).alias("shown"))
 
 
+@query("display_columns", """WITH page AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS r, ['_id', 'p_' || o_orderpriority[1], 'price', 's_' || o_orderstatus] AS keys FROM orders ORDER BY o_orderkey LIMIT 20),
+  k AS (SELECT r, unnest(keys) AS name, generate_subscripts(keys, 1) AS pos FROM page), f AS (SELECT name, min(r * 10 + pos) AS first FROM k GROUP BY name)
+  SELECT name, (row_number() OVER (ORDER BY name <> 'price', first) - 1)::BIGINT AS place, CASE name WHEN 'price' THEN 'PK' END AS label FROM f""")
+def _(spark, sf_dir):
+    page = reads.documents(table(spark, sf_dir, "orders"), 20, key="o_orderkey")
+    text = F.concat(F.lit('{"_id":'), F.col("o_orderkey").cast("string"), F.lit(',"price":1,"s_'), F.col("o_orderstatus"), F.lit('":1,"p_'), F.substring("o_orderpriority", 1, 1), F.lit('":1}'))
+    labels = key_labels("price")
+    names = display_columns(page.select(F.parse_json(text).alias("image")), "image", "price")
+    return spark.createDataFrame([(n, i, labels.get(n)) for i, n in enumerate(names)], "name string, place long, label string")
+
+
 # -- filters, over images with all kinds of values
 
 _RICH = """SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events"""
@@ -185,6 +243,21 @@ for _name, (_block, _sql) in FILTERS.items():
     QUERIES[_name] = lambda spark, sf_dir, b=_block: rich(spark, sf_dir).where(match_image(F.col("image"), b)).select("event_id")
     ORACLES[_name] = f"SELECT event_id FROM ({_RICH}) WHERE {_sql}"
 
+FORM = [("event_type", "in", "purchase, view ,"), ("event_type", "ne", "view"), ("note", "exists", "true"), ("n", "eq", ""), ("", "eq", "x")]
+
+
+@query("f_form_build", f"SELECT event_id FROM ({_RICH}) WHERE event_type = 'purchase' AND event_id % 3 <> 2")
+def _(spark, sf_dir):
+    made = form_to_filter([{"image": "newImage", "field": f, "operator": o, "value": v} for f, o, v in FORM])
+    return rich(spark, sf_dir).where(match_image(F.col("image"), made["newImage"])).select("event_id")
+
+
+@query("f_form_read", f"SELECT event_id FROM ({_RICH}) WHERE event_type IN ('purchase', 'click') AND event_id % 3 = 2 AND starts_with(CAST(event_id AS VARCHAR), '1')")
+def _(spark, sf_dir):
+    config = {"newImage": {"event_type": {"in": ["purchase", "click"]}, "note": {"exists": False}, "n": {"startsWith": 1}}}
+    return rich(spark, sf_dir).where(match_image(F.col("image"), form_to_filter(filter_to_form(config))["newImage"])).select("event_id")
+
+
 FILTER_A = {"newImage": {"event_type": {"eq": "purchase"}, "value": {"gt": 100}}}
 FILTER_B = {"oldImage": {"props.k": {"lt": 10}}}
 BOTH = {"newImage": {"value": {"gt": 50}}, "oldImage": {"event_type": {"ne": "view"}}}
@@ -296,12 +369,17 @@ RECONCILE = f"""SELECT id, CASE WHEN d.id IS NULL THEN 'removed' WHEN c.id IS NU
   FROM ({_CURRENT}) c FULL JOIN ({_DESIRED}) d USING (id) WHERE c.id IS NULL OR d.id IS NULL OR c.filter <> d.filter OR c.types <> d.types"""
 
 
-def sink_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sink_configurations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """id, filter, eventTypes of the sinks that run, and of those that are wanted."""
     s = table(spark, sf_dir, "supplier")
     key, nation = F.col("s_suppkey"), F.col("s_nationkey") % 3
     current = s.where(key % 5 != 0).select(key.alias("id"), F.concat(F.lit("f"), nation.cast("string")).alias("filter"), F.lit("INSERT").alias("eventTypes"))
     desired = s.where(key % 6 != 0).select(key.alias("id"), F.concat(F.lit("f"), F.when(key % 4 == 0, 9).otherwise(nation).cast("string")).alias("filter"), F.when(key % 7 == 0, "MODIFY").otherwise("INSERT").alias("eventTypes"))
-    return routing.reconcile(current, desired)
+    return current, desired
+
+
+def sink_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.reconcile(*sink_configurations(spark, sf_dir))
 
 
 @query("reconcile_sinks", RECONCILE)
@@ -319,6 +397,41 @@ def _(spark, sf_dir):
     return routing.reconcile_summary(sink_changes(spark, sf_dir))
 
 
+def _configured(rows: DataFrame) -> list[Sink]:
+    """A configuration's sinks are few."""
+    return [Sink(str(r.id), COLLECTION, "http", {}, (r.eventTypes,), Filter.parse({"newImage": {"x": {"eq": r.filter}}})) for r in rows.collect()]
+
+
+@query("reconcile_apply", f"SELECT CAST(id AS VARCHAR) AS id, change FROM ({RECONCILE})")
+def _(spark, sf_dir):
+    """The same by the sinks of a running stream."""
+    current, desired = sink_configurations(spark, sf_dir)
+    live = Sinks(lambda: _configured(current))
+    live.refresh()
+    changes = live.apply(_configured(desired))
+    return spark.createDataFrame([(i, c) for c, ids in changes.items() for i in ids], "id string, change string")
+
+
+@query("sink_update", FEED + """SELECT 'purchases' AS sinkId, eid AS eventId FROM rec WHERE has_new AND event_type = 'click' UNION ALL SELECT 'all', eid FROM rec
+  UNION ALL SELECT 'late', eid FROM rec WHERE rt = 'REMOVE'""")
+def _(spark, sf_dir):
+    """Sinks change while a stream runs: a filter, one that goes, one that comes."""
+    loads = [SINKS, [replace(SINKS[0], filter=Filter.parse({"newImage": {"event_type": {"eq": "click"}}})), *SINKS[2:], Sink("late", COLLECTION, "http", {}, ("REMOVE",))]]
+    live = Sinks(lambda: loads.pop(0))
+    live.refresh()
+    return routing.route(records(spark, sf_dir), live.refresh()).select("sinkId", "eventId")
+
+
+ABSENT = [Sink("lost", COLLECTION, "nowhere", {}, ("REMOVE",)), Sink("bare", COLLECTION, "http", {}, ("INSERT",))]
+
+
+@query("sink_unavailable", FEED + "SELECT CASE rt WHEN 'REMOVE' THEN 'lost' ELSE 'bare' END AS sinkId, eid AS eventId, false AS ok, true AS told FROM rec WHERE rt <> 'MODIFY'")
+def _(spark, sf_dir):
+    """No such transport, and a spec without its field: every delivery fails and says why."""
+    got = deliver(routing.route(records(spark, sf_dir), ABSENT), ABSENT)
+    return got.select("sinkId", "eventId", "ok", (F.length("error") > 0).alias("told"))
+
+
 MEETING = [Sink("u1", COLLECTION, "http"), Sink("u2", COLLECTION, "redis"), Sink("o1", "orders", "http")]
 
 
@@ -378,6 +491,23 @@ def _(spark, sf_dir):
     return reads.documents(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), *reads.page_params(None, "40"), key="o_orderkey")
 
 
+@query("page_params_documents", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 3")
+def _(spark, sf_dir):
+    return reads.documents(table(spark, sf_dir, "orders").select("o_orderkey"), *reads.page_params("5000", "3"), key="o_orderkey")
+
+
+@query("page_params_dlq", f"SELECT key AS dedupKey, failed_us AS failedAt FROM ({_DLQ}) WHERE c = '3-MEDIUM' ORDER BY failed_us DESC, key LIMIT 100")
+def _(spark, sf_dir):
+    return reads.dead_letters(dead(spark, sf_dir), collections(spark, sf_dir), "3-MEDIUM", *reads.page_params()).select("dedupKey", "failedAt")
+
+
+@query("ui_page", "SELECT n_nationkey, r // 20 AS page, count(*) OVER (PARTITION BY r // 20) = 20 AS more FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation)")
+def _(spark, sf_dir):
+    pages = [reads.documents(table(spark, sf_dir, "nation").select("n_nationkey"), 20, 20 * p, key="n_nationkey").withColumn("page", F.lit(p).cast("long")) for p in range(2)]
+    first, second = (p.withColumn("more", F.lit(reads.has_more(p.count(), 20))) for p in pages)
+    return first.unionByName(second)
+
+
 @query("get_document", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 33")
 def _(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -625,6 +755,24 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", catalog.fingerprint_column(F.lit("http"), spec).alias("fingerprint"))
 
 
+#: A sink's configuration for each remainder of a nation's key, and what the rules say of it.
+CONFIGURED = [("http", {"endpoint": "https://example.org"}, ()), ("ftp", {"endpoint": "https://example.org"}, ()), ("http", {}, ()), ("redis", {"url": "http://example.org", "stream": "s"}, ()), ("http", {"endpoint": "https://example.org"}, ("UPSERT",))]
+
+
+def _said(sink_type: str, spec: dict, event_types: tuple) -> str:
+    try:
+        catalog.validate_sink(sink_type, spec, event_types)
+    except catalog.Refused as error:
+        return error.code
+    return "valid"
+
+
+@query("cp_sink_validate", "SELECT n_nationkey, ['valid', 'INVALID_SINK_TYPE', 'INVALID_SINK_SPEC', 'INVALID_SINK_SPEC', 'INVALID_EVENT_TYPE'][n_nationkey % 5 + 1] AS said FROM nation")
+def _(spark, sf_dir):
+    said = F.array(*(F.lit(_said(*c)) for c in CONFIGURED))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(said, (F.col("n_nationkey") % 5 + 1).cast("int")).alias("said"))
+
+
 @query("scalar_plain_text", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '<nil>' WHEN 1 THEN '[' || event_id || ' x true]' WHEN 2 THEN 'map[a:' || event_id || ' b:[0.5 map[c:<nil> d:x y]]]' ELSE '1e+21' END AS shown FROM events")
 def _(spark, sf_dir):
     e = F.col("event_id").cast("string")
