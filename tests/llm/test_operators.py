@@ -602,6 +602,7 @@ def test_personal_data(docs, texts):
         terms = [by_id[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"]
         assert ("Zorblatt" in terms) == (r.doc_id in range(120, 124)) if r.doc_id is not None else not terms
     assert [r for r in got if r.doc_id == 119][0].n_email == 1
+    assert all(r.private == (r.spans != "") for r in got)
 
 
 def test_patterns_at_random():

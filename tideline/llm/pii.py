@@ -226,9 +226,9 @@ def private_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int =
 
 
 def private_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of each kind, base_sha256, spans, n_term of every row: private_spans as digests; a row without spans has the digest of an empty text."""
+    """doc_id, counts of each kind, base_sha256, spans, n_term, private (has any span) of every row: private_spans as digests; a row without spans has the digest of an empty text."""
     spans = F.col("spans")
-    return private_spans(docs).select("doc_id", *(count(spans, k).alias(f"n_{k}") for k in KINDS), digest(spans, KINDS).alias("base_sha256"), joined(spans).alias("spans"), count(spans, "term").alias("n_term"))
+    return private_spans(docs).select("doc_id", *(count(spans, k).alias(f"n_{k}") for k in KINDS), digest(spans, KINDS).alias("base_sha256"), joined(spans).alias("spans"), count(spans, "term").alias("n_term"), (F.size(spans) > 0).alias("private"))
 
 
 # -- sanitised texts
