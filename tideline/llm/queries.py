@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from . import bitsliced, byte_cnn, token_orc, tree_bpe
 from .common import table
+from .gemm_kmeans import centroid_clusters
 from .licenses import license_blocks
+from .mask_audit import audit
 from .mixing import mix_sources
 from .parity_join import similar_components
 from .pii import private_digests
@@ -63,6 +65,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_gemm_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, salt="2:")
+
+
+def op12_mask_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
