@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, byte_cnn, token_orc, tree_bpe
+from . import bitsliced, byte_cnn, gru_toxicity, token_orc, tree_bpe
 from .common import table
 from .gemm_kmeans import centroid_clusters
 from .licenses import license_blocks
@@ -73,6 +73,11 @@ def op12_mask_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gru_toxicity.score(docs, gru_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
