@@ -35,7 +35,7 @@ DIM, HIDDEN, ATTEND = 12, 12, 8
 #: Training texts that a word with a vector of its own is in.
 FEWEST = 3
 #: Passes over the training texts (more until there are STEPS steps), bytes of a step, its size, weight decay, and the share of inputs and pooled states that a step leaves out.
-EPOCHS, STEPS, BATCH, RATE, DECAY, DROP = 5, 600, 1 << 15, 0.01, 1e-4, 0.3
+EPOCHS, STEPS, BATCH, RATE, DECAY, DROP = 5, 600, 1 << 15, 0.01, 1e-4, 0.6
 #: Bytes of text that are tokenised together (of several texts), and windows that go through the network together.
 STEP, MANY = 1 << 18, 2048
 AT_LEAST = 0.3
