@@ -84,10 +84,10 @@ def test_crash_before_commit(spark, world):
     pipe, path, *_ = world
     keep = pipe._put
 
-    def put(name, rows, part):
+    def put(name, rows, part, *more):
         if name == "processed":
             raise OSError("lost")
-        keep(name, rows, part)
+        keep(name, rows, part, *more)
 
     pipe._put = put
     q = pipe.start(stream_changes(spark, str(path / "in")))
@@ -107,8 +107,8 @@ def test_a_batch_that_runs_again_counts_once(spark, world):
     changes = read_changes(spark, str(path / "in"))
     keep, failed = pipe._put, []
 
-    def put(name, rows, part):
-        keep(name, rows, part)
+    def put(name, rows, part, *more):
+        keep(name, rows, part, *more)
         if name == "outcomes" and not failed:
             failed.append(part)
             raise OSError("lost")
@@ -116,7 +116,7 @@ def test_a_batch_that_runs_again_counts_once(spark, world):
     pipe._put = put
     with pytest.raises(OSError):
         pipe.process_batch(changes, 7)
-    pipe._delete(pipe._path("processed"))  # as if these keys had not been written
+    assert pipe.table("processed").count() == 0
     pipe.process_batch(changes, 7)
     assert pipe.table("outcomes").count() == 3 and pipe.table("settled").count() == 12
     assert {r.state for r in pipe.table("settled").collect()} == {"delivered"}
@@ -128,8 +128,8 @@ def test_a_batch_that_was_done_is_passed_over(spark, world):
     pipe, path, *_ = world
     keep, failed = pipe._put, []
 
-    def put(name, rows, part):
-        keep(name, rows, part)
+    def put(name, rows, part, *more):
+        keep(name, rows, part, *more)
         if name == "processed" and not failed:
             failed.append(part)
             raise OSError("lost")
@@ -152,10 +152,10 @@ def test_unsettled(spark, world):
     (path / "out" / "fail").touch()
     keep = pipe._put
 
-    def put(name, rows, part):
+    def put(name, rows, part, *more):
         if name == "retry":
             raise OSError("no queue")
-        keep(name, rows, part)
+        keep(name, rows, part, *more)
 
     pipe._put = put
     changes = read_changes(spark, str(path / "in"))
@@ -167,48 +167,156 @@ def test_unsettled(spark, world):
     assert pipe.table("retry").count() == 3 and {r.state: r.n for r in pipe.table("settled").groupBy("state").agg(F.count("*").alias("n")).collect()} == {"delivered": 9, "queued": 3}
 
 
-def test_compaction(spark, world):
-    """The queue becomes one part and keeps its meaning, expired days and old parts go."""
-    import os
-
-    from tideline.operators.state import latest
-
+def test_retry_queue_by_due_time(spark, world):
+    """A tick reads the minutes that have come, whatever waits in others; past minutes go, what was taken stays taken."""
     pipe, path, now, _ = world
     (path / "out" / "fail").touch()
     run(spark, pipe, path)
-    for _ in range(3):
-        now[0] += dt.timedelta(seconds=400)
-        assert pipe.retry_tick() == {"requeue": 3}
+    queue = pipe.queue
+    first = int(now[0].timestamp()) + 1
+    row = pipe.table("retry").first()
+    for minutes in (30, 60, 90):  # entries that are not due, in thousands
+        later = spark.range(2000).select(F.concat(F.lit(f"m{minutes}-"), F.col("id").cast("string")).alias("id"), *(F.lit(row[c]).alias(c) for c in ("collectionName", "eventData", "retryCount", "maxRetries")), F.timestamp_seconds(F.lit(first + 60 * minutes)).alias("nextRetryAt"), F.lit("x").alias("lastError"), F.lit(5).cast("long").alias("version"), F.lit(False).alias("removed"))
+        queue.put(later, f"later-{minutes}")
+    assert pipe.retry_tick() == {} and queue.seen == [first // 60]
+    now[0] += dt.timedelta(seconds=2)
+    assert pipe.retry_tick() == {"requeue": 3} and queue.seen == [first // 60]
+    assert pipe.table("retry").count() == 6003
     (path / "out" / "fail").unlink()
-    before = sorted(map(str, latest(pipe.table("retry")).collect()))
-    assert len(pipe.parts("retry")) > 3
-    pipe.compact()
-    assert len(pipe.parts("retry")) == 1 and sorted(map(str, latest(pipe.table("retry")).collect())) == before
-    now[0] += dt.timedelta(seconds=400)
-    assert pipe.retry_tick() == {"done": 3} and pipe.retry_tick() == {}
-    pipe.compact()
-    assert latest(pipe.table("retry")).count() == 0 and pipe.table("retry").count() == 3  # removed lately
-    now[0] += dt.timedelta(days=3)
-    for part, _ in pipe.parts("settled"):
-        os.utime(part.removeprefix("file:"), (0, 0))
+    now[0] += dt.timedelta(seconds=200)
+    assert pipe.retry_tick() == {"done": 3}
+    pipe.retry_tick()
+    assert first // 60 not in queue._minutes() and pipe.table("retry").count() == 6000
+    now[0] += dt.timedelta(minutes=27)
+    assert pipe.retry_tick() == {"done": 10} and queue.seen == [first // 60 + 30] and pipe.table("retry").count() == 5990
+    now[0] += dt.timedelta(days=2)
+    pipe._delete(pipe._path(f"retry/due={first // 60 + 30}"))
     pipe.compact()
-    pipe._put("retry", pipe.table("retry").where("false"), "other")
-    pipe.compact()
-    assert pipe.table("retry").count() == 0 and pipe.table("processed").count() == 0
-    assert pipe.parts("settled") == [] and pipe.table("settled").count() == 0 and pipe.parts("outcomes")
-
+    assert not pipe.folders.children("taken", "due=")
 
-def test_many_parts_are_compacted(spark, world, monkeypatch):
-    from tideline.streaming import pipeline
 
+def test_a_tick_that_ended_halfway_is_carried_out(spark, world):
     pipe, path, now, _ = world
-    monkeypatch.setattr(pipeline, "MANY_PARTS", 2)
     (path / "out" / "fail").touch()
     run(spark, pipe, path)
-    for _ in range(4):
+    for crash in ("retry", "taken", "dlq"):
         now[0] += dt.timedelta(seconds=400)
-        assert pipe.retry_tick() == {"requeue": 3}
-    assert len(pipe.parts("retry")) <= 3
+        keep_put, keep_taken = pipe._put, pipe.queue.taken
+
+        def put(name, rows, part, *more, crash=crash, keep=keep_put):
+            keep(name, rows, part, *more)
+            if name == crash:
+                raise OSError("lost")
+
+        def taken(rows, part, crash=crash, keep=keep_taken):
+            if crash == "taken":
+                raise OSError("lost")
+            keep(rows, part)
+
+        pipe._put, pipe.queue.taken = put, taken
+        counts = {r.retryCount for r in pipe.table("retry").collect()}
+        if crash == "dlq":
+            pipe._put, pipe.queue.taken = keep_put, keep_taken
+            for _ in range(3):
+                assert pipe.retry_tick() == {"requeue": 3}
+                now[0] += dt.timedelta(seconds=400)
+            pipe._put = put
+        with pytest.raises(OSError):
+            pipe.retry_tick()
+        pipe._put, pipe.queue.taken = keep_put, keep_taken
+        assert pipe.retry_tick() == {}  # carries out what was decided; nothing else is due
+        if crash != "dlq":
+            assert {r.retryCount for r in pipe.table("retry").collect()} == {c + 1 for c in counts} and pipe.table("retry").count() == 3
+    assert pipe.table("retry").count() == 0 and pipe.table("dlq").count() == 3
+
+
+def test_a_batch_again_does_not_bring_back_dead_letters(spark, world):
+    """A batch that ended before its mark was written, and whose entries a tick has taken meanwhile."""
+    from tideline.sources.feed import read_changes
+
+    pipe, path, now, _ = world
+    (path / "out" / "fail").touch()
+    keep = pipe._put
+
+    def without_keys(name, *rest):
+        if name == "processed":
+            raise OSError("lost")
+        keep(name, *rest)
+
+    pipe._put = without_keys
+    changes = read_changes(spark, str(path / "in"))
+    with pytest.raises(OSError):
+        pipe.process_batch(changes, 0)
+    now[0] += dt.timedelta(seconds=400)
+    assert pipe.retry_tick() == {"requeue": 3}
+    pipe._put = keep
+    pipe.process_batch(changes, 0)
+    assert {r.retryCount for r in pipe.table("retry").collect()} == {1} and pipe.table("retry").count() == 3
+
+
+def test_a_batch_without_deliveries_is_known_as_done(spark, world):
+    from tideline.sources.feed import read_changes
+
+    pipe, path, *_ = world
+    pipe.sinks.load = lambda: [Sink("x", "users", "nothing")]
+    changes = read_changes(spark, str(path / "in"))
+    pipe.process_batch(changes, 0)
+    assert pipe.table("processed").count() == 0 and pipe.table("retry").count() == 12 and pipe.position() == f"{11:016X}"
+    pipe._put = None
+    pipe.process_batch(changes, 0)  # passed over: writes nothing
+
+
+def test_events_behind_an_end_are_left(spark, world):
+    pipe, path, *_ = world
+    changes = spark.sql("""SELECT named_struct('_data', d) AS _id, op AS operationType, cast(null AS struct<t:bigint,i:int>) AS clusterTime, parse_json('{"_id":1}') AS documentKey, parse_json('{"_id":1,"event_type":"purchase","value":1}') AS fullDocument, cast(null AS variant) AS fullDocumentBeforeChange
+      FROM VALUES ('0D', 'insert'), ('0A', 'insert'), ('0c', 'invalidate'), ('0B', 'insert'), ('0F', 'drop') AS t(d, op)""")
+    pipe.process_batch(changes, 0)
+    assert {r.eventId for r in pipe.table("processed").collect()} == {"users:0A", "users:0B"} and len(sent(path / "out")) == 2
+    assert [r.operationType for r in pipe.table("terminal").collect()] == ["invalidate"] and pipe.ended()
+
+
+def test_processed_keys_are_looked_up_in_few_files(spark, tmp_path):
+    """100,000 keys in 50 parts: a batch of new ones reads none, stragglers read their own parts, expired ones none."""
+    from tideline.streaming.stores import Folders, ProcessedKeys
+
+    keys, at = ProcessedKeys(Folders(spark, f"file://{tmp_path}")), dt.datetime(2024, 1, 1, 12, tzinfo=dt.UTC)
+    number = F.format_string("k:%08d", "id")
+    until = F.lit(at + dt.timedelta(hours=20)).cast("timestamp")
+    for part in range(50):
+        keys.put(spark.range(part * 2000, part * 2000 + 2000).select(number.alias("eventId")), "2024-01-02-08", f"p{part}", until)
+    now = F.lit(at).cast("timestamp")
+    ids = lambda *n: spark.createDataFrame([(f"k:{i:08d}",) for i in n], "eventId string")
+    got = lambda df: sorted(int(r.eventId[2:]) for r in keys.fresh(df, now).collect())
+    assert got(ids(*range(100_000, 101_000))) == list(range(100_000, 101_000)) and keys.seen == []
+    assert got(ids(100_000, 100_001, 17, 99_999)) == [100_000, 100_001]
+    rows = spark.read.parquet(*keys.seen).count()
+    assert len(keys.seen) <= 3 and rows <= 6000
+    assert got(ids(*range(4000, 4100), *range(4000, 4050), 200_000)) == [200_000] and len(keys.seen) <= 2
+    assert got(spark.createDataFrame([], "eventId string")) == []
+    keys.compact("2024-01-01-12", "merged")
+    assert len(keys.folders.children("keys", "part=")) == 50  # few enough
+    import tideline.streaming.stores as stores
+
+    stores.MANY_PARTS, keep = 10, stores.MANY_PARTS
+    keys.compact("2024-01-01-12", "merged")
+    stores.MANY_PARTS = keep
+    assert len(keys.folders.children("keys", "part=")) == 1 and got(ids(5, 100_000)) == [100_000]
+    later = F.lit(at + dt.timedelta(hours=21)).cast("timestamp")
+    assert sorted(r.eventId for r in keys.fresh(ids(5), later).collect()) == ["k:00000005"] and keys.seen == []
+    keys.compact("2024-01-02-09", "merged")
+    assert keys.table().count() == 0
+
+
+def test_filters_never_miss():
+    import random
+
+    from tideline.operators.fileindex import bloom, may_hold
+
+    rng = random.Random(4)
+    keys = [f"{rng.getrandbits(80):x}" for _ in range(5000)]
+    bits = bloom(keys)
+    assert may_hold(bits, keys).all()
+    assert may_hold(bits, [f"no{i}" for i in range(20_000)]).mean() < 0.01
 
 
 def test_first_start(spark, world):
@@ -230,6 +338,69 @@ def test_first_start(spark, world):
     assert since.table("processed").count() == 3
 
 
+def test_feed_by_token(spark, world):
+    """A start at a token reads later files only; a restart goes on behind the committed token; a token that is lost is dropped."""
+    from dataclasses import replace
+
+    from tideline.sources import token_feed as tf
+    from tideline.sources.feed import _documents
+
+    pipe, path, now, text = world
+    feed = f"file://{path}/feed"
+    changes = _documents(text.drop("event_id"))
+    token = lambda n: f"{n:016X}"
+    tf.write_feed(changes.where(F.col("_id._data") <= token(7)), feed, 4)
+    follow = lambda p, **k: p.follow(feed, **k)
+
+    def rows(q):
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return [p.numInputRows for p in q.recentProgress if p.numInputRows]
+
+    index = tf.Index(f"{path}/feed")
+    span = tf.spans(index, {"token": token(3), "with": False}, {"token": "F" * 16, "with": False})
+    assert len(index.groups()) == 4 and len(span) == 2 and sum(g.rows for g in index.groups()) == 8
+    assert sum(tf.Index(f"{path}/feed").since(0)["token"] == token(0) for _ in range(1)) == 1
+    late = replace(pipe, root=f"file://{path}/late", resume_token=token(3).lower())
+    assert rows(follow(late)) == [4] and late.table("processed").count() == 4 and late.position() == token(7)
+    assert rows(follow(late)) == []
+    tf.write_feed(changes.where(F.col("_id._data") > token(7)), feed, 2)
+    assert rows(follow(late)) == [4] and late.table("processed").count() == 8
+    since = replace(pipe, root=f"file://{path}/since2", started_at=dt.datetime(2024, 1, 1, 0, 9, tzinfo=dt.UTC).timestamp())
+    assert rows(follow(since)) == [3]
+    fresh = replace(pipe, root=f"file://{path}/now", started_at=None)
+    assert rows(follow(fresh)) == []
+    steady = replace(pipe, root=f"file://{path}/steady")
+    q = follow(steady, available_now=False, every="0 seconds", max_rows=2)
+    for _ in range(300):
+        if steady.table("processed").count() == 12:
+            break
+        time.sleep(0.2)
+    q.stop()
+    assert max(p.numInputRows for p in q.recentProgress) <= 3 and steady.table("processed").count() == 12
+
+    gone = tf.trim_feed(spark, feed, token(5))
+    assert len(gone) == 3
+    lost = replace(pipe, root=f"file://{path}/lost", resume_token=token(2), started_at=0.0)
+    heard = []
+    s = Supervisor(lambda: ["users"], lambda n: follow(lost), failed=lambda n, e: heard.append(lost.lose_position(e)))
+    s.sync()
+    with pytest.raises(Exception, match="resume token was not found"):
+        s.running["users"].awaitTermination(60)
+    s.sync()
+    assert heard == [True] and lost.resume_token is None and rows(s.running["users"]) == [6]
+    assert not lost.lose_position("disk full")
+    behind = replace(pipe, root=f"file://{path}/behind", resume_token=token(5))
+    assert rows(follow(behind)) == [6]
+    with pytest.raises(Exception, match="valid hex"):
+        tf.read_feed(spark, feed, after="xyz").count()
+    assert tf.read_feed(spark, feed, after=token(6), until=token(9)).count() == 3
+    spark.range(3).select(F.struct(F.lit(None).cast("string").alias("_data")).alias("_id")).write.parquet(f"{path}/bare")
+    with pytest.raises(Exception, match="without tokens"):
+        tf.read_feed(spark, f"file://{path}/bare").count()
+    assert tf.read_feed(spark, f"file://{path}/nothing").count() == 0
+
+
 def test_terminal_event_ends_the_stream(spark, world):
     from tideline.streaming.pipeline import StreamEnded
 
@@ -464,12 +635,95 @@ def test_other_transports():
         S.EventBridgeTransport("bus", client=Client(put_events={"FailedEntryCount": 1, "Entries": [{"ErrorMessage": "m"}]})).send(RECORD)
     c = Client(task="succeeded")
     S.MeilisearchTransport("i", c).send(RECORD)
-    S.MeilisearchTransport("i", c).send({"recordType": "MODIFY", "oldImage": {"_id": 2}})
-    assert [x[0] for x in c.calls] == ["upsert", "task", "delete", "task"] and c.calls[2][1] == ("i", 2)
-    with pytest.raises(S.DeliveryError):
-        S.MeilisearchTransport("i", Client(task="failed")).send(RECORD)
-    with pytest.raises(S.DeliveryError):
-        S.search_action({"recordType": "MODIFY"})
+    S.MeilisearchTransport("i", c).send({"recordType": "MODIFY", "oldImage": {"_id": 3}, "documentId": "2"})
+    assert [x[0] for x in c.calls] == ["upsert", "task", "delete", "task"] and c.calls[2][1] == ("i", "2")
+    for state in ("failed", "canceled"):
+        began = time.monotonic()
+        with pytest.raises(S.DeliveryError, match=state):
+            S.MeilisearchTransport("i", Client(task=state)).send(RECORD)
+        assert time.monotonic() - began < 2
+
+
+MISSING, OBJECT, OID, OTHER = "missing", {"_id": 5, "a": 1}, {"_id": {"$oid": "ab"}}, "text"
+
+
+@pytest.mark.parametrize("kind", ["INSERT", "MODIFY", "REMOVE", "UPSERT", None])
+def test_search_actions(kind):
+    """Every record type with every pair of images, with and without an id: what is done, or an error."""
+    for new in (MISSING, None, OBJECT, OID, OTHER):
+        for old in (MISSING, None, OBJECT, OID, OTHER):
+            for key in (MISSING, "", "9"):
+                record = {"recordType": kind} | {k: v for k, v in (("newImage", new), ("oldImage", old), ("documentId", key)) if v is not MISSING}
+                if kind in ("INSERT", "MODIFY") and new in (OBJECT, OID):
+                    want = ("upsert", new)
+                elif kind == "REMOVE" and key == "9":
+                    want = ("delete", "9")
+                elif kind in ("INSERT", "MODIFY") and record.get("newImage") is None and record.get("oldImage") is not None and key == "9":
+                    want = ("delete", "9")
+                else:
+                    want = None
+                if want:
+                    assert S.search_action(record) == want
+                else:
+                    with pytest.raises(S.DeliveryError):
+                        S.search_action(record)
+
+
+def slow_or_fast(sink):
+    import time
+
+    class Sleeps:
+        def send(self, record):
+            time.sleep(sink.spec["seconds"])
+            sink.spec["seen"](sink.id, record)
+
+    return Sleeps()
+
+
+def test_lanes(spark, tmp_path):
+    """One slow and nine fast sinks end in the slow one's time; a document's records arrive in order; full queues are counted."""
+    log = str(tmp_path / "log")
+
+    def seen(sink, record):
+        with open(log, "a") as f:
+            f.write(f"{sink} {record['documentId']} {record['eventId']}\n")
+
+    S.register_transport("sleeps", slow_or_fast)
+    sinks = [Sink(f"s{i}", "c", "sleeps", {"seconds": 0.1 if i == 0 else 0.01, "seen": seen}) for i in range(10)]
+    rows = [("c", "INSERT", None, None, None, f"e{i:03d}", f"d{i % 8}") for i in range(60)]
+    records = spark.createDataFrame(rows, "tableName string, recordType string, newImage string, oldImage string, timestamp timestamp, eventId string, documentId string").withColumns({c: F.try_parse_json(c) for c in ("newImage", "oldImage")}).coalesce(1)
+    from tideline.operators.routing import route
+
+    began = time.monotonic()
+    got = S.deliver(route(records, sinks), sinks).collect()
+    took = time.monotonic() - began
+    assert len(got) == 600 and all(r.ok and r.seconds >= 0.009 and r.wait >= 0 for r in got) and not any(r.full for r in got)
+    assert took < 5 < 60 * 0.1 + 540 * 0.01  # one after the other it would be 11 s
+    order = {}
+    for line in open(log):
+        sink, doc, event = line.split()
+        order.setdefault((sink, doc), []).append(event)
+    assert len(order) == 80 and all(x == sorted(x) for x in order.values())
+
+
+def test_full_lanes_wait(monkeypatch):
+    import queue
+
+    monkeypatch.setattr(S, "QUEUE", 4)
+    results = queue.SimpleQueue()
+
+    class Slow:
+        def send(self, record):
+            time.sleep(0.05)
+
+    lane = S.Lane(Slow, results)
+    for i in range(6):
+        lane.submit(f"e{i}", "s", "{}", "one document")
+    lane.close()
+    lane.join()
+    rows = [results.get() for _ in range(6)]
+    assert [r[0] for r in rows] == [f"e{i}" for i in range(6)]
+    assert any(r[6] and r[5] > 0.01 for r in rows) and not rows[0][6]
 
 
 def test_building():

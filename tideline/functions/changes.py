@@ -50,6 +50,15 @@ def terminal(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("operationType").isin(*TERMINAL))
 
 
+def until_terminal(changes: DataFrame) -> tuple[DataFrame, str | None]:
+    """The events up to the first terminal one, by token, and its operation; what is behind it belongs to a feed that has ended. Events without a token stay."""
+    token = F.upper("_id._data")
+    first = terminal(changes).agg(F.min_by("operationType", F.coalesce(token, F.lit(""))), F.min(token)).first()
+    if first[0] is None or first[1] is None:
+        return changes, first[0]
+    return changes.where(F.coalesce(token <= first[1], F.lit(True))), first[0]
+
+
 def record_json() -> Column:
     """A record as JSON; absent images and empty ids are left out."""
     stamp = F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

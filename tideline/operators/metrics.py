@@ -20,11 +20,6 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], *labels: str
     return df.groupBy(*labels).agg(*buckets, F.count(value).alias("n"), F.sum(value).alias("total"))
 
 
-def waits(records: DataFrame, now) -> DataFrame:
-    """records with `seconds`: how long each has waited for the batch that starts `now`."""
-    return records.withColumn("seconds", F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("timestamp")) / F.lit(1e6)))
-
-
 def _series(name: str, labels: tuple[str, ...]):
     return F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *(F.concat(F.lit(f"{x}="), F.col(x)) for x in labels)), F.lit("} "))
 

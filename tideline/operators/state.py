@@ -1,8 +1,4 @@
-"""Processed events, retries and dead letters as DataFrames; expiry of documents.
-
-State tables are rows of which the last version of a key holds. They are kept
-in parts, one for each batch; a batch that runs again replaces its own.
-"""
+"""Retries and dead letters as DataFrames; expiry of documents. Where a stream keeps them: streaming/stores.py."""
 
 from __future__ import annotations
 
@@ -23,28 +19,6 @@ def backoff(attempt: Column) -> Column:
     return F.least(F.lit(float(MOST_DELAY)), F.lit(float(BASE_DELAY)) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0)).cast("double")))
 
 
-def unprocessed(records: DataFrame, processed: DataFrame, now: Column) -> DataFrame:
-    """Records once each, without those that a live processed key names."""
-    live = processed.where(F.col("expiresAt") > now).select("eventId")
-    return records.dropDuplicates(["eventId"]).join(live, "eventId", "left_anti")
-
-
-def processed_rows(settled: DataFrame, now: Column) -> DataFrame:
-    """Keys of delivered events; `day` is the partition in which they expire, so that a read skips what has expired."""
-    until = now + F.expr(f"interval {REMEMBER} seconds")
-    return settled.where("settled").select("eventId", until.alias("expiresAt"), F.to_date(until).alias("day"))
-
-
-def last_versions(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The last version of each key. An aggregation, so that versions meet before the shuffle."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("version", "removed")).alias("_r")).select("_r.*")
-
-
-def latest(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The last version of each key, without removed ones."""
-    return last_versions(rows, key).where("not removed")
-
-
 def due(queue: DataFrame, now: Column, limit: int = TICK) -> DataFrame:
     """The earliest due events of each collection, `limit` at most."""
     first = W.partitionBy("collectionName").orderBy("nextRetryAt", "id")
@@ -97,7 +71,3 @@ def in_order(records: DataFrame) -> DataFrame:
     """Records dealt by document and sorted by event within: a task takes a document's events one after the other. The shuffle is the price of order; a document is never split."""
     return records.repartition("documentId").sortWithinPartitions("documentId", "eventId")
 
-
-def places(records: DataFrame) -> DataFrame:
-    """documentId, eventId, place: each record's place in that order, from 1."""
-    return records.select("documentId", "eventId", F.row_number().over(W.partitionBy("documentId").orderBy("eventId")).alias("place"))

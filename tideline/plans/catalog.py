@@ -17,7 +17,7 @@ from ..operators.routing import Sink
 from ..schema import RECORD_TYPES
 
 #: Names of the engine's own tables.
-RESERVED = ("config.collections", "config.sinks", "config.dlq", "config.apiKeys")
+RESERVED = ("config.collections", "config.sinks", "config.dlq")
 RESERVED_PREFIX = "system."
 #: Sink types and the fields each must have.
 REQUIRED = {"http": ("endpoint",), "eventbridge": ("eventBusName",), "meilisearch": ("host",), "redis": ("url", "stream")}

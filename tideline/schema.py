@@ -9,9 +9,8 @@ CHANGE = "_id struct<_data string>, operationType string, clusterTime struct<t b
 #: The same as text, for files: documents are JSON strings.
 CHANGE_TEXT = CHANGE.replace("variant", "string")
 RECORD = "tableName string, recordType string, newImage variant, oldImage variant, timestamp timestamp, eventId string, documentId string"
-OUTCOME = "eventId string, sinkId string, ok boolean, error string, seconds double"
+OUTCOME = "eventId string, sinkId string, ok boolean, error string, seconds double, wait double, full boolean"
 RETRY = "id string, collectionName string, eventData string, retryCount int, maxRetries int, nextRetryAt timestamp, lastError string, version long, removed boolean"
 DLQ = "_id string, collectionName string, sinkId string, eventData string, lastError string, failedAt timestamp, dedupKey string"
-PROCESSED = "eventId string, expiresAt timestamp, day date"
 COLLECTION = "collectionName string, partitionKey string, sortKey string, streamEnabled boolean, oldImage boolean, ttlAttribute string, deletionProtection boolean"
 SINK = "id string, collectionId string, type string, spec string, eventTypes array<string>, filter string, fingerprint string"

@@ -3,15 +3,15 @@
 A micro-batch commits its offsets after `process_batch` returns, that is after
 every record is delivered or durably queued. A crash before that delivers again
 and loses nothing. Tables are kept in parts, one for each batch or retry tick; a
-batch that runs again replaces its part, so nothing counts twice. Batches and
-retry ticks of a collection run in one driver loop, so each table has one writer.
-`compact` merges the retry queue's parts and drops what has expired.
+batch that runs again replaces its part and has the time of its first run, so
+nothing counts twice, and what a tick has taken meanwhile stays taken. Batches and
+retry ticks of a collection run in one driver loop, so each table has one writer;
+parts of outcomes and the like that `compact` drops are older than any reader.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
 import time
 import uuid
 from collections.abc import Callable
@@ -22,15 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schema
-from ..functions.changes import parse_changes, parse_record, quarantined, record_json, terminal
+from ..functions.changes import parse_changes, parse_record, quarantined, record_json, until_terminal
 from ..operators.routing import Sink, Sinks, route, settle, settlement
-from ..operators.state import MOST_RETRIES, absent, due, in_order, last_versions, latest, processed_rows, retry_rows, retry_step, unprocessed
-from ..sources.feed import from_start, start_position
+from ..operators.state import MOST_RETRIES, REMEMBER, absent, in_order, retry_rows, retry_step
+from ..sources.feed import from_start, start_position, token_is_useless
+from ..sources.token_feed import stream_feed
 from .sinks import deliver
+from .stores import Folders, ProcessedKeys, RetryQueue
 
-#: Parts of the retry queue at which a tick merges them, and days that outcomes and the like are kept, and tombstones of the queue.
-MANY_PARTS, KEEP_DAYS, KEEP_REMOVED = 64, 30, 1
-TABLES = {"processed": schema.PROCESSED, "retry": schema.RETRY, "dlq": schema.DLQ, "outcomes": schema.OUTCOME, "quarantine": "eventId string, reason string", "settled": "eventId string, recordType string, state string, error string", "terminal": "operationType string"}
+#: Days that outcomes and the like are kept.
+KEEP_DAYS = 30
+TABLES = {"dlq": schema.DLQ, "outcomes": schema.OUTCOME, "quarantine": "eventId string, reason string", "settled": "eventId string, recordType string, state string, error string", "terminal": "operationType string"}
+_BEGUN, _DONE = "version long", "token string"
+_STEP = "id string, collectionName string, eventData string, maxRetries int, lastError string, version long, action string, retryCount int, delay double, error string, due long"
 
 
 class Unsettled(Exception):
@@ -62,75 +66,65 @@ class Pipeline:
 
     def __post_init__(self):
         self.sinks = Sinks(self.load_sinks)
+        self.folders = Folders(self.spark, f"{self.root}/{self.collection}")
+        self.queue, self.keys = RetryQueue(self.folders), ProcessedKeys(self.folders)
         self._ended: bool | None = None
 
     # -- tables
 
     def _path(self, name: str) -> str:
-        return f"{self.root}/{self.collection}/{name}"
+        return self.folders.path(name)
 
     def table(self, name: str) -> DataFrame:
-        """A state table; empty before its first row."""
-        try:
-            return self.spark.read.schema(TABLES[name]).parquet(self._path(name)).drop("part")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], TABLES[name])
-
-    def _put(self, name: str, rows: DataFrame, part: str) -> None:
-        """Rows as this part of a table, in place of what a run before has written."""
-        if name == "processed":  # by day, in which keys expire
-            rows.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "part").parquet(self._path(name))
+        """A state table; empty before its first row. Of the retry queue what is in it, of processed keys those that were not dropped."""
+        if name == "retry":
+            return self.queue.all()
+        if name == "processed":
+            return self.keys.table()
+        return self.folders.read(name, TABLES[name]).drop("part")
+
+    def _put(self, name: str, rows: DataFrame, part: str, until: dt.datetime | None = None) -> None:
+        """Rows as this part of a table, in place of what a run before has written. Processed keys last until a time."""
+        if name == "retry":
+            self.queue.put(rows, part)
+        elif name == "processed":
+            self.keys.put(rows, f"{until:%Y-%m-%d-%H}", part, F.lit(until).cast("timestamp"))
         else:
             rows.write.mode("overwrite").parquet(f"{self._path(name)}/part={part}")
 
-    def _files(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _exists(self, name: str) -> bool:
-        p, files = self._files(self._path(name))
-        return files.exists(p)
-
     def _delete(self, path: str) -> None:
-        p, files = self._files(path)
-        files.delete(p, True)
+        self.folders.delete(path)
 
-    def parts(self, name: str, prefix: str = "part=") -> list[tuple[str, float]]:
+    def parts(self, name: str) -> list[tuple[str, float]]:
         """(path, seconds since 1970 of its last change) of a table's parts."""
-        p, files = self._files(self._path(name))
-        return [(x.getPath().toString(), x.getModificationTime() / 1000) for x in files.listStatus(p) if x.getPath().getName().startswith(prefix)] if files.exists(p) else []
+        return self.folders.children(name, "part=")
 
     def _batch(self, batch_id: int) -> str:
         """A batch's part: by the query's checkpoint too, as a new one counts from 0 again."""
         return f"{self.spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'direct'}-{batch_id}"
 
+    def _begin(self, part: str) -> dt.datetime:
+        """The time of a batch's first run."""
+        if not self.folders.exists(f"begun/part={part}"):
+            self._put("begun", self.spark.createDataFrame([(self._version(),)], _BEGUN), part)
+        version = self.folders.read(f"begun/part={part}", _BEGUN).first()[0]
+        return dt.datetime.fromtimestamp(0, dt.UTC) + dt.timedelta(microseconds=version)
+
     def _done(self, part: str) -> bool:
-        """Whether a batch's processed keys are there."""
-        p, files = self._files(f"{self._path('processed')}/day=*/part={part}")
-        return bool(files.globStatus(p))
+        """Whether a batch has been settled: its keys' filters are there, or, as these may have been merged since, its mark."""
+        return self.folders.exists(f"done/part={part}") or self.folders.exists(f"keys/part={part}")
 
-    def compact(self) -> None:
-        """The retry queue as one part, without what was removed a day ago; days of processed keys and parts of outcomes that have expired go.
+    def position(self) -> str | None:
+        """The highest token of all settled batches."""
+        return self.folders.read("done", _DONE).agg(F.max("token")).first()[0]
 
-        The merged part is written first and holds the last version of every
-        key, also of those removed lately: a crash before the old parts are gone
-        changes nothing.
-        """
+    def compact(self) -> None:
+        """Expired keys, removals of retries a day old, and parts of outcomes of KEEP_DAYS go; many parts of filters and marks become one."""
         now = self.clock()
-        old = self.parts("retry")
-        if len(old) > 1:
-            since = self._version() - KEEP_REMOVED * 86_400_000_000
-            self._put("retry", last_versions(self.table("retry")).where(~F.col("removed") | (F.col("version") >= since)), f"merged-{self._version()}-{uuid.uuid4().hex[:8]}")
-            for path, _ in old:
-                self._delete(path)
-        for path, _ in self.parts("processed", "day="):
-            day = path.rsplit("day=", 1)[1]
-            if re.fullmatch(r"\d{4}-\d\d-\d\d", day) and day < str(now.date()):
-                self._delete(path)
-        for name in ("outcomes", "settled", "quarantine"):
-            for path, at in self.parts(name):
+        self.keys.compact(f"{now:%Y-%m-%d-%H}", f"merged-{self._version()}")
+        self.queue.forget(now.timestamp())
+        for name in ("outcomes", "settled", "quarantine", "begun", "done"):
+            for path, at in sorted(self.parts(name), key=lambda x: x[1])[: -1 if name == "done" else None]:
                 if at < time.time() - KEEP_DAYS * 86_400:
                     self._delete(path)
 
@@ -146,9 +140,6 @@ class Pipeline:
         self._delete(self._path("terminal"))
         self._ended = False
 
-    def _now(self):
-        return F.lit(self.clock()).cast("timestamp")
-
     def _version(self) -> int:
         return int(self.clock().timestamp() * 1_000_000)
 
@@ -157,10 +148,11 @@ class Pipeline:
     def process_batch(self, changes: DataFrame, batch_id: int) -> None:
         """Deliver and settle one micro-batch, whose source is read once. Within it a document's events keep their order.
 
-        Processed keys are written last. A batch that has them has all its
-        parts, so one that was done but not committed is passed over.
+        A batch whose mark is there has all its parts, so one that was done but
+        not committed is passed over, also if it delivered nothing.
 
-        The batch of a terminal event is settled like others; the next one ends the query.
+        Events behind a terminal one, in the order of tokens, are left. The batch
+        of a terminal event is settled like others; the next one ends the query.
         """
         if self.ended():
             raise StreamEnded(self.collection)
@@ -170,16 +162,17 @@ class Pipeline:
         changes = changes.persist()
         work = f"{self._path('work')}/{batch_id}-{uuid.uuid4().hex}"
         try:
-            self._process(changes, part, work)
+            self._process(changes, part, work, self._begin(part))
         finally:
             changes.unpersist()
             self._delete(work)
 
-    def _process(self, changes: DataFrame, part: str, work: str) -> None:
-        active, now = self.sinks.refresh(), self._now()
+    def _process(self, changes: DataFrame, part: str, work: str, began: dt.datetime) -> None:
+        active, now = self.sinks.refresh(), F.lit(began).cast("timestamp")
+        changes, end = until_terminal(changes)
         self._put("quarantine", quarantined(changes, self.collection), part)
         records = parse_changes(changes, self.collection, now, self.old_image).where("eventId <> ''")
-        fresh = in_order(unprocessed(records, self.table("processed").where(F.col("day") >= F.to_date(now)), now))
+        fresh = in_order(self.keys.fresh(records, F.lit(self.clock()).cast("timestamp")))
         fresh.withColumn("record", record_json()).select("eventId", "tableName", "recordType", "record").write.parquet(f"{work}/records")
         fresh = self.spark.read.parquet(f"{work}/records")
         images = fresh.select("*", parse_record(F.col("record")).alias("r")).select("r.*")
@@ -189,70 +182,103 @@ class Pipeline:
         told = settled.join(fresh, "eventId")
         failed = told.where("not settled").select("eventId", "tableName", "record", "error")
         try:
-            self._put("retry", retry_rows(failed, now, F.lit(self._version())), part)
+            self._put("retry", retry_rows(failed, now, F.lit(round(began.timestamp() * 1_000_000))), part)
         except Exception as error:
             raise Unsettled(str(error)) from error
         states = settlement(settled, failed).join(told.select("eventId", "recordType", "error"), "eventId")
         self._put("settled", states.select("eventId", "recordType", "state", "error"), part)
         self._put("outcomes", outcomes, part)
-        ends = terminal(changes).select("operationType").limit(1).collect()
-        if ends:
-            self._put("terminal", self.spark.createDataFrame(ends, TABLES["terminal"]), part)
-        self._put("processed", processed_rows(told, now), part)
-        self._ended = self._ended or bool(ends)
+        if end:
+            self._put("terminal", self.spark.createDataFrame([(end,)], TABLES["terminal"]), part)
+        self._put("processed", told.where("settled"), part, began + dt.timedelta(seconds=REMEMBER))
+        self._put("done", changes.agg(F.max(F.upper("_id._data")).alias("token")), part)
+        self._ended = self._ended or bool(end)
 
     # -- retries
 
     def retry_tick(self) -> dict[str, int]:
-        """One round over due events: dead letters first, then new queue entries, so that a crash repeats and loses nothing."""
-        if len(self.parts("retry")) > MANY_PARTS:
-            self.compact()
-        active, now, version = self.sinks.refresh(), self._now(), self._version()
-        taken = due(latest(self.table("retry")), now)
-        rows = taken.collect()  # TICK rows of a collection at most
-        if not rows:
+        """One round over due events. What is to become of them is written first, as one table; a tick that ended there is carried out by the next one, so a crash loses and repeats nothing that was decided."""
+        for path, _ in self.parts("ticks"):
+            self._carry_out(path.rsplit("part=", 1)[1])
+        at = self.clock()
+        active, now, version = self.sinks.refresh(), F.lit(at).cast("timestamp"), self._version()
+        taken = self.queue.due(now, at.timestamp())
+        if not taken:
             return {}
         work = f"{self._path('work')}/retry-{uuid.uuid4().hex}"
         try:
-            return self._retry(rows, taken, active, now, version, work)
+            return self._retry(taken, active, version, work)
         finally:
             self._delete(work)
 
-    def _retry(self, rows, taken: DataFrame, active: list[Sink], now, version: int, work: str) -> dict[str, int]:
-        taken = self.spark.createDataFrame(rows, taken.schema)
+    def _retry(self, taken: list[tuple], active: list[Sink], version: int, work: str) -> dict[str, int]:
+        """taken: TICK rows at most."""
+        rows = self.spark.createDataFrame([(*r, minute) for minute, r in taken], schema.RETRY + ", due long")
         parsed = parse_record(F.col("eventData"))
-        images = taken.where(F.col("retryCount") < F.col("maxRetries")).select("id", parsed.alias("r")).where("r is not null").select("id", "r.*").withColumn("eventId", F.col("id"))
+        images = rows.where(F.col("retryCount") < F.col("maxRetries")).select("id", parsed.alias("r")).where("r is not null").select("id", "r.*").withColumn("eventId", F.col("id")).dropDuplicates(["eventId"])
         deliver(route(images, active), active).write.parquet(f"{work}/outcomes")
         outcomes = settle(images, self.spark.read.schema(schema.OUTCOME).parquet(f"{work}/outcomes")).select(F.col("eventId").alias("id"), F.col("settled").alias("ok"), "error")
-        step = retry_step(taken, parsed.isNotNull(), outcomes)
-        step.write.parquet(f"{work}/step")
-        step = self.spark.read.parquet(f"{work}/step")
-        dead = step.where("action = 'dlq'").select(F.sha2(F.concat_ws(":", "collectionName", "id"), 256).alias("_id"), "collectionName", F.lit(None).cast("string").alias("sinkId"), "eventData", "lastError", now.alias("failedAt"), F.col("id").alias("dedupKey"))
         tick = f"tick-{version}-{uuid.uuid4().hex[:8]}"
-        self._put("dlq", absent(self.table("dlq"), dead), tick)
-        again = F.col("action") == "requeue"
-        wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce("delay", F.lit(0.0)).cast("decimal(18,6)"))
-        self._put("retry", step.select("id", "collectionName", "eventData", F.col("retryCount").cast("int").alias("retryCount"), "maxRetries", F.when(again, now + wait).otherwise(now).alias("nextRetryAt"), F.when(again, F.col("error")).otherwise(F.col("lastError")).alias("lastError"), F.lit(version).alias("version"), (~again).alias("removed")), tick)
-        return {r["action"]: r["count"] for r in step.groupBy("action").count().collect()}
+        step = retry_step(rows, parsed.isNotNull(), outcomes).join(rows.select("id", "version", "due"), ["id", "version"])
+        step.coalesce(1).write.parquet(self._path(f"ticks/part={tick}"))
+        return self._carry_out(tick)
+
+    def _carry_out(self, tick: str) -> dict[str, int]:
+        """Dead letters first, then new queue entries, then the removal of the old ones. Runs again to the same end."""
+        version = int(tick.split("-")[1])
+        now = F.timestamp_micros(F.lit(version))
+        step = self.folders.read(f"ticks/part={tick}", _STEP)
+        done = {r["action"]: r["count"] for r in step.groupBy("action").count().collect()}
+        if "dlq" in done:
+            dead = step.where("action = 'dlq'").select(F.sha2(F.concat_ws(":", "collectionName", "id"), 256).alias("_id"), "collectionName", F.lit(None).cast("string").alias("sinkId"), "eventData", "lastError", now.alias("failedAt"), F.col("id").alias("dedupKey"))
+            others = self.folders.read("dlq", TABLES["dlq"] + ", part string").where(F.coalesce(F.col("part") != tick, F.lit(True))).drop("part")
+            self._put("dlq", absent(others, dead), tick)
+        if "requeue" in done:
+            wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce("delay", F.lit(0.0)).cast("decimal(18,6)"))
+            again = step.where("action = 'requeue'")
+            self._put("retry", again.select("id", "collectionName", "eventData", F.col("retryCount").cast("int").alias("retryCount"), "maxRetries", (now + wait).alias("nextRetryAt"), F.col("error").alias("lastError"), F.lit(version).cast("long").alias("version"), F.lit(False).alias("removed")), tick)
+        self.queue.taken(step, tick)
+        self._delete(self._path(f"ticks/part={tick}"))
+        return done
 
     # -- running
 
     def start(self, changes: DataFrame, available_now: bool = True, every: str = "5 seconds") -> StreamingQuery:
         if self.ended():
             raise StreamEnded(self.collection)
-        if not self._exists("checkpoint"):
+        if not self.folders.exists("checkpoint"):
             changes = from_start(changes, start_position(self.resume_token, self.started_at), self.clock().timestamp())
+        return self._run(changes, available_now, every)
+
+    def follow(self, feed: str, available_now: bool = True, every: str = "5 seconds", max_rows: int | None = None) -> StreamingQuery:
+        """Start on a feed of files by token: nothing before the start position is read. max_rows bounds the batches of a stream that goes on; available_now takes what is there as one."""
+        if self.ended():
+            raise StreamEnded(self.collection)
+        first = None if self.folders.exists("checkpoint") else start_position(self.resume_token, self.started_at)
+        changes = stream_feed(self.spark, feed, first, self.clock().timestamp(), None if available_now else max_rows, None if first else self.position())
+        return self._run(changes, available_now, every)
+
+    def lose_position(self, error: str) -> bool:
+        """Where an error says that the resume token is of no use, it goes, and the checkpoint with it; the next start is at the stream's enabling or now."""
+        if not token_is_useless(None, error):
+            return False
+        self._delete(self._path("checkpoint"))
+        self.resume_token = None
+        return True
+
+    def _run(self, changes: DataFrame, available_now: bool, every: str) -> StreamingQuery:
         writer = changes.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", self._path("checkpoint"))
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 @dataclass
 class Supervisor:
-    """Keeps a stream running for every enabled collection whose feed has not ended: starts, stops and recreates them."""
+    """Keeps a stream running for every enabled collection whose feed has not ended: starts, stops and recreates them. `failed` hears of a stream's error before it starts again, see Pipeline.lose_position."""
 
     enabled: Callable[[], list[str]]
     start: Callable[[str], StreamingQuery]
     ended: Callable[[str], bool] = lambda name: False
+    failed: Callable[[str, str], object] = lambda name, error: None
     running: dict[str, StreamingQuery] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
@@ -267,6 +293,7 @@ class Supervisor:
                 continue
             if query is not None and query.exception() is not None:
                 self.errors[name] = str(query.exception())[:500]
+                self.failed(name, str(query.exception()))
             try:
                 self.running[name] = self.start(name)
             except Exception as error:  # one collection's failure leaves the others running

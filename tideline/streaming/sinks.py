@@ -13,6 +13,7 @@ import queue
 import threading
 import time
 import urllib.parse
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ..functions.changes import record_json
 from ..operators.routing import Sink
-from ..schema import OUTCOME
+from ..schema import OUTCOME, RECORD_TYPES
 
 #: Seconds of a send, bytes of an answer that are read, bytes of an EventBridge entry.
 TIMEOUT, DRAIN, ENTRY_BYTES = 30.0, 4096, 262_144
 TASK_WAIT, TASK_POLL = 5.0, 0.05
+#: Records that a lane of a task holds, and its workers.
+QUEUE, WORKERS = 1024, 4
 DETAIL_TYPE, SOURCE = "stream-record", "change-feed"
 
 
@@ -134,7 +137,7 @@ class EventBridgeTransport:
 
 @dataclass
 class MeilisearchTransport:
-    """Upsert of the new image, delete where there is only an old one; waits for the task."""
+    """Upsert of a new image, delete where there is only an old one; waits for the task to succeed."""
 
     indexName: str  # noqa: N815
     client: Any = None
@@ -143,32 +146,31 @@ class MeilisearchTransport:
         action, document = search_action(record)
         task = limited(self.client.upsert if action == "upsert" else self.client.delete, self.indexName, document)
         until = time.monotonic() + TASK_WAIT
-        while (state := limited(self.client.task, task)) not in ("succeeded", "failed"):
+        while (state := limited(self.client.task, task)) not in ("succeeded", "failed", "canceled"):
             if time.monotonic() > until:
                 raise DeliveryError("task did not end")
             time.sleep(TASK_POLL)
-        if state == "failed":
-            raise DeliveryError("task failed")
+        if state != "succeeded":
+            raise DeliveryError(f"task {state}")
 
 
 def search_action(record: dict) -> tuple[str, Any]:
-    new, old = record.get("newImage"), record.get("oldImage")
-    if record["recordType"] != "REMOVE" and isinstance(new, dict):
-        if "_id" not in new:
-            raise DeliveryError("no _id")
+    """What becomes of an index: inserts and changes upsert their new image, and delete where there is an old one alone; removals delete. All else is an error, so that no document goes that may be live."""
+    kind, new, old = record.get("recordType"), record.get("newImage"), record.get("oldImage")
+    if kind not in RECORD_TYPES:
+        raise DeliveryError(f"no such record type: {kind}")
+    if kind != "REMOVE" and new is not None:
+        if not isinstance(new, dict):
+            raise DeliveryError("the new image is no object")
         return "upsert", new
-    key = (old or {}).get("_id", record.get("documentId"))
+    if kind != "REMOVE" and old is None:
+        raise DeliveryError("no image to index or to delete by")
+    key = record.get("documentId")
     if key in (None, ""):
-        raise DeliveryError("nothing to index")
+        raise DeliveryError("no document id to delete by")
     return "delete", key
 
 
-def search_action_column() -> Column:
-    """upsert, delete, or null where there is nothing to index."""
-    upsert = F.col("recordType").isin("INSERT", "MODIFY") & F.col("newImage").isNotNull()
-    return F.when(upsert, "upsert").when(F.col("oldImage").isNotNull() | (F.col("recordType") == "REMOVE"), "delete")
-
-
 def entry_too_large() -> Column:
     return F.octet_length(record_json()) > ENTRY_BYTES
 
@@ -214,27 +216,80 @@ register_transport("eventbridge", lambda s: decode_spec(EventBridgeTransport, s.
 register_transport("meilisearch", lambda s: decode_spec(MeilisearchTransport, {"indexName": s.collection} | s.spec))
 
 
+class Lane:
+    """A sink's queues within a task: WORKERS threads, each with its own transport; records of one document go to one of them, in order."""
+
+    def __init__(self, build: Callable[[], Transport], results: queue.SimpleQueue):
+        self.build, self.results = build, results
+        self.jobs: list[queue.SimpleQueue] = [queue.SimpleQueue() for _ in range(WORKERS)]
+        self.room = [threading.Semaphore(QUEUE // WORKERS) for _ in range(WORKERS)]
+        self.threads = [threading.Thread(target=self._work, args=x, daemon=True) for x in zip(self.jobs, self.room, strict=True)]
+        for t in self.threads:
+            t.start()
+
+    def _work(self, jobs: queue.SimpleQueue, room: threading.Semaphore) -> None:
+        transport = None
+        while (job := jobs.get()) is not None:
+            room.release()
+            event, sink, text, wait, full = job
+            began, error = time.monotonic(), None
+            try:
+                transport = transport or self.build()
+                transport.send(json.loads(text))
+            except Exception as e:  # one record's failure is an outcome
+                error = str(e) or type(e).__name__
+            self.results.put((event, sink, error is None, error, time.monotonic() - began, wait, full))
+
+    def submit(self, event: str, sink: str, text: str, document: str | None) -> None:
+        """Waits while the queue of the document's worker is full."""
+        worker = zlib.crc32((document or event or "").encode()) % WORKERS
+        began = time.monotonic()
+        full = not self.room[worker].acquire(blocking=False)
+        if full:
+            self.room[worker].acquire()
+        self.jobs[worker].put((event, sink, text, time.monotonic() - began, full))
+
+    def close(self) -> None:
+        """No more records: what is queued is still sent."""
+        for q in self.jobs:
+            q.put(None)
+
+    def join(self) -> None:
+        for t in self.threads:
+            t.join()
+
+
 def deliver(routed: DataFrame, sinks: list[Sink]) -> DataFrame:
-    """An outcome for each record and sink: eventId, sinkId, ok, error, seconds.
+    """An outcome for each record and sink: eventId, sinkId, ok, error, seconds of the sending, wait before the sink's queue took it, and whether that was full.
 
-    Sending has effects, so write the result once and read it back. Each
-    partition builds a sink's transport once and keeps its connections.
+    Sending has effects, so write the result once and read it back. In a task
+    each sink has a lane of its own, so a slow sink holds the others only when
+    its queue is full. A lane keeps the order of a document's records.
     """
     registry, by_id = dict(_REGISTRY), {s.id: s for s in sinks}
+    names = ["eventId", "sinkId", "ok", "error", "seconds", "wait", "full"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built: dict[str, Transport] = {}
-        for frame in frames:
+        results: queue.SimpleQueue = queue.SimpleQueue()
+        lanes: dict[str, Lane] = {}
+
+        def gathered() -> pd.DataFrame:
             rows = []
-            for event, sink, text in zip(frame.eventId, frame.sinkId, frame.record, strict=True):
-                if sink not in built:
-                    built[sink] = build_transport(by_id[sink], registry) if sink in by_id else _Unavailable("no such sink")
-                began, error = time.monotonic(), None
-                try:
-                    built[sink].send(json.loads(text))
-                except Exception as e:  # one record's failure is an outcome
-                    error = str(e) or type(e).__name__
-                rows.append((event, sink, error is None, error, time.monotonic() - began))
-            yield pd.DataFrame(rows, columns=["eventId", "sinkId", "ok", "error", "seconds"])
+            while not results.empty():
+                rows.append(results.get())
+            return pd.DataFrame(rows, columns=names)
 
-    return routed.select("eventId", "sinkId", record_json().alias("record")).mapInPandas(run, OUTCOME)
+        for frame in frames:
+            for event, sink, text, document in zip(frame.eventId, frame.sinkId, frame.record, frame.documentId, strict=True):
+                if sink not in lanes:
+                    build = (lambda s=by_id[sink]: build_transport(s, registry)) if sink in by_id else (lambda: _Unavailable("no such sink"))
+                    lanes[sink] = Lane(build, results)
+                lanes[sink].submit(event, sink, text, document)
+            yield gathered()
+        for lane in lanes.values():
+            lane.close()
+        for lane in lanes.values():
+            lane.join()
+        yield gathered()
+
+    return routed.select("eventId", "sinkId", record_json().alias("record"), "documentId").mapInPandas(run, OUTCOME)
