@@ -1,0 +1,126 @@
+"""The index over sinks' predicates against each filter by itself, and against a plain evaluator."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from tideline.functions.filters import OPERATORS, Filter
+from tideline.operators import matching as m
+from tideline.operators import routing
+from tideline.operators.routing import Sink
+
+from .test_filters import holds
+
+VALUES = [None, True, False, 0, 1, 2, 3, 5, -1, 0.5, 2.0, -0.0, 1e21, 9007199254740993, "", "a", "ab", "b", "5", "a|b", [], [1, "a"], ["ab", 2.0, True], {"a": 1}, {"k": [1, None]}]
+FIELDS = ["a", "b", "c.d", "e", "it's", 'q"uote']
+
+
+def images(rng, n):
+    def image():
+        x = {k: rng.choice(VALUES) for k in ("a", "b", "e", "it's", 'q"uote') if rng.random() < 0.8}
+        return x | ({"c": {"d": rng.choice(VALUES)}} if rng.random() < 0.6 else {})
+
+    out = []
+    for i in range(n):
+        side = lambda: rng.choice([image, image, image, lambda: None, lambda: "text", lambda: [1]])()
+        out.append((f"e{i}", rng.choice(["c1", "c2"]), rng.choice(["INSERT", "MODIFY", "REMOVE"]), side(), side()))
+    return out
+
+
+def condition(rng):
+    out = {}
+    for op in rng.sample(OPERATORS, rng.choice([1, 1, 1, 2, 3])):
+        x = [rng.choice(VALUES) for _ in range(rng.randint(0, 3))] if op in ("in", "notIn") else rng.random() < 0.5 if op == "exists" else rng.choice(VALUES[1:])
+        out[op] = x
+    return out
+
+
+def sinks(rng, n):
+    out = []
+    for i in range(n):
+        block = lambda: {rng.choice(FIELDS): condition(rng) for _ in range(rng.choice([0, 1, 1, 2]))} | ({"b": {}} if rng.random() < 0.05 else {})
+        simple = {"newImage": {"a": {"eq": rng.choice(VALUES[1:])}, "b": {rng.choice(["gt", "gte", "lt", "lte"]): rng.choice(VALUES[1:])}}}
+        config = simple if rng.random() < 0.5 else {"newImage": block(), "oldImage": block()}
+        types = tuple(rng.sample(["insert", "MODIFY", "Remove"], rng.choice([0, 0, 1, 2])))
+        out.append(Sink(f"s{i}", rng.choice(["c1", "c2"]), "http", {}, types, Filter.parse(config)))
+    return out
+
+
+def frame(spark, rows):
+    text = [(e, c, t, None if a is None else json.dumps(a), None if b is None else json.dumps(b)) for e, c, t, a, b in rows]
+    df = spark.createDataFrame(text, "eventId string, tableName string, recordType string, newImage string, oldImage string")
+    return df.withColumns({c: F.parse_json(c) for c in ("newImage", "oldImage")})
+
+
+def pairs(df):
+    return sorted((r["eventId"], r["sinkId"]) for r in df.select("eventId", "sinkId").collect())
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_equals_each_filter_by_itself(spark, seed):
+    rng = random.Random(seed)
+    df, of = frame(spark, images(rng, 60)).repartition(3), sinks(rng, 40)
+    want = pairs(routing.route(df, of))
+    got = m.route_by_index(df, of)
+    assert got.columns == [*df.columns, "sinkId"] and pairs(got) == want and len(want) > 50
+
+
+def missing(image, name):
+    for k in name.split("."):
+        if not isinstance(image, dict) or k not in image:
+            return True, None
+        image = image[k]
+    return False, image
+
+
+def accepts(sink, row):
+    _, collection, kind, new, old = row
+    if sink.collection != collection or (sink.event_types and kind not in {t.upper() for t in sink.event_types}):
+        return False
+    for image, block in ((new, sink.filter.new), (old, sink.filter.old)):
+        if block and not isinstance(image, dict):
+            return False
+        for name, c in block.items():
+            gone, v = missing(image, name)
+            for op, o in c.items():
+                if op == "exists" and o == gone or op != "exists" and (gone or not holds(v, op, o)):
+                    return False
+    return True
+
+
+def test_many_rules_by_a_plain_evaluator(spark):
+    """More rules than are compiled to Columns, and more fields than are taken out one by one."""
+    rng = random.Random(3)
+    rows = [(e, c, t, None if not isinstance(a, dict) else a | {f"f{i}": i % 7 for i in range(70)}, b) for e, c, t, a, b in images(rng, 40)]
+    simple = lambda: rng.choice([0, 1, 2, 0.5, "a", "ab", "b", True, -1, 1e21])
+    of = []
+    for i in range(600):
+        block = {rng.choice(["a", "b", "c.d", f"f{i % 70}"]): {rng.choice(["eq", "eq", "ne", "gt", "gte", "lt", "lte"]): simple()} for _ in range(rng.choice([1, 2]))}
+        of.append(Sink(f"s{i}", rng.choice(["c1", "c2"]), "http", {}, rng.choice([(), ("insert",)]), Filter.parse({"newImage": block})))
+    assert len({s.rule() for s in of}) > routing.MANY_RULES and len(m.RuleIndex(of).fields) > m.COLUMNS
+    want = sorted((r[0], s.id) for r in rows for s in of if accepts(s, r))
+    assert pairs(routing.route(frame(spark, rows), of)) == want and len(want) > 500
+
+
+def test_bounds(spark):
+    """Every comparison at, above and below its bound, and equal bounds of several rules."""
+    of = [Sink(f"{op}{b}-{n}", "c", "http", {}, (), Filter.parse({"newImage": {"v": {op: b}}})) for op in ("gt", "gte", "lt", "lte") for b in (-1, 0, 0.5, 3) for n in range(2)]
+    rows = [(f"e{i}", "c", "INSERT", {"v": v}, None) for i, v in enumerate([-2, -1, -0.0, 0, 0.25, 0.5, 3, 4, "3", None])]
+    df = frame(spark, [*rows, ("none", "c", "INSERT", {}, None)])
+    assert pairs(m.route_by_index(df, of)) == sorted((r[0], s.id) for r in rows for s in of if accepts(s, r))
+
+
+def test_the_plan_does_not_grow(spark):
+    """Ten thousand rules have the plan of two hundred; without a broadcast the rows are the same."""
+    df = frame(spark, images(random.Random(4), 10))
+    plan = lambda n: len(m.route_by_index(df, [Sink(f"s{i}", "c1", "http", {}, (), Filter.parse({"newImage": {"a": {"eq": i % 5}, "b": {"gt": i}}})) for i in range(n)])._jdf.queryExecution().analyzed().toString())
+    assert plan(10_000) < 1.1 * plan(200)
+    of = sinks(random.Random(5), 30)
+    once = pairs(m.route_by_index(df, of))
+    keep, m.BROADCAST_BYTES = m.BROADCAST_BYTES, -1
+    try:
+        assert pairs(m.route_by_index(df, of)) == once
+    finally:
+        m.BROADCAST_BYTES = keep
+    assert m.route_by_index(df, []).collect() == [] and m.route_by_index(df.where("false"), of).collect() == []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Filter, event_type_allowed, with_matches
 from ..functions.text import canonical_json
+from .matching import route_by_index
 
 
 @dataclass(frozen=True)
@@ -39,11 +40,18 @@ def _told(records: DataFrame, sinks: list[Sink]) -> tuple[DataFrame, list[tuple[
     return df, [(t, [s.id for s in of]) for t, of in zip(tests, rules.values(), strict=True)]
 
 
+#: Rules up to which each is a Column of its own; the index over more gives the same rows.
+MANY_RULES = 64
+
+
 def route(records: DataFrame, sinks: list[Sink]) -> DataFrame:
     """A row for each record and each sink of its collection that accepts it, with sinkId. One pass for all sinks; no sinks, no rows.
 
-    What filters ask of the images is extracted once for all sinks.
+    What filters ask of the images is extracted once for all sinks. Many rules
+    are looked up in an index, whose plan does not grow with them.
     """
+    if len({s.rule() for s in sinks}) > MANY_RULES:
+        return route_by_index(records, sinks)
     df, tests = _told(records, sinks)
     hits = [F.when(t, F.array(*map(F.lit, ids))) for t, ids in tests]
     chosen = F.flatten(F.array_compact(F.array(*hits))) if hits else F.expr("cast(array() as array<string>)")

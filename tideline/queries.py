@@ -16,7 +16,7 @@ from .files import shared_dir
 from .functions.changes import display_columns, event_id, key_labels, parse_changes, parse_record, quarantined, record_json, until_terminal
 from .functions.filters import Filter, event_type_allowed, filter_to_form, form_to_filter, match_image
 from .functions.text import display_value, id_text, plain
-from .operators import metrics, reads, routing, state
+from .operators import matching, metrics, reads, routing, state
 from .operators.routing import Sink, Sinks
 from .plans import catalog
 from .sources.feed import change_feed, micros, start_position
@@ -356,6 +356,18 @@ def _(spark, sf_dir):
     return routed(spark, sf_dir).select("eventId", "documentId", "recordType", "sinkId")
 
 
+#: A sink for every bound, of purchases above it and of clicks below.
+BOUNDS = [Sink(f"{kind}{b}", COLLECTION, "http", {}, (), Filter.parse({"newImage": {"event_type": {"eq": kind}, "value": {op: b}}})) for b in range(100) for kind, op in (("purchase", "gt"), ("click", "lte"))]
+
+
+@query("route_index", FEED + """SELECT event_type || b AS sinkId, count(*) AS n, sum(event_id)::BIGINT AS ids FROM rec, range(100) t(b)
+  WHERE has_new AND ((event_type = 'purchase' AND value > b) OR (event_type = 'click' AND value <= b)) GROUP BY 1""")
+def _(spark, sf_dir):
+    """200 rules by an index over their predicates."""
+    number = F.conv(F.substring_index("eventId", ":", -1), 16, 10).cast("long")
+    return matching.route_by_index(records(spark, sf_dir), BOUNDS).groupBy("sinkId").agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("ids"))
+
+
 @query("flagship_purchases", FEED + f"SELECT eid AS eventId, did AS documentId, rt AS recordType FROM rec WHERE {SQL_A}")
 def flagship(spark, sf_dir):
     return routing.route(records(spark, sf_dir), SINKS[:1]).select("eventId", "documentId", "recordType")

@@ -169,8 +169,8 @@ def next_offset(groups: list[Group], at: dict, most: int) -> dict:
 
 
 class TokenStream(DataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.options, self.index = dict(options), Index(options["path"])
+    def __init__(self, options):
+        self.options, self.index = options, Index(options["path"])
         # what a query that starts again has behind it is in its checkpoint, of which a source is told late
         self.at = {"token": options["position"].upper(), "with": False} if options.get("position") else None
 
@@ -180,6 +180,8 @@ class TokenStream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         groups = self.index.groups()
+        if self.at is None and self.options.get("fresh"):  # a first start: Spark asks for the latest offset before the initial one
+            self.at = first_offset(self.index, self.options)
         at = self.at or {"token": "", "with": False}
         return next_offset(groups, at, int(self.options.get("maxRows") or 0) if self.at else 0)
 
@@ -196,8 +198,8 @@ class TokenStream(DataSourceStreamReader):
 
 
 class TokenBatch(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = dict(options)
+    def __init__(self, options):
+        self.options = options
 
     def partitions(self) -> list[Span]:
         index = Index(self.options["path"])
@@ -244,11 +246,11 @@ def read_feed(spark: SparkSession, path: str, after: str | None = None, since: f
     return _documents(_options(spark, spark.read, path, {"after": after, "since": since, "until": until}).load())
 
 
-def stream_feed(spark: SparkSession, path: str, position: tuple[str, str | float | None] | None = None, now: float = 0.0, max_rows: int | None = None, behind: str | None = None) -> DataFrame:
-    """The same as a stream. position: what feed.start_position gives, for a first start (none: the beginning); behind: the last token of a stream that starts again."""
+def stream_feed(spark: SparkSession, path: str, position: tuple[str, str | float | None] | None = None, now: float = 0.0, max_rows: int | None = None, behind: str | None = None, fresh: bool = False) -> DataFrame:
+    """The same as a stream. position: what feed.start_position gives, for a first start (none: the beginning). max_rows bounds batches as soon as the source knows where it is: a first start says so (fresh), and one that starts again has its last token behind it."""
     kind, value = position or (None, None)
     start = {"after": value} if kind == "token" else {"since": now if kind == "now" else value} if kind else {}
-    return _documents(_options(spark, spark.readStream, path, {**start, "maxRows": max_rows, "position": behind}).load())
+    return _documents(_options(spark, spark.readStream, path, {**start, "maxRows": max_rows, "position": behind, "fresh": fresh or None}).load())
 
 
 def write_feed(changes: DataFrame, path: str, files: int = 8) -> None:

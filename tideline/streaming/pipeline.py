@@ -254,8 +254,9 @@ class Pipeline:
         """Start on a feed of files by token: nothing before the start position is read. max_rows bounds the batches of a stream that goes on; available_now takes what is there as one."""
         if self.ended():
             raise StreamEnded(self.collection)
-        first = None if self.folders.exists("checkpoint") else start_position(self.resume_token, self.started_at)
-        changes = stream_feed(self.spark, feed, first, self.clock().timestamp(), None if available_now else max_rows, None if first else self.position())
+        first = not self.folders.exists("checkpoint")
+        start = start_position(self.resume_token, self.started_at)  # also when it starts again: it may have ended before its first batch
+        changes = stream_feed(self.spark, feed, start, self.clock().timestamp(), None if available_now else max_rows, None if first else self.position(), first)
         return self._run(changes, available_now, every)
 
     def lose_position(self, error: str) -> bool:
