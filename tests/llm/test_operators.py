@@ -458,21 +458,27 @@ def test_top_k(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     ok = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows if x is not None and None not in x and np.isfinite(x).all()]
     want = []
-    for i, q in ok:
+    for n, (i, q) in enumerate(ok):
         if i % 50 == 0:
-            found = sorted((-int(q @ x), j) for j, x in ok if j != i and len(x) == len(q))[:5]
+            found = sorted((-int(q @ x), j) for m, (j, x) in enumerate(ok) if m != n and len(x) == len(q))[:5]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
-    usable = bitsliced.usable(df)
+    assert sum(i == 150 for i, *_ in want) == 10  # two rows of one id are two queries, and find each other
     for size in (16_384, 64):
-        got = bitsliced.top_k(usable.where("vec_id % 50 = 0"), usable, 5, size).collect()
-        if size == 64:
-            assert {x for x in map(tuple, got) if x[0] != 150} == {x for x in want if x[0] != 150}
-        first = [x for x in map(tuple, got) if x[0] != 150]
-        assert same(first, [x for x in want if x[0] != 150])
-    none = bitsliced.usable(df.where("false"))
+        usable = bitsliced.numbered(bitsliced.usable(df))
+        assert same(sorted(map(tuple, bitsliced.top_k(usable.where("vec_id % 50 = 0"), usable, 5, size).collect())), sorted(want))
+    none = bitsliced.numbered(bitsliced.usable(df.where("false")))
     assert bitsliced.top_k(none, none).collect() == []
 
 
+def test_top_k_of_rows_that_repeat(spark):
+    """Equal ids and equal vectors: every row counts, as a candidate and as a query."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 1.0])]
+    usable = bitsliced.numbered(bitsliced.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    got = sorted(map(tuple, bitsliced.top_k(usable.where("vec_id % 50 = 0"), usable).collect()))
+    one, half = 65_536, 32_768
+    assert got == sorted([(0, 1, 0, one), (0, 2, 1, one), (0, 3, 0, half)] * 2 + [(0, 1, 0, half), (0, 2, 0, half), (0, 3, 1, half)])
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_large_components(spark, kind):
     """Components of any finite size, beside ordinary ones, ranked by exact integers; long scores end at 64 bits."""
@@ -490,7 +496,7 @@ def test_large_components(spark, kind):
         if i % 50 == 0:
             found = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in ok if j != i)[:5]
             want += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(found, 1)]
-    usable = bitsliced.usable(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"))
+    usable = bitsliced.numbered(bitsliced.usable(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")))
     for size in (16_384, 16):
         assert same([tuple(r) for r in bitsliced.top_k(usable.where("vec_id % 50 = 0"), usable, 5, size).collect()], want)
 
@@ -1001,7 +1007,7 @@ def test_only_results_stay(spark, docs):
         (lambda: parity_join.similar_components(docs), ["components"]),
         (lambda: quality_mcd.quality(docs), ["judges", "statistics"]),
         (lambda: pii.private_spans(docs), ["terms", "values"]),
-        (lambda: bitsliced.top_k(*[bitsliced.usable(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"))] * 2), ["best"]),
+        (lambda: bitsliced.top_k(*[bitsliced.numbered(bitsliced.usable(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")))] * 2), ["best", "numbered"]),
         (lambda: mix_sources(docs), ["budgets", "ranges", "sizes"]),
     ):
         with scratch(spark):

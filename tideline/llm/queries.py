@@ -39,7 +39,7 @@ def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bitsliced.usable(table(spark, sf_dir, "embeddings"))
+    rows = bitsliced.numbered(bitsliced.usable(table(spark, sf_dir, "embeddings")))
     return bitsliced.top_k(rows.where("vec_id % 50 = 0"), rows, 5)
 
 
