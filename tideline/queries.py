@@ -19,8 +19,9 @@ from .functions.text import display_value, id_text, plain
 from .operators import matching, metrics, reads, routing, state
 from .operators.routing import Sink, Sinks
 from .plans import catalog
-from .sources.feed import change_feed, micros, start_position
+from .sources.feed import change_feed, delta_feed, micros, start_position
 from .sources.token_feed import read_feed, stream_feed, write_feed
+from .streaming.images import use_rocksdb
 from .streaming.pipeline import Pipeline
 from .streaming.sinks import DeliveryError, deliver, entry_too_large, register_transport, registered_transport
 from .streaming.stores import Folders, ProcessedKeys, RetryQueue
@@ -155,6 +156,22 @@ def _(spark, sf_dir):
     return records(spark, sf_dir).select("eventId", "documentId", "recordType", "tableName", F.unix_micros("timestamp").alias("ts_us"), number("newImage", "$.event_type", "string").alias("new_type"), number("newImage", "$.value").alias("new_value"), number("oldImage", "$.event_type", "string").alias("old_type"), number("oldImage", "$.props.k", "long").alias("old_k"))
 
 
+@query("update_lookup", FEED + """SELECT eid AS eventId, rt AS recordType, CASE WHEN has_new THEN event_type END AS new_type, CASE WHEN has_new THEN value END AS new_value, CASE WHEN has_new THEN k END AS new_k,
+  CASE WHEN has_old THEN pt END AS old_type, CASE WHEN has_old THEN pv END AS old_value, CASE WHEN has_old THEN pk END AS old_k FROM rec""")
+def _(spark, sf_dir):
+    """A feed of deltas alone, by a stream that keeps documents in state and is stopped halfway: the images of the whole feed."""
+    use_rocksdb(spark)
+    deltas, folder = delta_feed(table(spark, sf_dir, "events")), new_folder(spark, "deltas")
+    half = deltas.agg(F.floor(F.avg("event_id"))).first()[0]
+    for arrived in (F.col("event_id") <= half, F.col("event_id") > half):
+        write_feed(deltas.where(arrived), f"{folder}/in", 4)
+        records = parse_changes(stream_feed(spark, f"{folder}/in", deltas=True), COLLECTION)
+        asked = {f"{side}_{name}": number(f"{side}Image", path, kind) for side in ("new", "old") for name, path, kind in (("type", "$.event_type", "string"), ("value", "$.value", "double"), ("k", "$.props.k", "long"))}
+        got = records.select("eventId", "recordType", *(c.alias(n) for n, c in asked.items()))
+        got.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(got.schema).parquet(f"{folder}/out")
+
+
 @query("parse_unknown_skip", FEED + "SELECT 'users:' || upper(printf('%016x', event_id)) AS eventId, 'unknown operation type: rename' AS reason FROM feed WHERE op = 'rename'")
 def _(spark, sf_dir):
     return quarantined(feed(spark, sf_dir), COLLECTION)

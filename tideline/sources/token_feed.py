@@ -35,6 +35,8 @@ NAME = "tideline_feed"
 TRIMMED = "_trimmed"
 NOT_HEX, NOT_FOUND = TOKEN_MESSAGES[0], TOKEN_MESSAGES[2]
 _TEXTS = ("documentKey", "fullDocument", "fullDocumentBeforeChange")
+#: Of feeds of deltas, see streaming/images.py.
+_DELTA = "updateDescription"
 _SHAPE = pa.schema([("_id", pa.struct([("_data", pa.string())])), ("operationType", pa.string()), ("clusterTime", pa.struct([("t", pa.int64()), ("i", pa.int32())])), *((c, pa.string()) for c in _TEXTS)])
 
 
@@ -131,14 +133,15 @@ def spans(index: Index, start: dict, end: dict) -> list[Span]:
     return [Span(g.path, g.number, start["token"], end["token"], start["with"]) for g in index.groups() if reached(g) and g.low <= end["token"]]
 
 
-def _read(uri: str, span: Span) -> Iterator[pa.RecordBatch]:
-    files, _ = pafs.FileSystem.from_uri(uri)
+def _read(options, span: Span) -> Iterator[pa.RecordBatch]:
+    files, _ = pafs.FileSystem.from_uri(options["path"])
+    shape = _SHAPE.append(pa.field(_DELTA, pa.string())) if options.get("deltas") else _SHAPE
     with files.open_input_file(span.path) as f:
         table = pq.ParquetFile(f).read_row_group(span.number)
     token = pc.utf8_upper(pc.struct_field(table["_id"], "_data"))
     token = pc.fill_null(token, pc.max(token))
     behind = pc.greater_equal(token, span.start) if span.with_start else pc.greater(token, span.start)
-    table = table.filter(pc.and_(behind, pc.less_equal(token, span.end))).select(_SHAPE.names).cast(_SHAPE)
+    table = table.filter(pc.and_(behind, pc.less_equal(token, span.end))).select(shape.names).cast(shape)
     yield from table.to_batches(max_chunksize=10_000)
 
 
@@ -191,7 +194,7 @@ class TokenStream(DataSourceStreamReader):
         return spans(self.index, start, end)
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return _read(self.options["path"], partition)
+        return _read(self.options, partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -207,18 +210,18 @@ class TokenBatch(DataSourceReader):
         return spans(index, first_offset(index, self.options), {"token": (self.options.get("until") or (groups[-1].high if groups else "")).upper(), "with": False})
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return _read(self.options["path"], partition)
+        return _read(self.options, partition)
 
 
 class TokenFeed(DataSource):
-    """Options: path; after or since; until (batch); maxRows, position (stream)."""
+    """Options: path; after or since; until (batch); maxRows, position, fresh (stream); deltas: events have updateDescription."""
 
     @classmethod
     def name(cls) -> str:
         return NAME
 
     def schema(self) -> str:
-        return CHANGE_TEXT
+        return CHANGE_TEXT + (f", {_DELTA} string" if self.options.get("deltas") else "")
 
     def reader(self, schema) -> TokenBatch:
         return TokenBatch(self.options)
@@ -246,16 +249,22 @@ def read_feed(spark: SparkSession, path: str, after: str | None = None, since: f
     return _documents(_options(spark, spark.read, path, {"after": after, "since": since, "until": until}).load())
 
 
-def stream_feed(spark: SparkSession, path: str, position: tuple[str, str | float | None] | None = None, now: float = 0.0, max_rows: int | None = None, behind: str | None = None, fresh: bool = False) -> DataFrame:
-    """The same as a stream. position: what feed.start_position gives, for a first start (none: the beginning). max_rows bounds batches as soon as the source knows where it is: a first start says so (fresh), and one that starts again has its last token behind it."""
+def stream_feed(spark: SparkSession, path: str, position: tuple[str, str | float | None] | None = None, now: float = 0.0, max_rows: int | None = None, behind: str | None = None, fresh: bool = False, deltas: bool = False) -> DataFrame:
+    """The same as a stream. position: what feed.start_position gives, for a first start (none: the beginning). max_rows bounds batches as soon as the source knows where it is: a first start says so (fresh), and one that starts again has its last token behind it. With deltas, documents are completed by state."""
     kind, value = position or (None, None)
     start = {"after": value} if kind == "token" else {"since": now if kind == "now" else value} if kind else {}
-    return _documents(_options(spark, spark.readStream, path, {**start, "maxRows": max_rows, "position": behind, "fresh": fresh or None}).load())
+    changes = _options(spark, spark.readStream, path, {**start, "maxRows": max_rows, "position": behind, "fresh": fresh or None, "deltas": deltas or None}).load()
+    if deltas:
+        from ..streaming.images import with_images
+
+        changes = with_images(changes)
+    return _documents(changes)
 
 
 def write_feed(changes: DataFrame, path: str, files: int = 8) -> None:
     """Append events to a feed as files of disjoint, sorted ranges of tokens."""
-    dealt = as_text(changes).repartitionByRange(files, "_id._data").sortWithinPartitions("_id._data")
+    text = as_text(changes, *([_DELTA] if _DELTA in changes.columns else []))
+    dealt = text.repartitionByRange(files, "_id._data").sortWithinPartitions("_id._data")
     dealt.write.mode("append").parquet(path)
 
 

@@ -250,13 +250,13 @@ class Pipeline:
             changes = from_start(changes, start_position(self.resume_token, self.started_at), self.clock().timestamp())
         return self._run(changes, available_now, every)
 
-    def follow(self, feed: str, available_now: bool = True, every: str = "5 seconds", max_rows: int | None = None) -> StreamingQuery:
-        """Start on a feed of files by token: nothing before the start position is read. max_rows bounds the batches of a stream that goes on; available_now takes what is there as one."""
+    def follow(self, feed: str, available_now: bool = True, every: str = "5 seconds", max_rows: int | None = None, deltas: bool = False) -> StreamingQuery:
+        """Start on a feed of files by token: nothing before the start position is read. max_rows bounds the batches of a stream that goes on; available_now takes what is there as one. Of a feed of deltas, documents are completed by state."""
         if self.ended():
             raise StreamEnded(self.collection)
         first = not self.folders.exists("checkpoint")
         start = start_position(self.resume_token, self.started_at)  # also when it starts again: it may have ended before its first batch
-        changes = stream_feed(self.spark, feed, start, self.clock().timestamp(), None if available_now else max_rows, None if first else self.position(), first)
+        changes = stream_feed(self.spark, feed, start, self.clock().timestamp(), None if available_now else max_rows, None if first else self.position(), first, deltas)
         return self._run(changes, available_now, every)
 
     def lose_position(self, error: str) -> bool:
