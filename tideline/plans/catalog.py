@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
 from ..functions.text import canonical_json
+from ..operators.fileindex import INDEX, files_for, index_of
 from ..operators.routing import Sink
 from ..schema import RECORD_TYPES
 
@@ -226,3 +227,41 @@ def catalog_tables(spark, catalog: Catalog) -> tuple[DataFrame, DataFrame]:
     c = [(x.name, x.partition_key, x.sort_key, x.stream_enabled, x.old_image, x.ttl_attribute, x.protected) for x in catalog.collections.values()]
     s = [(x.id, x.collection, x.type, canonical_json(x.spec), list(x.event_types), canonical_json(x.filter.config()), fingerprint(x.type, x.spec)) for x in catalog.sinks.values()]
     return spark.createDataFrame(c, COLLECTION), spark.createDataFrame(s, SINK)
+
+
+# -- rows that arrive
+
+
+class UniqueKeys:
+    """The keys of a collection's rows by part, each file with its range and filter, so that what arrives is held against few of them."""
+
+    def __init__(self, folders, keys: list[str]):
+        self.folders, self.keys = folders, keys
+        #: Files that the last check has read.
+        self.seen: list[str] = []
+
+    def _key(self) -> Column:
+        """All key columns as one text; null where one is missing."""
+        parts = [F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")) for k in self.keys]
+        return F.concat(*parts)
+
+    def violations(self, rows: DataFrame) -> DataFrame:
+        """reason, n: rows without a whole key, rows that share one, and rows whose key is stored already."""
+        told = rows.select(self._key().alias("key"))
+        self.seen = files_for(self.folders.read("keys", INDEX), told, "key")
+        n = F.sum("n").cast("long").alias("n")
+        found = told.where("key is null").groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("missing").alias("reason"), "n")
+        once = told.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(once.where("n > 1").agg(F.coalesce(n, F.lit(0)).alias("n")).select(F.lit("duplicate").alias("reason"), "n"))
+        stored = self.folders.spark.read.schema("key string").parquet(*self.seen) if self.seen else self.folders.spark.createDataFrame([], "key string")
+        taken = once.join(stored.distinct(), "key", "left_semi").agg(F.coalesce(n, F.lit(0)).alias("n"))
+        return found.unionByName(taken.select(F.lit("stored").alias("reason"), "n"))
+
+    def insert(self, rows: DataFrame, part: str) -> None:
+        """Keep the rows' keys as a part, or refuse them all."""
+        wrong = [r for r in self.violations(rows).collect() if r["n"]]
+        if wrong:
+            raise Refused("KEY_VIOLATION", ", ".join(f"{r['n']} {r['reason']}" for r in wrong))
+        path = self.folders.path(f"rows/part={part}")
+        rows.select(self._key().alias("key")).repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
+        index_of(self.folders.spark.read.schema("key string").parquet(path), "key").coalesce(1).write.parquet(self.folders.path(f"keys/part={part}"))

@@ -16,11 +16,12 @@ from .files import shared_dir
 from .functions.changes import display_columns, event_id, key_labels, parse_changes, parse_record, quarantined, record_json, until_terminal
 from .functions.filters import Filter, event_type_allowed, filter_to_form, form_to_filter, match_image
 from .functions.text import display_value, id_text, plain
-from .operators import matching, metrics, reads, routing, state
+from .operators import matching, metrics, paging, reads, routing, state
 from .operators.routing import Sink, Sinks
 from .plans import catalog
 from .sources.feed import change_feed, delta_feed, micros, start_position
 from .sources.token_feed import read_feed, stream_feed, write_feed
+from .streaming import expiry
 from .streaming.images import use_rocksdb
 from .streaming.pipeline import Pipeline
 from .streaming.sinks import DeliveryError, deliver, entry_too_large, register_transport, registered_transport
@@ -572,6 +573,26 @@ def _(spark, sf_dir):
     return reads.documents(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), *reads.page_params(None, "40"), key="o_orderkey")
 
 
+def clustered(spark: SparkSession, df: DataFrame, order: list[tuple[str, bool]], group: str | None = None) -> str:
+    path = new_folder(spark, "clustered")
+    paging.write_clustered(df, path, order, group, 8)
+    return path
+
+
+@query("deep_page_documents", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100 OFFSET (SELECT count(*) * 3 // 4 FROM lineitem)")
+def _(spark, sf_dir):
+    """A page far behind, by the places of files."""
+    rows, order = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), [("l_orderkey", True), ("l_linenumber", True)]
+    return paging.deep_page(spark, clustered(spark, rows, order), rows.schema, order, 100, rows.count() * 3 // 4)
+
+
+@query("deep_page_dlq", f"SELECT id AS _id, failed_us AS failedAt, key AS dedupKey FROM ({_DLQ}) WHERE c = '3-MEDIUM' ORDER BY failed_us DESC, key LIMIT 20 OFFSET (SELECT count(*) // 2 FROM ({_DLQ}) WHERE c = '3-MEDIUM')")
+def _(spark, sf_dir):
+    rows, order = dead(spark, sf_dir), [("failedAt", False), ("dedupKey", True)]
+    own = rows.where("collectionName = '3-MEDIUM'").count()
+    return paging.deep_page(spark, clustered(spark, rows, order, "collectionName"), rows.schema, order, 20, own // 2, ("collectionName", "3-MEDIUM")).select("_id", "failedAt", "dedupKey")
+
+
 @query("page_params_documents", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 3")
 def _(spark, sf_dir):
     return reads.documents(table(spark, sf_dir, "orders").select("o_orderkey"), *reads.page_params("5000", "3"), key="o_orderkey")
@@ -771,6 +792,23 @@ def _(spark, sf_dir):
     return gone.select("tableName", "recordType", "eventId", "documentId", F.try_variant_get("oldImage", "$.o_orderkey", "long").alias("old_key"))
 
 
+@query("s_expiry_sweep", """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 400 DAY ELSE o_orderdate END AS till FROM orders WHERE o_orderkey % 7 <> 0),
+  n(sweep, t) AS (VALUES (1, TIMESTAMP '1994-06-01'), (2, TIMESTAMP '1996-06-01'), (3, TIMESTAMP '1996-06-01'))
+  SELECT min(sweep)::INTEGER AS sweep, CAST(k AS VARCHAR) AS documentId, 'orders:expired:' || k || ':' || strftime(any_value(till), '%Y%m%d%H%M%S%f') AS eventId FROM o, n WHERE till <= t GROUP BY k""")
+def _(spark, sf_dir):
+    """Orders that expire at their dates; some are moved to a later time, some removed before; three sweeps name each once."""
+    o = table(spark, sf_dir, "orders")
+    key, at = F.col("o_orderkey"), F.timestamp_micros(micros("o_orderdate"))
+    image = lambda t: F.to_variant_object(F.struct(key.alias("_id"), t.alias("until")))
+    record = lambda df, n, kind, new, old: df.select(F.lit("orders").alias("tableName"), F.lit(kind).alias("recordType"), new.alias("newImage"), old.alias("oldImage"), F.format_string(f"{n}:%012d", key).alias("eventId"), key.cast("string").alias("documentId"))
+    none, later = F.lit(None).cast("variant"), F.timestamp_micros(micros("o_orderdate") + 400 * 86_400_000_000)
+    swept = expiry.Expiry(Folders(spark, new_folder(spark, "expiry")), "orders", "until", 30 * 86_400)  # orders come over years
+    swept.apply(record(o, 1, "INSERT", image(at), none), "batch-1")
+    swept.apply(record(o.where(key % 5 == 0), 2, "MODIFY", image(later), image(at)).unionByName(record(o.where(key % 7 == 0), 3, "REMOVE", none, image(F.when(key % 5 == 0, later).otherwise(at)))), "batch-2")
+    out = [swept.sweep(dt.datetime(y, 6, 1, 0, 0, n, tzinfo=dt.UTC)).select(F.lit(n).alias("sweep"), "documentId", "eventId") for n, y in ((1, 1994), (2, 1996), (3, 1996))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("s_order", FEED + "SELECT did AS documentId, eid AS eventId, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS place FROM rec")
 def _(spark, sf_dir):
     """Places of rows as a task gets them."""
@@ -845,6 +883,16 @@ def _(spark, sf_dir):
     return catalog.key_violations(table(spark, sf_dir, "lineitem").select(key), ["l_orderkey"])
 
 
+@query("cp_key_arriving", """WITH k AS (SELECT l_orderkey AS o, l_linenumber AS l, count(*) AS c FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2)
+  SELECT 'missing' AS reason, coalesce(sum(c) FILTER (l = 7), 0)::BIGINT AS n FROM k UNION ALL SELECT 'duplicate', coalesce(sum(c) FILTER (l < 7 AND c > 1), 0)::BIGINT FROM k UNION ALL SELECT 'stored', coalesce(sum(c) FILTER (l = 3), 0)::BIGINT FROM k""")
+def _(spark, sf_dir):
+    """The first three lines of each order are stored; those from the third on arrive, the seventh without its number."""
+    keys = catalog.UniqueKeys(Folders(spark, new_folder(spark, "unique")), ["l_orderkey", "l_linenumber"])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    keys.insert(rows.where("l_linenumber <= 3").distinct(), "first")
+    return keys.violations(rows.where("l_linenumber > 2").withColumn("l_linenumber", F.when(F.col("l_linenumber") < 7, F.col("l_linenumber"))))
+
+
 @query("cp_fingerprint", """SELECT s_suppkey, sha256('{"spec":{"endpoint":"http://' || s_suppkey || '"},"type":"http"}') AS fingerprint FROM supplier""")
 def _(spark, sf_dir):
     spec = F.concat(F.lit('{"endpoint":"http://'), F.col("s_suppkey").cast("string"), F.lit('"}'))
