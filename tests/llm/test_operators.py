@@ -672,6 +672,24 @@ def test_disclosure(docs, texts):
         assert same(clean, [(i, t if t is None else plain_sanitised(t, pairs)) for i, t in texts])
 
 
+def test_long_lists_in_copies(spark):
+    """A list of 20,000 addresses with 100,000 terms, in three copies: one of its values is paired with terms for all of them, and its copies lose what a plain count says."""
+    listed = " ".join(f"u{i}@corp.example.com w{i}x w{i}y w{i}z t{i}a t{i}b" for i in range(20_000))
+    rows = [(i, listed) for i in range(3)] + [(i, f"Quxley has q@corp.example.com and p@corp.example.com n{i}") for i in range(3, 7)] + [(i, f"plain words {i} Quxley" if i < 12 else f"plain {i}") for i in range(10, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = pii.found_values(df)
+    values = pii.alike(found)
+    assert values.count() == 20_002 and values.select("like").distinct().count() == 2
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.private_spans(df).collect()}
+    small = [rows[0][1][: rows[0][1].index("u50@")]] * 3 + [t for i, t in rows[3:]]
+    pairs = plain_pairs(small, pii.THRESHOLD, pii.SUPPORT)
+    for k, t in enumerate(small[:3]):
+        plain, terms = plain_values(t)
+        want = [(a, b) for a, b, x in terms if any((v, x) in pairs for v in plain)]
+        assert spans[k][: len(want)] == want and len(want) == 250
+    assert all(len(spans[i]) == 100_000 for i in range(3)) and [rows[i][1][a:b] for i in range(3, 7) for a, b in spans[i]] == [w for i in range(3, 7) for w in ("Quxley", "has", "and")][: sum(len(spans[i]) for i in range(3, 7))]
+
+
 def test_rows_without_ids_are_sanitised(spark):
     """Rows without an id, or with one in common, lose the terms that give away their own values, and only these."""
     rows = [(None, f"Quxley wrote from q@corp.example.com on day {i}x{i}") for i in range(4)] + [(None, "Quxley alone here"), (7, "Quxley again"), (7, "Other text q@corp.example.com Quxley")] + [(i, f"plain words {i}") for i in range(10, 60)]

@@ -178,9 +178,22 @@ def _told(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return maybe_in(met, named, "_pair").drop("_pair").join(named.drop("_pair"), ["value", "term"])
 
 
-def revealing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """value, term, share: pairs whose term discloses at least this share of the value's information."""
-    value_df = save(found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df_v")).where(F.col("df_v") >= support), "repeated")
+def alike(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """value, df_v, like: values in `support` rows at least, and of all values that stand in exactly the same rows the smallest.
+
+    What a term discloses of them is the same, so one of them is paired with
+    terms for all: a list of thousands of values in several copies costs its
+    terms, not their product. Sets of rows are compared by 128 bits.
+    """
+    each = found.select("row", F.explode("values").alias("value"))
+    values = each.groupBy("value").agg(F.count(F.lit(1)).alias("df_v"), F.bit_xor(F.xxhash64("row")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("_b")).where(F.col("df_v") >= support)
+    values = save(values, "repeated")
+    return values.join(values.groupBy("df_v", "_a", "_b").agg(F.min("value").alias("like")), ["df_v", "_a", "_b"]).select("value", "df_v", "like")
+
+
+def _revealing(docs: DataFrame, found: DataFrame, values: DataFrame, threshold: float, support: int) -> DataFrame:
+    """value, term, share: for one value of those that are alike, the terms that disclose at least this share of its information."""
+    value_df = save(values.where("value = like").select("value", "df_v"), "paired")
     pairs = save(_together(found, value_df).groupBy("value", "term").agg(F.count(F.lit(1)).alias("df_vt")).where(F.col("df_vt") >= support).join(value_df, "value"), "pairs")
     terms = save(pairs.select("term").distinct(), "terms")
     counted = docs.select("text").mapInArrow(_term_counts, "term long, n long")
@@ -191,6 +204,13 @@ def revealing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, s
     return save(judged.where(F.col("share") >= threshold).select("value", "term", "share"), "revealing")
 
 
+def revealing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """value, term, share: pairs whose term discloses at least this share of the value's information, of every value."""
+    values = alike(found, support)
+    pairs = _revealing(docs, found, values, threshold, support)
+    return pairs.withColumnRenamed("value", "like").join(values, "like").select("value", "term", "share")
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, terms: the places of the terms in _hit."""
     for batch in batches:
@@ -219,7 +239,7 @@ def private_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int =
     """
     with scratch(docs.sparkSession):
         found = found_values(docs, keep=True)
-        pairs = revealing(docs, found, threshold, support)
+        pairs = _revealing(docs, found, alike(found, support), threshold, support)  # rows with one value have all that are like it
         terms = save(_with_terms(found, pairs), "terms", keep=True)
     more = F.transform(F.col("terms"), lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     return found.select("row", "doc_id", "spans").join(terms, F.col("row") == F.col("_row"), "left").select("doc_id", F.concat("spans", F.coalesce(more, F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)"))).alias("spans"))
@@ -282,7 +302,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
     """
     with scratch(docs.sparkSession):
         found = found_values(docs)
-        pairs = revealing(docs, found, threshold, support)
+        pairs = _revealing(docs, found, alike(found, support), threshold, support)  # rows with one value have all that are like it
         hit = _told(found, pairs).groupBy(F.col("doc_id").alias("_doc"), F.col("text_print").alias("_own")).agg(F.collect_set(F.struct("value", "term")).alias("_pairs"))
         hit = save(hit, "hits", keep=True)
     told = maybe(docs.withColumn("_print", text_print()), hit.select(F.col("_own").alias("_print")), "_print")
