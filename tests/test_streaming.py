@@ -275,6 +275,47 @@ def test_events_behind_an_end_are_left(spark, world):
     assert [r.operationType for r in pipe.table("terminal").collect()] == ["invalidate"] and pipe.ended()
 
 
+def test_compaction(spark, world, monkeypatch):
+    """Old parts and expired keys go; a tick compacts many filters; a batch whose filter was merged is still known as done, and the position stays."""
+    import os
+
+    from tideline.sources.feed import read_changes
+    from tideline.streaming import pipeline, stores
+
+    pipe, path, now, _ = world
+    run(spark, pipe, path)
+    changes = read_changes(spark, str(path / "in"))
+    pipe.process_batch(changes.where("false"), 50)
+    monkeypatch.setattr(pipeline, "MANY_PARTS", 1)
+    monkeypatch.setattr(stores, "MANY_PARTS", 1)
+    assert len(pipe.parts("keys")) == 3 and pipe.retry_tick() == {} and len(pipe.parts("keys")) == 1
+    assert pipe._done("direct-50") and pipe.position() == f"{11:016X}"
+    for name in ("settled", "done", "begun"):
+        for part, _ in pipe.parts(name):
+            os.utime(part.removeprefix("file:"), (0, 0))
+    now[0] += dt.timedelta(days=3)
+    pipe.compact()
+    assert pipe.parts("settled") == [] and len(pipe.parts("done")) == 1 and pipe.table("processed").count() == 0 and pipe.parts("outcomes")
+
+
+def test_observed_deliveries(spark, world):
+    """Counts and histograms of a delivery's own pass are those of the stored outcomes, over batches and ticks."""
+    from tideline.operators import metrics
+
+    pipe, path, now, _ = world
+    (path / "out" / "fail").touch()
+    run(spark, pipe, path)
+    (path / "out" / "fail").unlink()
+    assert pipe.delivered.counters() == [("file", "failure", 3)]
+    now[0] += dt.timedelta(seconds=5)
+    pipe.retry_tick()
+    assert pipe.delivered.counters() == [("file", "failure", 3), ("file", "success", 3)]
+    (kind, *le, n, total), stored = pipe.delivered.histograms()[0], metrics.histogram(pipe.table("outcomes"), "seconds", metrics.DELIVERY_BUCKETS).first()
+    assert (kind, n) == ("file", 6) and le == sorted(le) and le[-1] == 6 and total > stored["total"] and stored["n"] == 3
+    pipe.sinks.load = lambda: []
+    assert pipe.sinks.refresh() == []
+
+
 def test_processed_keys_are_looked_up_in_few_files(spark, tmp_path):
     """100,000 keys in 50 parts: a batch of new ones reads none, stragglers read their own parts, expired ones none."""
     from tideline.streaming.stores import Folders, ProcessedKeys

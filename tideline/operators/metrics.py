@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Upper bounds in seconds.
@@ -20,6 +20,38 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], *labels: str
     return df.groupBy(*labels).agg(*buckets, F.count(value).alias("n"), F.sum(value).alias("total"))
 
 
+def delivery_sums(types: dict[str, list[str]]) -> list[Column]:
+    """For DataFrame.observe on outcomes: of each sink type (with its sinks' ids) the deliveries by outcome, and the histogram of their seconds. Types are few, whatever the sinks."""
+    out = []
+    for kind, ids in types.items():
+        own = F.col("sinkId").isin(ids)
+        sums = {"success": F.count_if(own & F.col("ok")), "failure": F.count_if(own & ~F.col("ok")), "total": F.coalesce(F.sum(F.when(own, F.col("seconds"))), F.lit(0.0))}
+        sums |= {f"le_{i}": F.count_if(own & (F.col("seconds") <= b)) for i, b in enumerate(DELIVERY_BUCKETS)}
+        out += [x.alias(f"{kind}|{name}") for name, x in sums.items()]
+    return out
+
+
+class Delivered:
+    """Deliveries by sink type, added up batch by batch from what the deliveries' own passes have observed."""
+
+    def __init__(self):
+        self.sums: dict[tuple[str, str], float] = {}
+
+    def add(self, observed: dict) -> None:
+        for key, n in observed.items():
+            kind, name = key.rsplit("|", 1)
+            self.sums[kind, name] = self.sums.get((kind, name), 0) + (n or 0)
+
+    def counters(self) -> list[tuple[str, str, int]]:
+        """(sink type, outcome, n) of all that happened."""
+        return sorted((k, name, int(n)) for (k, name), n in self.sums.items() if name in ("success", "failure") and n)
+
+    def histograms(self) -> list[tuple]:
+        """(sink type, le_0, ..., n, total seconds)."""
+        kinds = sorted({k for k, _ in self.sums})
+        return [(k, *(int(self.sums[k, f"le_{i}"]) for i in range(len(DELIVERY_BUCKETS))), int(self.sums[k, "success"] + self.sums[k, "failure"]), self.sums[k, "total"]) for k in kinds]
+
+
 def _series(name: str, labels: tuple[str, ...]):
     return F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *(F.concat(F.lit(f"{x}="), F.col(x)) for x in labels)), F.lit("} "))
 

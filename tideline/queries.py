@@ -838,6 +838,17 @@ def _(spark, sf_dir):
     return h.select("sinkType", F.col(f"le_{len(metrics.DELIVERY_BUCKETS) - 1}").alias("within_10_s"), "n", (F.col("total") > 0).alias("timed"))
 
 
+@query("m_deliveries_observed", ROUTED + """SELECT CASE sid WHEN 'all' THEN 'all' ELSE 'odd' END AS sinkType, CASE WHEN ok THEN 'success' ELSE 'failure' END AS outcome, count(*) AS n, NULL::BOOLEAN AS timed FROM outcomes GROUP BY 1, 2
+  UNION ALL SELECT CASE sid WHEN 'all' THEN 'all' ELSE 'odd' END, 'any', count(*), true FROM outcomes GROUP BY 1""")
+def _(spark, sf_dir):
+    """What the stream's own delivery has counted on its way; its outcomes are not read again."""
+    pipe = Pipeline(spark, COLLECTION, new_folder(spark, "observed"), lambda: LOCAL, lambda: AT)
+    pipe.process_batch(feed(spark, sf_dir).drop("event_id", "ts_us"), 0)
+    rows = [(k, outcome, n, None) for k, outcome, n in pipe.delivered.counters()]
+    rows += [(k, "any", n, total > 0 and sorted(le) == le and le[-1] == n) for k, *le, n, total in pipe.delivered.histograms()]
+    return spark.createDataFrame(rows, "sinkType string, outcome string, n long, timed boolean")
+
+
 @query("m_enqueue_wait", ROUTED + "SELECT sid AS sinkId, count(*) AS within_33_s, count(*) AS n, true AS ordered FROM routed GROUP BY sid")
 def _(spark, sf_dir):
     # times differ from run to run; that each delivery has one, and that buckets add up, does not

@@ -17,21 +17,22 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schema
 from ..functions.changes import parse_changes, parse_record, quarantined, record_json, until_terminal
+from ..operators.metrics import Delivered, delivery_sums
 from ..operators.routing import Sink, Sinks, route, settle, settlement
 from ..operators.state import MOST_RETRIES, REMEMBER, absent, in_order, retry_rows, retry_step
 from ..sources.feed import from_start, start_position, token_is_useless
 from ..sources.token_feed import stream_feed
 from .sinks import deliver
-from .stores import Folders, ProcessedKeys, RetryQueue
+from .stores import MANY_PARTS, Folders, ProcessedKeys, RetryQueue
 
-#: Days that outcomes and the like are kept.
-KEEP_DAYS = 30
+#: Days that outcomes and the like are kept, and marks of batches, of which only the last one can run again.
+KEEP_DAYS, KEEP_MARKS = 30, 1
 TABLES = {"dlq": schema.DLQ, "outcomes": schema.OUTCOME, "quarantine": "eventId string, reason string", "settled": "eventId string, recordType string, state string, error string", "terminal": "operationType string"}
 _BEGUN, _DONE = "version long", "token string"
 _STEP = "id string, collectionName string, eventData string, maxRetries int, lastError string, version long, action string, retryCount int, delay double, error string, due long"
@@ -69,6 +70,8 @@ class Pipeline:
         self.folders = Folders(self.spark, f"{self.root}/{self.collection}")
         self.queue, self.keys = RetryQueue(self.folders), ProcessedKeys(self.folders)
         self._ended: bool | None = None
+        #: Deliveries of this process, by sink type.
+        self.delivered = Delivered()
 
     # -- tables
 
@@ -123,9 +126,9 @@ class Pipeline:
         now = self.clock()
         self.keys.compact(f"{now:%Y-%m-%d-%H}", f"merged-{self._version()}")
         self.queue.forget(now.timestamp())
-        for name in ("outcomes", "settled", "quarantine", "begun", "done"):
-            for path, at in sorted(self.parts(name), key=lambda x: x[1])[: -1 if name == "done" else None]:
-                if at < time.time() - KEEP_DAYS * 86_400:
+        for name, days in {"outcomes": KEEP_DAYS, "settled": KEEP_DAYS, "quarantine": KEEP_DAYS, "begun": KEEP_MARKS, "done": KEEP_MARKS}.items():
+            for path, at in sorted(self.parts(name), key=lambda x: x[1])[: -1 if name in ("begun", "done") else None]:
+                if at < time.time() - days * 86_400:
                     self._delete(path)
 
     # -- the end of a feed
@@ -176,7 +179,7 @@ class Pipeline:
         fresh.withColumn("record", record_json()).select("eventId", "tableName", "recordType", "record").write.parquet(f"{work}/records")
         fresh = self.spark.read.parquet(f"{work}/records")
         images = fresh.select("*", parse_record(F.col("record")).alias("r")).select("r.*")
-        deliver(route(images, active), active).write.parquet(f"{work}/outcomes")  # sends once
+        self._deliver(images, active, f"{work}/outcomes")
         outcomes = self.spark.read.schema(schema.OUTCOME).parquet(f"{work}/outcomes")
         settled = settle(fresh, outcomes)
         told = settled.join(fresh, "eventId")
@@ -194,10 +197,24 @@ class Pipeline:
         self._put("done", changes.agg(F.max(F.upper("_id._data")).alias("token")), part)
         self._ended = self._ended or bool(end)
 
+    def _deliver(self, images: DataFrame, active: list[Sink], path: str) -> None:
+        """Send once, write the outcomes, and count them on the way."""
+        outcomes, types = deliver(route(images, active), active), {}
+        for s in active:
+            types.setdefault(s.type, []).append(s.id)
+        seen = Observation()
+        if types:
+            outcomes = outcomes.observe(seen, *delivery_sums(types))
+        outcomes.write.parquet(path)
+        if types:
+            self.delivered.add(seen.get)
+
     # -- retries
 
     def retry_tick(self) -> dict[str, int]:
         """One round over due events. What is to become of them is written first, as one table; a tick that ended there is carried out by the next one, so a crash loses and repeats nothing that was decided."""
+        if len(self.parts("keys")) > MANY_PARTS:
+            self.compact()
         for path, _ in self.parts("ticks"):
             self._carry_out(path.rsplit("part=", 1)[1])
         at = self.clock()
@@ -216,7 +233,7 @@ class Pipeline:
         rows = self.spark.createDataFrame([(*r, minute) for minute, r in taken], schema.RETRY + ", due long")
         parsed = parse_record(F.col("eventData"))
         images = rows.where(F.col("retryCount") < F.col("maxRetries")).select("id", parsed.alias("r")).where("r is not null").select("id", "r.*").withColumn("eventId", F.col("id")).dropDuplicates(["eventId"])
-        deliver(route(images, active), active).write.parquet(f"{work}/outcomes")
+        self._deliver(images, active, f"{work}/outcomes")
         outcomes = settle(images, self.spark.read.schema(schema.OUTCOME).parquet(f"{work}/outcomes")).select(F.col("eventId").alias("id"), F.col("settled").alias("ok"), "error")
         tick = f"tick-{version}-{uuid.uuid4().hex[:8]}"
         step = retry_step(rows, parsed.isNotNull(), outcomes).join(rows.select("id", "version", "due"), ["id", "version"])

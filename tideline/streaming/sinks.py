@@ -279,15 +279,17 @@ def deliver(routed: DataFrame, sinks: list[Sink]) -> DataFrame:
                 rows.append(results.get())
             return pd.DataFrame(rows, columns=names)
 
-        for frame in frames:
-            for event, sink, text, document in zip(frame.eventId, frame.sinkId, frame.record, frame.documentId, strict=True):
-                if sink not in lanes:
-                    build = (lambda s=by_id[sink]: build_transport(s, registry)) if sink in by_id else (lambda: _Unavailable("no such sink"))
-                    lanes[sink] = Lane(build, results)
-                lanes[sink].submit(event, sink, text, document)
-            yield gathered()
-        for lane in lanes.values():
-            lane.close()
+        try:
+            for frame in frames:
+                for event, sink, text, document in zip(frame.eventId, frame.sinkId, frame.record, frame.documentId, strict=True):
+                    if sink not in lanes:
+                        build = (lambda s=by_id[sink]: build_transport(s, registry)) if sink in by_id else (lambda: _Unavailable("no such sink"))
+                        lanes[sink] = Lane(build, results)
+                    lanes[sink].submit(event, sink, text, document)
+                yield gathered()
+        finally:  # also where the task ends early: no worker waits for ever
+            for lane in lanes.values():
+                lane.close()
         for lane in lanes.values():
             lane.join()
         yield gathered()
