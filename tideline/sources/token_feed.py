@@ -133,7 +133,9 @@ def spans(index: Index, start: dict, end: dict) -> list[Span]:
     return [Span(g.path, g.number, start["token"], end["token"], start["with"]) for g in index.groups() if reached(g) and g.low <= end["token"]]
 
 
-def _read(options, span: Span) -> Iterator[pa.RecordBatch]:
+def _read(options, span: Span | None) -> Iterator[pa.RecordBatch]:
+    if span is None:  # what Spark reads where there are no partitions
+        return
     files, _ = pafs.FileSystem.from_uri(options["path"])
     shape = _SHAPE.append(pa.field(_DELTA, pa.string())) if options.get("deltas") else _SHAPE
     with files.open_input_file(span.path) as f:
@@ -193,7 +195,7 @@ class TokenStream(DataSourceStreamReader):
             self.at = end
         return spans(self.index, start, end)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
         return _read(self.options, partition)
 
     def commit(self, end: dict) -> None:
@@ -209,7 +211,7 @@ class TokenBatch(DataSourceReader):
         groups = index.groups()
         return spans(index, first_offset(index, self.options), {"token": (self.options.get("until") or (groups[-1].high if groups else "")).upper(), "with": False})
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
         return _read(self.options, partition)
 
 
