@@ -249,6 +249,31 @@ def plain_matches(model, w):
     return out
 
 
+def test_a_notice_file_of_many_licenses(monkeypatch):
+    """Licenses with headings of their own, side by side and of several kinds: each is found at its words, by work that grows with their number alone."""
+    templates, cells = licenses.Templates(licenses.TEMPLATES), []
+    plain = templates.matches
+
+    def counted(t, ids, p, q):
+        cells.append((q - p) * len(templates.models[t]))
+        return plain(t, ids, p, q)
+
+    monkeypatch.setattr(templates, "matches", counted)
+    work = []
+    for n in (50, 200):
+        names = [("MIT", "MIT", "ISC", "BSD-3-Clause", "MIT-notice")[i % 5] for i in range(n)]
+        text = "".join(f"Package {i} by author {i}\n\n" * (i % 3 > 0) + licenses.TEMPLATES[name] + "\n" for i, name in enumerate(names))
+        cells.clear()
+        found = templates.scan(text)
+        work.append(sum(cells))
+        assert [x["license"] for x in found] == names
+        assert all(not x["missing"] and not x["changes"] for x in found)
+        assert [licenses.plain_words(text[slice(*x["span"])]) for x in found] == [licenses.plain_words(licenses.TEMPLATES[name]) for name in names]
+    assert work[1] <= 5 * work[0]
+    again = templates.scan(licenses.TEMPLATES["GPL-3.0-notice"] + " " + licenses.TEMPLATES["GPL-2.0-notice"])
+    assert [(x["license"], x["changes"]) for x in again] == [("GPL-3.0-notice", []), ("GPL-2.0-notice", [])]
+
+
 def test_no_license_is_passed_over(monkeypatch):
     """Against all templates at all words of random mixtures, whatever the reduction: every match overlaps one that is found, and every one found is such a match."""
     import random

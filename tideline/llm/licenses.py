@@ -2,9 +2,10 @@
 
 A candidate block is a run of words dense in word pairs of some license
 template. It is compressed with Zstandard on its own and once with each template
-as raw dictionary; how much a template shrinks it ranks the templates. The best
+as raw dictionary; the bytes that each saves of a block rank them. The best
 one whose words agree is found, with the exact differences in wording; what is
-left on both sides of its words is searched again, until nothing more is found.
+left around its words is searched again, until nothing more is found. Alignments
+are taken in windows, so the work grows with a text's words and licenses.
 
 Which blocks are candidates follows from WORDING. A match of m of a template's n
 words within m / WORDING words of text leaves out n - m words and has at most
@@ -16,7 +17,9 @@ can't agree and is passed over; no other is.
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,8 +133,8 @@ TEMPLATES = {
 
 #: Least size reduction, and least share of a template's words, in order, and of the words they stretch over, of a license.
 REDUCTION, WORDING = 0.2, 0.8
-#: Words around a match that belong to its block.
-AROUND = 2
+#: Words of text in one alignment, or four stretches of a long template.
+WINDOW = 256
 #: What a missing or an extra word counts in an alignment; a missing one 1 more.
 _STEP = 1 << 12
 
@@ -176,7 +179,8 @@ class Templates:
         self.words = [plain_words(t) for t in templates.values()]
         if any(len(w) < 4 for w in self.words):
             raise ValueError("a template needs four words")
-        self.number = [{w: i for i, w in enumerate(dict.fromkeys(words))} for words in self.words]
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for words in self.words for w in words))}
+        self.models = [[self.number[w] for w in words] for words in self.words]
         self.alone = self._compressor(None)
         self.given = [self._compressor(zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates.values()]
         pairs = [self._pairs(*raw(pa.array([t]))) for t in templates.values()]
@@ -215,27 +219,37 @@ class Templates:
         last = np.searchsorted(own, own[close] + self.stretch[t] - 2, "right") - 1
         return np.stack([own[close], own[last] + 1, last - close + 1], 1)
 
-    def closest(self, t: int, words: list[str], p: int, q: int) -> tuple[bool, int, list[tuple[int, int]]]:
-        """Whether some stretch of words[p:q] agrees, words missing and extra in it or else in the closest one, and the pairs of places that match there.
+    def rooms(self, t: int, at: np.ndarray, which: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+        """Windows of words p to q in which a template may be found: those around its dense stretches, long ones cut so that each match lies whole in one."""
+        i, j = np.searchsorted(at, p), np.searchsorted(at, q - 1)
+        most, out = self.stretch[t], []
+        wide = max(4 * most, WINDOW)
+        for a, b in _merged((max(p, a - most), min(q, b + 1 + most)) for a, b, _ in self.dense(t, at[i:j], which[i:j]).tolist()):
+            out += [(x, min(b, x + wide)) for x in range(a, max(a + 1, b - most), wide - most)]
+        return out
+
+    def matches(self, t: int, ids: np.ndarray, p: int, q: int) -> list[tuple[int, list[tuple[int, int]]]]:
+        """Stretches of ids[p:q] that agree, closest first and apart from each other: words missing and extra, and the pairs of places that match.
 
         An edit distance with free ends: fewest missing and extra words, then
-        fewest missing. Ends are tried from the closest on.
+        fewest missing. An end whose last word the template lacks gives what the
+        end before it gives.
         """
-        model, number = self.words[t], self.number[t]
-        text = np.array([number.get(w, -1) for w in words[p:q]])
-        place = np.arange(len(text) + 1) * _STEP
-        rows = [np.zeros(len(text) + 1, np.int64)]
-        same = []
+        model, text = self.models[t], ids[p:q]
+        n, place = len(model), np.arange(len(text) + 1) * _STEP
+        rows, same, known = [np.zeros(len(text) + 1, np.int64)], [], np.zeros(len(text), bool)
         for w in model:
-            same.append(text == number[w])
+            same.append(text == w)
+            known |= same[-1]
             e = rows[-1] + _STEP + 1
             e[1:] = np.where(same[-1], np.minimum(e[1:], rows[-1][:-1]), e[1:])
             rows.append(np.minimum.accumulate(e - place) + place)
-        n, first = len(model), None
-        for end in np.argsort(rows[-1], kind="stable").tolist():
-            cost = int(rows[-1][end])
-            if first is not None and cost >= (self.apart[t] + 1) * _STEP:
-                break
+        cost = rows[-1]
+        ends = 1 + np.flatnonzero((cost[1:] < (self.apart[t] + 1) * _STEP) & known)
+        out, free = [], np.ones(len(text), bool)
+        for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
+            if not free[end - 1]:
+                continue
             i, j, pairs = n, end, []
             while i:
                 here = rows[i][j]
@@ -247,59 +261,86 @@ class Templates:
                 else:
                     j -= 1
             if not pairs:
-                break
-            pairs.reverse()
-            span = pairs[-1][1] + 1 - pairs[0][1]
-            got = len(pairs) >= WORDING * n and len(pairs) >= WORDING * span, n + span - 2 * len(pairs), pairs
-            if got[0]:
-                return got
-            first = first or got
-        return first or (False, 2 * n, [])
-
-    def best(self, words: list[str], text_of, at: np.ndarray, which: np.ndarray, p: int, q: int) -> dict | None:
-        """The license of words[p:q] with the largest reduction whose wording agrees, then the one that is closest. at, which: the pairs within."""
-        near: dict[int, tuple] = {}
-        for t in range(len(self.names)):
-            room = ((max(p, a - self.stretch[t]), min(q, b + 1 + self.stretch[t])) for a, b, _ in self.dense(t, at, which).tolist())
-            tried = [self.closest(t, words, a, b) for a, b in _merged(room)]
-            if tried:
-                near[t] = min(tried, key=lambda x: (not x[0], x[1]))
-        spans = {t: (max(p, x[2][0][1] - AROUND), min(q, x[2][-1][1] + 1 + AROUND)) for t, x in near.items() if x[2]}
-        ranked = []
-        for a, b in _merged(spans.values()):  # the candidate blocks
-            data = text_of(a, b).encode()
-            size = len(self.alone.compress(data))
-            ranked += [(len(self.given[t].compress(data)) / size, near[t][1], t) for t, (x, y) in spans.items() if a <= x and y <= b]
-        for _, _, t in sorted(ranked):
-            agrees, _, pairs = near[t]
-            if not agrees:
                 continue
-            low, high = pairs[0][1], pairs[-1][1] + 1
-            data = text_of(low, high).encode()  # the block may hold more than this license
-            reduction = 1 - len(self.given[t].compress(data)) / len(self.alone.compress(data))
+            pairs.reverse()
+            low, high = pairs[0][1] - p, pairs[-1][1] + 1 - p
+            if len(pairs) >= WORDING * n and len(pairs) >= WORDING * (high - low) and free[low:high].all():
+                free[low:high] = False
+                out.append((n + high - low - 2 * len(pairs), pairs))
+        return out
+
+    def found(self, text: str, starts: array, ends: array, ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[dict]:
+        """All licenses of a text, in order. starts, ends, ids: its words; at, which: its pairs.
+
+        Matches wait in a heap, those that save most bytes first. One that comes up
+        and those that overlap it are ranked by what they save of the same block. A
+        match whose words are taken meanwhile is sought anew in what is left around
+        it, as is what one that is taken leaves free; nothing further away changes.
+        """
+        n = len(ids)
+        text_of = lambda a, b: text[starts[a] : ends[b - 1]].encode()
+        alone = lru_cache(1 << 10)(lambda a, b: len(self.alone.compress(text_of(a, b))))
+        taken, held, waiting = np.zeros(n, bool), {}, []
+        known: list[tuple | None] = [None]  # matches by number; None when they are settled
+
+        def saved(t: int, a: int, b: int) -> int:
+            return alone(a, b) - len(self.given[t].compress(text_of(a, b)))
+
+        def seek(t: int, p: int, q: int) -> None:
+            """Matches of a template within words p to q that nothing has taken and none of its own holds."""
+            own = held.setdefault(t, np.zeros(n, np.int32)) if n and self.need[t] <= len(at) else None
+            if own is None:
+                return
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], taken[p:q] | (own[p:q] > 0), [True]]).astype(np.int8)))
+            for a, b in [w for x, y in edge.reshape(-1, 2).tolist() for w in self.rooms(t, at, which, p + x, p + y)]:
+                for apart, pairs in self.matches(t, ids, a, b):
+                    low, high = pairs[0][1], pairs[-1][1] + 1
+                    own[low:high] = len(known)
+                    heapq.heappush(waiting, (-saved(t, low, high), apart, t, low, len(known)))
+                    known.append((t, low, high, apart, pairs))
+
+        def take(i: int) -> bool:
+            t, low, high, _, pairs = known[i]
+            known[i] = None
+            reduction = 1 - len(self.given[t].compress(text_of(low, high))) / alone(low, high)
             if reduction < REDUCTION:
+                return False
+            taken[low:high] = True
+            out.append({"license": self.names[t], "reduction": round(reduction, 4), "missing": len(self.words[t]) - len(pairs), "changes": self._changes(t, text, starts, ends, pairs), "words": (low, high)})
+            return True
+
+        for t in range(len(self.names)):
+            seek(t, 0, n)
+        out: list[dict] = []
+        while waiting:
+            number = heapq.heappop(waiting)[-1]
+            if known[number] is None:
                 continue
-            changed, model = [], self.words[t]
-            ends = [(-1, low - 1), *pairs, (len(model), high)]
-            for (i, x), (j, y) in zip(ends[:-1], ends[1:], strict=True):
-                if j - i > 1 or y - x > 1:
-                    changed.append(f"-{' '.join(model[i + 1 : j])}+{' '.join(words[x + 1 : y])}")
-            return {"license": self.names[t], "reduction": round(reduction, 4), "missing": len(model) - len(pairs), "changes": changed, "words": (low, high)}
-        return None
-
-    def found(self, text: str, spans: list[tuple[int, int]], at: np.ndarray, which: np.ndarray) -> list[dict]:
-        """All licenses of a text with these word spans, in order: the best one, then those on both sides of it."""
-        words = [text[a:b].lower() for a, b in spans]
-        text_of = lambda a, b: text[spans[a][0] : spans[b - 1][1]]
-        out, todo = [], [(0, len(spans))]
-        while todo:
-            p, q = todo.pop()
-            i, j = np.searchsorted(at, p), np.searchsorted(at, q - 1)
-            if i < j and (got := self.best(words, text_of, at[i:j], which[i:j], p, q)):
-                out.append(got)
-                todo += [(p, got["words"][0]), (got["words"][1], q)]
+            t, low, high, _, _ = known[number]
+            again = [(t, low, high)]
+            if not taken[low:high].any():
+                near = {number} | {int(i) for own in held.values() for i in np.unique(own[low:high])}
+                rivals = [i for i in near if known[i] and not taken[known[i][1] : known[i][2]].any()]
+                a, b = min(known[i][1] for i in rivals), max(known[i][2] for i in rivals)
+                for i in sorted(rivals, key=lambda i: (-saved(known[i][0], a, b), known[i][3], known[i][0])):
+                    again.append(known[i][:3])
+                    if take(i):
+                        break
+            if known[number]:  # its words, or some of them, are another's
+                held[t][low:high] = 0
+                known[number] = None
+            for t, low, high in again:
+                seek(t, max(0, low - self.stretch[t]), min(n, high + self.stretch[t]))
         return sorted(out, key=lambda x: x["words"])
 
+    def _changes(self, t: int, text: str, starts: array, ends: array, pairs: list[tuple[int, int]]) -> list[str]:
+        model, out = self.words[t], []
+        around = [(-1, pairs[0][1] - 1), *pairs, (len(model), pairs[-1][1] + 1)]
+        for (i, x), (j, y) in zip(around[:-1], around[1:], strict=True):
+            if j - i > 1 or y - x > 1:
+                out.append(f"-{' '.join(model[i + 1 : j])}+{' '.join(text[starts[z] : ends[z]].lower() for z in range(x + 1, y))}")
+        return out
+
     def blocks(self, at: np.ndarray, which: np.ndarray, n: int) -> list[tuple[int, int]]:
         """Runs of words, apart from each other, that hold every possible license of a text of n words."""
         room = [(int(a) - self.stretch[t], int(b) + 1 + self.stretch[t]) for t in range(len(self.names)) for a, b, _ in self.dense(t, at, which)]
@@ -326,10 +367,14 @@ class Templates:
                 done = begin
                 text = data[begin:end].tobytes().decode("utf-8", "replace")
                 inside = (place >= p) & (place < q - 1)
-                spans = [m.span() for m in _WORD.finditer(text)]
-                for got in self.found(text, spans, place[inside] - p, which[inside]):
+                w_starts, w_ends, ids = array("q"), array("q"), array("q")
+                for m in _WORD.finditer(text):
+                    w_starts.append(m.start())
+                    w_ends.append(m.end())
+                    ids.append(self.number.get(m.group().lower(), -1))
+                for got in self.found(text, w_starts, w_ends, np.frombuffer(ids, np.int64), place[inside] - p, which[inside]):
                     x, y = got["words"]
-                    yield i, got | {"span": (chars + spans[x][0], chars + spans[y - 1][1])}
+                    yield i, got | {"span": (chars + w_starts[x], chars + w_ends[y - 1])}
 
 
 @lru_cache(2)
