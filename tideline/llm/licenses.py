@@ -236,13 +236,13 @@ class Templates:
         end before it gives.
         """
         model, text = self.models[t], ids[p:q]
-        n, place = len(model), np.arange(len(text) + 1) * _STEP
-        rows, same, known = [np.zeros(len(text) + 1, np.int64)], [], np.zeros(len(text), bool)
+        n, place = len(model), np.arange(len(text) + 1, dtype=np.int32) * np.int32(_STEP)
+        rows, same, known = [np.zeros(len(text) + 1, np.int32)], [], np.zeros(len(text), bool)
         for w in model:
             same.append(text == w)
             known |= same[-1]
-            e = rows[-1] + _STEP + 1
-            e[1:] = np.where(same[-1], np.minimum(e[1:], rows[-1][:-1]), e[1:])
+            e = rows[-1] + np.int32(_STEP + 1)
+            np.minimum(e[1:], rows[-1][:-1], out=e[1:], where=same[-1])
             rows.append(np.minimum.accumulate(e - place) + place)
         cost = rows[-1]
         ends = 1 + np.flatnonzero((cost[1:] < (self.apart[t] + 1) * _STEP) & known)
