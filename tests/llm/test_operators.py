@@ -858,6 +858,41 @@ def test_keys_never_miss():
                     assert set(parity_join.keys_of(a, percent).tolist()) & set(parity_join.keys_of(b, percent).tolist()), (size, percent)
 
 
+def test_keys_never_miss_in_any_order():
+    """Frequent parts come last, whichever they are: linked sets still share a key."""
+    g = np.random.default_rng(18)
+    for size in (1, 12, 63, 64, 127, 128, 500, 1023, 1024, 3000):
+        for percent in (80, 85, 95):
+            for _ in range(6):
+                levels = (g.random(parity_join.COUNTERS) < g.random()) * g.integers(6, 30, parity_join.COUNTERS).astype(np.uint8)
+                a = np.unique(g.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+                apart = int(g.integers(0, len(a) * (100 - percent) // 100 + 1))
+                b = np.unique(np.concatenate([g.permutation(a)[: len(a) - apart // 2], g.integers(0, 2**63, apart - apart // 2, dtype=np.uint64)]))
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    x, y = (set(parity_join.keys_of(s, percent, levels).tolist()) for s in (a, b))
+                    assert x & y, (size, percent)
+
+
+def test_boilerplate_is_no_key(spark, monkeypatch):
+    """Unrelated sets with a long common passage share next to no keys; near copies among them are found."""
+    rng = np.random.default_rng(28)
+    common = " ".join(f"footer{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 300)) + " " + common) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1].replace(" footer7 ", " header ")) for i in range(0, 1500, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = {}
+    for frequent in (64, 2**62):
+        monkeypatch.setattr(parity_join, "FREQUENT", frequent)
+        opened = []
+        plain = parity_join._open_pairs
+        with monkeypatch.context() as m:
+            m.setattr(parity_join, "_open_pairs", lambda shared, *a, **kw: (opened.append(shared.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]), plain(shared, *a, **kw))[1])
+            got = {r.doc_id: r.component_id for r in parity_join.similar_components(docs, 5, 85).collect()}
+        assert got == {d: d - 2000 if d >= 2000 else d for d, _ in rows}
+        met[frequent] = opened[0]
+    assert met[64] < 20 * len(rows) < met[2**62]
+
+
 def test_sparse_sets_share_keys():
     """Sets whose hashes crowd into few parts, and similarities at which every set is sparse."""
     g = np.random.default_rng(9)

@@ -4,9 +4,12 @@ A document's set is its distinct word shingles, hashed to 64 bits. The hash
 range is cut into P equal parts, P doubling with the set's size band, and a
 part is kept as the exclusive or of its hashes. A shingle in one set only
 changes one part, so sets whose symmetric difference is at most D differ in at
-most D parts. Of a document's non-empty parts, the first D + 1 are its keys, D
-being the largest difference any partner may have: two linked documents have one
-of them in common, as at most D of these differ. (Sets with fewer parts that are
+most D parts. Of a document's non-empty parts, in one order for all, the first
+D + 1 are its keys, D being the largest difference any partner may have: two
+linked documents have one of them in common, as at most D of these differ. The
+order is by place, but for parts that many sets have, which come last, the more
+frequent the later: so boilerplate is a key only of sets that have little else.
+How frequent parts are is counted in a sketch of fixed size. (Sets with fewer parts that are
 not empty are rare, and have a key for each other.) A document that may link with
 larger ones of the next band has keys there too.
 
@@ -48,6 +51,8 @@ CHUNK, WORDS = 1024, 1 << 19
 FEW = 8
 #: Bytes of sets, and nodes, of a bucket; two buckets meet in a verification.
 BUCKET_BYTES, BUCKET_NODES = 12 << 20, 2048
+#: Counters of the sketch of frequencies, and sets with a part from which it counts as frequent.
+COUNTERS, FREQUENT = 1 << 20, 64
 
 
 @lru_cache
@@ -83,8 +88,25 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.add.reduce(s) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s))]))[0].view(np.int64))
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """The first non-empty parts, one more than may differ from a partner's, of each band that a partner's keys may be in.
+def bands_of(n: int, percent: int) -> list[int]:
+    """The bands that keys of a set's partners may be in."""
+    top = n * 100 // percent
+    return sorted({band(n, percent), *(range(band(max(n, SMALL), percent), band(top, percent) + 1) if top >= SMALL else ())})
+
+
+def parts_of(s: np.ndarray, bits: int) -> np.ndarray:
+    """A number for each non-empty part and its content, by place."""
+    part = s >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return mix(np.bitwise_xor.reduceat(mix(s), starts) + np.uint64(bits))
+
+
+def counter_of(parts: np.ndarray) -> np.ndarray:
+    return (parts & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def keys_of(s: np.ndarray, percent: int, levels: np.ndarray | None = None) -> np.ndarray:
+    """The first non-empty parts, one more than may differ from a partner's, of each band that a partner's keys may be in. levels: for each counter how late its parts come.
 
     A sparse set has fewer non-empty parts. It gives all of them: a partner that
     is not sparse has its share of keys among these. For partners that are sparse
@@ -92,22 +114,19 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     each hash is a part of its own, and all are given.
     """
     n = len(s)
-    top = n * 100 // percent
-    need = most_apart(n, top, percent) + 1
-    spread, out = mix(s), []
-    bands = {band(n, percent), *(range(band(max(n, SMALL), percent), band(top, percent) + 1) if top >= SMALL else ())}
-    todo, done = sorted(bands), set()
+    need = most_apart(n, n * 100 // percent, percent) + 1
+    out, todo, done = [], bands_of(n, percent), set()
     while todo:
         bits = todo.pop()
         if bits in done:
             continue
         done.add(bits)
-        part = s >> np.uint64(64 - bits)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        last = starts[need] if len(starts) > need else n
-        out.append(mix(np.bitwise_xor.reduceat(spread[:last], starts[:need]) + np.uint64(bits)))
-        if len(starts) < need and bits < 64:
-            todo.append(bits + 1 if len(starts) < n else 64)
+        parts = parts_of(s, bits)
+        if len(parts) < need and bits < 64:
+            todo.append(bits + 1 if len(parts) < n else 64)
+        if levels is not None and len(parts) > need:
+            parts = parts[np.argsort(levels[counter_of(parts)], kind="stable")]
+        out.append(parts[:need])
     return np.concatenate(out).view(np.int64)
 
 
@@ -119,6 +138,7 @@ def sketch_of(s: np.ndarray) -> bytes:
 
 
 _NODES = "doc_id long, text_print long, n_shingles long, node long, sketch binary"
+_SCANNED = _NODES + ", counter int, sets long"
 _KEYS = "node long, n int, key long, salt long, known boolean"
 #: Keys of a task among which those that it shares with itself are found at a time.
 KEYS = 1 << 19
@@ -131,18 +151,39 @@ def _fresh(rows: pa.RecordBatch, k: int, seen: set[int]) -> tuple[list[np.ndarra
     return sets, node, [d is not None and d not in seen and not seen.add(d) for d in node]
 
 
-def _nodes(k: int):
+def _nodes(k: int, percent: int):
+    """Rows of _NODES, and from each task its counters that stand out (counter, sets): which parts come late needs no exact counts, only the same order for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        counts, none = np.zeros(COUNTERS, np.int64), lambda n, t: pa.nulls(n, t)
+        names = [c.split()[0] for c in _SCANNED.split(", ")]
         for batch in batches:
             for rows in slices(batch, "text"):
                 sets, node, fresh = _fresh(rows, k, seen)
                 sketch = [sketch_of(s) if new else None for s, new in zip(sets, fresh, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_print"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "text_print", "n_shingles", "node", "sketch"])
+                own = [parts_of(s, bits) for s, new in zip(sets, fresh, strict=True) if new for bits in bands_of(len(s), percent)]
+                if own:
+                    np.add.at(counts, counter_of(np.concatenate(own)), 1)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_print"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), none(n, pa.int32()), none(n, pa.int64())], names=names)
+        high = np.flatnonzero(counts >= max(2, 2 * counts.mean()))
+        for at in range(0, len(high), 1 << 16):
+            some = high[at : at + (1 << 16)]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([*(none(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=names)
 
     return run
 
 
+def _levels(counted: DataFrame) -> np.ndarray:
+    """How late the parts of each counter come: 0, or from FREQUENT sets on the logarithm of their number. A byte for each counter."""
+    often = counted.groupBy("counter").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT).toArrow()  # COUNTERS rows at most
+    levels = np.zeros(COUNTERS, np.uint8)
+    levels[often.column("counter").to_numpy()] = np.log2(often.column("sets").to_numpy().astype(float)).astype(np.uint8)
+    return levels
+
+
 def _keyed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Rows of _KEYS: `known` where another node here has the key; of these all but one of a key are salted by their node."""
     node, n, key = map(np.concatenate, zip(*held, strict=True))
@@ -155,8 +196,8 @@ def _keyed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*map(pa.array, (node, n, key, salt, known))], names=["node", "n", "key", "salt", "known"])
 
 
-def _keys(k: int, percent: int):
-    """Keys go straight to their shuffle: reading texts twice costs less than a table of all keys."""
+def _keys(k: int, percent: int, levels=None):
+    """levels: a broadcast array, or None. Keys go straight to their shuffle: reading texts twice costs less than a table of all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -166,7 +207,7 @@ def _keys(k: int, percent: int):
                 sets, node, fresh = _fresh(rows, k, seen)
                 for s, d, new in zip(sets, node, fresh, strict=True):
                     if new:
-                        keys = np.unique(keys_of(s, percent))
+                        keys = np.unique(keys_of(s, percent, levels and levels.value))
                         held.append((np.full(len(keys), d, np.int64), np.full(len(keys), len(s), np.int32), keys))
                         total += len(keys)
                 if total > KEYS:
@@ -404,8 +445,10 @@ def _many(members: DataFrame, sketches: DataFrame, percent: int, forest: bool) -
 
 def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("text_print"), "text")
-    nodes = save(docs.mapInArrow(_nodes(k), _NODES), "nodes")
-    keyed = docs.select("text").mapInArrow(_keys(k, percent), _KEYS)
+    scanned = save(docs.mapInArrow(_nodes(k, percent), _SCANNED), "nodes")
+    nodes = scanned.where("counter is null").drop("counter", "sets")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(scanned.where("counter is not null").select("counter", "sets")))
+    keyed = docs.select("text").mapInArrow(_keys(k, percent, levels), _KEYS)
     own = W.partitionBy("key", "salt")
     shared = keyed.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("known or lo <> hi")
     shared = save(shared.groupBy("key", "node").agg(F.first("n").alias("n")), "shared")
