@@ -793,6 +793,34 @@ def test_full_lanes_wait(monkeypatch):
     assert any(r[6] and r[5] > 0.01 for r in rows) and not rows[0][6]
 
 
+def test_lanes_replace_hung_workers(monkeypatch):
+    """A call that hangs is an outcome; the records behind it are sent, in order. Calls need no thread of their own."""
+    import queue
+    import threading
+
+    monkeypatch.setattr(S, "TIMEOUT", 0.3)
+    called, started = [], []
+    plain = threading.Thread.start
+    monkeypatch.setattr(threading.Thread, "start", lambda t: (started.append(t), plain(t))[1])
+
+    class Hangs:
+        def xadd(self, stream, entry):
+            event = json.loads(entry["event"])["eventId"]
+            called.append(event)
+            time.sleep(60 if event == "e2" else 0)
+
+    results = queue.SimpleQueue()
+    lane = S.Lane(lambda: S.RedisTransport("s", Hangs()), results)
+    for i in range(200):
+        lane.submit(f"e{i}", "s", json.dumps({"eventId": f"e{i}"}), "one document")
+    lane.close()
+    lane.join()
+    rows = [results.get() for _ in range(200)]
+    assert results.empty() and called == [r[0] for r in rows] == [f"e{i}" for i in range(200)]
+    assert [r[3] for r in rows if not r[2]] == ["no answer within 0.3 s"] and 0.3 <= rows[2][4] < 5
+    assert len(started) == S.WORKERS + 2
+
+
 def test_building():
     unknown = S.build_transport(Sink("x", "c", "zzz"), S._REGISTRY)
     refused = S.build_transport(Sink("x", "c", "http", {}), S._REGISTRY)
