@@ -38,6 +38,16 @@ def test_query(spark, duck, name):
     assert norm(df.collect(), [df.columns.index(c) for c in columns]) == norm(rel.fetchall(), [rel.columns.index(c) for c in columns])
 
 
+def test_waits_in_all_buckets(spark):
+    """The query shows each bucket, the number and the sum, and not the last bucket alone."""
+    rows = engine.QUERIES["m_enqueue_wait"](spark, SF).collect()
+    assert {r.sinkId for r in rows} == {"purchases", "low_k", "all"}
+    for r in rows:
+        le = [r[f"le_{i}"] for i in range(len(metrics.WAIT_BUCKETS))]
+        assert le == sorted(le) and le[-1] <= r.n == r.within_33_s and r.total > 0 and r.ordered
+    assert sum(r.le_0 for r in rows) >= 1  # the last record itself waits for nothing
+
+
 def test_flagship_counts(spark):
     assert engine.flagship(spark, SF).count() == 33
 
