@@ -793,6 +793,29 @@ def test_full_lanes_wait(monkeypatch):
     assert any(r[6] and r[5] > 0.01 for r in rows) and not rows[0][6]
 
 
+def test_feed_tasks_hold_a_batch(spark, tmp_path, monkeypatch):
+    """Files are written in small row groups, each a partition, and a task reads one by batches; no row group is held whole."""
+    from pyspark.sql import functions as F
+
+    from tideline.sources import token_feed as tf
+
+    monkeypatch.setattr(tf, "GROUP", 64 << 10)
+    monkeypatch.setattr(tf, "BATCH", 500)
+    monkeypatch.setattr(tf.pq.ParquetFile, "read_row_group", None)
+    n = F.col("id")
+    token = F.lpad(F.hex("id"), 16, "0")
+    document = F.parse_json(F.concat(F.lit('{"_id":"'), F.sha2(n.cast("string"), 256), F.lit('"}')))
+    none = F.lit(None).cast("variant")
+    changes = spark.range(20_000).select(F.struct(token.alias("_data")).alias("_id"), F.lit("insert").alias("operationType"), F.struct(n.alias("t"), F.lit(1).alias("i")).alias("clusterTime"), document.alias("documentKey"), none.alias("fullDocument"), none.alias("fullDocumentBeforeChange"))
+    tf.write_feed(changes, f"file://{tmp_path}/feed", 1)
+    index = tf.Index(str(tmp_path / "feed"))
+    start, end = {"token": f"{4999:016X}", "with": False}, {"token": f"{14_999:016X}", "with": False}
+    spans = tf.spans(index, start, end)
+    assert len({g.path for g in index.groups()}) == 1 and len(index.groups()) > len(spans) > 2
+    batches = [b for s in spans for b in tf._read({"path": str(tmp_path / "feed")}, s)]
+    assert max(map(len, batches)) <= 500 and [x["_data"] for b in batches for x in b.column("_id").to_pylist()] == [f"{i:016X}" for i in range(5_000, 15_000)]
+
+
 def test_lanes_replace_hung_workers(monkeypatch):
     """A call that hangs is an outcome; the records behind it are sent, in order. Calls need no thread of their own."""
     import queue
