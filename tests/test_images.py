@@ -95,3 +95,25 @@ def test_random_deltas(spark, tmp_path):
         tf.write_feed(spark.createDataFrame(part, DELTA).withColumns({c: F.parse_json(c) for c in ("documentKey", "fullDocument", "fullDocumentBeforeChange")}), f"{folder}/in", 2)
         got = followed(spark, folder)
     assert got == want
+
+
+def test_a_call_handles_many_documents(spark):
+    """Documents share calls: each call gives one frame, in which every document's events are in the order of tokens, with its own state."""
+    import pandas as pd
+
+    from tideline.streaming.images import Images
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop  # noqa: N815
+
+    images = Images(None)
+    images.last = Map({("d0",): ('{"n":0}', "00")})
+    names = ["key", "token", "t", "i", "operationType", "documentKey", "fullDocument", "fullDocumentBeforeChange", "updateDescription"]
+    events = [(f"d{d}", f"{n}{d}", n, 1, "insert" if n == 1 and d else "update", f"d{d}", f'{{"n":{d}}}' if n == 1 and d else None, None, f'{{"updatedFields":{{"n":{10 * n + d}}}}}') for n in (3, 1, 2) for d in range(200)]
+    frames = [pd.DataFrame(events[at : at + 100], columns=names) for at in range(0, 600, 100)]
+    (got,) = images.handleInputRows(("0",), iter(frames), None)
+    assert len(got) == 600 and len(images.last) == 200
+    for d, own in got.groupby("documentKey"):
+        n = int(d[1:])
+        assert [*own.token] == [f"{k}{n}" for k in (1, 2, 3)] and own.fullDocument.iloc[-1] == f'{{"n":{30 + n}}}' == images.last[d,][0]
+        assert own.fullDocumentBeforeChange.iloc[-1] == f'{{"n":{20 + n}}}' and (own.fullDocumentBeforeChange.iloc[0] == '{"n":0}' if not n else own.fullDocumentBeforeChange.iloc[0] is None)

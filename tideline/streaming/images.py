@@ -9,6 +9,7 @@ too late does. Needs the RocksDB state store (`use_rocksdb`).
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What a feed of deltas has beside a change event's columns: JSON of updatedFields, removedFields, truncatedArrays.
 DESCRIPTION = "updateDescription"
+#: Documents are handled together by a hash of their keys, as each call costs milliseconds; a call holds its share of a batch's events. A query's checkpoint is bound to it.
+BUCKETS = 1024
 _STATE = "document string, token string"
 _OUT = "token string, t long, i int, operationType string, documentKey string, fullDocument string, fullDocumentBeforeChange string"
 
@@ -70,19 +73,26 @@ def updated(document: str, description: str | None) -> str:
 
 
 class Images(StatefulProcessor):
-    """One document's events in the order of tokens. Events up to the last token that was applied are not applied again; they keep the images that they bring."""
+    """The events of a bucket of documents, each document's in the order of tokens. Events up to the last token that was applied are not applied again; they keep the images that they bring."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("document", _STATE, self.ttl_ms)
+        self.last = handle.getMapState("documents", "key string", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values("token", kind="stable", na_position="first")
-        document, at = self.last.get() if self.last.exists() else (None, "")
-        known, began, out = document, at, []
-        for e in events.astype(object).where(events.notna(), None).itertuples(index=False):
+        events = [e for frame in rows for e in frame.astype(object).where(frame.notna(), None).itertuples(index=False)]
+        events.sort(key=lambda e: (e.key, e.token is not None, e.token or ""))
+        out: list[tuple] = []
+        for document, own in itertools.groupby(events, key=lambda e: e.key):
+            self._document((document,), own, out)
+        yield pd.DataFrame(out, columns=["token", "t", "i", "operationType", "documentKey", "fullDocument", "fullDocumentBeforeChange"])
+
+    def _document(self, key: tuple[str], events: Iterator, out: list[tuple]) -> None:
+        document, at = self.last.getValue(key) if self.last.containsKey(key) else (None, "")
+        known, began = document, at
+        for e in events:
             before, after = e.fullDocumentBeforeChange, e.fullDocument
             if e.token is None or e.token > at:
                 op = e.operationType
@@ -97,10 +107,9 @@ class Images(StatefulProcessor):
             out.append((e.token, e.t, e.i, e.operationType, e.documentKey, after, before))
         if (document, at) != (known, began):
             if document is None and not at:
-                self.last.clear()
+                self.last.removeKey(key)
             else:  # also of a deleted document: its last token
-                self.last.update((document, at))
-        yield pd.DataFrame(out, columns=["token", "t", "i", "operationType", "documentKey", "fullDocument", "fullDocumentBeforeChange"])
+                self.last.updateValue(key, (document, at))
 
     def close(self) -> None:
         pass
@@ -112,11 +121,12 @@ def with_images(deltas: DataFrame, ttl_hours: float | None = None) -> DataFrame:
     An update that brings its document keeps it, and so does the state. Images
     of documents without events for ttl_hours are forgotten. Events without a
     document key have no images and go through by themselves. A batch's events
-    of one document meet in one task.
+    of one document meet in one task, and those of a bucket in its memory.
     """
     key = F.coalesce("documentKey", F.concat(F.lit("event:"), F.coalesce("_id._data", F.lit(""))))
     flat = deltas.select(key.alias("key"), F.upper("_id._data").alias("token"), F.col("clusterTime.t").alias("t"), F.col("clusterTime.i").alias("i"), "operationType", "documentKey", "fullDocument", "fullDocumentBeforeChange", DESCRIPTION)
     ttl = int(ttl_hours * 3_600_000) if ttl_hours else None
-    done = flat.groupBy("key").transformWithStateInPandas(Images(ttl), _OUT, "append", "ProcessingTime" if ttl else "None")
+    dealt = flat.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    done = dealt.groupBy("bucket").transformWithStateInPandas(Images(ttl), _OUT, "append", "ProcessingTime" if ttl else "None")
     when = F.when(F.col("t").isNotNull(), F.struct("t", "i"))
     return done.select(F.struct(F.col("token").alias("_data")).alias("_id"), "operationType", when.alias("clusterTime"), "documentKey", "fullDocument", "fullDocumentBeforeChange")
