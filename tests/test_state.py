@@ -35,6 +35,15 @@ def test_deep_pages(spark, tmp_path, monkeypatch):
     assert paging.deep_page(spark, empty, df.schema, [("k", True)], 5, 0).collect() == []
 
 
+def test_clustered_tables_are_sorted_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    """However many rows, no task sorts more than about SORTED of them."""
+    monkeypatch.setattr(paging, "SORTED", 100)
+    path = f"file://{tmp_path}/many"
+    paging.write_clustered(spark.range(3000).withColumnRenamed("id", "k"), path, [("k", True)])
+    sizes = [r["rows"] for r in spark.read.parquet(f"{path}/places").collect()]
+    assert len(sizes) >= 25 and max(sizes) < 250 and sum(sizes) == 3000
+
+
 def images(spark, rows):
     df = spark.createDataFrame(rows, "eventId string, recordType string, documentId string, new string, old string")
     return df.select("eventId", "recordType", "documentId", F.parse_json("new").alias("newImage"), F.parse_json("old").alias("oldImage"))

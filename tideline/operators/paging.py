@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a file at most: what a page sorts at a time.
 ROWS = 100_000
+#: Rows that a task sorts on the way to files, about.
+SORTED = 500_000
 _PLACES = "file string, grp string, before long, rows long"
 
 
@@ -21,15 +23,18 @@ def _order(order: list[tuple[str, bool]]) -> list[Column]:
 
 
 def write_clustered(df: DataFrame, path: str, order: list[tuple[str, bool]], group: str | None = None, files: int | None = None) -> None:
-    """df as a clustered table in a new folder: path/rows and path/places. order: columns, and whether they rise; it must be total for pages to be stable."""
+    """df as a clustered table in a new folder: path/rows and path/places. order: columns, and whether they rise; it must be total for pages to be stable. Without a number of files, as many tasks as rows ask for, 8 at least."""
     spark = df.sparkSession
+    files = files or max(8, -(-df.count() // SORTED))
     by = ([F.col(group).asc_nulls_first()] if group else []) + _order(order)
-    dealt = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
-    dealt.sortWithinPartitions(*by).write.option("maxRecordsPerFile", ROWS).parquet(f"{path}/rows")
+    df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", ROWS).parquet(f"{path}/rows")
     rows = spark.read.schema(df.schema).parquet(f"{path}/rows")
     name = F.col(group).cast("string") if group else F.lit("")
-    first = F.min(F.struct(*(_rising(F.col(c), up, rows.schema[c].dataType.typeName()) for c, up in order)))
-    found = rows.groupBy(F.input_file_name().alias("file"), name.alias("grp")).agg(first.alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = F.struct(*(_rising(F.col(c), up, rows.schema[c].dataType.typeName()).alias(c) for c, up in order)).alias("first")
+    placed = rows.select(F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("at"), name.alias("grp"), first)
+    # the first row of a file's group is its lowest; numbers are aggregated without a sort of all rows
+    sizes = placed.groupBy("file", "grp").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"))
+    found = placed.select("file", "at", "first").join(F.broadcast(sizes), ["file", "at"])
     before = Window.partitionBy("grp").orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     found.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("file", "grp", "before", "rows").coalesce(1).write.parquet(f"{path}/places")
 
