@@ -715,6 +715,27 @@ def test_long_lists_in_copies(spark):
     assert all(len(spans[i]) == 100_000 for i in range(3)) and [rows[i][1][a:b] for i in range(3, 7) for a, b in spans[i]] == [w for i in range(3, 7) for w in ("Quxley", "has", "and")][: sum(len(spans[i]) for i in range(3, 7))]
 
 
+def test_terms_are_added_up_before_they_are_joined(spark):
+    """A term has a row from each task that met it; no exact join sees these rows, and the counts are those of all documents."""
+    rows = [(i, "zed@corp.example.com Zorblatt met some people there" if i % 5 else f"met others {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = pii.found_values(df)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = pii.revealing(df, found, threshold=-9.0)
+    assert np.allclose(sorted(r.share for r in got.collect()), sorted(plain_pairs([t for _, t in rows], -9.0, pii.SUPPORT).values()))
+    made, runs = 0, store.executionsList()
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        metrics, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            if "Join [term" in node.desc():
+                counts = [node.metrics().apply(m) for m in range(node.metrics().size())]
+                made += sum(int(metrics.apply(c.accumulatorId()).replace(",", "")) for c in counts if c.name() == "number of output rows" and metrics.contains(c.accumulatorId()))
+    assert 0 < made <= 20
+
+
 def test_rows_without_ids_are_sanitised(spark):
     """Rows without an id, or with one in common, lose the terms that give away their own values, and only these."""
     rows = [(None, f"Quxley wrote from q@corp.example.com on day {i}x{i}") for i in range(4)] + [(None, "Quxley alone here"), (7, "Quxley again"), (7, "Other text q@corp.example.com Quxley")] + [(i, f"plain words {i}") for i in range(10, 60)]

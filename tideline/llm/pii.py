@@ -191,13 +191,22 @@ def alike(found: DataFrame, support: int = SUPPORT) -> DataFrame:
     return values.join(values.groupBy("df_v", "_a", "_b").agg(F.min("value").alias("like")), ["df_v", "_a", "_b"]).select("value", "df_v", "like")
 
 
+def _documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df_t: in how many documents each of these terms (and few others) stands.
+
+    There is no exact join here: the planner takes one below the sum, where a
+    term has a row from each task that met it. The sums are joined with pairs anyhow.
+    """
+    counted = docs.select("text").mapInArrow(_term_counts, "term long, n long")
+    return maybe(counted, terms, "term").where("_maybe").groupBy("term").agg(F.sum("n").alias("df_t"))
+
+
 def _revealing(docs: DataFrame, found: DataFrame, values: DataFrame, threshold: float, support: int) -> DataFrame:
     """value, term, share: for one value of those that are alike, the terms that disclose at least this share of its information."""
     value_df = save(values.where("value = like").select("value", "df_v"), "paired")
     pairs = save(_together(found, value_df).groupBy("value", "term").agg(F.count(F.lit(1)).alias("df_vt")).where(F.col("df_vt") >= support).join(value_df, "value"), "pairs")
     terms = save(pairs.select("term").distinct(), "terms")
-    counted = docs.select("text").mapInArrow(_term_counts, "term long, n long")
-    df_t = maybe_in(counted, terms, "term").groupBy("term").agg(F.sum("n").alias("df_t")).join(terms, "term", "left_semi")
+    df_t = _documents(docs, terms)
     n = F.lit(float(found.count()))
     share = 1 - F.log2(F.col("df_t") / F.col("df_vt")) / F.log2(n / F.col("df_v"))
     judged = pairs.join(df_t, "term").where(F.col("df_v") < n).withColumn("share", share)
