@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 
 from tideline.functions.filters import Filter
 from tideline.operators.routing import Sink
-from tideline.sources.feed import change_feed, stream_changes
+from tideline.sources.feed import change_feed, read_changes, stream_changes
 from tideline.streaming import sinks as S
 from tideline.streaming.pipeline import Pipeline, Supervisor, health
 
@@ -143,6 +143,32 @@ def test_a_batch_that_was_done_is_passed_over(spark, world):
     assert pipe.table("outcomes").count() == 3 and pipe.table("settled").count() == 12 and pipe.table("processed").count() == 12
 
 
+def test_a_batch_is_settled_without_shuffles_of_its_records(spark, world):
+    """Few failures meet all records of a batch as a broadcast table, and the feed is asked once for its end and its highest token. States, errors, queue and keys are those of a plain count."""
+    pipe, tmp, now, text = world
+    records = [{"event_id": i, "purchase": t == "purchase"} for i, u, t, v in EVENTS]
+    (tmp / "out" / "fail").touch()
+    ok = Sink("g", "users", "file", {"folder": str(tmp / "ok")}, (), Filter.parse({"newImage": {"event_type": {"eq": "view"}}}))
+    (tmp / "ok").mkdir()
+    load = pipe.load_sinks
+    pipe.sinks.load = lambda: [*load(), ok]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    pipe.process_batch(read_changes(spark, str(tmp / "in")), 0)
+    runs, joins = store.executionsList(), []
+    for i in range(before, runs.size()):
+        nodes = store.planGraph(runs.apply(i).executionId()).allNodes()
+        joins += [nodes.apply(k).name() for k in range(nodes.size()) if "Join" in nodes.apply(k).name()]
+    assert joins and all(j.startswith("BroadcastHashJoin") for j in joins) and len(joins) == 3
+    got = {int(r.eventId[6:], 16): (r.state, r.error) for r in pipe.table("settled").collect()}
+    assert got == {r["event_id"]: ("queued", "down") if r["purchase"] else ("delivered", None) for r in records}
+    assert {int(r.id[6:], 16) for r in pipe.table("retry").collect()} == {r["event_id"] for r in records if r["purchase"]}
+    assert {int(r.eventId[6:], 16) for r in pipe.table("processed").collect()} == {r["event_id"] for r in records if not r["purchase"]}
+    assert pipe.position() == f"{max(r['event_id'] for r in records):016X}"
+    queued = {r.id: json.loads(r.eventData) for r in pipe.table("retry").collect()}
+    assert all(x["newImage"]["event_type"] == "purchase" for x in queued.values()) and len(sent(tmp / "ok")) == sum(not r["purchase"] for r in records)
+
+
 def test_unsettled(spark, world):
     """What is neither delivered nor queued is an error: its batch runs again."""
     from tideline.sources.feed import read_changes

@@ -50,13 +50,13 @@ def terminal(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("operationType").isin(*TERMINAL))
 
 
-def until_terminal(changes: DataFrame) -> tuple[DataFrame, str | None]:
-    """The events up to the first terminal one, by token, and its operation; what is behind it belongs to a feed that has ended. Events without a token stay."""
-    token = F.upper("_id._data")
-    first = terminal(changes).agg(F.min_by("operationType", F.coalesce(token, F.lit(""))), F.min(token)).first()
-    if first[0] is None or first[1] is None:
-        return changes, first[0]
-    return changes.where(F.coalesce(token <= first[1], F.lit(True))), first[0]
+def until_terminal(changes: DataFrame) -> tuple[DataFrame, str | None, str | None]:
+    """The events up to the first terminal one, by token, its operation, and their highest token; what is behind it belongs to a feed that has ended. Events without a token stay. One pass."""
+    token, ends = F.upper("_id._data"), F.col("operationType").isin(*TERMINAL)
+    end, first, last = changes.agg(F.min_by("operationType", F.when(ends, F.coalesce(token, F.lit("")))), F.min(F.when(ends, token)), F.max(token)).first()
+    if first is None:
+        return changes, end, last
+    return changes.where(F.coalesce(token <= first, F.lit(True))), end, first
 
 
 def record_json() -> Column:
@@ -70,7 +70,11 @@ _RECORD_JSON = "tableName string, recordType string, newImage variant, oldImage
 
 def parse_record(json: Column) -> Column:
     """A record struct of its JSON: null images are absent, a bad timestamp is null, broken JSON or no object gives null. Ids stay."""
-    r = F.from_json(json, _RECORD_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    told = F.from_json(json, _RECORD_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return F.get(F.transform(F.array(told), _record), F.lit(0))  # a lambda's argument is evaluated once, a repeated expression in branches each time
+
+
+def _record(r: Column) -> Column:
     image = lambda k: F.when(~F.is_variant_null(r[k]), r[k])
     text = lambda k: F.coalesce(r[k], F.lit(""))
     record = F.struct(r["tableName"].alias("tableName"), r["recordType"].alias("recordType"), image("newImage").alias("newImage"), image("oldImage").alias("oldImage"), F.try_to_timestamp(r["timestamp"]).alias("timestamp"), text("eventId").alias("eventId"), text("documentId").alias("documentId"))

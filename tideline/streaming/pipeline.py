@@ -17,14 +17,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schema
 from ..functions.changes import parse_changes, parse_record, quarantined, record_json, until_terminal
 from ..operators.metrics import Delivered, delivery_sums
-from ..operators.routing import Sink, Sinks, route, settle, settlement
+from ..operators.routing import Sink, Sinks, failures, route, settle
 from ..operators.state import MOST_RETRIES, REMEMBER, absent, in_order, retry_rows, retry_step
 from ..sources.feed import from_start, start_position, token_is_useless
 from ..sources.token_feed import stream_feed
@@ -172,34 +172,34 @@ class Pipeline:
 
     def _process(self, changes: DataFrame, part: str, work: str, began: dt.datetime) -> None:
         active, now = self.sinks.refresh(), F.lit(began).cast("timestamp")
-        changes, end = until_terminal(changes)
+        changes, end, token = until_terminal(changes)
         self._put("quarantine", quarantined(changes, self.collection), part)
         records = parse_changes(changes, self.collection, now, self.old_image).where("eventId <> ''")
         fresh = in_order(self.keys.fresh(records, F.lit(self.clock()).cast("timestamp")))
         fresh.withColumn("record", record_json()).select("eventId", "tableName", "recordType", "record").write.parquet(f"{work}/records")
         fresh = self.spark.read.parquet(f"{work}/records")
-        images = fresh.select("*", parse_record(F.col("record")).alias("r")).select("r.*")
-        self._deliver(images, active, f"{work}/outcomes")
+        images = fresh.select("record", parse_record(F.col("record")).alias("r")).select("r.*", "record")
+        self._deliver(images, active, f"{work}/outcomes", F.col("record"))
         outcomes = self.spark.read.schema(schema.OUTCOME).parquet(f"{work}/outcomes")
-        settled = settle(fresh, outcomes)
-        told = settled.join(fresh, "eventId")
-        failed = told.where("not settled").select("eventId", "tableName", "record", "error")
+        failures(outcomes).write.parquet(f"{work}/failed")  # a table of its own, so that the planner knows its size: few are broadcast
+        failed = self.spark.read.schema("eventId string, error string").parquet(f"{work}/failed")
         try:
-            self._put("retry", retry_rows(failed, now, F.lit(round(began.timestamp() * 1_000_000))), part)
+            self._put("retry", retry_rows(fresh.join(failed, "eventId").select("eventId", "tableName", "record", "error"), now, F.lit(round(began.timestamp() * 1_000_000))), part)
         except Exception as error:
             raise Unsettled(str(error)) from error
-        states = settlement(settled, failed).join(told.select("eventId", "recordType", "error"), "eventId")
-        self._put("settled", states.select("eventId", "recordType", "state", "error"), part)
+        queued = failed.withColumn("_q", F.lit(True))
+        state = F.when(F.col("_q"), "queued").otherwise("delivered")  # all that failed are in the queue now
+        self._put("settled", fresh.join(queued, "eventId", "left").select("eventId", "recordType", state.alias("state"), "error"), part)
         self._put("outcomes", outcomes, part)
         if end:
             self._put("terminal", self.spark.createDataFrame([(end,)], TABLES["terminal"]), part)
-        self._put("processed", told.where("settled"), part, began + dt.timedelta(seconds=REMEMBER))
-        self._put("done", changes.agg(F.max(F.upper("_id._data")).alias("token")), part)
+        self._put("processed", fresh.join(failed, "eventId", "left_anti"), part, began + dt.timedelta(seconds=REMEMBER))
+        self._put("done", self.spark.range(0, 1, 1, 1).select(F.lit(token).cast("string").alias("token")), part)
         self._ended = self._ended or bool(end)
 
-    def _deliver(self, images: DataFrame, active: list[Sink], path: str) -> None:
+    def _deliver(self, images: DataFrame, active: list[Sink], path: str, text: Column | None = None) -> None:
         """Send once, write the outcomes, and count them on the way."""
-        outcomes, types = deliver(route(images, active), active), {}
+        outcomes, types = deliver(route(images, active), active, text), {}
         for s in active:
             types.setdefault(s.type, []).append(s.id)
         seen = Observation()

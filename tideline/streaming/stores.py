@@ -148,6 +148,9 @@ class ProcessedKeys:
     def fresh(self, records: DataFrame, now: Column) -> DataFrame:
         """Records once each, without those whose key is live; only files that may hold one of their keys are read."""
         records = records.dropDuplicates(["eventId"])
+        if not self.folders.exists("keys"):
+            self.seen = []
+            return records
         hour = F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd-HH")
         self.seen = files_for(self.index().where(F.col("hour") >= hour), records, "eventId")
         if not self.seen:
