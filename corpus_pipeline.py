@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import tree_bpe
-from tideline.llm.common import new_folder, remove, save, scratch, table
+from tideline.llm.common import bounded_batches, new_folder, remove, save, scratch, table
 from tideline.llm.graph import first_of_each, without
 from tideline.llm.mixing import mixed_documents
 from tideline.llm.parity_join import similar_components
@@ -27,6 +27,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. A row is known by id, text, language and source, as the same text may stand in another group."""
+    bounded_batches(spark)
     with scratch(spark):
         rejected = save(quality(docs).where(~F.col("kept")).select("doc_id", "text_print", "lang", "source").distinct(), "rejected", keep=True)
     return without(docs, rejected)
@@ -34,6 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Texts without words are no group and stay."""
+    bounded_batches(spark)
     with scratch(spark):
         rows = save(similar_components(docs, SHINGLE, PERCENT).where("n_shingles > 0"), "grouped")
         stay = save(rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "text_print", "doc_id")).alias("s")).select(F.col("component").alias("_c"), F.col("s.doc_id").alias("_doc"), F.col("s.text_print").alias("_own")), "stay")
@@ -45,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values and the terms that reveal them are replaced."""
+    bounded_batches(spark)
     return _sized(sanitise(docs))
 
 
@@ -55,6 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip of every row."""
+    bounded_batches(spark)
     return tree_bpe.encode_and_check(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

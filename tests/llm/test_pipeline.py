@@ -1,6 +1,7 @@
 """The pipeline against plain Python, its stages' columns, and the entry module."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -87,3 +88,42 @@ def test_entry():
     found = entry.queries()
     assert {"pipeline", *queries.queries()} <= found.keys() and len(queries.queries()) == 10
     assert entry.oracle_sql().keys() <= found.keys()
+
+
+def test_stages_hand_over_bounded_batches(spark):
+    """A stage bounds the bytes that tasks hand to Python at a time, whatever the rows' width; a limit of the session's own stays."""
+    from tideline.llm.common import BATCH_BYTES, BATCH_LIMIT
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    wide = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 600) as text", "'en' as lang", "'a' as source", "3000L as n_chars")
+    stages = [f for name, f in corpus_pipeline.STAGES if name != "source mixing"]
+    assert len(stages) == 4
+    was = spark.conf.get(BATCH_LIMIT, None)
+    try:
+        for stage in stages:
+            spark.conf.unset(BATCH_LIMIT)
+            after = stage(spark, wide.limit(3), "")
+            assert after.columns
+            got = wide.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r["n"] for r in got) == 3000 and max(r["bytes"] for r in got) < 2 * BATCH_BYTES
+        spark.conf.set(BATCH_LIMIT, 7 << 20)
+        stages[-1](spark, wide.limit(3), "")
+        assert int(spark.conf.get(BATCH_LIMIT).rstrip("b")) == 7 << 20
+    finally:
+        spark.conf.set(BATCH_LIMIT, was) if was else spark.conf.unset(BATCH_LIMIT)
+
+
+def test_keys_are_sent_in_bounded_batches():
+    """All keys of a block arrive, those that it holds twice known, in batches of SENT rows at most."""
+    from tideline.llm.parity_join import SENT, _keyed
+
+    key = np.arange(3 * SENT) // 2 * 7
+    held = [(np.arange(len(key)), np.full(len(key), 9, np.int32), key)]
+    got = [*_keyed([(x[:5], y[:5], z[:5]) for x, y, z in held] + [(x[5:], y[5:], z[5:]) for x, y, z in held])]
+    assert max(map(len, got)) <= SENT and len(got) == 3
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert sorted((r["node"], r["key"]) for r in rows) == [*zip(range(len(key)), key.tolist(), strict=True)]
+    assert all(r["known"] and r["n"] == 9 and r["salt"] == (r["node"] if r["node"] % 2 else 0) for r in rows)

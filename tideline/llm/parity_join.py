@@ -140,8 +140,8 @@ def sketch_of(s: np.ndarray) -> bytes:
 _NODES = "doc_id long, text_print long, n_shingles long, node long, sketch binary"
 _SCANNED = _NODES + ", counter int, sets long"
 _KEYS = "node long, n int, key long, salt long, known boolean"
-#: Keys of a task among which those that it shares with itself are found at a time.
-KEYS = 1 << 19
+#: Keys of a task among which those that it shares with itself are found at a time, and rows of them that it sends at a time.
+KEYS, SENT = 1 << 19, 1 << 15
 
 
 def _fresh(rows: pa.RecordBatch, k: int, seen: set[int]) -> tuple[list[np.ndarray], list[int | None], list[bool]]:
@@ -184,7 +184,7 @@ def _levels(counted: DataFrame) -> np.ndarray:
     return levels
 
 
-def _keyed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _keyed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Rows of _KEYS: `known` where another node here has the key; of these all but one of a key are salted by their node."""
     node, n, key = map(np.concatenate, zip(*held, strict=True))
     order = np.argsort(key, kind="stable")
@@ -193,7 +193,8 @@ def _keyed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBa
     known = ~first
     known[:-1] |= ~first[1:]
     salt = np.where(first, 0, node)
-    return pa.RecordBatch.from_arrays([*map(pa.array, (node, n, key, salt, known))], names=["node", "n", "key", "salt", "known"])
+    for at in range(0, len(key), SENT):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + SENT]) for x in (node, n, key, salt, known)], names=["node", "n", "key", "salt", "known"])
 
 
 def _keys(k: int, percent: int, levels=None):
@@ -211,10 +212,10 @@ def _keys(k: int, percent: int, levels=None):
                         held.append((np.full(len(keys), d, np.int64), np.full(len(keys), len(s), np.int32), keys))
                         total += len(keys)
                 if total > KEYS:
-                    yield _keyed(held)
+                    yield from _keyed(held)
                     held, total = [], 0
         if held:
-            yield _keyed(held)
+            yield from _keyed(held)
 
     return run
 

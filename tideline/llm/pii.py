@@ -34,6 +34,8 @@ from .spans import count, digest, joined
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 THRESHOLD = 0.8
+#: Bytes of texts whose spans and terms are Python objects at a time.
+OBJECTS = 1 << 18
 #: Distinct terms that a task holds before it sends their counts.
 HELD = 2_000_000
 
@@ -125,7 +127,7 @@ def _met(text: str, spans) -> tuple[list[int], list[dict]]:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", OBJECTS):
             texts = [t or "" for t in rows.column("text").to_pylist()]
             spans = [*map(base_spans, texts)]
             named = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in spans]
@@ -296,7 +298,7 @@ def sanitised_text(text: str, pairs: set[tuple[int, int]]) -> str:
 
 def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", OBJECTS):
             pairs = [{(x["value"], x["term"]) for x in p or ()} for p in rows.column("_pairs").to_pylist()]
             texts = [None if t is None else sanitised_text(t, p) for t, p in zip(rows.column("text").to_pylist(), pairs, strict=True)]
             arrays = [pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in rows.schema.names if n != "_pairs"]
